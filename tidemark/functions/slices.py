@@ -38,13 +38,19 @@ def _sliced(df: DataFrame, key: list[str], time: str, order: Sequence[str], widt
         *[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)],
         slice_of(time, width).alias("_slice"),
         _position(time, order).alias("_pos"),
-        F.struct(*df.columns).alias("_row"),
+        F.struct(*[c for c in df.columns if c not in key], F.lit(0).alias("_")).alias("_row"),
     )
 
 
-def _restored(df: DataFrame, extra: Sequence[Column], keep_slice: bool) -> DataFrame:
+def _read(column: str, key: list[str]) -> Column:
+    return F.col(f"_k{key.index(column)}" if column in key else f"_row.{column}")
+
+
+def _restored(df: DataFrame, columns: list[str], key: list[str], extra: Sequence[Column], keep_slice: bool) -> DataFrame:
+    """Original columns again; keys come back as aliases, so Spark still knows the partitioning."""
+    back = [F.col(f"_k{key.index(c)}").alias(c) if c in key else F.col(f"_row.{c}") for c in columns]
     kept = [F.col("_slice")] if keep_slice else []
-    return df.filter(F.col("_edge") == 0).select("_row.*", *extra, *kept)
+    return df.filter(F.col("_edge") == 0).select(*back, *extra, *kept)
 
 
 def with_neighbours(
@@ -67,8 +73,8 @@ def with_neighbours(
     rows = _sliced(df, key, time, order, width)
     rows = rows.withColumns({
         "_edge": F.lit(0),
-        **({"_back": F.struct(*[F.col(f"_row.{s}").alias(n) for n, s in previous.items()])} if previous else {}),
-        **({"_fwd": F.struct(*[F.col(f"_row.{s}").alias(n) for n, s in following.items()])} if following else {}),
+        **({"_back": F.struct(*[_read(s, key).alias(n) for n, s in previous.items()])} if previous else {}),
+        **({"_fwd": F.struct(*[_read(s, key).alias(n) for n, s in following.items()])} if following else {}),
     })
     across = Window.partitionBy(*keys).orderBy("_slice")
     within = Window.partitionBy(*keys, "_slice").orderBy("_edge", "_pos")
@@ -92,7 +98,7 @@ def with_neighbours(
         **({"_f": F.lead("_fwd").over(within)} if following else {}),
     })
     extra = [F.col(f"_p.{n}") for n in previous] + [F.col(f"_f.{n}") for n in following]
-    return _restored(every, extra, keep_slice)
+    return _restored(every, df.columns, key, extra, keep_slice)
 
 
 def carry_forward(
@@ -107,7 +113,7 @@ def carry_forward(
     """Last non-null ``value`` of the key at or before each row."""
     key, order = names(key), names(order)
     keys = [f"_k{i}" for i in range(len(key))]
-    rows = _sliced(df, key, time, order, width).withColumns({"_edge": F.lit(0), "_v": F.col(f"_row.{value}")})
+    rows = _sliced(df, key, time, order, width).withColumns({"_edge": F.lit(0), "_v": _read(value, key)})
     across = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     within = Window.partitionBy(*keys, "_slice").orderBy("_edge", "_pos").rowsBetween(Window.unboundedPreceding, 0)
     seen = rows.groupBy(*keys, "_slice").agg(
@@ -120,7 +126,7 @@ def carry_forward(
     )
     every = rows.unionByName(edges, allowMissingColumns=True)
     every = every.withColumn("_v", F.last("_v", ignorenulls=True).over(within))
-    return _restored(every, [F.col("_v").alias(out)], False)
+    return _restored(every, df.columns, key, [F.col("_v").alias(out)], False)
 
 
 def running_total(
@@ -136,7 +142,7 @@ def running_total(
     keys = [f"_k{i}" for i in range(len(key))]
     held = [f"_t{i}" for i in range(len(totals))]
     rows = _sliced(df, key, time, order, width).withColumns(
-        {"_edge": F.lit(0), **{h: F.col(f"_row.{s}") for h, s in zip(held, totals.values())}}
+        {"_edge": F.lit(0), **{h: _read(s, key) for h, s in zip(held, totals.values())}}
     )
     across = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     within = Window.partitionBy(*keys, "_slice").orderBy("_edge", "_pos").rowsBetween(Window.unboundedPreceding, 0)
@@ -144,7 +150,7 @@ def running_total(
     edges = edges.withColumns({h: F.sum(h).over(across) for h in held}).withColumn("_edge", F.lit(-1))
     every = rows.unionByName(edges, allowMissingColumns=True)
     every = every.withColumns({h: F.sum(h).over(within) for h in held})
-    return _restored(every, [F.col(h).alias(n) for h, n in zip(held, totals)], False)
+    return _restored(every, df.columns, key, [F.col(h).alias(n) for h, n in zip(held, totals)], False)
 
 
 def with_halo(df: DataFrame, time: str, lookback: str | int, width: str | int = DEFAULT_SLICE) -> DataFrame:

@@ -40,7 +40,7 @@ def all_synced(status: DataFrame) -> DataFrame:
     return status.agg(F.coalesce(F.bool_and(F.col("lag_s") < F.col("warn_s")), F.lit(True)).alias("all_synced"))
 
 
-def drill_report(steps: DataFrame, by: str | Sequence[str] = (), start: str = "start", end: str = "end") -> DataFrame:
+def drill_report(steps: DataFrame, start: str = "start", end: str = "end") -> DataFrame:
     """Steps with their duration; ``result`` stays as recorded."""
     seconds = whole_div(F.unix_micros(end) - F.unix_micros(start), 1000000)
     return steps.withColumn("duration_s", seconds).withColumn("duration", duration_text("duration_s"))
