@@ -145,7 +145,8 @@ def _presence(rows: DataFrame, versions: DataFrame, group: list[str], item: str,
         F.count_if(F.col("_req") & F.col("_first_req").isNull()).alias("_first_seen"),
     )
     over_versions = Window.partitionBy(*group).orderBy("version")
-    return versions.join(here, [*group, "version"], "left").fillna(0).withColumns({
+    counts = [c for c in here.columns if c not in (*group, "version")]
+    return versions.join(here, [*group, "version"], "left").fillna(0, counts).withColumns({
         "gone_vs_previous": F.coalesce(F.lag("_required").over(over_versions), F.lit(0)) - F.col("_kept"),
         "gone_vs_all": F.coalesce(
             F.sum("_first_seen").over(over_versions.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
@@ -297,21 +298,30 @@ def plan_bindings(topics: DataFrame, current: DataFrame, **columns) -> DataFrame
     return merged.filter(F.col("_w") != F.col("_c")).select(action.alias("action"), *_BINDING)
 
 
+def _compared(desired: DataFrame, current: DataFrame, topic: str) -> DataFrame:
+    now = current.select(topic, "name", F.trim("value").alias("_now"))
+    joined = desired.join(now, [topic, "name"], "left")
+    return joined.withColumn("_differs", F.coalesce(F.col("_now"), F.lit("")) != F.col("value"))
+
+
 def plan_config(desired: DataFrame, current: DataFrame, topic: str = "topic") -> DataFrame:
-    """Per topic the settings to SET (name=value) and whether it is ``updated`` or ``unchanged``.
+    """Settings to SET: desired values that the current value, trimmed, does not equal.
 
     Both inputs have one row per (topic, name); an absent current value differs from any desired one.
     """
-    now = current.select(topic, "name", F.trim("value").alias("_now"))
-    joined = desired.join(now, [topic, "name"], "left")
-    differs = F.coalesce(F.col("_now"), F.lit("")) != F.col("value")
-    setting = F.when(differs, F.concat_ws("=", "name", "value"))
-    out = joined.groupBy(topic).agg(F.array_sort(F.collect_list(setting)).alias("to_set"))
-    return out.withColumn("outcome", F.when(F.size("to_set") > 0, "updated").otherwise("unchanged"))
+    return _compared(desired, current, topic).filter("_differs").select(
+        topic, "name", "value", F.lit("SET").alias("operation")
+    )
+
+
+def config_outcomes(desired: DataFrame, current: DataFrame, topic: str = "topic") -> DataFrame:
+    """Per topic the number of settings to change and whether it is ``updated`` or ``unchanged``."""
+    out = _compared(desired, current, topic).groupBy(topic).agg(F.count_if(F.col("_differs")).alias("to_set"))
+    return out.withColumn("outcome", F.when(F.col("to_set") > 0, "updated").otherwise("unchanged"))
 
 
-def config_totals(plan: DataFrame) -> DataFrame:
-    return plan.agg(
+def config_totals(outcomes: DataFrame) -> DataFrame:
+    return outcomes.agg(
         F.count_if(F.col("outcome") == "updated").alias("updated"),
         F.count_if(F.col("outcome") == "unchanged").alias("unchanged"),
     )
