@@ -108,3 +108,19 @@ def foreach_record(
             yield batch.assign(handled=errors.isna(), error=errors)
 
     return df.mapInPandas(run, schema)
+
+
+def dlq_increase(df: DataFrame, pattern: str, lookback: str, span: str, time: str = "ts", value: str = "value") -> DataFrame:
+    """Dead-lettered records per time span, over topics whose whole name matches ``pattern``.
+
+    Each sample contributes its counter increase over the look-back; samples without a predecessor in
+    it are left out.
+    """
+    from tidemark.operators.routing import match_labels
+    from tidemark.operators.series import increase
+
+    chosen = match_labels(df, regex={"topic": pattern})
+    grown = increase(chosen, "topic", lookback, time, value).filter(F.col("increase").isNotNull())
+    return grown.groupBy(F.window(time, span).start.alias("day")).agg(
+        F.count("*").alias("samples"), F.sum("increase").alias("records")
+    )
