@@ -263,11 +263,11 @@ def desired_bindings(df: DataFrame, topic="topic", producers="producers", consum
 
     t = F.col(topic)
 
+    def on(column: str, role: str, kind: str, suffix: str = "") -> Column:
+        return F.transform(column, lambda p: binding(p, role, kind, F.concat(t, F.lit(suffix))))
+
     def for_topic(column: str, role: str) -> list[Column]:
-        return [
-            F.transform(column, lambda p, k=kind, s=suffix: binding(p, role, k, F.concat(t, F.lit(s))))
-            for kind, suffix in (("Topic", ""), ("Subject", "-value"), ("Subject", "-key"))
-        ]
+        return [on(column, role, "Topic"), on(column, role, "Subject", "-value"), on(column, role, "Subject", "-key")]
 
     users = F.filter(consumers, lambda p: p.startswith("User:"))
     groups = F.transform(

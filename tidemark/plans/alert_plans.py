@@ -39,12 +39,12 @@ WITH samples AS ({samples}), rules(rule, metric, op, lim, hold_s, severity, tier
 r AS (SELECT s.*, rules.rule, rules.hold_s, rules.severity,
         CASE op WHEN 'gt' THEN value > lim ELSE value < lim END AS breached
       FROM samples s JOIN rules ON s.metric = rules.metric AND (rules.tier IS NULL OR rules.tier = coalesce(s.tier, 'standard'))),
-m AS (SELECT *, lag(breached) OVER w AS was, lag(ts) OVER w AS at FROM r WINDOW w AS (PARTITION BY rule, {cols} ORDER BY ts, event_id)),
-f AS (SELECT *, CASE WHEN at IS NULL OR NOT was OR epoch_us(ts) - epoch_us(at) > {gap_s}::BIGINT * 1000000 THEN 1 ELSE 0 END AS starts FROM m WHERE breached),
+m AS (SELECT *, lag(breached) OVER w AS was, lag(ts) OVER w AS prev_ts FROM r WINDOW w AS (PARTITION BY rule, {cols} ORDER BY ts, event_id)),
+f AS (SELECT *, CASE WHEN prev_ts IS NULL OR NOT was OR epoch_us(ts) - epoch_us(prev_ts) > {gap_s}::BIGINT * 1000000 THEN 1 ELSE 0 END AS starts FROM m WHERE breached),
 i AS (SELECT *, sum(starts) OVER (PARTITION BY rule, {cols} ORDER BY ts, event_id) AS island FROM f)
 SELECT rule, {cols}, min(ts) AS started, max(ts) AS last_seen, count(*) AS samples, max(value) AS peak,
   min(ts) + to_seconds(any_value(hold_s)) AS fired_at, any_value(severity) AS severity
-FROM i GROUP BY rule, {cols}, island HAVING epoch_us(max(ts)) - epoch_us(min(ts)) >= any_value(hold_s) * 1000000
+FROM i GROUP BY rule, {cols}, island HAVING epoch_us(max(ts)) - epoch_us(min(ts)) >= any_value(hold_s)::BIGINT * 1000000
 """
 
 

@@ -100,7 +100,7 @@ def _(t):
 WITH t AS (SELECT *, {_TIER} AS tier FROM orders),
 kept AS (SELECT * FROM t WHERE tier = 'compliance' OR epoch_ms(TIMESTAMP '2001-07-31 00:00:00') - epoch_ms(o_orderdate) <=
   CASE tier WHEN 'critical' THEN 604800000 WHEN 'best-effort' THEN 86400000 ELSE 259200000 END)
-SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey, arg_max(tier, (o_orderdate, o_orderkey)) AS tier FROM kept GROUP BY 1
+SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey, arg_max_null(tier, (o_orderdate, o_orderkey)) AS tier FROM kept GROUP BY 1
 """)
 def _(t):
     rows = t.orders.select("o_custkey", "o_orderkey", "o_orderdate", order_tier().alias("tier"))

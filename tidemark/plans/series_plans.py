@@ -220,8 +220,8 @@ def _(t):
 
 
 @plan("state_history", "TS-10", """
-WITH m AS (SELECT user_id, ts, event_type, lag(event_type) OVER w AS was, lag(ts) OVER w AS at FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
-c AS (SELECT * FROM m WHERE at IS NULL OR was <> event_type)
+WITH m AS (SELECT user_id, ts, event_type, lag(event_type) OVER w AS was, lag(ts) OVER w AS prev_ts FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+c AS (SELECT * FROM m WHERE prev_ts IS NULL OR was <> event_type)
 SELECT user_id, ts AS since, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS until, event_type FROM c
 """)
 def _(t):

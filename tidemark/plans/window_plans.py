@@ -6,7 +6,7 @@ from tidemark.plans.registry import plan
 _STATS = """
   count(*) AS transaction_count,
   CAST(sum(amount) AS DECIMAL(25,2)) AS total_amount,
-  CAST(round(CAST(sum(amount) AS DECIMAL(30,10)) / count(*), 2) AS DECIMAL(15,2)) AS avg_amount,
+  CAST(CAST((2 * CAST(sum(amount) * 100 AS BIGINT) + count(*)) // (2 * count(*)) AS DECIMAL(18,0)) * CAST(0.01 AS DECIMAL(3,2)) AS DECIMAL(15,2)) AS avg_amount,
   min(amount) AS min_amount,
   max(amount) AS max_amount
 """

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 
@@ -66,7 +65,8 @@ def poll_increment(
     """
     rows = table
     if last is not None and last["ts"] is not None:
-        ts, i = F.lit(last["ts"]), F.lit(last["id"])
+        ts = F.lit(last["ts"]).cast(table.schema[ts_col].dataType)
+        i = F.lit(last["id"]).cast(table.schema[id_col].dataType)
         rows = table.filter((F.col(ts_col) >= ts) & ((F.col(ts_col) > ts) | (F.col(id_col) > i)))
     mark = F.max(F.struct(F.col(ts_col).alias("ts"), F.col(id_col).alias("id")))
     return rows, rows.agg(mark.alias("_m")).select("_m.*")
@@ -78,6 +78,3 @@ def read_jdbc(spark: SparkSession, url: str, table: str, driver: str, fetch: int
     base = {"url": url, "dbtable": table, "driver": driver, "fetchsize": str(fetch)}
     return spark.read.format("jdbc").options(**base, **options).load()
 
-
-def audit_timestamp(value: datetime) -> Column:
-    return F.lit(value).cast("timestamp")
