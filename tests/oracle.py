@@ -26,7 +26,7 @@ def _value(v):
     if isinstance(v, bool) or v is None:
         return repr(v)
     if isinstance(v, float):
-        return "nan" if math.isnan(v) else repr(round(v, 9))
+        return "nan" if math.isnan(v) else repr(v)
     if isinstance(v, (int, decimal.Decimal)):
         return str(v)
     return str(v)

@@ -1,22 +1,28 @@
 """Ordered per-key computations that do not put a whole key into one task.
 
 A window over ``partitionBy(key)`` sends every row of a hot key to one task. The functions here
-partition by (key, time slice) instead. Each slice is reduced to one summary row, the summaries are
-scanned per key in slice order, and what the next slice needs from the earlier ones is added to it as
-one edge row. A hot key is thus spread over as many tasks as it has slices, and only the summaries
-(one row per key and slice) meet in one place.
+partition by (key, slice) instead, where a slice is a fixed-width range of the ordering column. Each
+slice is reduced to one summary row, the summaries are scanned per key in slice order, and what a slice
+needs from the others is added to it as an edge row. A hot key is thus spread over as many tasks as it
+has slices, and only the summaries (one row per key and slice) meet in one place.
+
+The ordering column is a timestamp, or an integer such as a version number; ``width`` is an interval
+or a number accordingly.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tidemark.functions.units import micros, whole_div
 
 DEFAULT_SLICE = "1 hour"
 
+_FRAME_START = Window.unboundedPreceding
+_MERGEABLE = {"sum": F.sum, "min": F.min, "max": F.max, "bit_or": F.bit_or, "bit_and": F.bit_and}
+
 
 def names(columns: str | Sequence[str]) -> list[str]:
     return [columns] if isinstance(columns, str) else list(columns)
@@ -28,129 +34,119 @@ def slice_of(time: Column | str, width: str | int = DEFAULT_SLICE) -> Column:
     return whole_div(F.unix_micros(t), micros(width))
 
 
-def _position(time: str, order: Sequence[str]) -> Column:
-    us = F.unix_micros(time)
-    return F.struct(us.alias("t"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)]) if order else us
-
-
-def _sliced(df: DataFrame, key: list[str], time: str, order: Sequence[str], width) -> DataFrame:
-    return df.select(
-        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)],
-        slice_of(time, width).alias("_slice"),
-        _position(time, order).alias("_pos"),
-        F.struct(*[c for c in df.columns if c not in key], F.lit(0).alias("_")).alias("_row"),
-    )
-
-
-def _read(column: str, key: list[str]) -> Column:
-    return F.col(f"_k{key.index(column)}" if column in key else f"_row.{column}")
+def _ticks(df: DataFrame, column: str) -> Column:
+    integral = isinstance(df.schema[column].dataType, T.IntegralType)
+    return F.col(column).cast("long") if integral else F.unix_micros(column)
 
 
-def _restored(df: DataFrame, columns: list[str], key: list[str], extra: Sequence[Column], keep_slice: bool) -> DataFrame:
-    """Original columns again; keys come back as aliases, so Spark still knows the partitioning."""
-    back = [F.col(f"_k{key.index(c)}").alias(c) if c in key else F.col(f"_row.{c}") for c in columns]
-    kept = [F.col("_slice")] if keep_slice else []
-    return df.filter(F.col("_edge") == 0).select(*back, *extra, *kept)
-
-
-def with_neighbours(
+def scan(
     df: DataFrame,
     key: str | Sequence[str],
     time: str,
     order: str | Sequence[str] = (),
     previous: Mapping[str, str] | None = None,
     following: Mapping[str, str] | None = None,
+    running: Mapping[str, tuple[str, str]] | None = None,
+    before: Mapping[str, tuple[str, str]] | None = None,
     width: str | int = DEFAULT_SLICE,
     keep_slice: bool = False,
 ) -> DataFrame:
-    """Values of the previous and the following row of the same key, in (time, order) order.
+    """Add columns computed along each key in (time, order) order.
 
-    ``previous`` and ``following`` map new column names to source columns.
+    ``previous`` and ``following`` map new columns to source columns of the neighbouring rows.
+    ``running`` maps new columns to (function, source column) over the rows up to and including each
+    row, ``before`` over the rows before it. Functions: sum, min, max, bit_or, bit_and, and last (the
+    last non-null value). Use exact types for sums.
     """
     key, order = names(key), names(order)
     previous, following = dict(previous or {}), dict(following or {})
+    folds = {**(running or {}), **(before or {})}
     keys = [f"_k{i}" for i in range(len(key))]
-    rows = _sliced(df, key, time, order, width)
-    rows = rows.withColumns({
+    held = {n: f"_r{i}" for i, n in enumerate(folds)}
+    ticks = _ticks(df, time)
+    position = F.struct(ticks.alias("t"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)]) if order else ticks
+
+    def read(column: str) -> Column:
+        return F.col(f"_k{key.index(column)}" if column in key else f"_row.{column}")
+
+    rows = df.select(
+        *[F.col(k).alias(a) for k, a in zip(key, keys)],
+        whole_div(ticks, micros(width)).alias("_slice"),
+        position.alias("_pos"),
+        F.struct(*[c for c in df.columns if c not in key], F.lit(0).alias("_")).alias("_row"),
+    ).withColumns({
         "_edge": F.lit(0),
-        **({"_back": F.struct(*[_read(s, key).alias(n) for n, s in previous.items()])} if previous else {}),
-        **({"_fwd": F.struct(*[_read(s, key).alias(n) for n, s in following.items()])} if following else {}),
+        **({"_back": F.struct(*[read(s).alias(n) for n, s in previous.items()])} if previous else {}),
+        **({"_fwd": F.struct(*[read(s).alias(n) for n, s in following.items()])} if following else {}),
+        **{held[n]: read(s) for n, (_, s) in folds.items()},
     })
-    across = Window.partitionBy(*keys).orderBy("_slice")
-    within = Window.partitionBy(*keys, "_slice").orderBy("_edge", "_pos")
-
-    def outermost(pick, held: str, fields) -> DataFrame:
-        found = rows.groupBy(*keys, "_slice").agg(*[pick(F.col(f"{held}.{n}"), "_pos").alias(n) for n in fields])
-        return found.select(*keys, "_slice", F.struct(*fields).alias(held))
 
-    parts = [rows]
-    if previous:
-        last = outermost(F.max_by, "_back", previous).withColumn("_back", F.lag("_back").over(across))
-        parts.append(last.filter(F.col("_back").isNotNull()).withColumn("_edge", F.lit(-1)))
+    summary = rows.groupBy(*keys, "_slice").agg(
+        *[F.max_by(F.col(f"_back.{n}"), "_pos").alias(f"_b{i}") for i, n in enumerate(previous)],
+        *[F.min_by(F.col(f"_fwd.{n}"), "_pos").alias(f"_f{i}") for i, n in enumerate(following)],
+        *[_reduced(fn, held[n]).alias(held[n]) for n, (fn, _) in folds.items()],
+    )
+    across = Window.partitionBy(*keys).orderBy("_slice")
+    so_far = across.rowsBetween(_FRAME_START, -1)
+    edges = []
+    if previous or folds:
+        back = F.struct(*[F.col(f"_b{i}").alias(n) for i, n in enumerate(previous)]) if previous else None
+        edges.append(summary.select(
+            *keys, "_slice", F.lit(-1).alias("_edge"), F.lag("_slice").over(across).alias("_from"),
+            *([F.lag(back).over(across).alias("_back")] if previous else []),
+            *[_folded(fn, held[n]).over(so_far).alias(held[n]) for n, (fn, _) in folds.items()],
+        ).filter(F.col("_from").isNotNull()).drop("_from"))
     if following:
-        first = outermost(F.min_by, "_fwd", following).withColumn("_fwd", F.lead("_fwd").over(across))
-        parts.append(first.filter(F.col("_fwd").isNotNull()).withColumn("_edge", F.lit(1)))
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part, allowMissingColumns=True)
+        fwd = F.struct(*[F.col(f"_f{i}").alias(n) for i, n in enumerate(following)])
+        edges.append(summary.select(
+            *keys, "_slice", F.lit(1).alias("_edge"), F.lead("_slice").over(across).alias("_to"),
+            F.lead(fwd).over(across).alias("_fwd"),
+        ).filter(F.col("_to").isNotNull()).drop("_to"))
+    every = rows
+    for edge in edges:
+        every = every.unionByName(edge, allowMissingColumns=True)
+
+    within = Window.partitionBy(*keys, "_slice").orderBy("_edge", "_pos")
     every = every.withColumns({
         **({"_p": F.lag("_back").over(within)} if previous else {}),
-        **({"_f": F.lead("_fwd").over(within)} if following else {}),
+        **({"_n": F.lead("_fwd").over(within)} if following else {}),
+        **{f"{held[n]}_": _folded(fn, held[n]).over(within.rowsBetween(_FRAME_START, 0 if n in (running or {}) else -1))
+           for n, (fn, _) in folds.items()},
     })
-    extra = [F.col(f"_p.{n}") for n in previous] + [F.col(f"_f.{n}") for n in following]
-    return _restored(every, df.columns, key, extra, keep_slice)
+    # Keys come back as aliases of the partitioning columns, so Spark still knows the partitioning.
+    return every.filter(F.col("_edge") == 0).select(
+        *[F.col(f"_k{key.index(c)}").alias(c) if c in key else F.col(f"_row.{c}") for c in df.columns],
+        *[F.col(f"_p.{n}") for n in previous], *[F.col(f"_n.{n}") for n in following],
+        *[F.col(f"{held[n]}_").alias(n) for n in folds],
+        *([F.col("_slice")] if keep_slice else []),
+    )
 
 
-def carry_forward(
-    df: DataFrame,
-    key: str | Sequence[str],
-    time: str,
-    value: str,
-    out: str,
-    order: str | Sequence[str] = (),
-    width: str | int = DEFAULT_SLICE,
-) -> DataFrame:
+def _reduced(fn: str, column: str) -> Column:
+    """One value for a whole slice."""
+    if fn == "last":
+        return F.max_by(column, F.when(F.col(column).isNotNull(), F.col("_pos")))
+    return _MERGEABLE[fn](column)
+
+
+def _folded(fn: str, column: str) -> Column:
+    """The same over rows or slices that are already in order."""
+    return F.last(column, ignorenulls=True) if fn == "last" else _MERGEABLE[fn](column)
+
+
+def with_neighbours(df, key, time, order=(), previous=None, following=None, width=DEFAULT_SLICE, keep_slice=False):
+    """Values of the previous and the following row of the same key."""
+    return scan(df, key, time, order, previous, following, width=width, keep_slice=keep_slice)
+
+
+def carry_forward(df, key, time, value: str, out: str, order=(), width=DEFAULT_SLICE) -> DataFrame:
     """Last non-null ``value`` of the key at or before each row."""
-    key, order = names(key), names(order)
-    keys = [f"_k{i}" for i in range(len(key))]
-    rows = _sliced(df, key, time, order, width).withColumns({"_edge": F.lit(0), "_v": _read(value, key)})
-    across = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    within = Window.partitionBy(*keys, "_slice").orderBy("_edge", "_pos").rowsBetween(Window.unboundedPreceding, 0)
-    seen = rows.groupBy(*keys, "_slice").agg(
-        F.max_by("_v", F.when(F.col("_v").isNotNull(), F.col("_pos"))).alias("_v")
-    )
-    edges = (
-        seen.withColumn("_v", F.last("_v", ignorenulls=True).over(across))
-        .filter(F.col("_v").isNotNull())
-        .withColumn("_edge", F.lit(-1))
-    )
-    every = rows.unionByName(edges, allowMissingColumns=True)
-    every = every.withColumn("_v", F.last("_v", ignorenulls=True).over(within))
-    return _restored(every, df.columns, key, [F.col("_v").alias(out)], False)
+    return scan(df, key, time, order, running={out: ("last", value)}, width=width)
 
 
-def running_total(
-    df: DataFrame,
-    key: str | Sequence[str],
-    time: str,
-    totals: Mapping[str, str],
-    order: str | Sequence[str] = (),
-    width: str | int = DEFAULT_SLICE,
-) -> DataFrame:
-    """Running sums per key in (time, order) order; use exact types (integer, decimal)."""
-    key, order = names(key), names(order)
-    keys = [f"_k{i}" for i in range(len(key))]
-    held = [f"_t{i}" for i in range(len(totals))]
-    rows = _sliced(df, key, time, order, width).withColumns(
-        {"_edge": F.lit(0), **{h: _read(s, key) for h, s in zip(held, totals.values())}}
-    )
-    across = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    within = Window.partitionBy(*keys, "_slice").orderBy("_edge", "_pos").rowsBetween(Window.unboundedPreceding, 0)
-    edges = rows.groupBy(*keys, "_slice").agg(*[F.sum(h).alias(h) for h in held])
-    edges = edges.withColumns({h: F.sum(h).over(across) for h in held}).withColumn("_edge", F.lit(-1))
-    every = rows.unionByName(edges, allowMissingColumns=True)
-    every = every.withColumns({h: F.sum(h).over(within) for h in held})
-    return _restored(every, df.columns, key, [F.col(h).alias(n) for h, n in zip(held, totals)], False)
+def running_total(df, key, time, totals: Mapping[str, str], order=(), width=DEFAULT_SLICE) -> DataFrame:
+    """Running sums per key."""
+    return scan(df, key, time, order, running={n: ("sum", c) for n, c in totals.items()}, width=width)
 
 
 def with_halo(df: DataFrame, time: str, lookback: str | int, width: str | int = DEFAULT_SLICE) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 import pandas as pd
 from pyspark.sql import Column, functions as F
 
@@ -15,6 +17,16 @@ def micros(interval: str | int) -> int:
     return interval if isinstance(interval, int) else int(pd.Timedelta(interval).value // 1000)
 
 
+def instant(value: Column | datetime) -> Column:
+    """A point in time as a column; a datetime without zone is UTC."""
+    if isinstance(value, Column):
+        return value
+    aware = value if value.tzinfo else value.replace(tzinfo=timezone.utc)
+    epoch = datetime(1970, 1, 1, tzinfo=timezone.utc)
+    delta = aware - epoch
+    return F.timestamp_micros(F.lit((delta.days * 86400 + delta.seconds) * 1000000 + delta.microseconds))
+
+
 def whole_div(a: Column, b: int) -> Column:
     """Integer division of a long column, rounding down also below zero."""
     return ((a - F.pmod(a, F.lit(b))) / F.lit(b)).cast("long")

@@ -7,9 +7,10 @@ from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from tidemark.functions.slices import DEFAULT_SLICE, carry_forward, names, trailing_sums, with_neighbours
+from tidemark.functions.slices import DEFAULT_SLICE, carry_forward, names, scan, trailing_sums, with_neighbours
 from tidemark.functions.tiers import TIERS, tier_or_default, with_thresholds
 from tidemark.functions.units import micros
+from tidemark.operators.joins import asof_join
 
 
 @dataclass(frozen=True)
@@ -184,24 +185,23 @@ def unauthorised_deletes(
 
 def outside_windows(
     events: DataFrame, windows: DataFrame, time: str = "ts", start: str = "start", end: str = "end",
-    width: str | int = "1 day",
+    width: str | int = DEFAULT_SLICE, salts: int = 8,
 ) -> DataFrame:
-    """Events inside no maintenance window (``start <= t < end``).
+    """Events inside no maintenance window (``start <= t < end``); windows may overlap.
 
-    Windows are spread over the fixed-width slices they touch and merged per slice, so the anti join
-    has a slice as equality key instead of comparing every event with every window.
+    An event is covered when the latest end of all windows that started by then lies after it. That
+    end is a running maximum over the windows, so an as-of lookup replaces the comparison of every
+    event with every window.
     """
-    wide = micros(width)
-    slices = F.sequence(
-        ((F.unix_micros(start) - F.pmod(F.unix_micros(start), F.lit(wide))) / wide).cast("long"),
-        ((F.unix_micros(end) - 1 - F.pmod(F.unix_micros(end) - 1, F.lit(wide))) / wide).cast("long"),
-    )
     spans = windows.filter(F.col(start) < F.col(end)).select(
-        F.explode(slices).alias("_slice"), F.col(start).alias("_from"), F.col(end).alias("_to")
-    ).distinct()
-    mine = events.withColumn("_slice", ((F.unix_micros(time) - F.pmod(F.unix_micros(time), F.lit(wide))) / wide).cast("long"))
-    covered = (mine["_slice"] == spans["_slice"]) & (mine[time] >= spans["_from"]) & (mine[time] < spans["_to"])
-    return mine.join(spans, covered, "left_anti").drop("_slice")
+        F.lit(0).alias("_all"), F.col(start).alias("_start"), F.col(end).alias("_end")
+    )
+    spans = spans.groupBy("_all", "_start").agg(F.max("_end").alias("_end"))
+    cover = scan(spans, "_all", "_start", running={"_covered": ("max", "_end")}, width=width).select("_all", "_start", "_covered")
+    looked = asof_join(
+        events.withColumn("_all", F.lit(0)), cover, "_all", time, "_start", how="left", width=width, salts=salts
+    )
+    return looked.filter(F.col("_covered").isNull() | (F.col("_covered") <= F.col(time))).drop("_all", "_covered")
 
 
 def confidential_access(

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from tidemark.functions.slices import scan
 from tidemark.functions.tiers import known_tier, tier_value
 from tidemark.operators.changes import id_diff
 
@@ -122,46 +123,43 @@ def _accepted_bits(kind: Column) -> Column:
     return out
 
 
-def _presence(rows: DataFrame, versions: DataFrame, group: list[str], item: str, required: Column) -> DataFrame:
-    """Per (group, version): items new to it and required items gone from it, against the previous and all
-    earlier versions. Counts come from running aggregates per item; no pairs of versions are formed."""
-    per_item = Window.partitionBy(*group, item).orderBy("version")
-    earlier = per_item.rowsBetween(Window.unboundedPreceding, -1)
-    marked = rows.withColumn("_req", required).join(versions, [*group, "version"])
-    marked = marked.withColumns({
-        "_seen_at": F.lag("version").over(per_item),
-        "_seen_n": F.count("*").over(earlier),
-        "_req_before": F.lag("_req").over(per_item),
-        "_first_req": F.min(F.when(F.col("_req"), F.col("version"))).over(earlier),
-    })
+def _presence(rows: DataFrame, versions: DataFrame, group: list[str], item: str, width: int) -> DataFrame:
+    """Per (group, version): required items new to it and required items gone from it, against the
+    previous and against all earlier versions.
+
+    ``rows`` has one row per (group, version, item) with ``_req``. Counts come from running values per
+    item; no pairs of versions are formed.
+    """
+    mark = F.when(F.col("_req"), F.col("version"))
+    marked = rows.withColumns({"_one": F.lit(1).cast("long"), "_mark": mark}).join(versions, [*group, "version"])
+    marked = scan(
+        marked, [*group, item], "version", width=width, previous={"_seen_at": "version", "_req_before": "_req"},
+        before={"_seen_n": ("sum", "_one"), "_first_req": ("min", "_mark")},
+    )
     was_in_previous = F.col("_seen_at").eqNullSafe(F.col("previous"))
-    first_version = F.col("previous").isNull()
+    later = F.col("previous").isNotNull()
     here = marked.groupBy(*group, "version").agg(
         F.count_if(F.col("_req")).alias("_required"),
-        F.count_if(F.col("_req") & ~first_version & ~was_in_previous).alias("new_vs_previous"),
-        F.count_if(F.col("_req") & (F.col("_seen_n") < F.col("rank") - 1)).alias("new_vs_all"),
+        F.count_if(F.col("_req") & later & ~was_in_previous).alias("new_vs_previous"),
+        F.count_if(F.col("_req") & (F.coalesce("_seen_n", F.lit(0)) < F.col("rank") - 1)).alias("new_vs_all"),
         F.count_if(was_in_previous & F.col("_req_before")).alias("_kept"),
         F.count_if(F.col("_first_req").isNotNull()).alias("_kept_ever"),
         F.count_if(F.col("_req") & F.col("_first_req").isNull()).alias("_first_seen"),
     )
-    over_versions = Window.partitionBy(*group).orderBy("version")
-    counts = [c for c in here.columns if c not in (*group, "version")]
-    return versions.join(here, [*group, "version"], "left").fillna(0, counts).withColumns({
-        "gone_vs_previous": F.coalesce(F.lag("_required").over(over_versions), F.lit(0)) - F.col("_kept"),
-        "gone_vs_all": F.coalesce(
-            F.sum("_first_seen").over(over_versions.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-        ) - F.col("_kept_ever"),
-    })
-
-
-def _versions(rows: DataFrame, group: list[str]) -> DataFrame:
-    w = Window.partitionBy(*group).orderBy("version")
-    return rows.select(*group, "version").distinct().withColumns(
-        {"previous": F.lag("version").over(w), "rank": F.row_number().over(w)}
-    )
+    out = scan(here, group, "version", width=width, previous={"_had": "_required"}, before={"_ever": ("sum", "_first_seen")})
+    return out.withColumns({
+        "gone_vs_previous": F.coalesce("_had", F.lit(0)) - F.col("_kept"),
+        "gone_vs_all": F.coalesce("_ever", F.lit(0)) - F.col("_kept_ever"),
+    }).select(*group, "version", "new_vs_previous", "new_vs_all", "gone_vs_previous", "gone_vs_all")
 
 
-def check_compatibility(fields: DataFrame, mode: str, subject: str = "subject") -> DataFrame:
+def _versions(rows: DataFrame, group: list[str], width: int) -> DataFrame:
+    distinct = rows.select(*group, "version").distinct().withColumn("_one", F.lit(1).cast("long"))
+    numbered = scan(distinct, group, "version", width=width, previous={"previous": "version"}, running={"rank": ("sum", "_one")})
+    return numbered.drop("_one")
+
+
+def check_compatibility(fields: DataFrame, mode: str, subject: str = "subject", width: int = 1000) -> DataFrame:
     """Compatibility of every schema version with the one before it, or with all before it.
 
     ``fields`` has one row per (subject, version, field) with ``type``, ``has_default`` and optionally
@@ -169,40 +167,44 @@ def check_compatibility(fields: DataFrame, mode: str, subject: str = "subject")
     writer lacks needs a default; types may only change by numeric or string/bytes promotion; a reader's
     enumeration holds every written symbol. The first version of a subject always passes. Other Avro
     rules (aliases, unions, nested records) are not checked: such types must be equal.
+
+    Versions are ordered integers; ``width`` is the number of them that one task takes of a subject.
     """
     if mode not in ("BACKWARD", "BACKWARD_TRANSITIVE", "FULL", "FULL_TRANSITIVE"):
         raise ValueError(f"unsupported mode {mode!r}")
     against = "all" if mode.endswith("_TRANSITIVE") else "previous"
     full = mode.startswith("FULL")
-    versions = _versions(fields, [subject])
-    present = _presence(fields, versions, [subject], "field", ~F.col("has_default"))
-
-    per_field = Window.partitionBy(subject, "field").orderBy("version")
-    span = per_field.rowsBetween(Window.unboundedPreceding if against == "all" else -1, -1)
-    enum = F.col("symbols").isNotNull() if "symbols" in fields.columns else F.lit(False)
-    text = F.when(enum, F.lit("enum")).otherwise(F.col("type"))
-    typed = fields.join(versions, [subject, "version"]).withColumn("_type", text).withColumns({
-        "_bit": _type_bit(F.col("_type")), "_accepts": _accepted_bits(F.col("_type")),
-    })
-    other = F.when(F.col("_bit") == _OTHER, F.col("_type"))
-    comparable = F.lit(True) if against == "all" else F.lag("version").over(per_field).eqNullSafe(F.col("previous"))
-    typed = typed.withColumns({
-        "_written": F.bit_or("_bit").over(span), "_readers": F.bit_and("_accepts").over(span),
-        "_low": F.min(other).over(span), "_high": F.max(other).over(span), "_comparable": comparable,
-    })
+    enums = "symbols" in fields.columns
+    versions = _versions(fields, [subject], width)
+    present = _presence(fields.withColumn("_req", ~F.col("has_default")), versions, [subject], "field", width)
+
+    text = F.when(F.col("symbols").isNotNull(), F.lit("enum")).otherwise(F.col("type")) if enums else F.col("type")
+    typed = fields.join(versions, [subject, "version"]).select(subject, "version", "previous", "field", text.alias("_type"))
+    typed = typed.withColumns({"_bit": _type_bit(F.col("_type")), "_accepts": _accepted_bits(F.col("_type"))})
+    typed = typed.withColumn("_other", F.when(F.col("_bit") == _OTHER, F.col("_type")))
+    if against == "all":
+        typed = scan(typed, [subject, "field"], "version", width=width, before={
+            "_written": ("bit_or", "_bit"), "_readers": ("bit_and", "_accepts"), "_low": ("min", "_other"), "_high": ("max", "_other"),
+        })
+        comparable = F.lit(True)
+    else:
+        typed = scan(typed, [subject, "field"], "version", width=width, previous={
+            "_seen_at": "version", "_written": "_bit", "_readers": "_accepts", "_low": "_other", "_high": "_other",
+        })
+        comparable = F.col("_seen_at").eqNullSafe(F.col("previous"))
     unread = F.col("_written").bitwiseAND(F.bitwise_not("_accepts")) != 0
     unreadable = F.col("_readers").bitwiseAND(F.col("_bit")) == 0
     renamed = (F.col("_bit") == _OTHER) & ((F.col("_low") != F.col("_type")) | (F.col("_high") != F.col("_type")))
     changed = typed.groupBy(subject, "version").agg(
-        F.count_if(F.col("_comparable") & F.coalesce(unread | renamed, F.lit(False))).alias("type_backward"),
-        F.count_if(F.col("_comparable") & F.coalesce(unreadable | renamed, F.lit(False))).alias("type_forward"),
+        F.count_if(comparable & F.coalesce(unread | renamed, F.lit(False))).alias("type_backward"),
+        F.count_if(comparable & F.coalesce(unreadable | renamed, F.lit(False))).alias("type_forward"),
     )
-    out = present.join(changed, [subject, "version"], "left")
+    out = present.join(changed, [subject, "version"])
     symbol_back = symbol_fwd = F.lit(0)
-    if "symbols" in fields.columns:
-        symbols = fields.select(subject, "field", "version", F.explode("symbols").alias("symbol")).distinct()
+    if enums:
         group = [subject, "field"]
-        seen = _presence(symbols, _versions(symbols, group), group, "symbol", F.lit(True))
+        symbols = fields.select(*group, "version", F.explode("symbols").alias("symbol")).distinct().withColumn("_req", F.lit(True))
+        seen = _presence(symbols, _versions(symbols, group, width), group, "symbol", width)
         seen = seen.groupBy(subject, "version").agg(
             F.sum(f"gone_vs_{against}").alias("symbols_gone"), F.sum(f"new_vs_{against}").alias("symbols_new")
         )
@@ -212,7 +214,7 @@ def check_compatibility(fields: DataFrame, mode: str, subject: str = "subject")
     counts = {
         "missing_default": F.col(f"new_vs_{against}"),
         "removed_required": F.col(f"gone_vs_{against}") if full else zero,
-        "type_changes": F.coalesce(F.greatest("type_backward", "type_forward") if full else F.col("type_backward"), zero),
+        "type_changes": F.greatest("type_backward", "type_forward") if full else F.col("type_backward"),
         "symbol_changes": symbol_back + symbol_fwd if full else symbol_back,
     }
     out = out.select(subject, "version", *[c.cast("long").alias(n) for n, c in counts.items()])

@@ -19,6 +19,7 @@ def asof_join(
     how: str = "inner",
     order: str | Sequence[str] = (),
     width: str | int = DEFAULT_SLICE,
+    salts: int = 1,
 ) -> DataFrame:
     """Each left row with the right version of its key valid at the left row's time.
 
@@ -27,7 +28,8 @@ def asof_join(
 
     Both sides are partitioned by (key, time slice). The last version of each slice is scanned per
     key over the slices, and every slice that holds left rows gets the version it starts with as one
-    extra row, so no task sees a whole key.
+    extra row, so no task sees a whole key. Where one key and slice is still too much, ``salts``
+    divides its left rows by hash and copies its versions to each part.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"unsupported join type {how!r}")
@@ -66,10 +68,15 @@ def asof_join(
         .select(*keys, "_slice", "_v", F.lit(-1).alias("_side"))
     )
     within = (
-        Window.partitionBy(*keys, "_slice")
+        Window.partitionBy(*keys, "_slice", *(["_part"] if salts > 1 else []))
         .orderBy(F.col("_t").asc_nulls_first(), "_side", *held)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
+    if salts > 1:
+        part = F.pmod(F.xxhash64(*[F.col(f"_row.{c}") for c in left.columns]), F.lit(salts)).cast("int")
+        rows = rows.withColumn("_part", part)
+        copies = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+        versions, starts = versions.withColumn("_part", copies), starts.withColumn("_part", copies)
     every = rows.unionByName(versions, allowMissingColumns=True).unionByName(starts, allowMissingColumns=True)
     every = every.withColumn("_v", F.last("_v", ignorenulls=True).over(within)).filter(F.col("_side") == 1)
     if how == "inner":

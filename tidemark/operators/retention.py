@@ -7,7 +7,8 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.functions.tiers import FALLBACK_SETTINGS, tier_value
+from tidemark.functions.tiers import FALLBACK_SETTINGS, TIERS, tier_value
+from tidemark.functions.units import instant
 from tidemark.operators.changes import compact
 
 
@@ -23,8 +24,13 @@ def apply_retention(
 ) -> DataFrame:
     """Drop rows older than their tier keeps them at ``now``; -1 keeps all."""
     keep = retention_millis(tier, compliance_years)
-    at = now if isinstance(now, Column) else F.lit(now).cast("timestamp")
+    at = instant(now)
     age = F.unix_millis(at) - F.unix_millis(F.col(time))
+    if compliance_years != -1:
+        # No tier keeps longer than this; a plain comparison reaches the scan.
+        longest = max(compliance_years * 31557600000, *(s["retention_ms"] for s in TIERS.values()))
+        oldest = F.timestamp_millis(F.unix_millis(at) - F.lit(longest))
+        df = df.filter(F.col(time) >= oldest.cast(df.schema[time].dataType))
     return df.filter((keep == -1) | (age <= keep))
 
 

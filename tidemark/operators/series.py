@@ -11,7 +11,8 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidemark.functions.slices import DEFAULT_SLICE, _swept, micros, names, with_halo, with_neighbours
+from tidemark.functions.slices import DEFAULT_SLICE, _swept, names, scan, with_halo, with_neighbours
+from tidemark.functions.units import instant, micros
 
 _AGGREGATES = {"sum": F.sum, "max": F.max, "min": F.min, "avg": F.avg, "count": F.count}
 
@@ -92,17 +93,57 @@ def reduce_last(
     df: DataFrame, by, now: datetime | Column, lookback, fn: str = "last", time: str = "ts", value: str = "value"
 ) -> DataFrame:
     """One value per series from the samples in ``(now - lookback, now]``: the last or the largest."""
-    at = now if isinstance(now, Column) else F.lit(now).cast("timestamp")
-    age = F.unix_micros(at) - F.unix_micros(time)
-    recent = df.filter((age >= 0) & (age < micros(lookback)))
+    at = instant(now)
+    kind = df.schema[time].dataType
+    start = F.timestamp_micros(F.unix_micros(at) - F.lit(micros(lookback)))
+    recent = df.filter((F.col(time) > start.cast(kind)) & (F.col(time) <= at.cast(kind)))
     agg = F.max_by(value, time) if fn == "last" else _AGGREGATES[fn](value)
     return recent.groupBy(*names(by)).agg(agg.alias(value))
 
 
-def percentile(df: DataFrame, q: float, by: str | Sequence[str], value: str = "value", out: str = "p", accuracy=None):
-    """Percentile by group: exact and interpolated, or approximate when ``accuracy`` is given."""
-    agg = F.percentile_approx(value, q, accuracy) if accuracy else F.percentile(value, F.lit(q))
-    return df.groupBy(*names(by)).agg(agg.alias(out))
+_CUTS = 256
+
+
+def percentile(df: DataFrame, q: float, by: str | Sequence[str], value: str = "value", out: str = "p") -> DataFrame:
+    """Exact percentile by group, interpolated between the two nearest values.
+
+    Values are first counted per group. Approximate quantiles cut each group into ranges of about equal
+    size; the exact counts of the ranges show which one or two hold the wanted ranks, and only those
+    are put in order. A group never has to fit into one task.
+    """
+    by = names(by) or ["_all"]
+    rows = df if "_all" not in by else df.withColumn("_all", F.lit(0))
+    rows = rows.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
+    counts = rows.groupBy(*by, "_v").agg(F.count("*").alias("_c"))
+    steps = F.array(*[F.lit(i / _CUTS) for i in range(1, _CUTS)])
+    groups = rows.groupBy(*by).agg(F.count("*").alias("_n"), F.percentile_approx("_v", steps, 4 * _CUTS).alias("_cuts"))
+    rank = (F.col("_n") - 1).cast("double") * F.lit(float(q))
+    groups = groups.withColumns({"_rank": rank, "_lo": F.floor(rank), "_hi": F.ceil(rank)})
+    ranged = counts.join(groups, by).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
+
+    across = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranged.groupBy(*by, "_range").agg(F.sum("_c").alias("_size"), F.first("_lo").alias("_l"), F.first("_hi").alias("_h"))
+    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(across), F.lit(0)))
+    holds = (F.col("_before") <= F.col("_h")) & (F.col("_before") + F.col("_size") > F.col("_l"))
+    wanted = sizes.filter(holds).select(*by, "_range", "_before")
+
+    inside = Window.partitionBy(*by, "_range").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    placed = ranged.join(wanted, [*by, "_range"]).withColumn("_end", F.col("_before") + F.sum("_c").over(inside))
+
+    def value_at(target: str) -> Column:
+        mine = (F.col("_end") > F.col(target)) & (F.col("_end") - F.col("_c") <= F.col(target))
+        return F.max(F.when(mine, F.col("_v")))
+
+    ends = placed.groupBy(*by).agg(value_at("_lo").alias("_a"), value_at("_hi").alias("_b"), F.first("_rank").alias("_rank"))
+    between = F.col("_rank") - F.floor("_rank")
+    answer = F.col("_a") * (F.lit(1.0) - between) + F.col("_b") * between
+    return ends.select(*[c for c in by if c != "_all"], answer.alias(out))
+
+
+def approx_percentile(df: DataFrame, q: float, by: str | Sequence[str], value: str = "value", out: str = "p",
+                      accuracy: int = 10000) -> DataFrame:
+    """Approximate percentile by group, in one pass."""
+    return df.groupBy(*names(by)).agg(F.percentile_approx(value, q, accuracy).alias(out))
 
 
 def histogram_quantile(
@@ -164,8 +205,7 @@ def lag_seconds(lag: DataFrame, received_rate: DataFrame, on: str | Sequence[str
 
 def progress_lag(df: DataFrame, now: datetime | Column, checkpoint_ns: str = "value") -> DataFrame:
     """Seconds between ``now`` and a checkpoint in epoch nanoseconds."""
-    at = now if isinstance(now, Column) else F.lit(now).cast("timestamp")
-    return df.withColumn("progress_lag_s", F.unix_micros(at) / F.lit(1e6) - F.col(checkpoint_ns) / F.lit(1e9))
+    return df.withColumn("progress_lag_s", F.unix_micros(instant(now)) / F.lit(1e6) - F.col(checkpoint_ns) / F.lit(1e9))
 
 
 def throughput(records_in: DataFrame, records_out: DataFrame, on: str | Sequence[str], rate_col: str = "rate"):

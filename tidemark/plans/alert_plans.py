@@ -1,8 +1,5 @@
-from datetime import datetime
-
 from pyspark.sql import functions as F
 
-from tidemark.functions import with_thresholds  # noqa: F401
 from tidemark.operators import alerts as A
 from tidemark.operators import recovery as R
 from tidemark.operators.series import increase, latest
@@ -302,5 +299,3 @@ def _(t):
     )
     return R.rpo_check(rows).select("o_orderkey", "tier", "rpo_met", "rto_met")
 
-
-CUTOVER = datetime(2024, 1, 20)

@@ -177,9 +177,9 @@ SELECT user_id, arg_max(value, ts) AS last_value, max(value) AS max_value FROM e
 WHERE ts > TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 10 DAY AND ts <= TIMESTAMP '2024-01-20 00:00:00' GROUP BY 1
 """)
 def _(t):
-    now = datetime(2024, 1, 20)
-    last = S.reduce_last(t.events, "user_id", now, "10 days").withColumnRenamed("value", "last_value")
-    return last.join(S.reduce_last(t.events, "user_id", now, "10 days", "max").withColumnRenamed("value", "max_value"), "user_id")
+    now, events = datetime(2024, 1, 20), t.raw("events")
+    last = S.reduce_last(events, "user_id", now, "10 days").withColumnRenamed("value", "last_value")
+    return last.join(S.reduce_last(events, "user_id", now, "10 days", "max").withColumnRenamed("value", "max_value"), "user_id")
 
 
 @plan("lag_in_seconds", "TS-6 JOIN-4", f"""

@@ -9,6 +9,7 @@ from tidemark.plans.join_plans import order_tier
 from tidemark.plans.registry import plan
 from tidemark.plans.stream_plans import event_stream
 from tidemark.functions import tier_value
+from tidemark.functions.units import instant
 from tidemark.session import fresh_path
 from tidemark.streaming import sinks, tables
 from tidemark.streaming.run import drained
@@ -35,7 +36,7 @@ def _(t):
     rows = t.orders.select("o_custkey", "o_orderkey", "o_orderstatus", "o_orderdate").withColumn("gone", F.col("o_orderstatus") == "F")
     cuts = [datetime(1990, 1, 1), datetime(1997, 1, 1), datetime(1999, 1, 1), datetime(2010, 1, 1)]
     for i, (start, end) in enumerate(zip(cuts, cuts[1:])):
-        batch = rows.filter((F.col("o_orderdate") >= F.lit(start)) & (F.col("o_orderdate") < F.lit(end)))
+        batch = rows.filter((F.col("o_orderdate") >= instant(start)) & (F.col("o_orderdate") < instant(end)))
         table.apply(batch, i)
         table.apply(batch, i)  # a repeated delivery changes nothing
         if i == 1:
@@ -57,7 +58,7 @@ def _(t):
     table = tables.DocumentTable(fresh_path(t.spark, "documents"), "user_id", "event_id", "ts", "gone", "update")
     cuts = [datetime(2023, 1, 1), datetime(2024, 1, 10), datetime(2024, 1, 25), datetime(2030, 1, 1)]
     for i, (start, end) in enumerate(zip(cuts, cuts[1:])):
-        table.apply(rows.filter((F.col("ts") >= F.lit(start)) & (F.col("ts") < F.lit(end))), i)
+        table.apply(rows.filter((F.col("ts") >= instant(start)) & (F.col("ts") < instant(end))), i)
     return table.read(t.spark)
 
 
@@ -70,7 +71,7 @@ WHERE p NOT IN ('3-MEDIUM', '5-LOW') OR CASE p WHEN '3-MEDIUM' THEN d + INTERVAL
 def _(t):
     rows = t.orders.select("o_custkey", "o_orderkey", "o_orderdate", order_tier().alias("tier"))
     entries = tables.to_key_value(rows, "o_custkey", "order:", "o_orderdate", tier_value("tier", "ttl_s"), ["o_orderdate", "o_orderkey"])
-    live = tables.live_entries(entries, F.lit(datetime(2001, 1, 1)).cast("timestamp"))
+    live = tables.live_entries(entries, instant(datetime(2001, 1, 1)))
     return live.select("key", F.get_json_object("value", "$.o_orderkey").cast("long").alias("o_orderkey"), "expires_at")
 
 

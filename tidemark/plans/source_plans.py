@@ -4,6 +4,7 @@ from pyspark.sql import functions as F, types as T
 
 from tidemark.operators.changes import snapshot_then_changes
 from tidemark.operators.routing import select_topics
+from tidemark.functions.units import instant
 from tidemark.plans.registry import plan
 from tidemark.session import fresh_path
 from tidemark.sources.changes import flatten_change, flatten_document_change, poll_increment, read_changefeed, replay_from
@@ -109,7 +110,7 @@ def _(t):
 @plan("replay_from", "SRC-9", "SELECT event_id, user_id, ts FROM events WHERE ts >= TIMESTAMP '2024-01-15 12:00:00'")
 def _(t):
     raw = t.raw("events")
-    cursor = F.lit(datetime(2024, 1, 15, 12)).cast(raw.schema["ts"].dataType)
+    cursor = instant(datetime(2024, 1, 15, 12)).cast(raw.schema["ts"].dataType)
     return replay_from(raw, "ts", cursor).select("event_id", "user_id", "ts")
 
 

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 
+from tidemark.functions.units import instant
+
 
 def flatten_change(df: DataFrame, deletes: str = "rewrite", tombstones: str = "keep") -> DataFrame:
     """New row state of before/after envelopes (``op``, ``before``, ``after``).
@@ -65,7 +68,8 @@ def poll_increment(
     """
     rows = table
     if last is not None and last["ts"] is not None:
-        ts = F.lit(last["ts"]).cast(table.schema[ts_col].dataType)
+        since = last["ts"]
+        ts = (instant(since) if isinstance(since, datetime) else F.lit(since)).cast(table.schema[ts_col].dataType)
         i = F.lit(last["id"]).cast(table.schema[id_col].dataType)
         rows = table.filter((F.col(ts_col) >= ts) & ((F.col(ts_col) > ts) | (F.col(id_col) > i)))
     mark = F.max(F.struct(F.col(ts_col).alias("ts"), F.col(id_col).alias("id")))

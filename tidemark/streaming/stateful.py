@@ -41,6 +41,7 @@ class _AsOf(StatefulProcessor):
         self.handle = handle
         self.pending = handle.getListState("pending", _STORED)
         self.versions = handle.getListState("versions", _STORED)
+        self.alarm = handle.getValueState("alarm", "ms bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         watermark_us = timerValues.getCurrentWatermarkInMs() * 1000
@@ -53,16 +54,24 @@ class _AsOf(StatefulProcessor):
             self.versions.appendList(right)
         if left:
             self.pending.appendList(left)
-            for at in {us // 1000 + 1 for us, _, _ in left}:
-                self.handle.registerTimer(at)
+            self._wake_at(min(left)[0])
         return iter([])
 
+    def _wake_at(self, us: int) -> None:
+        """Keep one timer: for the earliest waiting row."""
+        at = us // 1000 + 1
+        current = self.alarm.get()[0] if self.alarm.exists() else None
+        if current is None or at < current:
+            if current is not None:
+                self.handle.deleteTimer(current)
+            self.handle.registerTimer(at)
+            self.alarm.update((at,))
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.alarm.clear()
         watermark_us = timerValues.getCurrentWatermarkInMs() * 1000
-        waiting = sorted(self.pending.get()) if self.pending.exists() else []
+        waiting = sorted(tuple(r) for r in self.pending.get()) if self.pending.exists() else []
         ready = [r for r in waiting if r[0] < watermark_us]
-        if not ready:
-            return
         versions = sorted(tuple(v) for v in self.versions.get()) if self.versions.exists() else []
         out, i = [], 0
         for us, _, payload in ready:
@@ -70,9 +79,11 @@ class _AsOf(StatefulProcessor):
                 i += 1
             if i:
                 out.append((payload, versions[i - 1][2]))
-        self._keep(self.pending, [tuple(r) for r in waiting[len(ready):]])
+        self._keep(self.pending, waiting[len(ready):])
         passed = sum(1 for v in versions if v[0] < watermark_us)
         self._keep(self.versions, versions[max(passed - 1, 0):])
+        if len(waiting) > len(ready):
+            self._wake_at(waiting[len(ready)][0])
         if out:
             yield pd.DataFrame(out, columns=["left", "right"])
 
@@ -89,7 +100,7 @@ class _AsOf(StatefulProcessor):
 
 def asof_join_stream(
     left: DataFrame, right: DataFrame, on: str | Sequence[str], left_time: str, right_time: str,
-    take: Sequence[str] | None = None, order: str | None = None, salts: int = 1,
+    take: Sequence[str] | None = None, order: str | None = None, salts: int = 8,
 ) -> DataFrame:
     """Streaming form of ``asof_join`` (inner): a left row comes out once the watermark has passed it.
 
@@ -161,7 +172,7 @@ class _Gate(StatefulProcessor):
 
 
 def release_resolved_stream(
-    rows: DataFrame, resolved: DataFrame, updated: str, mark: str, stream: str, salts: int = 1
+    rows: DataFrame, resolved: DataFrame, updated: str, mark: str, stream: str, salts: int = 8
 ) -> DataFrame:
     """Streaming form of ``release_resolved``: rows of a feed come out once it has resolved them."""
     data = rows.select(
