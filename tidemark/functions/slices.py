@@ -57,6 +57,9 @@ def scan(
     ``running`` maps new columns to (function, source column) over the rows up to and including each
     row, ``before`` over the rows before it. Functions: sum, min, max, bit_or, bit_and, and last (the
     last non-null value). Use exact types for sums.
+
+    The input is read twice: once for the summaries, with only the columns they need, and once for
+    the rows. Make an expensive input ``durable`` first.
     """
     key, order = names(key), names(order)
     previous, following = dict(previous or {}), dict(following or {})
@@ -64,7 +67,8 @@ def scan(
     keys = [f"_k{i}" for i in range(len(key))]
     held = {n: f"_r{i}" for i, n in enumerate(folds)}
     ticks = _ticks(df, time)
-    position = F.struct(ticks.alias("t"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)]) if order else ticks
+    at = ["_t", *[f"_o{i}" for i in range(len(order))]]
+    position = F.struct(*at) if order else F.col("_t")
 
     def read(column: str) -> Column:
         return F.col(f"_k{key.index(column)}" if column in key else f"_row.{column}")
@@ -72,7 +76,8 @@ def scan(
     rows = df.select(
         *[F.col(k).alias(a) for k, a in zip(key, keys)],
         whole_div(ticks, micros(width)).alias("_slice"),
-        position.alias("_pos"),
+        ticks.alias("_t"),
+        *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)],
         F.struct(*[c for c in df.columns if c not in key], F.lit(0).alias("_")).alias("_row"),
     ).withColumns({
         "_edge": F.lit(0),
@@ -82,9 +87,9 @@ def scan(
     })
 
     summary = rows.groupBy(*keys, "_slice").agg(
-        *[F.max_by(F.col(f"_back.{n}"), "_pos").alias(f"_b{i}") for i, n in enumerate(previous)],
-        *[F.min_by(F.col(f"_fwd.{n}"), "_pos").alias(f"_f{i}") for i, n in enumerate(following)],
-        *[_reduced(fn, held[n]).alias(held[n]) for n, (fn, _) in folds.items()],
+        *[F.max_by(F.col(f"_back.{n}"), position).alias(f"_b{i}") for i, n in enumerate(previous)],
+        *[F.min_by(F.col(f"_fwd.{n}"), position).alias(f"_f{i}") for i, n in enumerate(following)],
+        *[_reduced(fn, held[n], position).alias(held[n]) for n, (fn, _) in folds.items()],
     )
     across = Window.partitionBy(*keys).orderBy("_slice")
     so_far = across.rowsBetween(_FRAME_START, -1)
@@ -106,7 +111,7 @@ def scan(
     for edge in edges:
         every = every.unionByName(edge, allowMissingColumns=True)
 
-    within = Window.partitionBy(*keys, "_slice").orderBy("_edge", "_pos")
+    within = Window.partitionBy(*keys, "_slice").orderBy("_edge", *at)
     every = every.withColumns({
         **({"_p": F.lag("_back").over(within)} if previous else {}),
         **({"_n": F.lead("_fwd").over(within)} if following else {}),
@@ -122,10 +127,10 @@ def scan(
     )
 
 
-def _reduced(fn: str, column: str) -> Column:
+def _reduced(fn: str, column: str, position: Column) -> Column:
     """One value for a whole slice."""
     if fn == "last":
-        return F.max_by(column, F.when(F.col(column).isNotNull(), F.col("_pos")))
+        return F.max_by(column, F.when(F.col(column).isNotNull(), position))
     return _MERGEABLE[fn](column)
 
 

@@ -7,7 +7,7 @@ from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from tidemark.functions.slices import DEFAULT_SLICE, carry_forward, names, scan, trailing_sums, with_neighbours
+from tidemark.functions.slices import DEFAULT_SLICE, names, scan, slice_of, trailing_sums
 from tidemark.functions.tiers import TIERS, tier_or_default, with_thresholds
 from tidemark.functions.units import micros
 from tidemark.operators.joins import asof_join
@@ -103,32 +103,53 @@ def alert_sustained(
 ) -> DataFrame:
     """One row per run of breaching samples that lasted at least the rule's hold time.
 
-    A sample that does not breach, or a gap longer than ``max_gap``, ends a run. Runs are first
-    reduced inside each time slice; only these fragments are joined up across slices.
+    A sample that does not breach, or a gap longer than ``max_gap``, ends a run.
+
+    Samples collapse to runs inside each time slice. A run may continue across slices only where it
+    touches the first or last sample of one, so those runs and one row for the quiet samples (at most
+    three rows per slice) are put in order per series; every other run is already complete and stays
+    in a lane of its own.
     """
     by, order = names(by), names(order)
-    key = ["rule", *by]
-    ruled = with_rules(samples, rules, value)
-    seen = with_neighbours(
-        ruled, key, time, order, previous={"_was": "breached", "_at": time}, width=width, keep_slice=True
+    key, gap = ["rule", *by], micros(max_gap)
+    ruled = with_rules(samples, rules, value).select(
+        *key, *order, F.col(time).alias("_time"), F.unix_micros(time).alias("_us"), F.col(value).alias("_value"),
+        "breached", "hold_s", "severity", slice_of(time, width).alias("_slice"),
     )
-    gap = F.unix_micros(time) - F.unix_micros("_at")
-    starts = F.col("_at").isNull() | ~F.col("_was") | (gap > micros(max_gap))
-    inside = Window.partitionBy(*key, "_slice").orderBy(F.unix_micros(time), *order)
-    firing = seen.filter("breached").withColumn("_start", F.when(starts, F.col(time)))
-    firing = firing.withColumn("_begun", F.last("_start", ignorenulls=True).over(inside))
-    fragments = firing.groupBy(*key, "_slice", "_begun").agg(
-        F.min(time).alias("_first"), F.max(time).alias("_last"), F.count("*").alias("_n"),
-        F.max(value).alias("_peak"), F.first("hold_s").alias("hold_s"), F.first("severity").alias("severity"),
+    inside = Window.partitionBy(*key, "_slice").orderBy("_us", *order)
+    seen = ruled.withColumns({
+        "_was": F.lag("breached").over(inside), "_at": F.lag("_us").over(inside), "_then": F.lead("_us").over(inside),
+    })
+    starts = F.col("_at").isNull() | ~F.col("_was") | (F.col("_us") - F.col("_at") > gap)
+    seen = seen.withColumn("_start", F.when(F.col("breached") & starts, F.col("_us")))
+    begun = F.last("_start", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    seen = seen.withColumn("_begun", begun).withColumn("_begun", F.when(F.col("breached"), F.col("_begun")))
+    runs = seen.groupBy(*key, "_slice", "_begun").agg(
+        F.max("_us").alias("_end"), F.count("*").alias("_n"), F.max("_value").alias("_peak"),
+        F.bool_or(F.col("_at").isNull()).alias("_opens"), F.bool_or(F.col("_then").isNull()).alias("_closes"),
+        F.first("hold_s").alias("hold_s"), F.first("severity").alias("severity"),
     )
-    joined = carry_forward(fragments, key, "_first", "_begun", "started", width=width)
-    runs = joined.groupBy(*key, "started").agg(
-        F.max("_last").alias("last_seen"), F.sum("_n").alias("samples"), F.max("_peak").alias("peak"),
+
+    firing = F.col("_begun").isNotNull()
+    lane = F.when(firing & ~F.col("_opens") & ~F.col("_closes"), F.xxhash64("_slice", "_begun"))
+    # Within a slice: the run with its first sample, the quiet samples, the run with its last sample.
+    place = F.when(firing & F.col("_opens"), 0).when(~firing, 1).otherwise(2)
+    edge = Window.partitionBy(*key, "_lane").orderBy("_slice", "_place", "_begun")
+    laned = runs.withColumns({"_lane": lane, "_place": place}).withColumns({
+        "_before_closes": F.lag(firing & F.col("_closes")).over(edge), "_before_end": F.lag("_end").over(edge),
+    })
+    goes_on = F.col("_opens") & F.col("_before_closes") & (F.col("_begun") - F.col("_before_end") <= gap)
+    laned = laned.withColumn("_head", F.when(firing & ~F.coalesce(goes_on, F.lit(False)), F.col("_begun")))
+    island = F.last("_head", ignorenulls=True).over(edge.rowsBetween(Window.unboundedPreceding, 0))
+    whole = laned.withColumn("_island", island).filter(firing).groupBy(*key, "_island").agg(
+        F.max("_end").alias("_end"), F.sum("_n").alias("samples"), F.max("_peak").alias("peak"),
         F.first("hold_s").alias("hold_s"), F.first("severity").alias("severity"),
     )
-    held = F.unix_micros("last_seen") - F.unix_micros("started")
-    fired = F.timestamp_micros(F.unix_micros("started") + F.col("hold_s") * F.lit(1000000))
-    return runs.filter(held >= F.col("hold_s") * F.lit(1000000)).withColumn("fired_at", fired)
+    hold = F.col("hold_s") * F.lit(1000000)
+    return whole.filter(F.col("_end") - F.col("_island") >= hold).select(
+        *key, F.timestamp_micros("_island").alias("started"), F.timestamp_micros("_end").alias("last_seen"),
+        "samples", "peak", "hold_s", "severity", F.timestamp_micros(F.col("_island") + hold).alias("fired_at"),
+    )
 
 
 def assess_lag(df: DataFrame, lag: str = "lag_s", tier: str = "tier") -> DataFrame:

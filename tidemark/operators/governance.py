@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidemark.functions.slices import scan
 from tidemark.functions.tiers import known_tier, tier_value
 from tidemark.operators.changes import id_diff
+from tidemark.session import durable
 
 # The naming patterns of the four name parts, in order.
 NAME_PATTERNS = {
@@ -123,40 +124,49 @@ def _accepted_bits(kind: Column) -> Column:
     return out
 
 
-def _presence(rows: DataFrame, versions: DataFrame, group: list[str], item: str, width: int) -> DataFrame:
+def _numbered(rows: DataFrame, group: list[str], width: int) -> DataFrame:
+    """Rows with the version before theirs and the rank of their version within the group."""
+    distinct = rows.select(*group, "version").distinct().withColumn("_one", F.lit(1).cast("long"))
+    versions = scan(
+        durable(distinct, "versions"), group, "version", width=width,
+        previous={"previous": "version"}, running={"rank": ("sum", "_one")},
+    )
+    return durable(rows.join(versions.drop("_one"), [*group, "version"]), "numbered")
+
+
+_SEEN = {"previous": {"_seen_at": "version", "_req_before": "_req"},
+         "before": {"_seen_n": ("sum", "_one"), "_first_req": ("min", "_mark")}}
+
+
+def _markable(rows: DataFrame, required: Column) -> DataFrame:
+    return rows.withColumn("_req", required).withColumns(
+        {"_one": F.lit(1).cast("long"), "_mark": F.when(F.col("_req"), F.col("version"))}
+    )
+
+
+def _presence(scanned: DataFrame, group: list[str], width: int, others: list[Column]) -> DataFrame:
     """Per (group, version): required items new to it and required items gone from it, against the
-    previous and against all earlier versions.
+    previous and against all earlier versions, and the given other aggregates.
 
-    ``rows`` has one row per (group, version, item) with ``_req``. Counts come from running values per
-    item; no pairs of versions are formed.
+    Counts come from running values per item; no pairs of versions are formed.
     """
-    mark = F.when(F.col("_req"), F.col("version"))
-    marked = rows.withColumns({"_one": F.lit(1).cast("long"), "_mark": mark}).join(versions, [*group, "version"])
-    marked = scan(
-        marked, [*group, item], "version", width=width, previous={"_seen_at": "version", "_req_before": "_req"},
-        before={"_seen_n": ("sum", "_one"), "_first_req": ("min", "_mark")},
-    )
     was_in_previous = F.col("_seen_at").eqNullSafe(F.col("previous"))
     later = F.col("previous").isNotNull()
-    here = marked.groupBy(*group, "version").agg(
+    here = scanned.groupBy(*group, "version").agg(
         F.count_if(F.col("_req")).alias("_required"),
         F.count_if(F.col("_req") & later & ~was_in_previous).alias("new_vs_previous"),
         F.count_if(F.col("_req") & (F.coalesce("_seen_n", F.lit(0)) < F.col("rank") - 1)).alias("new_vs_all"),
         F.count_if(was_in_previous & F.col("_req_before")).alias("_kept"),
         F.count_if(F.col("_first_req").isNotNull()).alias("_kept_ever"),
         F.count_if(F.col("_req") & F.col("_first_req").isNull()).alias("_first_seen"),
+        *others,
     )
+    here = durable(here, "presence")
     out = scan(here, group, "version", width=width, previous={"_had": "_required"}, before={"_ever": ("sum", "_first_seen")})
     return out.withColumns({
         "gone_vs_previous": F.coalesce("_had", F.lit(0)) - F.col("_kept"),
         "gone_vs_all": F.coalesce("_ever", F.lit(0)) - F.col("_kept_ever"),
-    }).select(*group, "version", "new_vs_previous", "new_vs_all", "gone_vs_previous", "gone_vs_all")
-
-
-def _versions(rows: DataFrame, group: list[str], width: int) -> DataFrame:
-    distinct = rows.select(*group, "version").distinct().withColumn("_one", F.lit(1).cast("long"))
-    numbered = scan(distinct, group, "version", width=width, previous={"previous": "version"}, running={"rank": ("sum", "_one")})
-    return numbered.drop("_one")
+    })
 
 
 def check_compatibility(fields: DataFrame, mode: str, subject: str = "subject", width: int = 1000) -> DataFrame:
@@ -168,52 +178,51 @@ def check_compatibility(fields: DataFrame, mode: str, subject: str = "subject",
     enumeration holds every written symbol. The first version of a subject always passes. Other Avro
     rules (aliases, unions, nested records) are not checked: such types must be equal.
 
-    Versions are ordered integers; ``width`` is the number of them that one task takes of a subject.
+    Versions are ordered integers; ``width`` is the range of them that one task takes of a subject.
+    Intermediate tables go to the shared folder.
     """
     if mode not in ("BACKWARD", "BACKWARD_TRANSITIVE", "FULL", "FULL_TRANSITIVE"):
         raise ValueError(f"unsupported mode {mode!r}")
     against = "all" if mode.endswith("_TRANSITIVE") else "previous"
     full = mode.startswith("FULL")
     enums = "symbols" in fields.columns
-    versions = _versions(fields, [subject], width)
-    present = _presence(fields.withColumn("_req", ~F.col("has_default")), versions, [subject], "field", width)
-
     text = F.when(F.col("symbols").isNotNull(), F.lit("enum")).otherwise(F.col("type")) if enums else F.col("type")
-    typed = fields.join(versions, [subject, "version"]).select(subject, "version", "previous", "field", text.alias("_type"))
-    typed = typed.withColumns({"_bit": _type_bit(F.col("_type")), "_accepts": _accepted_bits(F.col("_type"))})
-    typed = typed.withColumn("_other", F.when(F.col("_bit") == _OTHER, F.col("_type")))
+    base = fields.withColumn("_type", text)
+    base = base.withColumns({"_bit": _type_bit(F.col("_type")), "_accepts": _accepted_bits(F.col("_type"))})
+    base = base.withColumn("_other", F.when(F.col("_bit") == _OTHER, F.col("_type")))
+    rows = _numbered(_markable(base, ~F.col("has_default")), [subject], width)
     if against == "all":
-        typed = scan(typed, [subject, "field"], "version", width=width, before={
-            "_written": ("bit_or", "_bit"), "_readers": ("bit_and", "_accepts"), "_low": ("min", "_other"), "_high": ("max", "_other"),
-        })
+        typed = {"before": {"_written": ("bit_or", "_bit"), "_readers": ("bit_and", "_accepts"),
+                            "_low": ("min", "_other"), "_high": ("max", "_other")}}
         comparable = F.lit(True)
     else:
-        typed = scan(typed, [subject, "field"], "version", width=width, previous={
-            "_seen_at": "version", "_written": "_bit", "_readers": "_accepts", "_low": "_other", "_high": "_other",
-        })
+        typed = {"previous": {"_written": "_bit", "_readers": "_accepts", "_low": "_other", "_high": "_other"}}
         comparable = F.col("_seen_at").eqNullSafe(F.col("previous"))
+    scanned = scan(
+        rows, [subject, "field"], "version", width=width, previous={**_SEEN["previous"], **typed.get("previous", {})},
+        before={**_SEEN["before"], **typed.get("before", {})},
+    )
     unread = F.col("_written").bitwiseAND(F.bitwise_not("_accepts")) != 0
     unreadable = F.col("_readers").bitwiseAND(F.col("_bit")) == 0
     renamed = (F.col("_bit") == _OTHER) & ((F.col("_low") != F.col("_type")) | (F.col("_high") != F.col("_type")))
-    changed = typed.groupBy(subject, "version").agg(
+    out = _presence(scanned, [subject], width, [
         F.count_if(comparable & F.coalesce(unread | renamed, F.lit(False))).alias("type_backward"),
         F.count_if(comparable & F.coalesce(unreadable | renamed, F.lit(False))).alias("type_forward"),
-    )
-    out = present.join(changed, [subject, "version"])
+    ])
     symbol_back = symbol_fwd = F.lit(0)
     if enums:
         group = [subject, "field"]
-        symbols = fields.select(*group, "version", F.explode("symbols").alias("symbol")).distinct().withColumn("_req", F.lit(True))
-        seen = _presence(symbols, _versions(symbols, group, width), group, "symbol", width)
+        symbols = fields.select(*group, "version", F.explode("symbols").alias("symbol")).distinct()
+        symbols = _numbered(_markable(symbols, F.lit(True)), group, width)
+        seen = _presence(scan(symbols, [*group, "symbol"], "version", width=width, **_SEEN), group, width, [])
         seen = seen.groupBy(subject, "version").agg(
             F.sum(f"gone_vs_{against}").alias("symbols_gone"), F.sum(f"new_vs_{against}").alias("symbols_new")
         )
         out = out.join(seen, [subject, "version"], "left")
         symbol_back, symbol_fwd = F.coalesce("symbols_gone", F.lit(0)), F.coalesce("symbols_new", F.lit(0))
-    zero = F.lit(0)
     counts = {
         "missing_default": F.col(f"new_vs_{against}"),
-        "removed_required": F.col(f"gone_vs_{against}") if full else zero,
+        "removed_required": F.col(f"gone_vs_{against}") if full else F.lit(0),
         "type_changes": F.greatest("type_backward", "type_forward") if full else F.col("type_backward"),
         "symbol_changes": symbol_back + symbol_fwd if full else symbol_back,
     }

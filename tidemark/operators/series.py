@@ -11,7 +11,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidemark.functions.slices import DEFAULT_SLICE, _swept, names, scan, with_halo, with_neighbours
+from tidemark.functions.slices import DEFAULT_SLICE, _swept, names, slice_of, with_halo, with_neighbours
 from tidemark.functions.units import instant, micros
 
 _AGGREGATES = {"sum": F.sum, "max": F.max, "min": F.min, "avg": F.avg, "count": F.count}
@@ -101,43 +101,50 @@ def reduce_last(
     return recent.groupBy(*names(by)).agg(agg.alias(value))
 
 
-_CUTS = 256
+_ACCURACY = 10000
 
 
 def percentile(df: DataFrame, q: float, by: str | Sequence[str], value: str = "value", out: str = "p") -> DataFrame:
     """Exact percentile by group, interpolated between the two nearest values.
 
-    Values are first counted per group. Approximate quantiles cut each group into ranges of about equal
-    size; the exact counts of the ranges show which one or two hold the wanted ranks, and only those
-    are put in order. A group never has to fit into one task.
+    An approximate quantile on each side of the wanted rank brackets it. Rows below the bracket are only
+    counted, and only the values inside it (a few in ten thousand) are put in order, so a group never
+    has to fit into one task. Should the bracket miss the rank, the job fails instead of answering.
     """
     by = names(by) or ["_all"]
     rows = df if "_all" not in by else df.withColumn("_all", F.lit(0))
     rows = rows.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
-    counts = rows.groupBy(*by, "_v").agg(F.count("*").alias("_c"))
-    steps = F.array(*[F.lit(i / _CUTS) for i in range(1, _CUTS)])
-    groups = rows.groupBy(*by).agg(F.count("*").alias("_n"), F.percentile_approx("_v", steps, 4 * _CUTS).alias("_cuts"))
+    margin = 2.0 / _ACCURACY
+    bracket = F.array(F.lit(max(q - margin, 0.0)), F.lit(min(q + margin, 1.0)))
     rank = (F.col("_n") - 1).cast("double") * F.lit(float(q))
-    groups = groups.withColumns({"_rank": rank, "_lo": F.floor(rank), "_hi": F.ceil(rank)})
-    ranged = counts.join(groups, by).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
-
-    across = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = ranged.groupBy(*by, "_range").agg(F.sum("_c").alias("_size"), F.first("_lo").alias("_l"), F.first("_hi").alias("_h"))
-    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(across), F.lit(0)))
-    holds = (F.col("_before") <= F.col("_h")) & (F.col("_before") + F.col("_size") > F.col("_l"))
-    wanted = sizes.filter(holds).select(*by, "_range", "_before")
-
-    inside = Window.partitionBy(*by, "_range").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    placed = ranged.join(wanted, [*by, "_range"]).withColumn("_end", F.col("_before") + F.sum("_c").over(inside))
-
-    def value_at(target: str) -> Column:
-        mine = (F.col("_end") > F.col(target)) & (F.col("_end") - F.col("_c") <= F.col(target))
+    groups = (
+        rows.groupBy(*by)
+        .agg(F.count("*").alias("_n"), F.percentile_approx("_v", bracket, _ACCURACY).alias("_b"),
+             F.min("_v").alias("_min"), F.max("_v").alias("_max"))
+        .select(
+            *by, rank.alias("_rank"),
+            (F.col("_min") if q <= margin else F.col("_b")[0]).alias("_low"),
+            (F.col("_max") if q >= 1 - margin else F.col("_b")[1]).alias("_high"),
+        )
+    )
+    placed = rows.join(groups, by).filter(F.col("_v") <= F.col("_high"))
+    # Everything below the bracket collapses into one entry per group before the shuffle.
+    entry = F.when(F.col("_v") >= F.col("_low"), F.col("_v"))
+    counts = placed.groupBy(*by, "_rank", entry.alias("_v")).agg(F.count("*").alias("_c"))
+    ordered = Window.partitionBy(*by).orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    counts = counts.withColumn("_end", F.sum("_c").over(ordered))
+
+    def value_at(target: Column) -> Column:
+        mine = (F.col("_end") > target) & (F.col("_end") - F.col("_c") <= target)
         return F.max(F.when(mine, F.col("_v")))
 
-    ends = placed.groupBy(*by).agg(value_at("_lo").alias("_a"), value_at("_hi").alias("_b"), F.first("_rank").alias("_rank"))
+    ends = counts.groupBy(*by).agg(
+        value_at(F.floor("_rank")).alias("_a"), value_at(F.ceil("_rank")).alias("_b"), F.first("_rank").alias("_rank")
+    )
     between = F.col("_rank") - F.floor("_rank")
     answer = F.col("_a") * (F.lit(1.0) - between) + F.col("_b") * between
-    return ends.select(*[c for c in by if c != "_all"], answer.alias(out))
+    missed = F.raise_error(F.lit("percentile bracket missed the rank")).cast("double")
+    return ends.select(*[c for c in by if c != "_all"], F.coalesce(answer, missed).alias(out))
 
 
 def approx_percentile(df: DataFrame, q: float, by: str | Sequence[str], value: str = "value", out: str = "p",
@@ -217,13 +224,31 @@ def throughput(records_in: DataFrame, records_out: DataFrame, on: str | Sequence
 def state_history(
     df: DataFrame, key: str | Sequence[str], time: str, state: str, order: str | Sequence[str] = (), width=DEFAULT_SLICE
 ) -> DataFrame:
-    """State changes with the time the next change ends them; repeated samples of a state collapse."""
-    marked = with_neighbours(df, key, time, order, previous={"_was": state, "_at": time}, width=width)
-    changed = marked.filter(F.col("_at").isNull() | ~F.col("_was").eqNullSafe(F.col(state)))
-    spans = with_neighbours(
-        changed.select(*names(key), time, state, *names(order)), key, time, order, following={"until": time}, width=width
-    )
-    return spans.select(*names(key), F.col(time).alias("since"), "until", state)
+    """State changes with the time the next change ends them; repeated samples of a state collapse.
+
+    Samples collapse to runs inside each time slice. A slice's first and last run may continue in its
+    neighbours, so these (at most two per slice) are looked at together per key; every other run is
+    already complete and stays in a lane of its own.
+    """
+    key, order = names(key), names(order)
+    sliced = df.select(*key, time, state, *order).withColumn("_slice", slice_of(time, width))
+    inside = Window.partitionBy(*key, "_slice").orderBy(F.unix_micros(time), *order)
+    marked = sliced.withColumns({"_first": F.row_number().over(inside) == 1, "_was": F.lag(state).over(inside)})
+    runs = marked.filter(F.col("_first") | ~F.col("_was").eqNullSafe(F.col(state)))
+    runs = runs.withColumn("_next", F.lead(time).over(inside))
+
+    lane = F.when(~F.col("_first") & F.col("_next").isNotNull(), F.xxhash64("_slice", F.unix_micros(time), *order))
+    edge = Window.partitionBy(*key, "_lane").orderBy("_slice", F.unix_micros(time), *order)
+    laned = runs.withColumn("_lane", lane).withColumns({
+        "_before": F.lag(F.struct(F.col(state).alias("s"))).over(edge),
+        "_inner": F.col("_lane").isNotNull(),
+    })
+    same = F.col("_first") & F.col("_before").isNotNull() & F.col("_before.s").eqNullSafe(F.col(state))
+    laned = laned.withColumn("_change", ~same)
+    point = F.when(F.col("_change"), F.col(time)).otherwise(F.col("_next"))
+    later = F.first(point, ignorenulls=True).over(edge.rowsBetween(1, Window.unboundedFollowing))
+    laned = laned.withColumn("until", F.coalesce("_next", F.when(~F.col("_inner"), later)))
+    return laned.filter("_change").select(*key, F.col(time).alias("since"), "until", state)
 
 
 def top_lag(df: DataFrame, by: str | Sequence[str], time: str, value: str, k: int = 100, order=()) -> DataFrame:

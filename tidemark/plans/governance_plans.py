@@ -149,17 +149,17 @@ _ALL = "SELECT a.subject, a.version, b.version AS writer FROM v a JOIN v b ON a.
 
 @plan("compat_backward", "GOV-5", _compat(_PREVIOUS, False))
 def _(t):
-    return G.check_compatibility(field_versions(t), "BACKWARD").drop("symbol_changes")
+    return G.check_compatibility(field_versions(t), "BACKWARD", width=100000).drop("symbol_changes")
 
 
 @plan("compat_backward_transitive", "GOV-5", _compat(_ALL, False))
 def _(t):
-    return G.check_compatibility(field_versions(t), "BACKWARD_TRANSITIVE").drop("symbol_changes")
+    return G.check_compatibility(field_versions(t), "BACKWARD_TRANSITIVE", width=100000).drop("symbol_changes")
 
 
 @plan("compat_full_transitive", "GOV-5", _compat(_ALL, True))
 def _(t):
-    return G.check_compatibility(field_versions(t), "FULL_TRANSITIVE").drop("symbol_changes")
+    return G.check_compatibility(field_versions(t), "FULL_TRANSITIVE", width=100000).drop("symbol_changes")
 
 
 @plan("effective_settings", "GOV-6", f"""

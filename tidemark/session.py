@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 _fallback: dict[str, str] = {}
@@ -40,3 +40,14 @@ def shared_dir(spark: SparkSession) -> str:
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, never used by an earlier run."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def durable(df: DataFrame, name: str) -> DataFrame:
+    """The same rows from a table written to the shared folder.
+
+    For results that are read more than once and cost more to compute than to read. Readers prune the
+    columns they do not use, and a lost executor costs nothing but its own tasks.
+    """
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
