@@ -4,6 +4,7 @@ from tidemark.functions import effective_settings
 from tidemark.operators import governance as G
 from tidemark.plans.join_plans import _TIER, binding_topics, order_tier
 from tidemark.plans.registry import plan
+from tidemark.session import durable
 
 _PARTS = """
 parts AS (SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN upper(c_mktsegment) ELSE lower(c_mktsegment) END AS domain,
@@ -106,9 +107,10 @@ def field_versions(t):
     fields = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey"), F.concat(F.lit("f"), "l_linenumber").alias("field")).agg(
         F.max("l_returnflag").alias("flag"), F.max("l_linestatus").alias("status"))
     kind = F.when(F.col("flag") == "A", "int").when(F.col("flag") == "N", "long").otherwise("string")
-    return fields.join(versions, "o_orderkey").select(
+    rows = fields.join(versions, "o_orderkey").select(
         "subject", F.col("o_orderkey").alias("version"), "field", kind.alias("type"), (F.col("status") == "O").alias("has_default")
     )
+    return durable(rows, "field-versions")
 
 
 _FIELDS = """
