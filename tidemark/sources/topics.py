@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from tidemark.functions.units import instant
 from tidemark.operators.errors import decode_json, split_decodable
 from tidemark.operators.windows import with_event_time
 from tidemark.sources.schemas import with_defaults
@@ -31,27 +33,30 @@ def read_topic(
     spark: SparkSession,
     location: str,
     schema: T.StructType | str,
-    start: str = "earliest",
+    start: str | datetime = "earliest",
     fmt: str = "parquet",
     max_per_batch: int | None = None,
     files: str | None = None,
 ) -> DataFrame:
     """A topic kept as files, read as a stream with a fixed schema.
 
-    ``start`` is ``earliest`` or ``latest`` (only files added after the stream starts are read).
-    ``max_per_batch`` bounds the files of one micro-batch.
+    ``start`` is ``earliest``, ``latest`` (files written after this call), or a time after which files
+    count; a query that restarts passes the time it first started at. ``max_per_batch`` bounds the
+    files of one micro-batch.
     """
-    if start not in ("earliest", "latest"):
+    if start == "latest":
+        start = datetime.now(timezone.utc)
+    if start != "earliest" and not isinstance(start, datetime):
         raise ValueError(f"unknown start {start!r}")
     reader = spark.readStream.format(fmt).schema(schema)
     if max_per_batch:
         reader = reader.option("maxFilesPerTrigger", max_per_batch)
     if files:
         reader = reader.option("pathGlobFilter", files)
-    if start == "latest":
-        now = spark.sql("SELECT date_format(current_timestamp(), \"yyyy-MM-dd'T'HH:mm:ss\")").first()[0]
-        reader = reader.option("modifiedAfter", now)
-    return reader.load(location)
+    topic = reader.load(location)
+    if start == "earliest":
+        return topic
+    return topic.filter(F.col("_metadata.file_modification_time") > instant(start))
 
 
 def read_kafka(spark: SparkSession, **options) -> DataFrame:
