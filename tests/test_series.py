@@ -63,6 +63,17 @@ def test_percentile(spark, q):
     assert everything == pytest.approx(np.quantile([v for _, v in rows if v is not None], q), abs=1e-9)
 
 
+@pytest.mark.parametrize("q", [0.0, 0.01, 0.5, 0.95, 0.999, 1.0])
+def test_percentile_of_large_groups(spark, q):
+    import numpy as np
+
+    rng = random.Random(4)
+    values = [rng.gauss(0, 1) for _ in range(20000)] + [5.0] * 9000
+    df = spark.createDataFrame([(v,) for v in values], "value double")
+    got = S.percentile(df, q, (), accuracy=100).collect()[0]["p"]
+    assert got == pytest.approx(np.quantile(values, q), abs=1e-9)
+
+
 def test_histogram_quantile(spark):
     inf = float("inf")
     rows = [("a", 1.0, 10.0), ("a", 2.0, 30.0), ("a", 4.0, 40.0), ("a", inf, 40.0),

@@ -101,30 +101,31 @@ def reduce_last(
     return recent.groupBy(*names(by)).agg(agg.alias(value))
 
 
-_ACCURACY = 10000
-
-
-def percentile(df: DataFrame, q: float, by: str | Sequence[str], value: str = "value", out: str = "p") -> DataFrame:
+def percentile(
+    df: DataFrame, q: float, by: str | Sequence[str], value: str = "value", out: str = "p", accuracy: int = 10000
+) -> DataFrame:
     """Exact percentile by group, interpolated between the two nearest values.
 
     An approximate quantile on each side of the wanted rank brackets it. Rows below the bracket are only
-    counted, and only the values inside it (a few in ten thousand) are put in order, so a group never
-    has to fit into one task. Should the bracket miss the rank, the job fails instead of answering.
+    counted, and only the values inside it (a few in ``accuracy``) are put in order, so a large group
+    never has to fit into one task. Groups of up to a hundred times ``accuracy`` rows are ordered whole.
+    Should the bracket miss the rank, the job fails instead of answering.
     """
     by = names(by) or ["_all"]
     rows = df if "_all" not in by else df.withColumn("_all", F.lit(0))
     rows = rows.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
-    margin = 2.0 / _ACCURACY
+    margin = 2.0 / accuracy
     bracket = F.array(F.lit(max(q - margin, 0.0)), F.lit(min(q + margin, 1.0)))
     rank = (F.col("_n") - 1).cast("double") * F.lit(float(q))
+    small = F.col("_n") <= 100 * accuracy
     groups = (
         rows.groupBy(*by)
-        .agg(F.count("*").alias("_n"), F.percentile_approx("_v", bracket, _ACCURACY).alias("_b"),
+        .agg(F.count("*").alias("_n"), F.percentile_approx("_v", bracket, accuracy).alias("_b"),
              F.min("_v").alias("_min"), F.max("_v").alias("_max"))
         .select(
             *by, rank.alias("_rank"),
-            (F.col("_min") if q <= margin else F.col("_b")[0]).alias("_low"),
-            (F.col("_max") if q >= 1 - margin else F.col("_b")[1]).alias("_high"),
+            F.when(small | F.lit(q <= margin), F.col("_min")).otherwise(F.col("_b")[0]).alias("_low"),
+            F.when(small | F.lit(q >= 1 - margin), F.col("_max")).otherwise(F.col("_b")[1]).alias("_high"),
         )
     )
     placed = rows.join(groups, by).filter(F.col("_v") <= F.col("_high"))
