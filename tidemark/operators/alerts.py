@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Mapping, Sequence
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, fields
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -11,6 +12,7 @@ from tidemark.functions.slices import DEFAULT_SLICE, names, scan, slice_of, trai
 from tidemark.functions.tiers import TIERS, tier_or_default, with_thresholds
 from tidemark.functions.units import micros
 from tidemark.operators.joins import asof_join
+from tidemark.session import durable, listed
 
 
 @dataclass(frozen=True)
@@ -63,37 +65,54 @@ PLATFORM_RULES = (
 
 
 def rules_table(spark: SparkSession, rules: Sequence[Rule]) -> DataFrame:
+    """Rules as a table, for callers that keep theirs in one."""
     schema = "rule string, metric string, op string, limit double, hold_s long, severity string, tier string, ceiling double"
-    return spark.createDataFrame([tuple(asdict(r).values()) for r in rules], schema)
+    rows = [asdict(r) for r in rules]
+    return listed(spark, {f.name: [row[f.name] for row in rows] for f in fields(Rule)}, schema)
 
 
-def _breach(value: Column) -> Column:
-    limit = F.col("limit")
-    over = (
-        F.when(F.col("op") == "gt", value > limit)
-        .when(F.col("op") == "ge", value >= limit)
-        .when(F.col("op") == "lt", value < limit)
-        .when(F.col("op") == "le", value <= limit)
-        .otherwise(F.lit(False))
-    )
-    return F.coalesce(over & (F.col("ceiling").isNull() | (value <= F.col("ceiling"))), F.lit(False))
+_COMPARE = {"gt": operator.gt, "ge": operator.ge, "lt": operator.lt, "le": operator.le}
 
 
-def with_rules(samples: DataFrame, rules: DataFrame, value: str = "value") -> DataFrame:
-    """Samples with every rule of their metric (and tier); adds ``breached``.
+def with_rules(samples: DataFrame, rules: Sequence[Rule] | DataFrame, value: str = "value") -> DataFrame:
+    """Samples with every rule of their metric (and tier): adds ``rule``, ``hold_s``, ``severity``, ``breached``.
 
-    The rule table has a few rows per metric, so Spark broadcasts it after checking its size.
+    A list of rules becomes an expression on the sample. A table of rules is joined on the metric; it
+    has a few rows per metric, and Spark broadcasts it if its size allows.
     """
-    r = rules.withColumnsRenamed({"metric": "_metric", "tier": "_tier"})
-    on = F.col("metric") == F.col("_metric")
-    if "tier" in samples.columns:
-        on &= F.col("_tier").isNull() | (F.col("_tier") == tier_or_default("tier"))
-    return samples.join(r, on, "inner").drop("_metric", "_tier").withColumn("breached", _breach(F.col(value)))
+    v = F.col(value)
+    tier = tier_or_default("tier") if "tier" in samples.columns else None
+    if isinstance(rules, DataFrame):
+        r = rules.withColumnsRenamed({"metric": "_metric", "tier": "_tier"})
+        on = F.col("metric") == F.col("_metric")
+        if tier is not None:
+            on &= F.col("_tier").isNull() | (F.col("_tier") == tier)
+        over = F.lit(False)
+        for op, compare in reversed(_COMPARE.items()):
+            over = F.when(F.col("op") == op, compare(v, F.col("limit"))).otherwise(over)
+        over &= F.col("ceiling").isNull() | (v <= F.col("ceiling"))
+        joined = samples.join(r, on, "inner").withColumn("breached", F.coalesce(over, F.lit(False)))
+        return joined.drop("_metric", "_tier", "op", "limit", "ceiling")
+
+    def applied(rule: Rule) -> Column:
+        mine = F.col("metric") == rule.metric
+        if tier is not None and rule.tier is not None:
+            mine &= tier == rule.tier
+        over = _COMPARE[rule.op](v, F.lit(float(rule.limit)))
+        if rule.ceiling is not None:
+            over &= v <= F.lit(float(rule.ceiling))
+        return F.when(mine, F.struct(
+            F.lit(rule.rule).alias("rule"), F.lit(rule.hold_s).cast("long").alias("hold_s"),
+            F.lit(rule.severity).alias("severity"), F.coalesce(over, F.lit(False)).alias("breached"),
+        ))
+
+    hits = F.array_compact(F.array(*[applied(rule) for rule in rules]))
+    return samples.withColumn("_rule", F.explode(hits)).select(*samples.columns, "_rule.*")
 
 
 def alert_sustained(
     samples: DataFrame,
-    rules: DataFrame,
+    rules: Sequence[Rule] | DataFrame,
     by: str | Sequence[str],
     time: str = "ts",
     value: str = "value",
@@ -124,10 +143,10 @@ def alert_sustained(
     seen = seen.withColumn("_start", F.when(F.col("breached") & starts, F.col("_us")))
     begun = F.last("_start", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0))
     seen = seen.withColumn("_begun", begun).withColumn("_begun", F.when(F.col("breached"), F.col("_begun")))
-    runs = seen.groupBy(*key, "_slice", "_begun").agg(
+    of_rule = ["hold_s", "severity"]
+    runs = seen.groupBy(*key, *of_rule, "_slice", "_begun").agg(
         F.max("_us").alias("_end"), F.count("*").alias("_n"), F.max("_value").alias("_peak"),
         F.bool_or(F.col("_at").isNull()).alias("_opens"), F.bool_or(F.col("_then").isNull()).alias("_closes"),
-        F.first("hold_s").alias("hold_s"), F.first("severity").alias("severity"),
     )
 
     firing = F.col("_begun").isNotNull()
@@ -141,9 +160,8 @@ def alert_sustained(
     goes_on = F.col("_opens") & F.col("_before_closes") & (F.col("_begun") - F.col("_before_end") <= gap)
     laned = laned.withColumn("_head", F.when(firing & ~F.coalesce(goes_on, F.lit(False)), F.col("_begun")))
     island = F.last("_head", ignorenulls=True).over(edge.rowsBetween(Window.unboundedPreceding, 0))
-    whole = laned.withColumn("_island", island).filter(firing).groupBy(*key, "_island").agg(
+    whole = laned.withColumn("_island", island).filter(firing).groupBy(*key, *of_rule, "_island").agg(
         F.max("_end").alias("_end"), F.sum("_n").alias("samples"), F.max("_peak").alias("peak"),
-        F.first("hold_s").alias("hold_s"), F.first("severity").alias("severity"),
     )
     hold = F.col("hold_s") * F.lit(1000000)
     return whole.filter(F.col("_end") - F.col("_island") >= hold).select(
@@ -219,6 +237,7 @@ def outside_windows(
     )
     spans = spans.groupBy("_all", "_start").agg(F.max("_end").alias("_end"))
     cover = scan(spans, "_all", "_start", running={"_covered": ("max", "_end")}, width=width).select("_all", "_start", "_covered")
+    cover = durable(cover, "windows")
     looked = asof_join(
         events.withColumn("_all", F.lit(0)), cover, "_all", time, "_start", how="left", width=width, salts=salts
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions.slices import DEFAULT_SLICE, names, slice_of
 
@@ -40,13 +40,22 @@ def asof_join(
         raise ValueError(f"rename right columns that the left side also has: {sorted(clash)}")
     keys = [f"_k{i}" for i in range(len(on))]
 
-    def keyed(df: DataFrame, time: str, side: int) -> DataFrame:
-        known = F.col(time).isNotNull()
+    def known(df: DataFrame, time: str) -> Column:
+        present = F.col(time).isNotNull()
         for k in on:
-            known &= F.col(k).isNotNull()
-        return df.filter(known).select(
+            present &= F.col(k).isNotNull()
+        return present
+
+    def keyed(df: DataFrame, time: str, side: int) -> DataFrame:
+        piece = slice_of(time, width)
+        if side == 1 and how == "left":
+            # Rows that cannot match stay, spread by hash instead of meeting under the null key.
+            piece = F.when(known(df, time), piece).otherwise(F.xxhash64(*df.columns))
+        else:
+            df = df.filter(known(df, time))
+        return df.select(
             *[F.col(k).alias(a) for k, a in zip(on, keys)],
-            slice_of(time, width).alias("_slice"),
+            piece.alias("_slice"),
             F.unix_micros(time).alias("_t"),
             F.lit(side).alias("_side"),
             *([F.struct(*left.columns).alias("_row")] if side == 1 else
@@ -59,7 +68,7 @@ def asof_join(
     position = F.struct("_t", *held) if held else F.col("_t")
     across = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
-        rows.select(*keys, "_slice", F.lit(True).alias("_wanted"))
+        rows.filter(F.col("_t").isNotNull()).select(*keys, "_slice", F.lit(True).alias("_wanted"))
         .unionByName(versions.drop("_side"), allowMissingColumns=True)
         .groupBy(*keys, "_slice")
         .agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), position)).alias("_v"), F.max("_wanted").alias("_wanted"))
@@ -81,13 +90,9 @@ def asof_join(
     every = every.withColumn("_v", F.last("_v", ignorenulls=True).over(within)).filter(F.col("_side") == 1)
     if how == "inner":
         every = every.filter(F.col("_v").isNotNull())
-    out = every.select("_row.*", *[F.col(f"_v.v{i}").alias(c) for i, c in enumerate(take)])
-    if how == "left":
-        unmatchable = F.col(left_time).isNull()
-        for k in on:
-            unmatchable |= F.col(k).isNull()
-        out = out.unionByName(left.filter(unmatchable), allowMissingColumns=True)
-    return out
+    else:
+        every = every.withColumn("_v", F.when(F.col("_t").isNotNull(), F.col("_v")))
+    return every.select("_row.*", *[F.col(f"_v.v{i}").alias(c) for i, c in enumerate(take)])
 
 
 def match_on(a: DataFrame, b: DataFrame, labels: str | Sequence[str], time: str | None = None) -> DataFrame:

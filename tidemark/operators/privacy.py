@@ -1,7 +1,8 @@
 """Field encryption with wrapped data keys.
 
 A keyring holds one row per key id: the data key and its wrapped form. Keys travel in DataFrames that
-the caller builds at run time, not as literals, so they appear in no plan text.
+the caller builds at run time, not as literals, so they appear in no plan text. They are local relations
+of known size, so Spark sends them to the data and the data is not shuffled by key id.
 """
 
 from __future__ import annotations
@@ -11,11 +12,13 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tidemark.session import listed
+
 _MASTER = "key_id string, master_key binary"
 
 
 def master_keys(spark: SparkSession, keys: Mapping[str, bytes]) -> DataFrame:
-    return spark.createDataFrame(list(keys.items()), _MASTER)
+    return listed(spark, {"key_id": list(keys), "master_key": list(keys.values())}, _MASTER)
 
 
 def new_keyring(spark: SparkSession, masters: Mapping[str, bytes]) -> DataFrame:
@@ -23,10 +26,11 @@ def new_keyring(spark: SparkSession, masters: Mapping[str, bytes]) -> DataFrame:
 
     The keyring is small and is materialised here once, so that every later use sees the same keys.
     """
-    rows = [(k, m, os.urandom(32)) for k, m in masters.items()]
-    plain = spark.createDataFrame(rows, f"{_MASTER}, data_key binary")
-    wrapped = plain.select("key_id", "data_key", F.aes_encrypt("data_key", "master_key").alias("wrapped_key"))
-    return spark.createDataFrame([tuple(r) for r in wrapped.collect()], wrapped.schema)
+    columns = {"key_id": list(masters), "master_key": list(masters.values()), "data_key": [os.urandom(32) for _ in masters]}
+    plain = listed(spark, columns, f"{_MASTER}, data_key binary")
+    rows = plain.select("key_id", "data_key", F.aes_encrypt("data_key", "master_key").alias("wrapped_key")).collect()
+    sealed = {c: [bytes(r[c]) if c != "key_id" else r[c] for r in rows] for c in ("key_id", "data_key", "wrapped_key")}
+    return listed(spark, sealed, "key_id string, data_key binary, wrapped_key binary")
 
 
 def encrypt_fields(df: DataFrame, fields: Sequence[str], keyring: DataFrame, key_id: str = "key_id") -> DataFrame:

@@ -52,11 +52,11 @@ _SUSTAINED = "'value-warn', 'value', 'gt', 40.0, 3600, 'warn', NULL), ('value-al
     "SELECT event_id, user_id, ts, value, 'value' AS metric, CAST(NULL AS VARCHAR) AS tier FROM events", f"({_SUSTAINED})", 43200, "user_id"
 ))
 def _(t):
-    rules = A.rules_table(t.spark, [
+    rules = [
         A.Rule("value-warn", "value", "gt", 40.0, 3600, "warn"),
         A.Rule("value-alert", "value", "gt", 80.0, 3600, "alert"),
         A.Rule("value-low", "value", "lt", 25.0, 7200, "warn"),
-    ])
+    ]
     samples = t.events.select("event_id", "user_id", "ts", "value", F.lit("value").alias("metric"))
     return A.alert_sustained(samples, rules, "user_id", max_gap="12 hours", order="event_id").drop("hold_s")
 
@@ -75,7 +75,7 @@ def _(t):
     samples = t.events.select(
         "event_id", "user_id", "event_type", "ts", (F.col("value") * 100).alias("value"), F.lit("m").alias("metric"), event_tier().alias("tier")
     )
-    rules = A.rules_table(t.spark, A.mirror_lag_rules("m"))
+    rules = A.mirror_lag_rules("m")
     return A.alert_sustained(samples, rules, ["user_id", "event_type"], max_gap="4 days", order="event_id").drop("hold_s")
 
 
@@ -117,7 +117,7 @@ def _(t):
     value = (F.when(kind == "error", v - 10).when(kind == "click", v / 20).when(kind == "view", v * 200)
              .when(kind == "purchase", v * 40000000).otherwise(v / 20))
     samples = t.events.select("event_id", "user_id", "ts", value.alias("value"), metric.alias("metric"))
-    rules = A.rules_table(t.spark, A.PLATFORM_RULES)
+    rules = A.PLATFORM_RULES
     return A.alert_sustained(samples, rules, "user_id", max_gap="10 days", order="event_id").drop("hold_s")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
@@ -42,6 +43,11 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def listed(spark: SparkSession, columns: dict[str, list], schema: str) -> DataFrame:
+    """A table of values known here. It is a local relation, so Spark knows its size when it plans joins."""
+    return spark.createDataFrame(pa.table(columns), schema=schema)
+
+
 def durable(df: DataFrame, name: str) -> DataFrame:
     """The same rows from a table written to the shared folder.
 
