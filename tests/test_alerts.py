@@ -98,6 +98,8 @@ def test_retention_boundaries(spark):
             ("best-effort", datetime(2024, 1, 7), True), ("best-effort", datetime(2024, 1, 6), False),
             ("compliance", datetime(2018, 1, 1), True), ("compliance", datetime(2016, 1, 1), False), (None, datetime(2024, 1, 5), True)]
     df = spark.createDataFrame(rows, "tier string, ts timestamp, kept boolean")
-    out = apply_retention(df, "ts", "tier", now)
+    out = apply_retention(df, "ts", "tier", now, compliance_years=7)
     assert out.filter("NOT kept").count() == 0 and out.count() == 4
-    assert apply_retention(df, "ts", "tier", now, compliance_years=-1).filter("tier = 'compliance'").count() == 2
+    assert apply_retention(df, "ts", "tier", now).filter("tier = 'compliance'").count() == 2
+    with pytest.raises(ValueError):
+        apply_retention(df, "ts", "tier", now, compliance_years=6)

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import (
-    connector_name, dead_letter_topic, effective_settings, map_topic, route_topic, split_target, subject_name, table_name,
+    connector_name, dead_letter_topic, effective_settings, map_topic, route_topic, split_target, subject_name, table_name, tier_value,
 )
 from tidemark.operators import governance as G
 
@@ -55,6 +55,16 @@ def test_settings(spark):
     assert rows["odd"]["compatibility"] == "BACKWARD"
 
 
+def test_tier_lookup(spark):
+    df = spark.createDataFrame([("critical",), ("compliance",)], "tier string")
+    assert [r[0] for r in df.select(tier_value("tier", "ttl_s", strict=True)).collect()] == [None, None]
+    assert [r[0] for r in df.select(tier_value("tier", "partitions", strict=True)).collect()] == [12, 12]
+    with pytest.raises(Exception, match="unknown tier gold"):
+        df.select(tier_value(F.lit("gold"), "compatibility", strict=True)).collect()
+    with pytest.raises(ValueError, match="unknown tier setting"):
+        tier_value("tier", "colour")
+
+
 READS = {
     "int": {"int"}, "long": {"int", "long"}, "float": {"int", "long", "float"}, "double": {"int", "long", "float", "double"},
     "string": {"string", "bytes"}, "bytes": {"bytes", "string"}, "record X": {"record X"}, "record Y": {"record Y"},

@@ -54,16 +54,38 @@ def tier_or_default(tier: Column | str) -> Column:
     return F.when(t.isNull() | (t == ""), F.lit(DEFAULT_TIER)).otherwise(t)
 
 
-def tier_value(tier: Column | str, name: str, default=None) -> Column:
-    """One setting of a tier as an inline lookup (no join); ``default`` for other tiers."""
+def checked_years(years: int) -> int:
+    """Years a compliance record is kept: at least seven, or -1 for ever."""
+    if years != -1 and years < 7:
+        raise ValueError("compliance retention must be -1 or at least 7 years")
+    return years
+
+
+def tier_value(tier: Column | str, name: str, default=None, strict: bool = False) -> Column:
+    """One setting of a tier as an inline lookup (no join).
+
+    Other tiers give ``default``, or fail the job with ``strict``.
+    """
+    if name not in TIERS[DEFAULT_TIER]:
+        raise ValueError(f"unknown tier setting {name!r}")
     t, out = _col(tier), None
     for tier_name, settings in TIERS.items():
         value = F.lit(settings[name])
         value = value.cast("long") if name.endswith(("_ms", "_s")) else value
         out = F.when(t == tier_name, value) if out is None else out.when(t == tier_name, value)
+    if strict:
+        return out.when(known_tier(t), F.lit(None)).otherwise(
+            F.raise_error(F.concat(F.lit("unknown tier "), F.coalesce(t, F.lit("null")))).cast(_kind(name))
+        )
     return out.otherwise(F.lit(default)) if default is not None else out
 
 
+def _kind(name: str) -> str:
+    if name.endswith(("_ms", "_s")):
+        return "long"
+    return "string" if isinstance(TIERS[DEFAULT_TIER][name], str) else "int"
+
+
 def with_tier(df: DataFrame, topics: DataFrame, topic: str = "topic", tier: str = "tier") -> DataFrame:
     """Left lookup of a topic's tier; ``standard`` when the topic or its tier is missing.
 
@@ -83,9 +105,9 @@ def with_thresholds(df: DataFrame, kind: str = "lag", tier: str = "tier") -> Dat
     })
 
 
-def effective_settings(df: DataFrame, tier: str = "tier", retention_years: int = 7) -> DataFrame:
+def effective_settings(df: DataFrame, tier: str = "tier", retention_years: int = -1) -> DataFrame:
     """Tier settings with non-null ``*_override`` columns taking precedence."""
-    years = -1 if retention_years == -1 else retention_years * 31557600000
+    years = -1 if checked_years(retention_years) == -1 else retention_years * 31557600000
     retention = F.when(F.col(tier) == "compliance", F.lit(years).cast("long")).otherwise(
         tier_value(tier, "retention_ms", FALLBACK_SETTINGS["retention_ms"])
     )

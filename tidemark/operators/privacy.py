@@ -10,7 +10,7 @@ from __future__ import annotations
 import os
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.session import listed
 
@@ -74,8 +74,3 @@ def pii_inventory(schemas: DataFrame, document: str = "document") -> DataFrame:
     fields = F.from_json(F.get_json_object(document, "$.fields"), "array<struct<name:string,doc:string>>")
     rows = schemas.select(*[c for c in schemas.columns if c != document], F.explode(fields).alias("_f"))
     return rows.filter(F.col("_f.doc") == "PII").withColumn("field", F.col("_f.name")).drop("_f")
-
-
-def sealed(column: Column) -> Column:
-    """Ciphertext as text, for sinks without a binary type."""
-    return F.base64(column)

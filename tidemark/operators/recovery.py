@@ -65,6 +65,11 @@ def case_map(value: Column, mapping: Mapping[str, str], default: str | None = No
     return out.otherwise(F.lit(default))
 
 
+def assess_upto(value: Column, warn: float, alert: float) -> Column:
+    """Label with fixed limits: up to ``warn`` OK, up to ``alert`` WARN, above it ALERT."""
+    return F.when(value <= warn, "OK").when(value <= alert, "WARN").otherwise("ALERT")
+
+
 def rpo_check(df: DataFrame, tier: str = "tier", loss_s: str = "loss_s", outage_s: str = "outage_s") -> DataFrame:
     """Measured data loss and outage against the tier's targets; a zero target allows no loss."""
     standard = TIERS["standard"]

@@ -7,12 +7,14 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.functions.tiers import FALLBACK_SETTINGS, TIERS, tier_value
+from tidemark.functions.tiers import FALLBACK_SETTINGS, TIERS, checked_years, tier_value
 from tidemark.functions.units import instant
 from tidemark.operators.changes import compact
 
 
-def retention_millis(tier: str, compliance_years: int = 7) -> Column:
+def retention_millis(tier: str, compliance_years: int = -1) -> Column:
+    """Milliseconds a row of the tier is kept; -1 keeps it for ever."""
+    checked_years(compliance_years)
     years = -1 if compliance_years == -1 else compliance_years * 31557600000
     return F.when(F.col(tier) == "compliance", F.lit(years).cast("long")).otherwise(
         tier_value(tier, "retention_ms", FALLBACK_SETTINGS["retention_ms"])
@@ -20,7 +22,7 @@ def retention_millis(tier: str, compliance_years: int = 7) -> Column:
 
 
 def apply_retention(
-    df: DataFrame, time: str, tier: str, now: datetime | Column, compliance_years: int = 7
+    df: DataFrame, time: str, tier: str, now: datetime | Column, compliance_years: int = -1
 ) -> DataFrame:
     """Drop rows older than their tier keeps them at ``now``; -1 keeps all."""
     keep = retention_millis(tier, compliance_years)

@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import alerts as A
 from tidemark.operators import recovery as R
-from tidemark.operators.series import increase, latest
+from tidemark.operators.series import count_series, increase, latest
 from tidemark.plans.join_plans import _TIER, order_tier
 from tidemark.plans.registry import plan
 from tidemark.plans.series_plans import _SAMPLES, _pairs, counters
@@ -299,3 +299,19 @@ def _(t):
     )
     return R.rpo_check(rows).select("o_orderkey", "tier", "rpo_met", "rto_met")
 
+
+@plan("assessment_labels", "DR-5 AGG-8", """
+SELECT user_id, arg_max(value, (ts, event_id)) AS lag, CASE WHEN arg_max(value, (ts, event_id)) <= 30 THEN 'OK'
+  WHEN arg_max(value, (ts, event_id)) <= 60 THEN 'WARN' ELSE 'ALERT' END AS assessment FROM events GROUP BY 1
+""")
+def _(t):
+    newest = latest(t.events, "user_id", "ts", ["value"], "event_id")
+    return newest.select("user_id", F.col("value").alias("lag"), R.assess_upto(F.col("value"), 30, 60).alias("assessment"))
+
+
+@plan("restart_counts", "ALR-8", """
+SELECT user_id, count(*) AS restart_count FROM events WHERE event_type = 'error' GROUP BY 1 HAVING count(*) >= 3
+""")
+def _(t):
+    counted = count_series(t.events.filter("event_type = 'error'"), by="user_id", out="restart_count")
+    return counted.filter("restart_count >= 3")

@@ -93,7 +93,7 @@ SELECT o_orderkey, tier FROM t WHERE epoch_ms(TIMESTAMP '2001-07-31 00:00:00') -
 """)
 def _(t):
     rows = t.orders.select("o_orderkey", "o_orderdate", order_tier().alias("tier"))
-    return apply_retention(rows, "o_orderdate", "tier", datetime(2001, 7, 31)).select("o_orderkey", "tier")
+    return apply_retention(rows, "o_orderdate", "tier", datetime(2001, 7, 31), 7).select("o_orderkey", "tier")
 
 
 @plan("cleanup_policy", "RET-2 RET-1 CDC-1", f"""

@@ -174,7 +174,7 @@ FROM (SELECT *, {_TIER} AS tier FROM orders)
 """)
 def _(t):
     rows = t.orders.select("o_orderkey", order_tier().alias("tier"), F.when(F.col("o_orderstatus") == "F", 24).alias("partitions_override"))
-    return effective_settings(rows).drop("tier", "partitions_override")
+    return effective_settings(rows, retention_years=7).drop("tier", "partitions_override")
 
 
 @plan("check_tiers", "GOV-7", f"""

@@ -13,7 +13,7 @@ from tidemark.streaming.stateful import asof_join_stream, release_resolved_strea
 
 def event_stream(t, **options):
     """The events table as a stream with event time."""
-    raw = read_topic(t.spark, t.folder, t.raw("events").schema, files="events.parquet", **options)
+    raw = read_topic(t.spark, f"{t.folder}/events.parquet*", t.raw("events").schema, **options)
     return with_event_time(raw, "ts", "5 seconds")
 
 
@@ -29,7 +29,7 @@ def _(t):
 
 @plan("stream_declared", "SRC-3 WM-1", "SELECT event_id, user_id, CAST(value AS DECIMAL(15,2)) AS value, ts FROM events")
 def _(t):
-    raw = read_topic(t.spark, t.folder, t.raw("events").schema, files="events.parquet")
+    raw = read_topic(t.spark, f"{t.folder}/events.parquet*", t.raw("events").schema)
     schema = T.StructType([
         T.StructField("event_id", T.LongType()), T.StructField("user_id", T.LongType()),
         T.StructField("value", T.DecimalType(15, 2)), T.StructField("ts", T.TimestampType()),
@@ -66,7 +66,7 @@ def _(t):
     use_rocksdb(t.spark)
 
     def side(kind):
-        raw = read_topic(t.spark, t.folder, t.raw("events").schema, files="events.parquet")
+        raw = read_topic(t.spark, f"{t.folder}/events.parquet*", t.raw("events").schema)
         return with_event_time(raw.filter(F.col("event_type") == kind), "ts", "5 seconds")
 
     left = side("purchase").select("event_id", "user_id", "ts", "value")

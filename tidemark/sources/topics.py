@@ -36,7 +36,6 @@ def read_topic(
     start: str | datetime = "earliest",
     fmt: str = "parquet",
     max_per_batch: int | None = None,
-    files: str | None = None,
 ) -> DataFrame:
     """A topic kept as files, read as a stream with a fixed schema.
 
@@ -51,8 +50,6 @@ def read_topic(
     reader = spark.readStream.format(fmt).schema(schema)
     if max_per_batch:
         reader = reader.option("maxFilesPerTrigger", max_per_batch)
-    if files:
-        reader = reader.option("pathGlobFilter", files)
     topic = reader.load(location)
     if start == "earliest":
         return topic

@@ -60,7 +60,8 @@ class _AsOf(StatefulProcessor):
     def _wake_at(self, us: int) -> None:
         """Keep one timer: for the earliest waiting row."""
         at = us // 1000 + 1
-        current = self.alarm.get()[0] if self.alarm.exists() else None
+        held = self.alarm.get()
+        current = held[0] if held else None
         if current is None or at < current:
             if current is not None:
                 self.handle.deleteTimer(current)
@@ -70,9 +71,9 @@ class _AsOf(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.alarm.clear()
         watermark_us = timerValues.getCurrentWatermarkInMs() * 1000
-        waiting = sorted(tuple(r) for r in self.pending.get()) if self.pending.exists() else []
+        waiting = sorted(tuple(r) for r in self.pending.get())
         ready = [r for r in waiting if r[0] < watermark_us]
-        versions = sorted(tuple(v) for v in self.versions.get()) if self.versions.exists() else []
+        versions = sorted(tuple(v) for v in self.versions.get())
         out, i = [], 0
         for us, _, payload in ready:
             while i < len(versions) and versions[i][0] <= us:
@@ -81,7 +82,8 @@ class _AsOf(StatefulProcessor):
                 out.append((payload, versions[i - 1][2]))
         self._keep(self.pending, waiting[len(ready):])
         passed = sum(1 for v in versions if v[0] < watermark_us)
-        self._keep(self.versions, versions[max(passed - 1, 0):])
+        if passed > 1:
+            self.versions.put(versions[passed - 1:])
         if len(waiting) > len(ready):
             self._wake_at(waiting[len(ready)][0])
         if out:
