@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions.slices import DEFAULT_SLICE, _swept, names, slice_of, with_halo, with_neighbours
 from tidemark.functions.units import instant, micros
+from tidemark.session import durable
 
 _AGGREGATES = {"sum": F.sum, "max": F.max, "min": F.min, "avg": F.avg, "count": F.count}
 
@@ -128,6 +129,8 @@ def percentile(
             F.when(small | F.lit(q >= 1 - margin), F.col("_max")).otherwise(F.col("_b")[1]).alias("_high"),
         )
     )
+    # A written table has a known size: a small one goes to the rows, which then are not shuffled.
+    groups = durable(groups, "brackets")
     placed = rows.join(groups, by).filter(F.col("_v") <= F.col("_high"))
     # Everything below the bracket collapses into one entry per group before the shuffle.
     entry = F.when(F.col("_v") >= F.col("_low"), F.col("_v"))

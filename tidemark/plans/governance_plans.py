@@ -105,7 +105,7 @@ def field_versions(t):
     """Each customer is a subject, each order one of its schema versions, each line item a field of it."""
     versions = t.orders.select("o_orderkey", F.col("o_custkey").alias("subject"))
     fields = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey"), F.concat(F.lit("f"), "l_linenumber").alias("field")).agg(
-        F.max("l_returnflag").alias("flag"), F.max("l_linestatus").alias("status"))
+        F.chr(F.max(F.ascii("l_returnflag"))).alias("flag"), F.chr(F.max(F.ascii("l_linestatus"))).alias("status"))
     kind = F.when(F.col("flag") == "A", "int").when(F.col("flag") == "N", "long").otherwise("string")
     rows = fields.join(versions, "o_orderkey").select(
         "subject", F.col("o_orderkey").alias("version"), "field", kind.alias("type"), (F.col("status") == "O").alias("has_default")

@@ -129,14 +129,15 @@ class SchematizedTable:
         self.path, self.channel, self.offset = path, names(channel), offset
 
     def committed(self, spark: SparkSession, before: int | None = None) -> DataFrame | None:
-        """Highest offset per channel over the batches before ``before``."""
+        """Highest offset per channel after the newest batch, or the newest one before ``before``."""
         ledger = f"{self.path}/offsets"
         if not exists(spark, ledger):
             return None
         offsets = read_batches(spark, ledger)
         if before is not None:
             offsets = offsets.filter(F.col(BATCH) < before)
-        return offsets.groupBy(*self.channel).agg(F.max("committed").alias("committed"))
+        newest = offsets.agg(F.max(BATCH)).first()[0]
+        return None if newest is None else offsets.filter(F.col(BATCH) == newest).drop(BATCH)
 
     def apply(self, batch: DataFrame, batch_id: int) -> None:
         """Rows at or below their channel's committed offset were written before and are left out."""
@@ -149,8 +150,10 @@ class SchematizedTable:
         once = batch.dropDuplicates([*self.channel, self.offset])
         write_batch(once, f"{self.path}/rows", batch_id)
         written = spark.read.parquet(f"{self.path}/rows/{BATCH}={batch_id}")
-        marks = written.groupBy(*self.channel).agg(F.max(self.offset).alias("committed"))
-        write_batch(marks, f"{self.path}/offsets", batch_id)
+        marks = written.select(*self.channel, F.col(self.offset).alias("committed"))
+        marks = marks.unionByName(done) if done is not None else marks
+        # Every batch keeps the offsets of all channels, so the next one reads a single batch.
+        write_batch(marks.groupBy(*self.channel).agg(F.max("committed").alias("committed")), f"{self.path}/offsets", batch_id)
 
     def read(self, spark: SparkSession) -> DataFrame:
         return read_batches(spark, f"{self.path}/rows", merge_schema=True).drop(BATCH)
