@@ -10,7 +10,7 @@ from tidemark.functions import (
 from tidemark.operators import governance as G
 
 NAME_CASES = [
-    ("corebanking.transactions.v1.account-transaction", True), ("Core.transactions.v1.account", False),
+    ("payments.transactions.v1.account-transaction", True), ("Core.transactions.v1.account", False),
     ("core.transactions.1.account", False), ("core.transactions.v1." + "a" * 62, False), ("core.transactions.v1." + "a" * 61, True),
     ("core.transactions.v1", False), ("core.transactions.v1.account.extra", False), ("c.transactions.v1.account", False), ("", False),
 ]
@@ -31,20 +31,20 @@ def test_every_bad_part_is_reported(spark):
 
 
 def test_derived_names(spark):
-    df = spark.createDataFrame([("corebanking.transactions.v1.",)], "t string")
+    df = spark.createDataFrame([("payments.transactions.v1.",)], "t string")
     row = df.select(
-        connector_name(F.lit("mongodb"), "source", "t").alias("c"), table_name("t").alias("n"),
+        connector_name(F.lit("docstore"), "source", "t").alias("c"), table_name("t").alias("n"),
         dead_letter_topic("database", F.lit("x")).alias("d"), split_target(F.lit("a.b.c")).alias("s"),
-        route_topic(F.lit("pg-east.banking.member"), r"pg-east\.banking\.(.+)", "core.$1").alias("r"),
-        route_topic(F.lit("x.pg-east.banking.member"), r"pg-east\.banking\.(.+)", "core.$1").alias("u"),
+        route_topic(F.lit("db1.banking.member"), r"db1\.banking\.(.+)", "core.$1").alias("r"),
+        route_topic(F.lit("x.db1.banking.member"), r"db1\.banking\.(.+)", "core.$1").alias("u"),
         map_topic("t", {}).alias("m"),
-        subject_name(F.lit("org.example.cncb.core.v1"), F.lit("AccountTransaction")).alias("subject"),
+        subject_name(F.lit("org.example.bank.core.v1"), F.lit("AccountTransaction")).alias("subject"),
         subject_name(F.lit("short.ns"), F.lit("A")).alias("short"),
     ).collect()[0]
-    assert row["c"] == "database-mongodb-source-corebanking-transactions-v1"
-    assert (row["n"], row["d"], tuple(row["s"])) == ("corebanking_transactions_v1_", "database.dlq.x", ("a", "b", "c"))
-    assert (row["r"], row["u"], row["m"]) == ("core.member", "x.pg-east.banking.member", "corebanking.transactions.v1.")
-    assert (row["subject"], row["short"]) == ("cncb.core.v1.account-transaction-value", "short.ns.a-value")
+    assert row["c"] == "database-docstore-source-payments-transactions-v1"
+    assert (row["n"], row["d"], tuple(row["s"])) == ("payments_transactions_v1_", "database.dlq.x", ("a", "b", "c"))
+    assert (row["r"], row["u"], row["m"]) == ("core.member", "x.db1.banking.member", "payments.transactions.v1.")
+    assert (row["subject"], row["short"]) == ("bank.core.v1.account-transaction-value", "short.ns.a-value")
 
 
 def test_settings(spark):

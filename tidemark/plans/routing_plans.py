@@ -57,14 +57,14 @@ def _(t):
 
 
 @plan("topic_router", "RTE-3", r"""
-SELECT doc_id, CASE WHEN regexp_full_match(topic, 'pg-east\.banking\.(.+)')
-  THEN regexp_replace(topic, '^pg-east\.banking\.(.+)$', 'core.transactions.v1.\1') ELSE topic END AS topic
-FROM (SELECT doc_id, CASE WHEN lang = 'en' THEN 'pg-east.banking.' ELSE 'other.banking.' END || source AS topic FROM documents)
+SELECT doc_id, CASE WHEN regexp_full_match(topic, 'db1\.banking\.(.+)')
+  THEN regexp_replace(topic, '^db1\.banking\.(.+)$', 'core.transactions.v1.\1') ELSE topic END AS topic
+FROM (SELECT doc_id, CASE WHEN lang = 'en' THEN 'db1.banking.' ELSE 'other.banking.' END || source AS topic FROM documents)
 """)
 def _(t):
-    start = F.when(F.col("lang") == "en", "pg-east.banking.").otherwise("other.banking.")
+    start = F.when(F.col("lang") == "en", "db1.banking.").otherwise("other.banking.")
     named = t.documents.select("doc_id", F.concat(start, F.col("source")).alias("topic"))
-    return named.withColumn("topic", route_topic("topic", r"pg-east\.banking\.(.+)", "core.transactions.v1.$1"))
+    return named.withColumn("topic", route_topic("topic", r"db1\.banking\.(.+)", "core.transactions.v1.$1"))
 
 
 @plan("topic_table_map", "RTE-4", """
