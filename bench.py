@@ -16,7 +16,7 @@ from tidemark.session import local_session  # noqa: E402
 HEADLINE = (
     "tumbling_1m", "tumbling_1h_by_type", "asof_last_view", "asof_account_master", "route_split", "route_overlap",
     "topic_router", "dlq_split", "dlq_envelope", "compact_latest", "apply_changes", "version_history", "dedupe_versions",
-    "resolved_gate", "retention_by_tier", "rate_lookback", "increase_lookback", "state_history", "histogram_p95",
+    "resolved_gate", "retention_by_tier", "rate_5m", "increase_15m", "rate_lookback", "state_history", "histogram_p95",
     "latest_by_group", "percentile_p95", "alerts_sustained", "auth_bursts", "outside_windows", "dr_status",
     "check_name_parts", "plan_bindings", "compat_backward_transitive", "encrypt_roundtrip", "reconcile_roundtrip",
     "offset_lag", "upsert_table", "stream_tumbling_1h",

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tidemark.functions.units import micros, whole_div
 
-DEFAULT_SLICE = "1 hour"
+DEFAULT_SLICE = "15 minutes"
 
 _FRAME_START = Window.unboundedPreceding
 _MERGEABLE = {"sum": F.sum, "min": F.min, "max": F.max, "bit_or": F.bit_or, "bit_and": F.bit_and}
@@ -49,14 +49,15 @@ def scan(
     running: Mapping[str, tuple[str, str]] | None = None,
     before: Mapping[str, tuple[str, str]] | None = None,
     width: str | int = DEFAULT_SLICE,
-    keep_slice: bool = False,
+    peers: bool = False,
 ) -> DataFrame:
     """Add columns computed along each key in (time, order) order.
 
     ``previous`` and ``following`` map new columns to source columns of the neighbouring rows.
     ``running`` maps new columns to (function, source column) over the rows up to and including each
     row, ``before`` over the rows before it. Functions: sum, min, max, bit_or, bit_and, and last (the
-    last non-null value). Use exact types for sums.
+    last non-null value). Use exact types for sums. With ``peers``, ``running`` also takes in the rows
+    that are equal in (time, order).
 
     The input is read twice: once for the summaries, with only the columns they need, and once for
     the rows. Make an expensive input ``durable`` first.
@@ -112,18 +113,18 @@ def scan(
         every = every.unionByName(edge, allowMissingColumns=True)
 
     within = Window.partitionBy(*keys, "_slice").orderBy("_edge", *at)
+    upto = within.rangeBetween(_FRAME_START, 0) if peers else within.rowsBetween(_FRAME_START, 0)
+    earlier = within.rowsBetween(_FRAME_START, -1)
     every = every.withColumns({
         **({"_p": F.lag("_back").over(within)} if previous else {}),
         **({"_n": F.lead("_fwd").over(within)} if following else {}),
-        **{f"{held[n]}_": _folded(fn, held[n]).over(within.rowsBetween(_FRAME_START, 0 if n in (running or {}) else -1))
-           for n, (fn, _) in folds.items()},
+        **{f"{held[n]}_": _folded(fn, held[n]).over(upto if n in (running or {}) else earlier) for n, (fn, _) in folds.items()},
     })
     # Keys come back as aliases of the partitioning columns, so Spark still knows the partitioning.
     return every.filter(F.col("_edge") == 0).select(
         *[F.col(f"_k{key.index(c)}").alias(c) if c in key else F.col(f"_row.{c}") for c in df.columns],
         *[F.col(f"_p.{n}") for n in previous], *[F.col(f"_n.{n}") for n in following],
         *[F.col(f"{held[n]}_").alias(n) for n in folds],
-        *([F.col("_slice")] if keep_slice else []),
     )
 
 
@@ -139,9 +140,9 @@ def _folded(fn: str, column: str) -> Column:
     return F.last(column, ignorenulls=True) if fn == "last" else _MERGEABLE[fn](column)
 
 
-def with_neighbours(df, key, time, order=(), previous=None, following=None, width=DEFAULT_SLICE, keep_slice=False):
+def with_neighbours(df, key, time, order=(), previous=None, following=None, width=DEFAULT_SLICE) -> DataFrame:
     """Values of the previous and the following row of the same key."""
-    return scan(df, key, time, order, previous, following, width=width, keep_slice=keep_slice)
+    return scan(df, key, time, order, previous, following, width=width)
 
 
 def carry_forward(df, key, time, value: str, out: str, order=(), width=DEFAULT_SLICE) -> DataFrame:
@@ -183,14 +184,17 @@ def trailing_sums(
     """Sums of exact columns over the rows of the key in ``(t - lookback, t]``, for every row.
 
     Each row enters the running sum at its time and leaves it one look-back later, so the cost is
-    linear in the rows however many of them a look-back holds.
+    linear in the rows however many of them a look-back holds. A look-back of at most one slice takes
+    one shuffle; a longer one keeps its slices narrow and carries the sums across them.
     """
     key, back = names(key), micros(lookback)
-    rows = with_halo(df.withColumn("_leave", F.unix_micros(time) + F.lit(back)), time, lookback, width)
-    return _swept(rows, key, F.unix_micros(time), F.col("_leave"), sums).drop("_leave")
+    enter, leave = F.unix_micros(time), F.unix_micros(time) + F.lit(back)
+    if back <= micros(width):
+        return swept_in_halo(with_halo(df, time, lookback, width), key, enter, leave, sums)
+    return swept_across(df, key, enter, leave, sums, width)
 
 
-def _swept(rows: DataFrame, key: list[str], enter: Column, leave: Column, sums: Mapping[str, str]) -> DataFrame:
+def swept_in_halo(rows: DataFrame, key: list[str], enter: Column, leave: Column, sums: Mapping[str, str]) -> DataFrame:
     """Running sums over enter and leave marks inside each (key, slice) of haloed rows."""
     original = [c for c in rows.columns if c not in ("_slice", "_home")]
     marks = rows.withColumn(
@@ -200,8 +204,31 @@ def _swept(rows: DataFrame, key: list[str], enter: Column, leave: Column, sums:
             F.struct(leave.alias("at"), F.lit(-1).alias("sign")),
         )),
     )
-    w = Window.partitionBy(*key, "_slice").orderBy("_mark.at", "_mark.sign").rangeBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
+    w = Window.partitionBy(*key, "_slice").orderBy("_mark.at", "_mark.sign").rangeBetween(_FRAME_START, 0)
     marks = marks.withColumns({n: F.sum(F.col(s) * F.col("_mark.sign")).over(w) for n, s in sums.items()})
     return marks.filter(F.col("_home") & (F.col("_mark.sign") == 1)).select(*original, *sums)
+
+
+def swept_across(
+    df: DataFrame, key: list[str], enter: Column, leave: Column, sums: Mapping[str, str], width: str | int
+) -> DataFrame:
+    """The same over narrow slices. Leave marks carry only their key, time and amounts."""
+    rest = F.struct(*df.columns)
+    marks = df.select(
+        *[F.col(k).alias(f"_m{i}") for i, k in enumerate(key)],
+        *[F.col(s).alias(f"_a{i}") for i, s in enumerate(sums.values())],
+        F.explode(F.array(
+            F.struct(enter.alias("at"), F.lit(1).alias("sign"), rest.alias("row")),
+            F.struct(leave.alias("at"), F.lit(-1).alias("sign"), F.lit(None).cast(df.schema).alias("row")),
+        )).alias("_mark"),
+    )
+    marks = marks.select(
+        *[f"_m{i}" for i in range(len(key))], F.col("_mark.at").alias("_at"), F.col("_mark.sign").alias("_sign"),
+        F.when(F.col("_mark.sign") == 1, F.col("_mark.row")).alias("_whole"),
+        *[(F.col(f"_a{i}") * F.col("_mark.sign")).alias(f"_a{i}") for i in range(len(sums))],
+    )
+    out = scan(
+        marks, [f"_m{i}" for i in range(len(key))], "_at", "_sign",
+        running={n: ("sum", f"_a{i}") for i, n in enumerate(sums)}, width=width, peers=True,
+    )
+    return out.filter(F.col("_sign") == 1).select("_whole.*", *sums)

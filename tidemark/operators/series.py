@@ -11,7 +11,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidemark.functions.slices import DEFAULT_SLICE, _swept, names, slice_of, with_halo, with_neighbours
+from tidemark.functions.slices import DEFAULT_SLICE, names, slice_of, swept_across, swept_in_halo, with_halo, with_neighbours
 from tidemark.functions.units import instant, micros
 from tidemark.session import durable
 
@@ -28,12 +28,22 @@ def counter_window(
     neighbouring sample pairs, so each pair enters the running sum with its later sample and leaves
     when its earlier sample leaves the look-back: the work is linear in the samples. With fewer than
     two samples both are null. Sample times are unique within a series.
+
+    A look-back of at most one slice takes one shuffle. For a longer one the pairs are written to the
+    shared folder and the sums carried across narrow slices.
     """
     by, back = names(by), micros(lookback)
-    inside = Window.partitionBy(*by, "_slice").orderBy(F.unix_micros(time))
-    us, before_us = F.unix_micros(time), F.lag(F.unix_micros(time)).over(inside)
-    before = F.lag(F.col(value)).over(inside)
-    rows = with_halo(df, time, back, width).withColumns({"_before": before, "_before_us": before_us})
+    us, short = F.unix_micros(time), back <= micros(width)
+    if short:
+        inside = Window.partitionBy(*by, "_slice").orderBy(F.unix_micros(time))
+        rows = with_halo(df, time, back, width).withColumns(
+            {"_before": F.lag(F.col(value)).over(inside), "_before_us": F.lag(us).over(inside)}
+        )
+    else:
+        rows = with_neighbours(
+            df.withColumn("_us", us), by, time, previous={"_before": value, "_before_us": "_us"}, width=width
+        )
+        rows = durable(rows.drop("_us"), "pairs")
     paired = F.col("_before_us").isNotNull() & (F.col("_before_us") + F.lit(back) > us)
     step = F.when(F.col(value) >= F.col("_before"), F.col(value) - F.col("_before")).otherwise(F.col(value))
     zero = F.lit(0).cast(df.schema[value].dataType)
@@ -42,7 +52,11 @@ def counter_window(
         "_gap": F.when(paired, us - F.col("_before_us")).otherwise(F.lit(0).cast("long")),
         "_leave": F.when(paired, F.col("_before_us") + F.lit(back)).otherwise(us + F.lit(1)),
     }).drop("_before", "_before_us")
-    out = _swept(rows, by, us, F.col("_leave"), {"increase": "_step", "elapsed_us": "_gap"})
+    sums = {"increase": "_step", "elapsed_us": "_gap"}
+    if short:
+        out = swept_in_halo(rows, by, us, F.col("_leave"), sums)
+    else:
+        out = swept_across(rows, by, us, F.col("_leave"), sums, width)
     enough = F.col("elapsed_us") > 0
     return out.withColumns({
         "increase": F.when(enough, F.col("increase")), "elapsed_us": F.when(enough, F.col("elapsed_us")),

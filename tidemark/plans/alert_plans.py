@@ -93,7 +93,7 @@ def _(t):
     samples = t.events.select(
         "event_id", "user_id", "event_type", "ts", (F.col("value") * 1000).alias("value"), F.lit("m").alias("metric"), event_tier().alias("tier")
     )
-    rules = A.rules_table(t.spark, A.consumer_lag_rules("m"))
+    rules = A.consumer_lag_rules("m")
     return A.alert_sustained(samples, rules, ["user_id", "event_type"], max_gap="4 days", order="event_id").drop("hold_s")
 
 

@@ -46,6 +46,22 @@ def _(t):
     return out.select("event_id", "rate", (F.col("rate") * 60.0).alias("per_minute"))
 
 
+@plan("rate_5m", "TS-1", f"""
+WITH {_pairs(_SAMPLES, 'event_type', 300)}
+SELECT event_id, CASE WHEN us > 0 THEN CAST(inc AS DOUBLE) / (CAST(us AS DOUBLE) / 1e6) END AS rate FROM windows
+""")
+def _(t):
+    return S.rate(counters(t), "event_type", "5 minutes").select("event_id", "rate")
+
+
+@plan("increase_15m", "TS-2", f"""
+WITH {_pairs(_SAMPLES, 'event_type', 900)}
+SELECT event_id, CAST(CASE WHEN us > 0 THEN inc END AS BIGINT) AS increase FROM windows
+""")
+def _(t):
+    return S.increase(counters(t), "event_type", "15 minutes").select("event_id", "increase")
+
+
 @plan("series_sums", "AGG-2 AGG-3", f"""
 SELECT event_type, CAST(sum({_C}) AS BIGINT) AS total, max({_C}) AS top FROM events GROUP BY 1
 """)
