@@ -153,8 +153,28 @@ def test_document_strategies(spark, tmp_path):
         table = tables.DocumentTable(f"{tmp_path}/{strategy}", "k", "seq", "ts", "gone", strategy)
         for batch_id, batch in enumerate([first, second, second]):
             table.apply(batch, min(batch_id, 1))
-        got = {r["k"]: (r["a"], r["b"], r["inserted_ts"], r["modified_ts"]) for r in table.read(spark).collect()}
-        assert got == result, strategy
+        for fold in (None, 0, 1, 0):
+            if fold is not None:
+                table.fold(spark, fold)
+            got = {r["k"]: (r["a"], r["b"], r["inserted_ts"], r["modified_ts"]) for r in table.read(spark).collect()}
+            assert got == result, (strategy, fold)
+
+
+def test_keyed_table_folds_at_any_batch(spark, tmp_path):
+    """Folding an early batch late neither loses nor revives rows."""
+    rng = random.Random(3)
+    table = tables.KeyedTable(f"{tmp_path}/t", "k", "id", "gone")
+    state = {}
+    for batch_id in range(4):
+        batch = [(rng.choice("abcdef"), batch_id * 10 + i, rng.random() < 0.3) for i in range(6)]
+        table.apply(spark.createDataFrame(batch, "k string, id long, gone boolean"), batch_id)
+        for k, i, gone in batch:
+            state[k] = None if gone else i
+    want = {k: i for k, i in state.items() if i is not None}
+    for fold in (None, 1, 2, 0, 3):
+        if fold is not None:
+            table.fold(spark, fold)
+        assert {r["k"]: r["id"] for r in table.read(spark).collect()} == want, fold
 
 
 def test_schematized_table_takes_each_offset_once(spark, tmp_path):

@@ -33,7 +33,38 @@ def read_batches(spark: SparkSession, path: str, merge_schema: bool = False) ->
     return spark.read.option("mergeSchema", str(merge_schema).lower()).parquet(path)
 
 
-class KeyedTable:
+class _Foldable:
+    """Batches of changes, and bases that hold the state after a batch.
+
+    A ledger row points to a base only once it is complete; readers take the newest one and the batches
+    after it.
+    """
+
+    path: str
+
+    def _folded(self, spark: SparkSession) -> int | None:
+        ledger = f"{self.path}/ledger"
+        return spark.read.parquet(ledger).agg(F.max("upto")).first()[0] if exists(spark, ledger) else None
+
+    def _parts(self, spark: SparkSession, upto: int | None = None) -> tuple[DataFrame | None, DataFrame]:
+        """(newest base or None, the batches after it), optionally only up to a batch."""
+        changes, folded = read_batches(spark, f"{self.path}/changes"), self._folded(spark)
+        if upto is not None:
+            changes = changes.filter(F.col(BATCH) <= upto)
+        if folded is None:
+            return None, changes
+        base = spark.read.parquet(f"{self.path}/base/upto={folded}").withColumn(BATCH, F.lit(folded))
+        return base, changes.filter(F.col(BATCH) > folded)
+
+    def _write_base(self, spark: SparkSession, state: DataFrame, upto: int) -> None:
+        folded = self._folded(spark)
+        if folded is not None and folded >= upto:
+            return
+        state.write.mode("overwrite").parquet(f"{self.path}/base/upto={upto}")
+        spark.range(1).select(F.lit(upto).cast("int").alias("upto")).write.mode("append").parquet(f"{self.path}/ledger")
+
+
+class KeyedTable(_Foldable):
     """Latest row per key, from a stream of upserts and deletes.
 
     ``order`` decides which of several rows of a key in one batch counts; across batches the later
@@ -46,29 +77,30 @@ class KeyedTable:
     def apply(self, batch: DataFrame, batch_id: int) -> None:
         write_batch(compact(batch, self.key, self.order), f"{self.path}/changes", batch_id)
 
-    def _folded(self, spark: SparkSession) -> int | None:
-        ledger = f"{self.path}/ledger"
-        return spark.read.parquet(ledger).agg(F.max("upto")).first()[0] if exists(spark, ledger) else None
+    def _merged(self, spark: SparkSession, upto: int | None = None) -> DataFrame:
+        """Base rows that no later batch touches, and the latest of the others.
 
-    def _merged(self, spark: SparkSession) -> DataFrame:
-        changes = read_batches(spark, f"{self.path}/changes")
-        upto = self._folded(spark)
-        if upto is not None:
-            base = spark.read.parquet(f"{self.path}/base/upto={upto}").withColumn(BATCH, F.lit(upto))
-            changes = base.unionByName(changes.filter(F.col(BATCH) > upto))
-        return compact(changes, self.key, BATCH, F.col(self.deleted) if self.deleted else None)
+        The base has one row per key and is only tested for presence, so it is not aggregated again;
+        while the changes since then are small, Spark sends their keys to it.
+        """
+        base, changes = self._parts(spark, upto)
+        latest = compact(changes, self.key, BATCH)
+        if base is not None:
+            latest = base.join(latest.select(*self.key), self.key, "left_anti").select(*latest.columns).unionByName(latest)
+        if self.deleted:
+            latest = latest.filter(~F.coalesce(F.col(self.deleted), F.lit(False)))
+        return latest.drop(BATCH)
 
     def read(self, spark: SparkSession) -> DataFrame:
-        return self._merged(spark).drop(BATCH, *([self.deleted] if self.deleted else []))
+        merged = self._merged(spark)
+        return merged.drop(self.deleted) if self.deleted else merged
 
     def fold(self, spark: SparkSession, upto: int) -> None:
-        """Write the state after batch ``upto`` as base; the ledger points to it once it is complete."""
-        merged = self._merged(spark).filter(F.col(BATCH) <= upto).drop(BATCH)
-        merged.write.mode("overwrite").parquet(f"{self.path}/base/upto={upto}")
-        spark.range(1).select(F.lit(upto).cast("int").alias("upto")).write.mode("append").parquet(f"{self.path}/ledger")
+        """Write the state after batch ``upto`` as the new base."""
+        self._write_base(spark, self._merged(spark, upto), upto)
 
 
-class DocumentTable:
+class DocumentTable(_Foldable):
     """Documents by key with insert and modify times.
 
     A row without value (``deleted``) removes the document. ``strategy`` is ``replace`` (the row is the
@@ -85,6 +117,12 @@ class DocumentTable:
         return [c for c in df.columns if c not in (*self.key, self.order, self.time, self.deleted, BATCH)
                 and not c.startswith("_")]
 
+    def _picked(self, column: str, position: Column) -> Column:
+        """The last value, for updates the last non-null one."""
+        if self.strategy == "update":
+            position = F.when(F.col(column).isNotNull(), position)
+        return F.max_by(column, position).alias(column)
+
     def apply(self, batch: DataFrame, batch_id: int) -> None:
         """One row per key and batch: what is left after the batch's last delete of the key."""
         gone = F.lit(True) if self.strategy == "delete" else F.coalesce(F.col(self.deleted), F.lit(False))
@@ -93,34 +131,35 @@ class DocumentTable:
         rows = batch.join(removed, self.key, "left")
         alive = F.col("_removed").isNull() | (F.col(self.order) > F.col("_removed"))
         at = F.when(alive, F.col(self.order))
-        field = {
-            "update": lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), at)),
-            "replace": lambda c: F.max_by(c, at),
-            "delete": lambda c: F.max_by(c, at),
-        }[self.strategy]
         reduced = rows.groupBy(*self.key).agg(
-            *[field(c).alias(c) for c in self._fields(batch)],
-            F.max("_removed").isNotNull().alias("_reset"), (F.max(at).isNull()).alias("_gone"),
+            *[self._picked(c, at) for c in self._fields(batch)],
+            F.max("_removed").isNotNull().alias("_reset"), F.max(at).isNull().alias("_gone"),
             F.min_by(self.time, at).alias("_first"), F.max_by(self.time, at).alias("_last"),
         )
-        write_batch(reduced, self.path, batch_id)
+        write_batch(reduced, f"{self.path}/changes", batch_id)
 
-    def read(self, spark: SparkSession) -> DataFrame:
-        """Batches hold one row per key, so the ordered pass over a key is as long as there are batches."""
-        rows = read_batches(spark, self.path)
+    def _merged(self, spark: SparkSession, upto: int | None = None) -> DataFrame:
+        """A key has one row per batch since the last fold, so the ordered pass over it is that long."""
+        base, rows = self._parts(spark, upto)
+        if base is not None:
+            rows = base.unionByName(rows)
         w = Window.partitionBy(*self.key).orderBy(BATCH)
-        life = F.sum(F.when(F.col("_reset"), 1).otherwise(0)).over(w)
-        rows = rows.withColumn("_life", life)
-        newest = F.max("_life").over(Window.partitionBy(*self.key))
-        rows = rows.withColumn("_newest", newest).filter((F.col("_life") == F.col("_newest")) & ~F.col("_gone"))
-        pick = (lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col(BATCH)))) if self.strategy == "update" else (
-            lambda c: F.max_by(c, BATCH))
-        fields = self._fields(rows)
+        rows = rows.withColumn("_life", F.sum(F.when(F.col("_reset"), 1).otherwise(0)).over(w))
+        rows = rows.withColumn("_newest", F.max("_life").over(Window.partitionBy(*self.key)))
+        rows = rows.filter((F.col("_life") == F.col("_newest")) & ~F.col("_gone"))
         return rows.groupBy(*self.key).agg(
-            *[pick(c).alias(c) for c in fields],
+            *[self._picked(c, F.col(BATCH)) for c in self._fields(rows)],
             F.min_by("_first", BATCH).alias("inserted_ts"), F.max_by("_last", BATCH).alias("modified_ts"),
         )
 
+    def read(self, spark: SparkSession) -> DataFrame:
+        return self._merged(spark)
+
+    def fold(self, spark: SparkSession, upto: int) -> None:
+        """Write the documents after batch ``upto`` as the new base."""
+        state = self._merged(spark, upto).withColumnsRenamed({"inserted_ts": "_first", "modified_ts": "_last"})
+        self._write_base(spark, state.withColumns({"_reset": F.lit(True), "_gone": F.lit(False)}), upto)
+
 
 class SchematizedTable:
     """Append table that gains columns as rows bring them, and takes each channel offset once."""
