@@ -67,8 +67,11 @@ def asof_join(
     rows, versions = keyed(left, left_time, 1), keyed(right, right_time, 0)
     position = F.struct("_t", *held) if held else F.col("_t")
     across = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    matchable = F.col("_t").isNotNull()
+    for k in keys:
+        matchable &= F.col(k).isNotNull()
     starts = (
-        rows.filter(F.col("_t").isNotNull()).select(*keys, "_slice", F.lit(True).alias("_wanted"))
+        rows.filter(matchable).select(*keys, "_slice", F.lit(True).alias("_wanted"))
         .unionByName(versions.drop("_side"), allowMissingColumns=True)
         .groupBy(*keys, "_slice")
         .agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), position)).alias("_v"), F.max("_wanted").alias("_wanted"))
