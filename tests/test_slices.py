@@ -68,7 +68,8 @@ def test_scan_over_numbers(spark):
 @pytest.mark.parametrize("width", ["1 second", "1 minute", "1 hour"])
 def test_trailing_sums(spark, width):
     rows = [(k, t, s, v or 0) for k, t, s, v in events(4)]
-    out = trailing_sums(spark.createDataFrame(rows, SCHEMA), "k", "ts", "45 seconds", {"s": "v"}, width)
+    df = spark.createDataFrame([*rows, ("hot", None, 9999, 5)], SCHEMA)
+    out = trailing_sums(df, "k", "ts", "45 seconds", {"s": "v"}, width)
     got = {r["seq"]: r["s"] for r in out.collect()}
     assert len(got) == len(rows)
     for key, ts, seq, _ in rows:

@@ -185,9 +185,10 @@ def trailing_sums(
 
     Each row enters the running sum at its time and leaves it one look-back later, so the cost is
     linear in the rows however many of them a look-back holds. A look-back of at most one slice takes
-    one shuffle; a longer one keeps its slices narrow and carries the sums across them.
+    one shuffle; a longer one keeps its slices narrow and carries the sums across them. Rows without a
+    time lie in no look-back and are left out.
     """
-    key, back = names(key), micros(lookback)
+    key, back, df = names(key), micros(lookback), df.filter(F.col(time).isNotNull())
     enter, leave = F.unix_micros(time), F.unix_micros(time) + F.lit(back)
     if back <= micros(width):
         return swept_in_halo(with_halo(df, time, lookback, width), key, enter, leave, sums)

@@ -27,12 +27,12 @@ def counter_window(
     A value below its predecessor is a counter reset and counts from zero. Both columns are sums over
     neighbouring sample pairs, so each pair enters the running sum with its later sample and leaves
     when its earlier sample leaves the look-back: the work is linear in the samples. With fewer than
-    two samples both are null. Sample times are unique within a series.
+    two samples both are null. Sample times are unique within a series; a row without a time is no sample.
 
     A look-back of at most one slice takes one shuffle. For a longer one the pairs are written to the
     shared folder and the sums carried across narrow slices.
     """
-    by, back = names(by), micros(lookback)
+    by, back, df = names(by), micros(lookback), df.filter(F.col(time).isNotNull())
     us, short = F.unix_micros(time), back <= micros(width)
     if short:
         inside = Window.partitionBy(*by, "_slice").orderBy(F.unix_micros(time))
