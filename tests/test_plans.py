@@ -40,3 +40,8 @@ def test_shuffles(spark, name, exchanges):
 def test_scan_reads_only_used_columns(spark):
     text = Tables(spark, FOLDER).events.groupBy("event_type").count()._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<event_type:string>" in text
+
+
+@pytest.mark.parametrize("name", ["typed_contract", "decode_payloads"])
+def test_text_is_parsed_once(spark, name):
+    assert physical(spark, name).count("from_json(") == 1

@@ -25,10 +25,14 @@ MESSAGE_LIMIT = 1024
 
 
 def decode_json(df: DataFrame, schema: T.StructType, value: str = "value", out: str = "decoded") -> DataFrame:
-    """Parse JSON text to typed columns; text that does not fit is kept in the corrupt column."""
+    """Parse JSON text to typed columns; text that does not fit is kept in the corrupt column.
+
+    The one-element explode makes the parsed value a column of its own. Otherwise the optimizer merges
+    the projections and parses the text again for every field that is read from it.
+    """
     wide = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
-    return df.withColumn(out, F.from_json(value, wide, options))
+    return df.withColumn(out, F.explode(F.array(F.from_json(value, wide, options))))
 
 
 def split_decodable(

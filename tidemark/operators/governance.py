@@ -73,15 +73,18 @@ def schema_fields(schemas: DataFrame, document: str = "document") -> DataFrame:
 
 def check_schemas(schemas: DataFrame, organisation: str, document: str = "document") -> DataFrame:
     """Structure and namespace checks. ``organisation`` is the namespace root, such as ``org.example``."""
-    doc = F.col(document)
     pattern = "^" + organisation.replace(".", r"\.") + r"\.[a-z][a-z0-9-]*\.[a-z][a-z0-9-]*\.v[0-9]+$"
-    kind, ns = F.get_json_object(doc, "$.type"), F.get_json_object(doc, "$.namespace")
-    name = F.get_json_object(doc, "$.name")
-    items = F.from_json(F.get_json_object(doc, "$.fields"), "array<map<string,string>>")
+    doc = F.col(document)
+    # The one-element explode reads each document once instead of once per check.
+    parsed = schemas.withColumn("_d", F.explode(F.array(F.struct(
+        F.get_json_object(doc, "$.type").alias("kind"), F.get_json_object(doc, "$.namespace").alias("ns"),
+        F.get_json_object(doc, "$.name").alias("name"), F.try_parse_json(doc).isNull().alias("broken"),
+        F.from_json(F.get_json_object(doc, "$.fields"), "array<map<string,string>>").alias("items"),
+    ))))
+    kind, ns, name, broken, items = (F.col(f"_d.{c}") for c in ("kind", "ns", "name", "broken", "items"))
     blank = F.coalesce(ns, F.lit("")) == ""
     untyped = F.filter(items, lambda f: ~F.map_contains_key(f, "type"))
     unnamed = F.filter(items, lambda f: ~F.map_contains_key(f, "name"))
-    broken = F.try_parse_json(doc).isNull()
     errors = _errors(
         (broken, "invalid JSON"),
         (~broken & ~kind.eqNullSafe(F.lit("record")), "type must be record"),
@@ -92,7 +95,7 @@ def check_schemas(schemas: DataFrame, organisation: str, document: str = "docume
         (F.size(untyped) > 0, "field without type"),
         (~broken & ~blank & ~ns.rlike(pattern), "namespace does not match"),
     )
-    return _with_verdict(schemas, errors)
+    return _with_verdict(parsed, errors).drop("_d")
 
 
 # Primitive types and, for each, the written types its reader accepts.

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark.functions.slices import names
@@ -22,6 +22,11 @@ def _packed(columns: Sequence[str]) -> Column:
     return F.to_json(F.struct(*columns), _TIME_FORMAT)
 
 
+def _unpacked(column: str, schema: T.StructType) -> Column:
+    """The packed columns again; the one-element explode keeps the text from being parsed once per field."""
+    return F.explode(F.array(F.from_json(column, schema, _TIME_FORMAT)))
+
+
 def _key_text(columns: Sequence[str]) -> Column:
     return F.to_json(F.array(*[F.col(c).cast("string") for c in columns]), {"ignoreNullFields": "false"})
 
@@ -131,9 +136,9 @@ def asof_join_stream(
         _AsOf(), "left string, right string", "Append", "EventTime"
     )
     right_type = right.select(*take).schema
-    return joined.select(
-        F.from_json("left", left.schema, _TIME_FORMAT).alias("_l"), F.from_json("right", right_type, _TIME_FORMAT).alias("_r")
-    ).select("_l.*", "_r.*")
+    return joined.select(_unpacked("left", left.schema).alias("_l"), "right").select(
+        "_l.*", _unpacked("right", right_type).alias("_r")
+    ).select(*left.columns, "_r.*")
 
 
 class _Gate(StatefulProcessor):
@@ -188,7 +193,7 @@ def release_resolved_stream(
     gated = data.unionByName(marks).groupBy("k", "part").transformWithStateInPandas(
         _Gate(), "payload string", "Append", "None"
     )
-    return gated.select(F.from_json("payload", rows.schema, _TIME_FORMAT).alias("_r")).select("_r.*")
+    return gated.select(_unpacked("payload", rows.schema).alias("_r")).select("_r.*")
 
 
 class _Lateness(StatefulProcessor):
@@ -213,4 +218,4 @@ def split_late(df: DataFrame, time: str, parts: int = 64) -> DataFrame:
         _part(df.columns, parts).alias("part"), F.unix_micros(time).alias("us"), _packed(df.columns).alias("payload")
     )
     marked = packed.groupBy("part").transformWithStateInPandas(_Lateness(), "payload string, late boolean", "Append", "EventTime")
-    return marked.select(F.from_json("payload", df.schema, _TIME_FORMAT).alias("_r"), "late").select("_r.*", "late")
+    return marked.select(_unpacked("payload", df.schema).alias("_r"), "late").select("_r.*", "late")
