@@ -160,7 +160,7 @@ def percentile(
         value_at(F.floor("_rank")).alias("_a"), value_at(F.ceil("_rank")).alias("_b"), F.first("_rank").alias("_rank")
     )
     between = F.col("_rank") - F.floor("_rank")
-    answer = F.col("_a") * (F.lit(1.0) - between) + F.col("_b") * between
+    answer = F.col("_a") + (F.col("_b") - F.col("_a")) * between
     missed = F.raise_error(F.lit("percentile bracket missed the rank")).cast("double")
     return ends.select(*[c for c in by if c != "_all"], F.coalesce(answer, missed).alias(out))
 
