@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, minhash, secret_scan, simhash, tokens, urls
+from tidemark.llm import decontaminate, minhash, mixing, quality, secret_scan, simhash, tokens, toxicity, urls
 
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 
@@ -31,6 +31,18 @@ def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.count_tokens(_table(spark, folder, "documents"), "doc_id", "text", f"{TOKENIZERS}/word_bpe_49k.json", 2048)
 
 
+def op5_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(_table(spark, folder, "documents"), "doc_id", "text", "source")
+
+
+def op6_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.classify(_table(spark, folder, "documents"), _table(spark, folder, "labels"), "doc_id", "text")
+
+
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.classify(_table(spark, folder, "documents"), _table(spark, folder, "labels"), "doc_id", "text")
+
+
 def op9_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge(_table(spark, folder, "pages"), "page_id", "url")
 
@@ -41,7 +53,8 @@ def op10_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFram
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_secret_scans, op2_document_fingerprints, op3_minhash_near_dedup, op4_token_counts, op9_url_filters, op10_benchmark_decontamination,
+    op1_secret_scans, op2_document_fingerprints, op3_minhash_near_dedup, op4_token_counts, op5_source_mixing,
+    op6_quality_classifier, op7_toxicity, op9_url_filters, op10_benchmark_decontamination,
 )}
 
 SQL: dict[str, str] = {}

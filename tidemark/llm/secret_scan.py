@@ -10,6 +10,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidemark.llm.common import stored
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -132,12 +134,20 @@ def scan_versions(versions: DataFrame, path: str, content: str, ledger: DataFram
     return findings_by_path(versions, path, content, known), new, ledger_rows(blobs, rules)
 
 
-def redacted(text: Column, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRET]") -> Column:
-    """The text with every match of the kept length replaced; a null stays null."""
-    out = text
-    for rule in rules:
-        if rule.group:
-            out = F.regexp_replace(out, F.lit(rule.pattern.replace("]+)", f"]{{{rule.least},}}+)")), F.lit(mark))
-        else:
-            out = F.regexp_replace(out, F.lit(rule.pattern), F.lit(mark))
-    return out
+def without_secrets(docs: DataFrame, key: str, text: str, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRET]") -> DataFrame:
+    """The documents, all rows and columns, with the spans found in their text replaced; overlapping spans by one mark.
+
+    Each distinct text is scanned once. Texts without secrets, null ones too, stay as they are.
+    """
+    spans = scan_blobs(unseen_blobs(docs.select(F.col(text).alias("content")), "content", None, rules), rules)
+    before = Window.partitionBy("blob").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.withColumn("reach", F.coalesce(F.max("end").over(before), F.lit(0))).where("end > reach")
+    spans = spans.groupBy("blob").agg(F.sort_array(F.collect_list(F.struct(F.greatest("start", "reach").alias("start"), "end"))).alias("spans"))
+    spans = stored(spans, "spans")
+    whole, cuts = docs[text], spans["spans"]
+    ends = F.concat(F.array(F.lit(0).cast("bigint")), F.transform(cuts, lambda s: s["end"]))
+    starts = F.concat(F.transform(cuts, lambda s: s["start"]), F.array(F.length(whole).cast("bigint")))
+    pieces = F.zip_with(ends, starts, lambda e, s: F.substring(whole, e.cast("int") + 1, (s - e).cast("int")))
+    cut = F.when(cuts.isNotNull(), F.array_join(pieces, mark)).otherwise(whole)
+    joined = docs.join(spans, blob_name(whole) == spans["blob"], "left")
+    return joined.select(*[cut.alias(c) if c == text else docs[c] for c in docs.columns])
