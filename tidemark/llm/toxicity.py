@@ -7,19 +7,20 @@ next to a word that reports speech counts as quoted; next to a form of "you" as
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.llm.common import slices
 from tidemark.llm.labels import held_out, training_sample
 
 WORD = re.compile(r"\w+")
-STEM_LENGTHS = range(4, 8)
+STEM_LENGTHS = range(4, 9)
 # Marks and words that decide the context of a hit.
 QUOTES = re.compile(r"[\"“”„«»‘’]")
 REPORTING = frozenset("said says saying quote quoted quotes called wrote sagte sagt schrieb zitat dit écrit citation dijo dice escribió cita".split())
@@ -44,6 +45,7 @@ class Term:
     text: str
     stem: bool
     weight: float
+    several: float = 0.0  # the weight of two or more different words of a stem
 
     @property
     def reach(self) -> int:
@@ -123,69 +125,87 @@ def _context(text: str, start: int, end: int) -> str:
 
 
 def features(lexicon: Lexicon, texts: list[str]) -> np.ndarray:
-    """For each text: summed weights of exact hits, near hits, quoted hits and aimed hits, exact hits a hundred words, near ones."""
+    """For each text: the evidence of its terms (capped, logged), near hits, quoted terms, aimed hits, evidence for
+    the length.
+
+    A term's evidence is its weight, or ``several`` where two of its words occur; terms that occur in quotations only
+    are counted apart.
+    """
     low = [t.lower() for t in texts]
     found = [WORD.findall(t) for t in low]
     seen = [set(f) for f in found]
-    hits = lexicon.look(list(set().union(*seen)) if seen else [])
+    hits = lexicon.look(list(set().union(*seen))) if seen else {}
     out = np.zeros((len(texts), FEATURES))
     for i, own in enumerate(seen):
-        mine = {w for w in own if w in hits} if hits else None
+        mine = hits.keys() & own
         if not mine:
             continue
-        total = np.zeros(FEATURES)
+        open_, quoted, near, aimed = {}, {}, set(), 0
         for m in WORD.finditer(low[i]):
             if m[0] in mine:
                 number, apart = hits[m[0]]
-                weight = lexicon.terms[number].weight
                 kind = _context(low[i], m.start(), m.end())
-                if kind == "quoted":
-                    total[2] += weight
+                if apart:
+                    near.add(m[0])
+                elif kind == "quoted":
+                    quoted.setdefault(number, set()).add(m[0])
                 else:
-                    total[1 if apart else 0] += weight
-                    total[5 if apart else 4] += 1
-                    total[3] += weight * (kind == "aimed")
-        n = len(found[i])
-        out[i] = [*np.log1p(total[:4]), *np.log1p(100 * total[4:] / n)]
+                    open_.setdefault(number, set()).add(m[0])
+                    aimed += kind == "aimed"
+        weigh = lambda terms: sum(lexicon.terms[n].several if len(w) > 1 else lexicon.terms[n].weight for n, w in terms.items())
+        evidence = weigh(open_)
+        apart_only = weigh({n: w for n, w in quoted.items() if n not in open_})
+        out[i] = [min(evidence, 30) / 10, *np.log1p([evidence, len(near), apart_only, aimed, 20 * evidence / len(found[i])])]
     return out
 
 
 def learn_lexicon(sample: DataFrame, support: float = 0.02, most: int = 2000) -> list[Term]:
     """Words and stems that many toxic documents of the sample have and next to no others; ``most`` bounds the list.
 
-    A term needs ``support`` of the toxic documents (3 at least), a rate 100 times that of the others, and counts that
-    chance would not give. A stem also needs five different words, none of which is more than half of what it finds;
-    words it covers, and longer stems, are left out.
+    A term needs ``support`` of the toxic documents (3 at least), a rate 20 times that of the others, and counts that
+    chance would not give. For a stem the documents count that have two of its words; it needs five different ones,
+    none of which is more than half of what it finds. Of terms that start alike the most telling one is kept.
     """
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = [list(set(words_of(t or ""))) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(words, pa.list_(pa.string()))], names=["label", "words"])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("label"), pa.array(words, pa.list_(pa.string()))], names=["d", "label", "words"])
 
-    bags = sample.select("label", "text").mapInArrow(counted, "label int, words array<string>")
+    kind = sample.schema["key"].dataType.simpleString()
+    bags = sample.select("key", "label", "text").mapInArrow(counted, f"d {kind}, label int, words array<string>")
     sizes = {r["label"]: r["count"] for r in bags.groupBy("label").count().collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic or not clean:
         return []
-    words = bags.select("label", F.monotonically_increasing_id().alias("d"), F.explode("words").alias("word")).where("length(word) >= 3")
+    words = bags.select("label", "d", F.explode("words").alias("word")).where("length(word) >= 3")
     stems = F.array(*[F.when(F.length("word") > n, F.substring("word", 1, n)) for n in STEM_LENGTHS])
     entries = words.select("label", "d", "word", F.col("word").alias("term"), F.lit(False).alias("stem")).union(
         words.select("label", "d", "word", F.explode(F.array_compact(stems)).alias("term"), F.lit(True).alias("stem")))
-    per_doc = entries.select("label", "d", "term", "stem").distinct()
-    counts = per_doc.groupBy("term", "stem").agg(F.sum("label").alias("x"), F.sum(1 - F.col("label")).alias("y"))
+    per_doc = entries.groupBy("label", "d", "term", "stem").agg(F.count("*").alias("n"))
+    docs_with = lambda label, test: F.sum(((F.col("label") == label) & test).cast("int"))
+    once, more = F.col("n") == 1, F.col("n") > 1
+    counts = per_doc.groupBy("term", "stem").agg(
+        docs_with(1, once).alias("x1"), docs_with(0, once).alias("y1"), docs_with(1, more).alias("x2"), docs_with(0, more).alias("y2"))
     by_word = entries.where("stem AND label = 1").groupBy("term", "word").agg(F.count("*").alias("n"))
     spread = by_word.groupBy("term").agg(F.count("*").alias("variants"), F.max("n").alias("top")).withColumn("stem", F.lit(True))
-    x, y = F.col("x"), F.col("y")
-    odds = ((x + 0.5) / (toxic + 1)) / ((y + 0.5) / (clean + 1))
-    expected = (x + y) * toxic / (toxic + clean)
-    surprise = 2 * x * F.log(x / expected)  # the term's part of the likelihood ratio
-    chosen = counts.where(x >= max(3, support * toxic)).withColumns({"odds": odds, "surprise": surprise}).where((F.col("odds") >= 100) & (F.col("surprise") >= 40))
-    chosen = chosen.join(spread, ["term", "stem"], "left").where(~F.col("stem") | ((F.col("variants") >= 5) & (F.col("top") <= x / 2)))
-    chosen = chosen.orderBy(F.desc("x"), "term", "stem").limit(most)
+
+    def odds(x: str, y: str) -> Column:
+        return ((F.col(x) + 0.5) / (toxic + 1)) / ((F.col(y) + 1) / (clean + 2))
+
+    x = F.when(F.col("stem"), F.col("x2")).otherwise(F.col("x1"))
+    y = F.when(F.col("stem"), F.col("y2")).otherwise(F.col("y1"))
+    surprise = 2 * x * F.log(x * (toxic + clean) / ((x + y) * toxic))  # the term's part of the likelihood ratio
+    chosen = counts.withColumns({"x": x, "one": odds("x1", "y1"), "two": odds("x2", "y2"), "surprise": surprise})
+    best = F.when(F.col("stem"), F.col("two")).otherwise(F.col("one"))
+    chosen = chosen.where((F.col("x") >= max(3, support * toxic)) & (best >= 20) & (F.col("surprise") >= 40))
+    chosen = chosen.join(spread, ["term", "stem"], "left")
+    chosen = chosen.where(~F.col("stem") | ((F.col("variants") >= 5) & (F.col("top") <= (F.col("x1") + F.col("x2")) / 2)))
+    chosen = chosen.withColumn("value", F.col("surprise") * F.log(best)).orderBy(F.desc("value"), F.desc(F.length("term")), "term", "stem").limit(most)
     terms: list[Term] = []
-    for r in sorted(chosen.collect(), key=lambda r: (not r["stem"], len(r["term"]), r["term"])):
-        if not any(t.stem and r["term"].startswith(t.text) for t in terms):
-            terms.append(Term(r["term"], r["stem"], float(np.log(r["odds"]))))
+    for r in chosen.collect():
+        related = any(t.text.startswith(r["term"]) or (t.stem and r["term"].startswith(t.text)) for t in terms if t.stem or r["stem"])
+        if not related:
+            terms.append(Term(r["term"], r["stem"], max(0.0, math.log(r["one"])), math.log(r["two"] if r["stem"] else r["one"])))
     return terms
 
 
@@ -231,7 +251,7 @@ def train(sample: DataFrame, support: float = 0.02) -> Model | None:
 
 
 def classify(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str = "toxic", parts: int = 4, part: int = 2, threshold: float = 0.3, per_class: int = 3000) -> DataFrame:
-    """(key, held_out, score, predicted, hits) of every row; ``hits`` is how many hundredths of words are exact hits, logged.
+    """(key, held_out, score, predicted, evidence) of every row; ``evidence`` is the logged sum of its terms' weights.
 
     Lexicon and weights come from at most ``per_class`` labelled rows of each label outside the fold; where nothing can
     be learnt every score is 0. Null texts are empty; a text without hits has the model's lowest score. Repeated rows stay.
@@ -248,8 +268,8 @@ def classify(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str
                 for a, b in slices(batch.column("text")):
                     x = features(lexicon, [t or "" for t in batch.column("text").slice(a, b - a).to_pylist()])
                     scores[a:b] = 1 / (1 + np.exp(-np.clip(x @ model.weights + model.offset, -30, 30)))
-                    rates[a:b] = x[:, 4]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(scores), pa.array(rates)], names=["key", "score", "hits"])
+                    rates[a:b] = x[:, 1]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(scores), pa.array(rates)], names=["key", "score", "evidence"])
 
-    scored = rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, score double, hits double")
-    return scored.select(F.col("key").alias(key), held_out(F.col("key"), parts, part).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "hits")
+    scored = rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, score double, evidence double")
+    return scored.select(F.col("key").alias(key), held_out(F.col("key"), parts, part).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence")
