@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, minhash, mixing, quality, secret_scan, simhash, tokens, toxicity, urls
+from tidemark.llm import decontaminate, minhash, mixing, quality, secret_scan, simhash, suffixes, tokens, toxicity, urls
 
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 
@@ -43,6 +43,10 @@ def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.classify(_table(spark, folder, "documents"), _table(spark, folder, "labels"), "doc_id", "text")
 
 
+def op8_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffixes.remove_repeats(_table(spark, folder, "documents"), "doc_id", "text")
+
+
 def op9_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge(_table(spark, folder, "pages"), "page_id", "url")
 
@@ -54,7 +58,7 @@ def op10_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFram
 
 QUERIES = {f.__name__: f for f in (
     op1_secret_scans, op2_document_fingerprints, op3_minhash_near_dedup, op4_token_counts, op5_source_mixing,
-    op6_quality_classifier, op7_toxicity, op9_url_filters, op10_benchmark_decontamination,
+    op6_quality_classifier, op7_toxicity, op8_suffix_array_dedup, op9_url_filters, op10_benchmark_decontamination,
 )}
 
 SQL: dict[str, str] = {}
