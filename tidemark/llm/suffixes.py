@@ -132,8 +132,11 @@ def _exchange(packed: DataFrame, parts: int) -> DataFrame:
 
 def _both(packed: DataFrame, repeated: DataFrame, owners: DataFrame | None = None) -> DataFrame:
     """The rows of each part: texts (kind 0), repeated names (1), owners (2)."""
-    rows = packed.select("part", F.lit(0).alias("kind"), "key", "name", "data").unionByName(repeated.select("part", F.lit(1).alias("kind"), "data"), allowMissingColumns=True)
-    return rows if owners is None else rows.unionByName(owners.select("part", F.lit(2).alias("kind"), F.col("bucket").alias("key"), "data"), allowMissingColumns=True)
+    def others(df: DataFrame, kind: int, key: Column) -> DataFrame:  # without nulls, which would make floats of the keys
+        return df.select("part", F.lit(kind).alias("kind"), key.cast("bigint").alias("key"), F.lit(b"").alias("name"), "data")
+
+    rows = packed.select("part", F.lit(0).alias("kind"), "key", "name", "data").union(others(repeated, 1, F.lit(0)))
+    return rows if owners is None else rows.union(others(owners, 2, F.col("bucket")))
 
 
 def _strings_of(rows: pd.DataFrame) -> _Strings:
