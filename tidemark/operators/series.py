@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import datetime
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -29,8 +31,8 @@ def counter_window(
     when its earlier sample leaves the look-back: the work is linear in the samples. With fewer than
     two samples both are null. Sample times are unique within a series; a row without a time is no sample.
 
-    A look-back of at most one slice takes one shuffle. For a longer one the pairs are written to the
-    shared folder and the sums carried across narrow slices.
+    A look-back of at most one slice takes one shuffle. For a longer one the pairs (key, time and value alone) are
+    written to the shared folder and the sums carried across narrow slices; other columns are joined on by key and time.
     """
     by, back, df = names(by), micros(lookback), df.filter(F.col(time).isNotNull())
     us, short = F.unix_micros(time), back <= micros(width)
@@ -40,9 +42,8 @@ def counter_window(
             {"_before": F.lag(F.col(value)).over(inside), "_before_us": F.lag(us).over(inside)}
         )
     else:
-        rows = with_neighbours(
-            df.withColumn("_us", us), by, time, previous={"_before": value, "_before_us": "_us"}, width=width
-        )
+        narrow = df.select(*by, time, value).withColumn("_us", us)  # no other column is written or carried
+        rows = with_neighbours(narrow, by, time, previous={"_before": value, "_before_us": "_us"}, width=width)
         rows = durable(rows.drop("_us"), "pairs")
     paired = F.col("_before_us").isNotNull() & (F.col("_before_us") + F.lit(back) > us)
     step = F.when(F.col(value) >= F.col("_before"), F.col(value) - F.col("_before")).otherwise(F.col(value))
@@ -57,6 +58,10 @@ def counter_window(
         out = swept_in_halo(rows, by, us, F.col("_leave"), sums)
     else:
         out = swept_across(rows, by, us, F.col("_leave"), sums, width)
+        if set(df.columns) - {*by, time, value}:
+            found = out.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate([*by, time])], *sums)
+            same = [df[c].eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate([*by, time])]
+            out = df.join(found, reduce(and_, same)).select(*df.columns, *sums)
     enough = F.col("elapsed_us") > 0
     return out.withColumns({
         "increase": F.when(enough, F.col("increase")), "elapsed_us": F.when(enough, F.col("elapsed_us")),
@@ -117,52 +122,47 @@ def reduce_last(
 
 
 def percentile(
-    df: DataFrame, q: float, by: str | Sequence[str], value: str = "value", out: str = "p", accuracy: int = 10000
+    df: DataFrame, q: float, by: str | Sequence[str], value: str = "value", out: str = "p", bins: int = 4096
 ) -> DataFrame:
-    """Exact percentile by group, interpolated between the two nearest values.
+    """Exact percentile by group, interpolated between the two nearest values; null values are left out.
 
-    An approximate quantile on each side of the wanted rank brackets it. Rows below the bracket are only
-    counted, and only the values inside it (a few in ``accuracy``) are put in order, so a large group
-    never has to fit into one task. Groups of up to a hundred times ``accuracy`` rows are ordered whole.
-    Should the bracket miss the rank, the job fails instead of answering.
+    The range of a group's values is cut into ``bins`` and counted, the bin of the wanted rank is the next range, until
+    a range is one value. Every round is one aggregation that combines before the shuffle, and no task holds more than
+    the bins of a group, however large the group is. A range's ends are bins of their own, so every round gets on.
     """
     by = names(by) or ["_all"]
     rows = df if "_all" not in by else df.withColumn("_all", F.lit(0))
     rows = rows.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
-    margin = 2.0 / accuracy
-    bracket = F.array(F.lit(max(q - margin, 0.0)), F.lit(min(q + margin, 1.0)))
     rank = (F.col("_n") - 1).cast("double") * F.lit(float(q))
-    small = F.col("_n") <= 100 * accuracy
-    groups = (
-        rows.groupBy(*by)
-        .agg(F.count("*").alias("_n"), F.percentile_approx("_v", bracket, accuracy).alias("_b"),
-             F.min("_v").alias("_min"), F.max("_v").alias("_max"))
-        .select(
-            *by, rank.alias("_rank"),
-            F.when(small | F.lit(q <= margin), F.col("_min")).otherwise(F.col("_b")[0]).alias("_low"),
-            F.when(small | F.lit(q >= 1 - margin), F.col("_max")).otherwise(F.col("_b")[1]).alias("_high"),
-        )
-    )
+    state = rows.groupBy(*by).agg(F.count("*").alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
     # A written table has a known size: a small one goes to the rows, which then are not shuffled.
-    groups = durable(groups, "brackets")
-    placed = rows.join(groups, by).filter(F.col("_v") <= F.col("_high"))
-    # Everything below the bracket collapses into one entry per group before the shuffle.
-    entry = F.when(F.col("_v") >= F.col("_low"), F.col("_v"))
-    counts = placed.groupBy(*by, "_rank", entry.alias("_v")).agg(F.count("*").alias("_c"))
-    ordered = Window.partitionBy(*by).orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    counts = counts.withColumn("_end", F.sum("_c").over(ordered))
-
-    def value_at(target: Column) -> Column:
-        mine = (F.col("_end") > target) & (F.col("_end") - F.col("_c") <= target)
-        return F.max(F.when(mine, F.col("_v")))
-
-    ends = counts.groupBy(*by).agg(
-        value_at(F.floor("_rank")).alias("_a"), value_at(F.ceil("_rank")).alias("_b"), F.first("_rank").alias("_rank")
-    )
+    state = durable(state.select(*by, rank.alias("_rank"), F.floor(rank).alias("_target"), "_low", "_high"), "ranges")
+
+    def to_rows(groups: DataFrame) -> DataFrame:
+        same = [F.col(f"_g{i}").eqNullSafe(rows[c]) for i, c in enumerate(by)]
+        named = groups.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(by)], *[c for c in groups.columns if c not in by])
+        return rows.join(named, reduce(and_, same)).drop(*[f"_g{i}" for i in range(len(by))])
+
+    while state.filter("_low < _high").limit(1).count():
+        inside = to_rows(state.filter("_low < _high")).filter((F.col("_v") >= F.col("_low")) & (F.col("_v") <= F.col("_high")))
+        part = (F.col("_v") - F.col("_low")) / (F.col("_high") - F.col("_low")) * F.lit(float(bins))
+        place = F.when(F.col("_v") == F.col("_low"), -1).when(F.col("_v") == F.col("_high"), bins)
+        place = place.otherwise(F.when(F.isnan(part), 0).otherwise(F.least(F.floor(part), F.lit(bins - 1))).cast("int"))
+        counts = inside.groupBy(*by, "_rank", "_target", place.alias("_bin")).agg(
+            F.count("*").alias("_c"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+        ordered = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
+        counts = counts.withColumn("_end", F.sum("_c").over(ordered))
+        chosen = counts.filter((F.col("_end") > F.col("_target")) & (F.col("_end") - F.col("_c") <= F.col("_target")))
+        chosen = chosen.withColumn("_target", F.col("_target") - (F.col("_end") - F.col("_c"))).select(*state.columns)
+        state = durable(state.filter("_low = _high").union(chosen), "ranges")
+
+    above = F.col("_v") > F.col("_low")
+    ends = to_rows(state.select(*by, "_rank", "_low")).groupBy(*by, "_rank", "_low").agg(
+        F.count(F.when(~above, 1)).alias("_upto"), F.min(F.when(above, F.col("_v"))).alias("_next"))
+    upper = F.when(F.ceil("_rank") < F.col("_upto"), F.col("_low")).otherwise(F.col("_next"))
     between = F.col("_rank") - F.floor("_rank")
-    answer = F.col("_a") + (F.col("_b") - F.col("_a")) * between
-    missed = F.raise_error(F.lit("percentile bracket missed the rank")).cast("double")
-    return ends.select(*[c for c in by if c != "_all"], F.coalesce(answer, missed).alias(out))
+    answer = F.when(between == 0, F.col("_low")).otherwise(F.col("_low") + (upper - F.col("_low")) * between)
+    return ends.select(*[c for c in by if c != "_all"], answer.alias(out))
 
 
 def approx_percentile(df: DataFrame, q: float, by: str | Sequence[str], value: str = "value", out: str = "p",
@@ -264,7 +264,8 @@ def state_history(
     same = F.col("_first") & F.col("_before").isNotNull() & F.col("_before.s").eqNullSafe(F.col(state))
     laned = laned.withColumn("_change", ~same)
     point = F.when(F.col("_change"), F.col(time)).otherwise(F.col("_next"))
-    later = F.first(point, ignorenulls=True).over(edge.rowsBetween(1, Window.unboundedFollowing))
+    back = Window.partitionBy(*key, "_lane").orderBy(*[F.desc(c) for c in ("_slice", F.unix_micros(time), *order)])
+    later = F.last(point, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1))
     laned = laned.withColumn("until", F.coalesce("_next", F.when(~F.col("_inner"), later)))
     return laned.filter("_change").select(*key, F.col(time).alias("since"), "until", state)
 

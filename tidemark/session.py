@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
-_fallback: dict[str, str] = {}
+_marked: set[str] = set()
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "tidemark") -> SparkSession:
@@ -28,14 +27,21 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """This application's folder for working tables, which goes when the application ends.
+
+    It is in the folder named by ``spark.checkpoint.dir``; where that is unset, in the warehouse folder, which the
+    executors share as well.
+    """
     named = spark.sparkContext.getConf().get(CHECKPOINT_KEY) or spark.conf.get(CHECKPOINT_KEY, None)
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _fallback:
-        _fallback[app] = tempfile.mkdtemp(prefix="tidemark-")
-    return _fallback[app]
+    parent = (named or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+    folder = f"{parent}/working-{spark.sparkContext.applicationId}"
+    if folder not in _marked:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        store.mkdirs(at)  # only what exists can be marked
+        store.deleteOnExit(at)
+        _marked.add(folder)
+    return folder
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
