@@ -1,6 +1,6 @@
 """Changes, errors, privacy, reconciliation, schemas."""
 
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 from decimal import Decimal
 
 import pytest
@@ -40,6 +40,39 @@ def test_resolved_of_several_streams(spark):
     assert C.release_resolved(rows, marks.filter("s = 'z'")).count() == 0
 
 
+def test_resolved_holds_feeds_without_a_mark(spark):
+    rows = spark.createDataFrame([(i, s) for i in range(10) for s in "xyz"], "updated long, s string")
+    marks = spark.createDataFrame([("x", 7), ("x", 9), ("y", 4)], "s string, resolved long")
+    assert C.release_resolved(rows, marks, stream="s").count() == 0
+    assert C.release_resolved(rows.filter("s <> 'z'"), marks, stream="s").count() == 10
+    own = C.release_resolved(rows, marks, stream="s", rule="feed").groupBy("s").count().collect()
+    assert {r["s"]: r["count"] for r in own} == {"x": 10, "y": 5}
+    with pytest.raises(ValueError):
+        C.release_resolved(rows, marks, stream="s", rule="fastest")
+
+
+def test_poll_keeps_rows_that_arrive_after_the_position(spark, tmp_path):
+    at = datetime(2024, 1, 1)
+    schema = "ts timestamp, id long"
+    spark.createDataFrame([(at, 1), (at, 2), (None, 3)], schema).write.parquet(f"{tmp_path}/t")
+    table = spark.read.schema(schema).parquet(f"{tmp_path}/t")
+    first, position = poll_increment(table, "ts", "id")
+    spark.createDataFrame([(at, 4)], schema).write.mode("append").parquet(f"{tmp_path}/t")
+    table = spark.read.schema(schema).parquet(f"{tmp_path}/t")
+    last = position.collect()[0]
+    assert sorted(r["id"] for r in first.collect()) == [1, 2, 3] and last["id"] == 2
+    assert [r["id"] for r in poll_increment(table, "ts", "id", last)[0].collect()] == [4]
+
+
+def test_dead_letters_are_counted_once(spark):
+    from tidemark.operators.errors import dlq_increase
+
+    start = datetime(2024, 1, 1)
+    rows = [("a.dlq", start + timedelta(hours=i), i) for i in range(24)] + [("a", start, 5)]
+    got = dlq_increase(spark.createDataFrame(rows, "topic string, ts timestamp, value long"), r".*\.dlq", "1 day", "1 day").collect()
+    assert [(r["samples"], r["records"], r["per_second"]) for r in got] == [(23, 23, 23 / 86400)]
+
+
 def test_flatten_change_variants(spark):
     schema = "op string, before struct<k:int>, after struct<k:int>"
     df = spark.createDataFrame([("c", None, (1,)), ("u", (1,), (2,)), ("d", (2,), None), (None, None, None)], schema)

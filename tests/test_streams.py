@@ -1,7 +1,7 @@
 """Streams against their batch form, with disorder, late rows, duplicates and restarts."""
 
 import random
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
@@ -225,7 +225,9 @@ def test_topic_options(spark, tmp_path):
     with pytest.raises(ValueError):
         kafka_options("h:1")
     put(spark, f"{tmp_path}/in", rows(8, 10), 1)
-    late = read_topic(spark, f"{tmp_path}/in", SCHEMA + ", part int", start="latest")
+    with pytest.raises(ValueError):
+        read_topic(spark, f"{tmp_path}/in", SCHEMA, start="latest")
+    late = read_topic(spark, f"{tmp_path}/in", SCHEMA + ", part int", start=datetime.now(timezone.utc))
     put(spark, f"{tmp_path}/in", [(99, "z", START, 1.0)], 1)
     drained(run_to_parquet(late, f"{tmp_path}/out", f"{tmp_path}/cp"))
     assert [r["id"] for r in spark.read.schema(SCHEMA).parquet(f"{tmp_path}/out").collect()] == [99]

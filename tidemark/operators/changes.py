@@ -73,17 +73,24 @@ def apply_changes(
 
 def release_resolved(
     rows: DataFrame, resolved: DataFrame, updated: str = "updated", mark: str = "resolved",
-    stream: str | None = None,
+    stream: str | None = None, rule: str = "slowest",
 ) -> DataFrame:
     """Rows at or below the resolved time: nothing earlier can still arrive.
 
-    With several resolved streams (``stream`` names the column) the slowest one decides.
+    With several feeds (``stream`` names the column in both tables) ``rule`` says whether the slowest feed decides for
+    all, or each ``feed`` for itself as in the streaming form. A feed that has rows and no mark yet holds: itself under
+    ``feed``, everything under ``slowest``.
     """
-    if stream:
-        newest = resolved.groupBy(stream).agg(F.max(mark).alias(mark))
-    else:
-        newest = resolved.agg(F.max(mark).alias(mark))
-    gate = newest.agg(F.min(mark)).scalar()
+    if rule not in ("slowest", "feed"):
+        raise ValueError(f"unknown rule {rule!r}")
+    if not stream:
+        return rows.filter(F.col(updated) <= resolved.agg(F.max(mark).alias(mark)).scalar())
+    newest = resolved.groupBy(stream).agg(F.max(mark).alias("_gate"))
+    if rule == "feed":
+        named = newest.withColumnRenamed(stream, "_feed")
+        return rows.join(named, F.col(stream) == F.col("_feed")).filter(F.col(updated) <= F.col("_gate")).select(rows.columns)
+    feeds = newest if stream not in rows.columns else newest.join(rows.select(stream).distinct(), stream, "full")
+    gate = feeds.agg(F.when(F.count(F.when(F.col("_gate").isNull(), 1)) == 0, F.min("_gate"))).scalar()
     return rows.filter(F.col(updated) <= gate)
 
 

@@ -27,12 +27,46 @@ MESSAGE_LIMIT = 1024
 def decode_json(df: DataFrame, schema: T.StructType, value: str = "value", out: str = "decoded") -> DataFrame:
     """Parse JSON text to typed columns; text that does not fit is kept in the corrupt column.
 
+    Fields that a registered schema gives a logical type are read by it: a time as the number of milli- or
+    microseconds that is sent, a date as the number of days, either also as ISO text. A record is corrupt as well if
+    such a value is neither, if a field without default that must not be null is, and if an enumeration has a foreign
+    symbol. This holds for the fields of the record itself, not for those of records inside it.
+
     The one-element explode makes the parsed value a column of its own. Otherwise the optimizer merges
     the projections and parses the text again for every field that is read from it.
     """
-    wide = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+    sent = [T.StructField(f.name, T.StringType() if "wire" in f.metadata else f.dataType) for f in schema.fields]
+    wide = T.StructType([*sent, T.StructField(CORRUPT, T.StringType())])
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
-    return df.withColumn(out, F.explode(F.array(F.from_json(value, wide, options))))
+    parsed = df.withColumn(out, F.explode(F.array(F.from_json(value, wide, options))))
+    special = [f for f in schema.fields if f.metadata]
+    if not any({"wire", "required", "symbols"} & f.metadata.keys() for f in special):
+        return parsed
+    whole = F.col(out)
+    typed = {f.name: _from_wire(whole[f.name], f.metadata["wire"]) if "wire" in f.metadata else whole[f.name] for f in schema.fields}
+    wrong = F.lit(False)
+    for f in special:
+        if f.metadata.get("required"):
+            wrong = wrong | whole[f.name].isNull()
+        if "symbols" in f.metadata:
+            wrong = wrong | ~F.coalesce(whole[f.name].isin(f.metadata["symbols"]), F.lit(True))
+        if "wire" in f.metadata:
+            wrong = wrong | (whole[f.name].isNotNull() & typed[f.name].isNull())
+    corrupt = F.coalesce(whole[CORRUPT], F.when(wrong, F.col(value).cast("string")))
+    fields = [c.alias(n) for n, c in typed.items()]
+    return parsed.withColumn(out, F.when(whole.isNotNull(), F.struct(*fields, corrupt.alias(CORRUPT))))
+
+
+def _from_wire(text: Column, logical: str) -> Column:
+    """The value of a logical type from its number or from ISO text; null if it is neither."""
+    number = F.when(text.rlike(r"\A-?[0-9]{1,18}\z"), text).try_cast("bigint")
+    if logical == "timestamp-millis":
+        return F.coalesce(F.timestamp_millis(number), F.when(number.isNull(), text.try_cast("timestamp")))
+    if logical == "timestamp-micros":
+        return F.coalesce(F.timestamp_micros(number), F.when(number.isNull(), text.try_cast("timestamp")))
+    if logical == "date":
+        return F.coalesce(F.date_from_unix_date(number.try_cast("int")), F.when(number.isNull(), text.try_cast("date")))
+    return text
 
 
 def split_decodable(
@@ -117,14 +151,19 @@ def foreach_record(
 def dlq_increase(df: DataFrame, pattern: str, lookback: str, span: str, time: str = "ts", value: str = "value") -> DataFrame:
     """Dead-lettered records per time span, over topics whose whole name matches ``pattern``.
 
-    Each sample contributes its counter increase over the look-back; samples without a predecessor in
-    it are left out.
+    The counter's step from the sample before, if that is less than ``lookback`` old, counts once, in the span in which
+    it ends; a value below the one before it counts from zero. ``per_second`` is the sum over the span's length.
     """
+    from tidemark.functions.slices import with_neighbours
+    from tidemark.functions.units import micros
     from tidemark.operators.routing import match_labels
-    from tidemark.operators.series import increase
 
-    chosen = match_labels(df, regex={"topic": pattern})
-    grown = increase(chosen, "topic", lookback, time, value).filter(F.col("increase").isNotNull())
-    return grown.groupBy(F.window(time, span).start.alias("day")).agg(
-        F.count("*").alias("samples"), F.sum("increase").alias("records")
+    chosen = match_labels(df, regex={"topic": pattern}).filter(F.col(time).isNotNull()).select("topic", time, value)
+    us = F.unix_micros(time)
+    rows = with_neighbours(chosen.withColumn("_us", us), ["topic"], time, previous={"_before": value, "_before_us": "_us"})
+    rows = rows.filter(F.col("_before_us") + F.lit(micros(lookback)) > us)
+    step = F.when(F.col(value) >= F.col("_before"), F.col(value) - F.col("_before")).otherwise(F.col(value))
+    return rows.withColumn("_step", step).groupBy(F.window(time, span).start.alias("since")).agg(
+        F.count("*").alias("samples"), F.sum("_step").alias("records"),
+        (F.sum("_step").cast("double") / F.lit(micros(span) / 1e6)).alias("per_second"),
     )

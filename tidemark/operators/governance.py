@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -172,22 +173,37 @@ def _presence(scanned: DataFrame, group: list[str], width: int, others: list[Col
     })
 
 
+MODES = ("NONE", *(m + t for m in ("BACKWARD", "FORWARD", "FULL") for t in ("", "_TRANSITIVE")))
+
+
+def check_compatibility_by_subject(fields: DataFrame, modes: DataFrame, subject: str = "subject", width: int = 1000) -> DataFrame:
+    """The same with a mode for each subject, from ``modes`` (subject, ``compatibility``); subjects without one pass as NONE."""
+    chosen = fields.join(modes.select(subject, F.col("compatibility").alias("_mode")), subject, "left")
+    chosen = chosen.withColumn("_mode", F.coalesce("_mode", F.lit("NONE")))
+    parts = [check_compatibility(chosen.filter(F.col("_mode") == m).drop("_mode"), m, subject, width).withColumn("mode", F.lit(m)) for m in MODES]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def check_compatibility(fields: DataFrame, mode: str, subject: str = "subject", width: int = 1000) -> DataFrame:
     """Compatibility of every schema version with the one before it, or with all before it.
 
     ``fields`` has one row per (subject, version, field) with ``type``, ``has_default`` and optionally
-    ``symbols``. Modes: BACKWARD and FULL, each also ``_TRANSITIVE``. Rules: a reader field that the
+    ``symbols``. Modes: BACKWARD (the new version reads the old ones), FORWARD (the old ones read the new) and FULL
+    (both), each also ``_TRANSITIVE``, and NONE, which passes everything. Rules: a reader field that the
     writer lacks needs a default; types may only change by numeric or string/bytes promotion; a reader's
-    enumeration holds every written symbol. The first version of a subject always passes. Other Avro
+    enumeration holds every written symbol. ``type_changes`` counts fields, each once. The first version of a subject always passes. Other Avro
     rules (aliases, unions, nested records) are not checked: such types must be equal.
 
     Versions are ordered integers; ``width`` is the range of them that one task takes of a subject.
     Intermediate tables go to the shared folder.
     """
-    if mode not in ("BACKWARD", "BACKWARD_TRANSITIVE", "FULL", "FULL_TRANSITIVE"):
+    if mode not in MODES:
         raise ValueError(f"unsupported mode {mode!r}")
+    if mode == "NONE":
+        none = [F.lit(0).cast("long").alias(n) for n in ("missing_default", "removed_required", "type_changes", "symbol_changes")]
+        return fields.select(subject, "version").distinct().select("*", *none, F.lit(True).alias("compatible"))
     against = "all" if mode.endswith("_TRANSITIVE") else "previous"
-    full = mode.startswith("FULL")
+    backward, forward = not mode.startswith("FORWARD"), not mode.startswith("BACKWARD")
     enums = "symbols" in fields.columns
     text = F.when(F.col("symbols").isNotNull(), F.lit("enum")).otherwise(F.col("type")) if enums else F.col("type")
     base = fields.withColumn("_type", text)
@@ -208,10 +224,12 @@ def check_compatibility(fields: DataFrame, mode: str, subject: str = "subject",
     unread = F.col("_written").bitwiseAND(F.bitwise_not("_accepts")) != 0
     unreadable = F.col("_readers").bitwiseAND(F.col("_bit")) == 0
     renamed = (F.col("_bit") == _OTHER) & ((F.col("_low") != F.col("_type")) | (F.col("_high") != F.col("_type")))
-    out = _presence(scanned, [subject], width, [
-        F.count_if(comparable & F.coalesce(unread | renamed, F.lit(False))).alias("type_backward"),
-        F.count_if(comparable & F.coalesce(unreadable | renamed, F.lit(False))).alias("type_forward"),
-    ])
+    broken = renamed
+    if backward:
+        broken = broken | unread
+    if forward:
+        broken = broken | unreadable
+    out = _presence(scanned, [subject], width, [F.count_if(comparable & F.coalesce(broken, F.lit(False))).alias("type_broken")])
     symbol_back = symbol_fwd = F.lit(0)
     if enums:
         group = [subject, "field"]
@@ -224,10 +242,10 @@ def check_compatibility(fields: DataFrame, mode: str, subject: str = "subject",
         out = out.join(seen, [subject, "version"], "left")
         symbol_back, symbol_fwd = F.coalesce("symbols_gone", F.lit(0)), F.coalesce("symbols_new", F.lit(0))
     counts = {
-        "missing_default": F.col(f"new_vs_{against}"),
-        "removed_required": F.col(f"gone_vs_{against}") if full else F.lit(0),
-        "type_changes": F.greatest("type_backward", "type_forward") if full else F.col("type_backward"),
-        "symbol_changes": symbol_back + symbol_fwd if full else symbol_back,
+        "missing_default": F.col(f"new_vs_{against}") if backward else F.lit(0),
+        "removed_required": F.col(f"gone_vs_{against}") if forward else F.lit(0),
+        "type_changes": F.col("type_broken"),
+        "symbol_changes": (symbol_back if backward else F.lit(0)) + (symbol_fwd if forward else F.lit(0)),
     }
     out = out.select(subject, "version", *[c.cast("long").alias(n) for n, c in counts.items()])
     total = sum((F.col(n) for n in counts), F.lit(0))

@@ -121,27 +121,23 @@ v AS (SELECT subject, version, lag(version) OVER (PARTITION BY subject ORDER BY
 """
 
 
-def _compat(pairs: str, full: bool) -> str:
-    """SQL of the compatibility check, comparing each version with the writers in ``pairs``."""
-    removed = """(SELECT count(DISTINCT o.field) FROM f o JOIN p ON p.subject = o.subject AND p.writer = o.version
-  WHERE p.subject = v.subject AND p.version = v.version AND NOT o.has_default
-    AND o.field NOT IN (SELECT field FROM f n WHERE n.subject = v.subject AND n.version = v.version))"""
-    changed = "o.type <> n.type" + ("" if full else " AND NOT (n.type = 'long' AND o.type = 'int')")
-    # In a FULL check a numeric widening still breaks readers of the old schema.
+def _compat(pairs: str, back: bool, fwd: bool) -> str:
+    """SQL of the compatibility check, comparing each version with the writers in ``pairs``, from the rules as stated."""
+    broken = " OR ".join(["(back AND %s)" % str(back).lower(), "(fwd AND %s)" % str(fwd).lower()])
     return f"""
 WITH {_FIELDS}, p AS ({pairs}),
 added AS (SELECT p.subject, p.version, count(DISTINCT n.field) AS k FROM p JOIN f n ON n.subject = p.subject AND n.version = p.version
   WHERE NOT n.has_default AND NOT EXISTS (SELECT 1 FROM f o WHERE o.subject = p.subject AND o.version = p.writer AND o.field = n.field) GROUP BY ALL),
-typed AS (SELECT p.subject, p.version, {'greatest(count(DISTINCT n.field) FILTER (back), count(DISTINCT n.field) FILTER (fwd))' if full else 'count(DISTINCT n.field) FILTER (back)'} AS k
+typed AS (SELECT subject, version, count(DISTINCT field) FILTER ({broken}) AS k
   FROM (SELECT p.*, n.field, o.type <> n.type AND NOT (n.type = 'long' AND o.type = 'int') AS back, o.type <> n.type AND NOT (o.type = 'long' AND n.type = 'int') AS fwd
-        FROM p JOIN f n ON n.subject = p.subject AND n.version = p.version JOIN f o ON o.subject = p.subject AND o.version = p.writer AND o.field = n.field) n
-  JOIN p ON p.subject = n.subject AND p.version = n.version AND p.writer = n.writer GROUP BY ALL),
+        FROM p JOIN f n ON n.subject = p.subject AND n.version = p.version JOIN f o ON o.subject = p.subject AND o.version = p.writer AND o.field = n.field)
+  GROUP BY ALL),
 gone AS (SELECT p.subject, p.version, count(DISTINCT o.field) AS k FROM p JOIN f o ON o.subject = p.subject AND o.version = p.writer
   WHERE NOT o.has_default AND NOT EXISTS (SELECT 1 FROM f n WHERE n.subject = p.subject AND n.version = p.version AND n.field = o.field) GROUP BY ALL)
-SELECT v.subject, v.version, coalesce(added.k, 0) AS missing_default, {'coalesce(gone.k, 0)' if full else 'CAST(0 AS BIGINT)'} AS removed_required,
-  coalesce(typed.k, 0) AS type_changes,
-  coalesce(added.k, 0) + {'coalesce(gone.k, 0)' if full else '0'} + coalesce(typed.k, 0) = 0 AS compatible
-FROM v LEFT JOIN added USING (subject, version) LEFT JOIN typed USING (subject, version) LEFT JOIN gone USING (subject, version)
+SELECT subject, version, missing_default, removed_required, type_changes, missing_default + removed_required + type_changes = 0 AS compatible FROM (
+SELECT v.subject, v.version, {'coalesce(added.k, 0)' if back else 'CAST(0 AS BIGINT)'} AS missing_default,
+  {'coalesce(gone.k, 0)' if fwd else 'CAST(0 AS BIGINT)'} AS removed_required, coalesce(typed.k, 0) AS type_changes
+FROM v LEFT JOIN added USING (subject, version) LEFT JOIN typed USING (subject, version) LEFT JOIN gone USING (subject, version))
 """
 
 
@@ -149,19 +145,18 @@ _PREVIOUS = "SELECT subject, version, previous AS writer FROM v WHERE previous I
 _ALL = "SELECT a.subject, a.version, b.version AS writer FROM v a JOIN v b ON a.subject = b.subject AND b.version < a.version"
 
 
-@plan("compat_backward", "GOV-5", _compat(_PREVIOUS, False))
-def _(t):
-    return G.check_compatibility(field_versions(t), "BACKWARD", width=100000).drop("symbol_changes")
-
+def _checked(name: str, mode: str, sql: str) -> None:
+    @plan(name, "GOV-5", sql)
+    def _(t):
+        return G.check_compatibility(field_versions(t), mode, width=100000).drop("symbol_changes")
 
-@plan("compat_backward_transitive", "GOV-5", _compat(_ALL, False))
-def _(t):
-    return G.check_compatibility(field_versions(t), "BACKWARD_TRANSITIVE", width=100000).drop("symbol_changes")
 
-
-@plan("compat_full_transitive", "GOV-5", _compat(_ALL, True))
-def _(t):
-    return G.check_compatibility(field_versions(t), "FULL_TRANSITIVE", width=100000).drop("symbol_changes")
+_checked("compat_backward", "BACKWARD", _compat(_PREVIOUS, True, False))
+_checked("compat_backward_transitive", "BACKWARD_TRANSITIVE", _compat(_ALL, True, False))
+_checked("compat_forward", "FORWARD", _compat(_PREVIOUS, False, True))
+_checked("compat_forward_transitive", "FORWARD_TRANSITIVE", _compat(_ALL, False, True))
+_checked("compat_full", "FULL", _compat(_PREVIOUS, True, True))
+_checked("compat_full_transitive", "FULL_TRANSITIVE", _compat(_ALL, True, True))
 
 
 @plan("effective_settings", "GOV-6", f"""

@@ -260,9 +260,11 @@ def _(t):
 
 
 @plan("dlq_rate", "DLQ-5", f"""
-WITH {_pairs(f"SELECT event_id, 'database.dlq.' || event_type || '-' || user_id AS topic, ts, {_C} AS value FROM events WHERE event_type IN ('error', 'signup')", 'topic', 86400)},
-p AS (SELECT * FROM windows WHERE regexp_full_match(topic, 'database\\.dlq\\.error-.*') AND us > 0)
-SELECT date_trunc('day', ts) AS day, count(*) AS samples, CAST(sum(CAST(inc AS BIGINT)) AS BIGINT) AS records FROM p GROUP BY 1
+WITH c AS (SELECT event_id, 'database.dlq.' || event_type || '-' || user_id AS topic, ts, {_C} AS value FROM events WHERE event_type IN ('error', 'signup')),
+s AS (SELECT *, lag(value) OVER w AS was, lag(ts) OVER w AS before FROM c WHERE regexp_full_match(topic, 'database\\.dlq\\.error-.*') WINDOW w AS (PARTITION BY topic ORDER BY ts, event_id))
+SELECT since, samples, records, CAST(records AS DOUBLE) / 86400.0 AS per_second FROM (
+SELECT date_trunc('day', ts) AS since, count(*) AS samples, CAST(sum(CASE WHEN value >= was THEN value - was ELSE value END) AS BIGINT) AS records
+FROM s WHERE before > ts - INTERVAL 1 DAY GROUP BY 1)
 """)
 def _(t):
     from tidemark.operators.errors import dlq_increase

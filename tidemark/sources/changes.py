@@ -8,6 +8,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 
 from tidemark.functions.units import instant
+from tidemark.session import durable
 
 
 def flatten_change(df: DataFrame, deletes: str = "rewrite", tombstones: str = "keep") -> DataFrame:
@@ -63,8 +64,10 @@ def poll_increment(
 ) -> tuple[DataFrame, DataFrame]:
     """(rows strictly after the last (timestamp, id) pair, one-row table with the next pair).
 
-    ``last`` has ``ts`` and ``id``; without it everything is read. Deletes are not seen. The predicate
-    is a plain comparison, so it is pushed to a JDBC or parquet scan.
+    ``last`` has ``ts`` and ``id``; without it everything is read. Deletes are not seen. The next pair is fixed (and
+    written) before the rows are read, and bounds them: a row that arrives in between is above it and comes with the
+    next poll. The predicate is a plain comparison, so it is pushed to a JDBC or parquet scan. Rows without a time
+    have no position and are read with the first poll only.
     """
     rows = table
     if last is not None and last["ts"] is not None:
@@ -73,7 +76,10 @@ def poll_increment(
         i = F.lit(last["id"]).cast(table.schema[id_col].dataType)
         rows = table.filter((F.col(ts_col) >= ts) & ((F.col(ts_col) > ts) | (F.col(id_col) > i)))
     mark = F.max(F.struct(F.col(ts_col).alias("ts"), F.col(id_col).alias("id")))
-    return rows, rows.agg(mark.alias("_m")).select("_m.*")
+    position = durable(rows.agg(mark.alias("_m")).select("_m.*"), "position")
+    end_ts, end_id = position.select("ts").scalar(), position.select("id").scalar()
+    upto = (F.col(ts_col) < end_ts) | ((F.col(ts_col) == end_ts) & (F.col(id_col) <= end_id))
+    return rows.filter(upto if last is not None and last["ts"] is not None else upto | F.col(ts_col).isNull()), position
 
 
 def read_jdbc(spark: SparkSession, url: str, table: str, driver: str, fetch: int = 10240, **options) -> DataFrame:

@@ -42,15 +42,27 @@ def _type(declared) -> tuple[T.DataType, bool]:
     return _type(kind)
 
 
+def _logical_name(declared) -> str | None:
+    branches = declared if isinstance(declared, list) else [declared]
+    return next((b["logicalType"] for b in branches if isinstance(b, dict) and "logicalType" in b), None)
+
+
 def _field(declared: dict) -> T.StructField:
     kind, nullable = _type(declared["type"])
     metadata: dict = {}
+    logical = _logical_name(declared["type"])
+    if logical in _LOGICAL:
+        metadata["wire"] = logical
+    if "default" not in declared and not nullable:
+        metadata["required"] = True
     if declared.get("doc") == "PII":
         metadata["pii"] = True
     if "default" in declared and declared["default"] is not None:
         metadata["default"] = json.dumps(declared["default"])
-    if isinstance(declared["type"], dict) and "symbols" in declared["type"]:
-        metadata["symbols"] = declared["type"]["symbols"]
+    branches = declared["type"] if isinstance(declared["type"], list) else [declared["type"]]
+    for branch in branches:
+        if isinstance(branch, dict) and "symbols" in branch:
+            metadata["symbols"] = branch["symbols"]
     return T.StructField(declared["name"], kind, nullable, metadata)
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import datetime, timezone
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -39,12 +39,10 @@ def read_topic(
 ) -> DataFrame:
     """A topic kept as files, read as a stream with a fixed schema.
 
-    ``start`` is ``earliest``, ``latest`` (files written after this call), or a time after which files
-    count; a query that restarts passes the time it first started at. ``max_per_batch`` bounds the
-    files of one micro-batch.
+    ``start`` is ``earliest`` or a time after which files count; a query that restarts passes the time it first
+    started at. "Latest" is not offered: it would mean another time after a restart, and files that came meanwhile
+    would be lost. ``max_per_batch`` bounds the files of one micro-batch.
     """
-    if start == "latest":
-        start = datetime.now(timezone.utc)
     if start != "earliest" and not isinstance(start, datetime):
         raise ValueError(f"unknown start {start!r}")
     reader = spark.readStream.format(fmt).schema(schema)
