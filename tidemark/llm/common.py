@@ -21,21 +21,23 @@ _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
 @contextlib.contextmanager
-def released(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files of the jobs inside go when each job's result is in its table."""
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """The session has these settings inside."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The same rows from a table in the shared folder; what was shuffled for it is given up."""
+def stored(df: DataFrame, name: str, with_settings: dict[str, str] | None = None) -> DataFrame:
+    """The same rows from a table in the shared folder; the shuffle files of the job go when the table is there."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    with released(spark):
+    with settings(spark, {CLEANUP: "true"} | (with_settings or {})):
         df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

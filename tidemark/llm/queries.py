@@ -7,6 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import decontaminate, minhash, mixing, quality, secret_scan, simhash, suffixes, tokens, toxicity, urls
+from tidemark.llm.sql import SQL  # noqa: F401  (beside the queries, for the entry file)
 
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 
@@ -60,5 +61,3 @@ QUERIES = {f.__name__: f for f in (
     op1_secret_scans, op2_document_fingerprints, op3_minhash_near_dedup, op4_token_counts, op5_source_mixing,
     op6_quality_classifier, op7_toxicity, op8_suffix_array_dedup, op9_url_filters, op10_benchmark_decontamination,
 )}
-
-SQL: dict[str, str] = {}
