@@ -5,8 +5,10 @@ A set's signature has ``SLOTS`` slots of 16 bits, cut into ``CHUNKS`` chunks. Of
 indexed under each choice of three of its four slots, and every such pair meets under some key.
 
 Texts with the same set are one class from the start. Inside a key no pairs are listed among classes that are known to
-be connected: each key compares its classes with three of them (the least by three hashes), confirmed links give
-components, and only classes of one key that are still in different components are compared with each other.
+be connected. Each key compares its classes with one of them, the one that shares its keys with most others; each part of
+a key with one, two or three more chunks in common does so with the first by a hash. Confirmed links give components. What is left, classes of one key in
+different components, is compared in blocks of bounded size, each pair under its first key alone, and confirmed where
+sizes, the signature and a longer one of ``WIDE`` slots of 8 bits allow a link.
 """
 
 from __future__ import annotations
@@ -23,9 +25,11 @@ WIDTH = 5
 SLOTS, CHUNKS = 32, 8
 RADIUS = 15  # of sets with similarity 0.85, three in a million differ in more slots
 PERCENT = 85
-HUBS = 3
+BLOCK = 256
+BROADCAST = "64m"
+WIDE, WIDE_RADIUS = 256, 64  # ten in a million differ in more
 _PLACE = constants(WIDTH + 1, 11)
-_SLOT = constants(SLOTS, 13)
+_SLOT = constants(SLOTS + WIDE, 13)
 
 
 def shingle_hashes(column: pa.Array) -> list[np.ndarray]:
@@ -49,21 +53,33 @@ def shingle_hashes(column: pa.Array) -> list[np.ndarray]:
     return out
 
 
-def _signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """(sets, SLOTS) 16-bit slots: the low bits of the least value under each of SLOTS orders."""
+def _least(values: np.ndarray, at: np.ndarray, slot: int) -> np.ndarray:
+    return mixed(np.minimum.reduceat(values * _SLOT[slot] ^ (values >> np.uint64(32)), at))
+
+
+def _signatures(sets: list[np.ndarray], least: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """(sets, SLOTS) slots of 16 bits and (sets, WIDE) of 8: low bits of the least value under each of as many orders.
+
+    Sets of fewer than ``least`` elements have zeros.
+    """
     sizes = np.array([len(s) for s in sets])
-    out = np.zeros((len(sets), SLOTS), np.uint16)
-    full = np.flatnonzero(sizes)
-    if len(full):
-        values = np.concatenate([sets[i] for i in full])
-        at = np.concatenate([[0], np.cumsum(sizes[full])[:-1]])
+    short, wide = np.zeros((len(sets), SLOTS), np.uint16), np.zeros((len(sets), WIDE), np.uint8)
+    full = np.flatnonzero(sizes >= least)
+    for i in range(0, len(full), 256):
+        some = full[i : i + 256]
+        values = np.concatenate([sets[j] for j in some])
+        at = np.concatenate([[0], np.cumsum(sizes[some])[:-1]])
         with np.errstate(over="ignore"):
             for k in range(SLOTS):
-                out[full, k] = mixed(np.minimum.reduceat(values * _SLOT[k] ^ (values >> np.uint64(32)), at)).astype(np.uint16)
-    return out
+                short[some, k] = _least(values, at, k).astype(np.uint16)
+            for k in range(WIDE):
+                wide[some, k] = _least(values, at, SLOTS + k).astype(np.uint8)
+    return short, wide
 
 
-SIGNED = pa.schema([("key", pa.int64()), ("cls", pa.binary()), ("n_shingles", pa.int64()), ("sig", pa.list_(pa.int64()))])
+_LONGS = pa.list_(pa.int64())
+TASK = pa.schema([("task", pa.string()), ("cls", pa.list_(pa.binary())), ("label", pa.binary()), ("pairs", pa.binary())])
+SIGNED = pa.schema([("key", pa.int64()), ("cls", pa.binary()), ("n_shingles", pa.int64()), ("sig", _LONGS), ("wide", _LONGS)])
 
 
 def _class_name(s: np.ndarray) -> bytes:
@@ -73,20 +89,20 @@ def _class_name(s: np.ndarray) -> bytes:
 
 
 def signed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, cls, n_shingles, sig) of every row. Equal sets have equal ``cls``; the empty set's is empty."""
+    """(key, cls, n_shingles, sig, wide) of every row. Equal sets have equal ``cls``; the empty set's is empty."""
     rows = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in slices(batch.column("text")):
                 sets = shingle_hashes(batch.column("text").slice(a, b - a))
-                packed = _signatures(sets).view(np.int64)
+                short, wide = (x.view(np.int64) for x in _signatures(sets))
                 yield pa.RecordBatch.from_arrays([
                     batch.column("key").slice(a, b - a), pa.array([_class_name(s) for s in sets], pa.binary()),
-                    pa.array([len(s) for s in sets], pa.int64()), pa.array(list(packed), pa.list_(pa.int64())),
+                    pa.array([len(s) for s in sets], pa.int64()), pa.array(list(short), _LONGS), pa.array(list(wide), _LONGS),
                 ], schema=SIGNED)
 
-    return rows.mapInArrow(run, "key bigint, cls binary, n_shingles bigint, sig array<bigint>")
+    return rows.mapInArrow(run, "key bigint, cls binary, n_shingles bigint, sig array<bigint>, wide array<bigint>")
 
 
 def _sets(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
@@ -107,18 +123,27 @@ def _sets(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "cls binary, shingles array<bigint>").dropDuplicates(["cls"])
 
 
-def _slots_apart(a: Column, b: Column) -> Column:
-    """Slots that differ: the low bit of each 16-bit lane gathers the lane's bits, and the low bits are counted."""
+def _slots_apart(a: Column, b: Column, longs: int, bits: int) -> Column:
+    """Slots that differ: the low bit of each lane of ``bits`` gathers the lane's bits, and the low bits are counted."""
+    low = sum(1 << lane for lane in range(0, 64, bits))
     total = None
-    for i in range(SLOTS // 4):
+    for i in range(longs):
         x = a[i].bitwiseXOR(b[i])
-        for shift in (8, 4, 2, 1):
+        shift = bits // 2
+        while shift:
             x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
-        n = F.bit_count(x.bitwiseAND(F.lit(0x0001000100010001)))
+            shift //= 2
+        n = F.bit_count(x.bitwiseAND(F.lit(low)))
         total = n if total is None else total + n
     return total
 
 
+def _possible() -> Column:
+    """Whether classes a and b can be similar, by size and signature."""
+    similar = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * PERCENT
+    return similar & (_slots_apart(F.col("sig_a"), F.col("sig_b"), SLOTS // 4, 16) <= RADIUS)
+
+
 def _index_keys(sig: Column) -> Column:
     """The keys of a signature: each chunk (one long of four slots) with one of its slots left out."""
     masks = [(1 << 64) - 1 ^ (0xFFFF << 16 * lane) for lane in range(4)]
@@ -144,51 +169,178 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         labels = step.select("node", "label")
 
 
+def _sets_of(needed: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(cls, shingles) of the classes in ``needed``, read again from the texts.
+
+    Up to ``BROADCAST`` bytes of these, by Spark's estimate, the texts stay where they are; beyond it they are joined by
+    a shuffle.
+    """
+    wanted = stored(needed.join(classes.select("cls", "key"), "cls"), "wanted")
+    return stored(_sets(docs, key, text, wanted), "sets", {"spark.sql.autoBroadcastJoinThreshold": BROADCAST})
+
+
 def _linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
     """The pairs (a, b) whose sets reach the similarity."""
-    needed = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
-    wanted = stored(needed.join(classes.select("cls", "key"), "cls"), "wanted")
-    sets = stored(_sets(docs, key, text, wanted), "sets")
+    pairs = stored(pairs, "pairs")
+    sets = _sets_of(pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct(), classes, docs, key, text)
     left, right = sets.toDF("a", "x"), sets.toDF("b", "y")
     both = pairs.join(left, "a").join(right, "b")
     shared = F.size(F.array_intersect("x", "y"))
     return both.where(100 * shared >= PERCENT * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
 
+def _compared(group: dict[str, np.ndarray]) -> Iterator[tuple[int, int]]:
+    """Pairs of rows of one key and one pair of blocks that can be similar and that meet here first."""
+    sides = np.unique(group["block"])
+    one = np.flatnonzero(group["block"] == sides[0])
+    two = one if len(sides) == 1 else np.flatnonzero(group["block"] == sides[1])
+    if len(sides) == 1 and group["i"][0] != group["j"][0]:
+        return  # the other block is empty
+    n, label = group["n"], group["label"]
+    fits = (label[one][:, None] != label[two]) & (np.minimum(n[one][:, None], n[two]) * 100 >= np.maximum(n[one][:, None], n[two]) * PERCENT)
+    if one is two:
+        fits &= np.triu(np.ones(fits.shape, bool), 1)
+    x, y = (side[i] for side, i in zip((one, two), np.nonzero(fits)))
+    sig, wide = group["sig"], group["wide"]
+    for a in range(0, len(x), 1 << 14):
+        left, right = x[a : a + (1 << 14)], y[a : a + (1 << 14)]
+        same = sig[left] == sig[right]
+        near = same.sum(axis=1) >= SLOTS - RADIUS
+        left, right, same = left[near], right[near], same[near].reshape(-1, CHUNKS, 4)
+        shared = (same.sum(axis=2, keepdims=True) - same == 3).reshape(-1, SLOTS)  # a key leaves one slot of a chunk out
+        here = shared.argmax(axis=1) == group["k"][0]
+        left, right = left[here], right[here]
+        near = (wide[left] != wide[right]).sum(axis=1) <= WIDE_RADIUS
+        yield from zip(left[near].tolist(), right[near].tolist())
+
+
+def _block_pairs(rows: DataFrame) -> DataFrame:
+    """(task, cls, pairs) for classes of one key in different components that can be similar, each pair in one task.
+
+    A key's classes are dealt into blocks of about BLOCK by hash, and a task holds two of them. ``pairs`` numbers the
+    task's classes ``cls``; ``label`` has their components, numbered.
+    """
+    blocks = F.ceil(F.col("members") / BLOCK)
+    block = F.pmod(F.xxhash64("cls", F.lit(5)), blocks)
+    others = F.transform(F.sequence(F.lit(0).cast("bigint"), blocks - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j")))
+    dealt = rows.withColumn("block", block).withColumn("pair", F.explode(others)).select("place", "k", "pair.i", "pair.j", "block", "cls", "label", "n", "sig", "wide")
+    dealt = dealt.repartition("place", "i", "j").sortWithinPartitions("place", "i", "j")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+
+        def pairs(table: pa.Table) -> pa.RecordBatch:
+            numbers = {c: table.column(c).to_numpy() for c in ("place", "i", "j", "block", "k", "n")}
+            longs = {c: table.column(c).combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1) for c in ("sig", "wide")}
+            numbers |= {"sig": longs["sig"].view(np.uint16), "wide": longs["wide"].view(np.uint8)}
+            numbers["label"] = table.column("label").combine_chunks().dictionary_encode().indices.to_numpy()
+            change = np.zeros(table.num_rows, bool)
+            for c in ("place", "i", "j"):
+                change[1:] |= numbers[c][1:] != numbers[c][:-1]
+            cuts = np.append(np.append(0, np.flatnonzero(change)), table.num_rows)
+            cls, out = table.column("cls").to_pylist(), []
+            for start, end in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                found = np.array(list(_compared({c: v[start:end] for c, v in numbers.items()})), np.int32).reshape(-1, 2)
+                if len(found):
+                    used, place = np.unique(found, return_inverse=True)
+                    task = ":".join(str(numbers[c][start]) for c in ("place", "i", "j"))
+                    labels = np.unique(numbers["label"][start + used], return_inverse=True)[1]
+                    out.append((task, [cls[start + u] for u in used], labels.astype(np.int32).tobytes(), place.astype(np.int32).tobytes()))
+            return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(TASK.types)], schema=TASK)
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            held.append(pa.Table.from_batches([batch]))
+            whole = pa.concat_tables(held)
+            last = np.ones(whole.num_rows, bool)
+            for c in ("place", "i", "j"):
+                values = whole.column(c).to_numpy()
+                last &= values == values[-1]
+            begin = int(np.flatnonzero(last)[0])  # the group that may go on
+            if begin:
+                yield pairs(whole.slice(0, begin))
+            held = [whole.slice(begin)]
+        if held:
+            yield pairs(pa.concat_tables(held))
+
+    return dealt.mapInArrow(compare, "task string, cls array<binary>, label binary, pairs binary")
+
+
+def _linked_in_tasks(tasks: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(a, b): links that connect what the pairs of each task connect. A pair already connected in its task is passed over.
+
+    A task gets the sets of its own classes, two blocks of them at most.
+    """
+    tasks = stored(tasks, "tasks")
+    needed = tasks.select("task", F.posexplode("cls").alias("place", "cls"))
+    sets = _sets_of(needed.select("cls").distinct(), classes, docs, key, text)
+    held = needed.join(sets, "cls").groupBy("task").agg(F.sort_array(F.collect_list(F.struct("place", "shingles"))).alias("sets"))
+    both = tasks.join(held, "task").select("cls", "label", "pairs", F.col("sets.shingles").alias("sets"))
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            links: list[tuple[bytes, bytes]] = []
+            for i in range(len(batch)):
+                cls, label, pairs = (batch.column(c)[i].as_py() for c in range(3))
+                sets = [np.asarray(s.values, np.int64) for s in batch.column(3)[i]]
+                parent = np.frombuffer(label, np.int32).tolist()
+
+                def root(x: int, parent: list[int] = parent) -> int:
+                    while parent[x] != x:
+                        parent[x] = parent[parent[x]]
+                        x = parent[x]
+                    return x
+
+                own = parent.copy()
+                parent[:] = range(max(own) + 1)
+                for x, y in np.frombuffer(pairs, np.int32).reshape(-1, 2).tolist():
+                    if root(own[x]) != root(own[y]):
+                        n = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                        if 100 * n >= PERCENT * (len(sets[x]) + len(sets[y]) - n):
+                            parent[root(own[x])] = root(own[y])
+                            links.append((cls[x], cls[y]))
+            yield pa.RecordBatch.from_arrays([pa.array([n[i] for n in links], pa.binary()) for i in (0, 1)], names=["a", "b"])
+
+    return both.mapInArrow(confirm, "a binary, b binary")
+
+
+def _side(df: DataFrame, side: str, *keep: str) -> DataFrame:
+    return df.select(*keep, *[F.col(c).alias(f"{c}_{side}") for c in df.columns if c not in keep])
+
+
 def link(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     """((key, n_shingles, cls) of every row, (node, label) of the classes that are linked with another one)."""
     rows = stored(signed(docs, key, text), "signed")
     # A set differs from a similar one by a shingle at least, so smaller sets than this are similar to equal ones alone.
     least = -(-PERCENT // (100 - PERCENT))
-    classes = rows.where(F.col("n_shingles") >= least).groupBy("cls").agg(F.min("key").alias("key"), F.min("n_shingles").alias("n"), F.min("sig").alias("sig"))
+    classes = rows.where(F.col("n_shingles") >= least).groupBy("cls").agg(
+        F.min("key").alias("key"), F.min("n_shingles").alias("n"), F.min("sig").alias("sig"), F.min("wide").alias("wide"))
     classes = stored(classes, "classes")
-    keyed = classes.select("cls", F.explode(_index_keys(F.col("sig"))).alias("place"))
-    several = keyed.groupBy("place").agg(F.count("*").alias("members")).where("members > 1").select("place")
-    keyed = stored(keyed.join(several, "place"), "keyed")
-    least_by = [F.min(F.struct(F.xxhash64("cls", F.lit(i)), "cls"))["cls"] for i in range(HUBS)]
-    hubs = keyed.groupBy("place").agg(F.array_distinct(F.array(*least_by)).alias("hubs"))
     sized = classes.select("cls", "n", "sig")
-
-    def close(pairs: DataFrame) -> DataFrame:
-        a, b = (sized.select(*[F.col(c).alias(f"{c}_{s}") for c in sized.columns]) for s in "ab")
-        similar = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * PERCENT
-        joined = pairs.join(a, F.col("a") == F.col("cls_a")).join(b, F.col("b") == F.col("cls_b"))
-        return joined.where(similar & (_slots_apart(F.col("sig_a"), F.col("sig_b")) <= RADIUS)).select("a", "b")
-
-    star = keyed.join(hubs, "place").select("cls", F.explode("hubs").alias("hub")).where(F.col("cls") != F.col("hub"))
-    star = stored(close(star.select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).distinct()), "star")
-    edges = stored(_linked(star, classes, docs, key, text), "edges")
+    keyed = classes.select("cls", F.posexplode(_index_keys(F.col("sig"))).alias("k", "place"))
+    several = keyed.groupBy("place").agg(F.count("*").alias("members")).where("members > 1")
+    keyed = stored(keyed.join(several, "place"), "keyed")
+    central = keyed.groupBy("cls").agg(F.sum("members").alias("central"))
+    ranked = stored(keyed.join(central, "cls").join(classes.select("cls", "sig"), "cls"), "ranked")
+    more = [F.element_at("sig", ((F.floor(F.col("k") / 4) + i) % CHUNKS + 1).cast("int")) for i in (1, 2, 3)]
+    star = None
+    for level in range(4):
+        rank = F.col("central") if not level else F.xxhash64("cls", F.lit(level))
+        at = ranked.select("cls", rank.alias("rank"), F.xxhash64("place", *more[:level]).alias("at"))
+        hubs = at.groupBy("at").agg(F.max(F.struct("rank", "cls"))["cls"].alias("hub"))
+        some = at.join(hubs, "at").where(F.col("cls") != F.col("hub")).select(F.least("cls", "hub").alias("cls_a"), F.greatest("cls", "hub").alias("cls_b"))
+        star = some if star is None else star.union(some)
+    star = star.distinct().join(_side(sized, "a"), "cls_a").join(_side(sized, "b"), "cls_b").where(_possible())
+    edges = stored(_linked(star.select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")), classes, docs, key, text), "edges")
     labels = components(edges)
-    marked = keyed.select("place", "cls").join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    mixed_places = marked.groupBy("place").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("place")
-    open_ = stored(marked.join(mixed_places, "place"), "open")
-    x = open_.select("place", F.col("cls").alias("a"), F.col("label").alias("la"))
-    y = open_.select("place", F.col("cls").alias("b"), F.col("label").alias("lb"))
-    rest = x.join(y, "place").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb"))).select("a", "b").distinct()
-    rest = stored(close(rest.join(star, ["a", "b"], "left_anti")), "rest")
-    more = stored(_linked(rest, classes, docs, key, text), "more")
-    if more.limit(1).count():
-        labels = components(edges.union(more))
+    # A key of two classes has been settled by its hub.
+    marked = keyed.where("members > 2").join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    open_ = marked.groupBy("place").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("place")
+    open_ = stored(marked.join(open_, "place").join(classes.select("cls", "n", "sig", "wide"), "cls"), "open")
+    rest = stored(_linked_in_tasks(_block_pairs(open_), classes, docs, key, text), "rest")
+    if rest.limit(1).count():
+        labels = components(edges.union(rest))
     return rows.select("key", "n_shingles", "cls"), labels
 
 
