@@ -19,7 +19,8 @@ HEADLINE = (
     "resolved_gate", "retention_by_tier", "rate_5m", "increase_15m", "rate_lookback", "state_history", "histogram_p95",
     "latest_by_group", "percentile_p95", "alerts_sustained", "auth_bursts", "outside_windows", "dr_status",
     "check_name_parts", "plan_bindings", "compat_backward_transitive", "encrypt_roundtrip", "reconcile_roundtrip",
-    "offset_lag", "upsert_table", "stream_tumbling_1h",
+    "offset_lag", "upsert_table", "stream_tumbling_1h", "stream_asof", "stream_resolved_gate", "stream_late_split",
+    "compat_backward", "compat_full_transitive", "throughput_in_out", "lag_in_seconds", "dlq_rate",
 )
 
 

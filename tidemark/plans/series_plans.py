@@ -202,15 +202,13 @@ def _(t):
 WITH {_pairs(_SAMPLES + " WHERE event_type <> 'error'", 'user_id', 86400)},
 r AS (SELECT user_id, arg_max(CASE WHEN us > 0 THEN CAST(inc AS DOUBLE) / (CAST(us AS DOUBLE) / 1e6) END, ts) FILTER (us > 0) AS rate FROM windows GROUP BY 1),
 l AS (SELECT user_id, max({_C}) AS value FROM events WHERE event_type = 'error' GROUP BY 1)
-SELECT user_id, value, rate, CASE WHEN rate <> 0 THEN value / rate END AS lag_seconds FROM l JOIN r USING (user_id)
+SELECT user_id, value, rate, CASE WHEN rate <> 0 THEN value / rate END AS lag_seconds FROM l JOIN r USING (user_id) WHERE rate IS NOT NULL
 """)
 def _(t):
     c = counters(t)
     received = S.rate(c.filter("event_type <> 'error'"), "user_id", "1 day").filter("rate is not null")
     received = S.latest(received, "user_id", "ts", ["rate"])
-    # A series without a defined rate keeps its row, as the comparison defines it.
-    every = c.filter("event_type <> 'error'").select("user_id").distinct().join(received, "user_id", "left")
-    return S.lag_seconds(S.agg_series(c.filter("event_type = 'error'"), "max", "user_id", out="value"), every, "user_id")
+    return S.lag_seconds(S.agg_series(c.filter("event_type = 'error'"), "max", "user_id", out="value"), received, "user_id")
 
 
 @plan("progress_lag", "TS-7", """
@@ -221,18 +219,22 @@ def _(t):
     return S.progress_lag(marks, datetime(2024, 2, 1)).select("event_id", "progress_lag_s")
 
 
+def _last_rate(kind: str) -> str:
+    """SQL of each user's last rate over a day of the counter of one kind of event."""
+    return f"""(WITH {_pairs(_SAMPLES + f" WHERE event_type = '{kind}'", 'user_id', 86400)}
+SELECT user_id, arg_max(CAST(inc AS DOUBLE) / (CAST(us AS DOUBLE) / 1e6), ts) AS rate FROM windows WHERE us > 0 GROUP BY 1)"""
+
+
 @plan("throughput_in_out", "TS-9", f"""
-WITH a AS (SELECT user_id, CAST(sum({_C}) AS DOUBLE) AS in_per_s FROM events WHERE event_type = 'click' AND value > 90 GROUP BY 1),
-     b AS (SELECT user_id, CAST(sum({_C}) AS DOUBLE) AS out_per_s FROM events WHERE event_type = 'view' AND value > 90 GROUP BY 1)
-SELECT coalesce(a.user_id, b.user_id) AS user_id, in_per_s, out_per_s FROM a FULL JOIN b ON a.user_id = b.user_id
+SELECT coalesce(a.user_id, b.user_id) AS user_id, a.rate AS in_per_s, b.rate AS out_per_s
+FROM {_last_rate('click')} a FULL JOIN {_last_rate('view')} b ON a.user_id = b.user_id
 """)
 def _(t):
-    c = counters(t).filter("value > 9000")
-
-    def total(kind):
-        return S.agg_series(c.filter(F.col("event_type") == kind), "sum", "user_id", out="rate").withColumn("rate", F.col("rate").cast("double"))
+    def last_rate(kind):
+        rates = S.rate(counters(t).filter(F.col("event_type") == kind), "user_id", "1 day").filter("rate is not null")
+        return S.latest(rates, "user_id", "ts", ["rate"])
 
-    return S.throughput(total("click"), total("view"), "user_id")
+    return S.throughput(last_rate("click"), last_rate("view"), "user_id")
 
 
 @plan("state_history", "TS-10", """

@@ -27,6 +27,14 @@ def _(t):
     return records.select("topic", "key", body.alias("v")).select("topic", "key", "v.*")
 
 
+def in_thirds(rows, time):
+    """All rows in three batches that follow each other in time, cut at quantiles; rows without a time come first."""
+    us = F.unix_micros(F.col(time).cast("timestamp"))
+    low, high = rows.agg(F.percentile_approx(us, [1 / 3, 2 / 3]).alias("q")).first()["q"] or (0, 0)
+    part = F.when(us > high, 2).when(us > low, 1).otherwise(0)
+    return [rows.filter(part == i) for i in range(3)]
+
+
 @plan("upsert_table", "SNK-2 CDC-5", """
 SELECT * FROM (SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) AS o_orderstatus,
   max(o_orderdate) AS o_orderdate FROM orders GROUP BY 1) WHERE o_orderstatus <> 'F'
@@ -34,9 +42,7 @@ SELECT * FROM (SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey))
 def _(t):
     table = tables.KeyedTable(fresh_path(t.spark, "upsert"), "o_custkey", ["o_orderdate", "o_orderkey"], "gone")
     rows = t.orders.select("o_custkey", "o_orderkey", "o_orderstatus", "o_orderdate").withColumn("gone", F.col("o_orderstatus") == "F")
-    cuts = [datetime(1990, 1, 1), datetime(1997, 1, 1), datetime(1999, 1, 1), datetime(2010, 1, 1)]
-    for i, (start, end) in enumerate(zip(cuts, cuts[1:])):
-        batch = rows.filter((F.col("o_orderdate") >= instant(start)) & (F.col("o_orderdate") < instant(end)))
+    for i, batch in enumerate(in_thirds(rows, "o_orderdate")):
         table.apply(batch, i)
         table.apply(batch, i)  # a repeated delivery changes nothing
         if i == 1:
@@ -56,9 +62,8 @@ def _(t):
         "user_id", "event_id", "ts", kind.alias("last_type"), F.when(kind == "purchase", F.col("value")).alias("amount"), (kind == "error").alias("gone")
     )
     table = tables.DocumentTable(fresh_path(t.spark, "documents"), "user_id", "event_id", "ts", "gone", "update")
-    cuts = [datetime(2023, 1, 1), datetime(2024, 1, 10), datetime(2024, 1, 25), datetime(2030, 1, 1)]
-    for i, (start, end) in enumerate(zip(cuts, cuts[1:])):
-        table.apply(rows.filter((F.col("ts") >= instant(start)) & (F.col("ts") < instant(end))), i)
+    for i, batch in enumerate(in_thirds(rows, "ts")):
+        table.apply(batch, i)
     return table.read(t.spark)
 
 
