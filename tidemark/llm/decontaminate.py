@@ -134,6 +134,11 @@ def decontaminate(docs: DataFrame, key: str, text: str, items: DataFrame, item:
     whole, hits = docs[text], marked["hits"]
     pieces = F.split(whole, f"(?<!{IN_WORD})(?={IN_WORD})")  # each word with what follows, after what stands before the first
     lead = F.when(whole.rlike(rf"\A{IN_WORD}"), 0).otherwise(1)
-    kept = F.filter(pieces, lambda p, i: ~F.exists(hits, lambda h: (i - lead >= h["start"]) & (i - lead < h["end"])))
-    cut = F.when(hits.isNotNull(), F.array_join(kept, "")).otherwise(whole)
+    bound = F.array(F.struct(lead.alias("lead"), pieces.alias("pieces")))  # computed once a text, not once a word
+
+    def without_hits(parts: Column) -> Column:
+        outside = F.filter(parts["pieces"], lambda p, i: ~F.exists(hits, lambda h: (i - parts["lead"] >= h["start"]) & (i - parts["lead"] < h["end"])))
+        return F.array_join(outside, "")
+
+    cut = F.when(hits.isNotNull(), F.transform(bound, without_hits)[0]).otherwise(whole)
     return joined.select(*[cut.alias(c) if c == text else docs[c] for c in docs.columns])
