@@ -75,14 +75,18 @@ def words(text: str | None) -> list[str]:
 def leaks(text: str | None, items: list[tuple], n: int = 10) -> tuple:
     """(n_words, n_hit, n_items, digest, contaminated) of one text."""
     own, hit, found = words(text), set(), set()
+    windows: dict[tuple, set[str]] = {}
     for item, body in items:
         whole = words(body)
         size = min(n, len(whole))
         for k in range(len(whole) - size + 1 if size else 0):
-            for i in range(len(own) - size + 1):
-                if own[i : i + size] == whole[k : k + size]:
-                    hit.update(range(i, i + size))
-                    found.add(str(item))
+            windows.setdefault(tuple(whole[k : k + size]), set()).add(str(item))
+    for size in {len(w) for w in windows}:
+        for i in range(len(own) - size + 1):
+            named = windows.get(tuple(own[i : i + size]))
+            if named:
+                hit.update(range(i, i + size))
+                found |= named
     return len(own), len(hit), len(found), sha(",".join(sorted(found))), bool(hit)
 
 
