@@ -1,18 +1,20 @@
 """Near-duplicate documents by b-bit MinHash and a multi-index Hamming join, confirmed on full shingle sets.
 
 A set's signature has ``SLOTS`` slots of 16 bits, cut into ``CHUNKS`` chunks. Of two signatures that differ in at most
-``RADIUS`` slots, some chunk differs in at most ``RADIUS // CHUNKS`` slots (pigeonhole), here one: so a chunk is
-indexed under each choice of three of its four slots, and every such pair meets under some key.
+15 slots, some chunk differs in at most one (pigeonhole): so a chunk is indexed under each choice of three of its four
+slots, and every such pair meets under some key. Of sets with similarity 0.80, one pair in a million meets under none.
 
 Texts with the same set are one class from the start. Inside a key no pairs are listed among classes that are known to
 be connected. Each key compares its classes with one of them, the one that shares its keys with most others; each part of
 a key with one, two or three more chunks in common does so with the first by a hash. Confirmed links give components. What is left, classes of one key in
 different components, is compared in blocks of bounded size, each pair under its first key alone, and confirmed where
-sizes, the signature and a longer one of ``WIDE`` slots of 8 bits allow a link.
+sizes, the signature and a longer one of ``WIDE`` slots of 8 bits allow a link. How many slots of each may differ follows
+from the similarity: of sets that just reach it, no more than ``MISSED`` differ in more.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,15 +25,26 @@ from tidemark.llm.common import ASCII_SPACE, column_bytes, constants, mixed, sli
 
 WIDTH = 5
 SLOTS, CHUNKS = 32, 8
-RADIUS = 15  # of sets with similarity 0.85, three in a million differ in more slots
 PERCENT = 85
+MISSED = 1e-5
 BLOCK = 256
 BROADCAST = "64m"
-WIDE, WIDE_RADIUS = 256, 64  # ten in a million differ in more
+WIDE = 256
 _PLACE = constants(WIDTH + 1, 11)
 _SLOT = constants(SLOTS + WIDE, 13)
 
 
+def radius(percent: int, slots: int, bits: int) -> int:
+    """The least number of slots in which all but ``MISSED`` of the pairs of sets with this similarity differ at most."""
+    q = (1 - percent / 100) * (1 - 0.5**bits)
+    over = 1.0
+    for k in range(slots + 1):
+        over -= math.comb(slots, k) * q**k * (1 - q) ** (slots - k)
+        if over <= MISSED:
+            return k
+    return slots
+
+
 def shingle_hashes(column: pa.Array) -> list[np.ndarray]:
     """Sorted distinct 64-bit hashes of each text's shingles; a text of fewer words is one shingle, one without none."""
     out: list[np.ndarray] = []
@@ -138,10 +151,10 @@ def _slots_apart(a: Column, b: Column, longs: int, bits: int) -> Column:
     return total
 
 
-def _possible() -> Column:
+def _possible(percent: int) -> Column:
     """Whether classes a and b can be similar, by size and signature."""
-    similar = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * PERCENT
-    return similar & (_slots_apart(F.col("sig_a"), F.col("sig_b"), SLOTS // 4, 16) <= RADIUS)
+    similar = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
+    return similar & (_slots_apart(F.col("sig_a"), F.col("sig_b"), SLOTS // 4, 16) <= radius(percent, SLOTS, 16))
 
 
 def _index_keys(sig: Column) -> Column:
@@ -179,17 +192,17 @@ def _sets_of(needed: DataFrame, classes: DataFrame, docs: DataFrame, key: str, t
     return stored(_sets(docs, key, text, wanted), "sets", {"spark.sql.autoBroadcastJoinThreshold": BROADCAST})
 
 
-def _linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+def _linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets reach the similarity."""
     pairs = stored(pairs, "pairs")
     sets = _sets_of(pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct(), classes, docs, key, text)
     left, right = sets.toDF("a", "x"), sets.toDF("b", "y")
     both = pairs.join(left, "a").join(right, "b")
     shared = F.size(F.array_intersect("x", "y"))
-    return both.where(100 * shared >= PERCENT * (F.size("x") + F.size("y") - shared)).select("a", "b")
+    return both.where(100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
 
-def _compared(group: dict[str, np.ndarray]) -> Iterator[tuple[int, int]]:
+def _compared(group: dict[str, np.ndarray], percent: int, near_slots: int, near_wide: int) -> Iterator[tuple[int, int]]:
     """Pairs of rows of one key and one pair of blocks that can be similar and that meet here first."""
     sides = np.unique(group["block"])
     one = np.flatnonzero(group["block"] == sides[0])
@@ -197,7 +210,7 @@ def _compared(group: dict[str, np.ndarray]) -> Iterator[tuple[int, int]]:
     if len(sides) == 1 and group["i"][0] != group["j"][0]:
         return  # the other block is empty
     n, label = group["n"], group["label"]
-    fits = (label[one][:, None] != label[two]) & (np.minimum(n[one][:, None], n[two]) * 100 >= np.maximum(n[one][:, None], n[two]) * PERCENT)
+    fits = (label[one][:, None] != label[two]) & (np.minimum(n[one][:, None], n[two]) * 100 >= np.maximum(n[one][:, None], n[two]) * percent)
     if one is two:
         fits &= np.triu(np.ones(fits.shape, bool), 1)
     x, y = (side[i] for side, i in zip((one, two), np.nonzero(fits)))
@@ -205,21 +218,22 @@ def _compared(group: dict[str, np.ndarray]) -> Iterator[tuple[int, int]]:
     for a in range(0, len(x), 1 << 14):
         left, right = x[a : a + (1 << 14)], y[a : a + (1 << 14)]
         same = sig[left] == sig[right]
-        near = same.sum(axis=1) >= SLOTS - RADIUS
+        near = same.sum(axis=1) >= SLOTS - near_slots
         left, right, same = left[near], right[near], same[near].reshape(-1, CHUNKS, 4)
         shared = (same.sum(axis=2, keepdims=True) - same == 3).reshape(-1, SLOTS)  # a key leaves one slot of a chunk out
         here = shared.argmax(axis=1) == group["k"][0]
         left, right = left[here], right[here]
-        near = (wide[left] != wide[right]).sum(axis=1) <= WIDE_RADIUS
+        near = (wide[left] != wide[right]).sum(axis=1) <= near_wide
         yield from zip(left[near].tolist(), right[near].tolist())
 
 
-def _block_pairs(rows: DataFrame) -> DataFrame:
+def _block_pairs(rows: DataFrame, percent: int) -> DataFrame:
     """(task, cls, pairs) for classes of one key in different components that can be similar, each pair in one task.
 
     A key's classes are dealt into blocks of about BLOCK by hash, and a task holds two of them. ``pairs`` numbers the
     task's classes ``cls``; ``label`` has their components, numbered.
     """
+    limits = (percent, radius(percent, SLOTS, 16), radius(percent, WIDE, 8))
     blocks = F.ceil(F.col("members") / BLOCK)
     block = F.pmod(F.xxhash64("cls", F.lit(5)), blocks)
     others = F.transform(F.sequence(F.lit(0).cast("bigint"), blocks - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j")))
@@ -240,7 +254,7 @@ def _block_pairs(rows: DataFrame) -> DataFrame:
             cuts = np.append(np.append(0, np.flatnonzero(change)), table.num_rows)
             cls, out = table.column("cls").to_pylist(), []
             for start, end in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                found = np.array(list(_compared({c: v[start:end] for c, v in numbers.items()})), np.int32).reshape(-1, 2)
+                found = np.array(list(_compared({c: v[start:end] for c, v in numbers.items()}, *limits)), np.int32).reshape(-1, 2)
                 if len(found):
                     used, place = np.unique(found, return_inverse=True)
                     task = ":".join(str(numbers[c][start]) for c in ("place", "i", "j"))
@@ -267,7 +281,7 @@ def _block_pairs(rows: DataFrame) -> DataFrame:
     return dealt.mapInArrow(compare, "task string, cls array<binary>, label binary, pairs binary")
 
 
-def _linked_in_tasks(tasks: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+def _linked_in_tasks(tasks: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
     """(a, b): links that connect what the pairs of each task connect. A pair already connected in its task is passed over.
 
     A task gets the sets of its own classes, two blocks of them at most.
@@ -297,7 +311,7 @@ def _linked_in_tasks(tasks: DataFrame, classes: DataFrame, docs: DataFrame, key:
                 for x, y in np.frombuffer(pairs, np.int32).reshape(-1, 2).tolist():
                     if root(own[x]) != root(own[y]):
                         n = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-                        if 100 * n >= PERCENT * (len(sets[x]) + len(sets[y]) - n):
+                        if 100 * n >= percent * (len(sets[x]) + len(sets[y]) - n):
                             parent[root(own[x])] = root(own[y])
                             links.append((cls[x], cls[y]))
             yield pa.RecordBatch.from_arrays([pa.array([n[i] for n in links], pa.binary()) for i in (0, 1)], names=["a", "b"])
@@ -309,11 +323,14 @@ def _side(df: DataFrame, side: str, *keep: str) -> DataFrame:
     return df.select(*keep, *[F.col(c).alias(f"{c}_{side}") for c in df.columns if c not in keep])
 
 
-def link(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """((key, n_shingles, cls) of every row, (node, label) of the classes that are linked with another one)."""
+def link(docs: DataFrame, key: str, text: str, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """((key, n_shingles, cls) of every row, (node, label) of the classes that are linked with another one).
+
+    Linked are sets whose intersection is ``percent`` of the union or more.
+    """
     rows = stored(signed(docs, key, text), "signed")
     # A set differs from a similar one by a shingle at least, so smaller sets than this are similar to equal ones alone.
-    least = -(-PERCENT // (100 - PERCENT))
+    least = -(-percent // (100 - percent))
     classes = rows.where(F.col("n_shingles") >= least).groupBy("cls").agg(
         F.min("key").alias("key"), F.min("n_shingles").alias("n"), F.min("sig").alias("sig"), F.min("wide").alias("wide"))
     classes = stored(classes, "classes")
@@ -331,27 +348,27 @@ def link(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
         hubs = at.groupBy("at").agg(F.max(F.struct("rank", "cls"))["cls"].alias("hub"))
         some = at.join(hubs, "at").where(F.col("cls") != F.col("hub")).select(F.least("cls", "hub").alias("cls_a"), F.greatest("cls", "hub").alias("cls_b"))
         star = some if star is None else star.union(some)
-    star = star.distinct().join(_side(sized, "a"), "cls_a").join(_side(sized, "b"), "cls_b").where(_possible())
-    edges = stored(_linked(star.select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")), classes, docs, key, text), "edges")
+    star = star.distinct().join(_side(sized, "a"), "cls_a").join(_side(sized, "b"), "cls_b").where(_possible(percent))
+    edges = stored(_linked(star.select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")), classes, docs, key, text, percent), "edges")
     labels = components(edges)
     # A key of two classes has been settled by its hub.
     marked = keyed.where("members > 2").join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     open_ = marked.groupBy("place").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("place")
     open_ = stored(marked.join(open_, "place").join(classes.select("cls", "n", "sig", "wide"), "cls"), "open")
-    rest = stored(_linked_in_tasks(_block_pairs(open_), classes, docs, key, text), "rest")
+    rest = stored(_linked_in_tasks(_block_pairs(open_, percent), classes, docs, key, text, percent), "rest")
     if rest.limit(1).count():
         labels = components(edges.union(rest))
     return rows.select("key", "n_shingles", "cls"), labels
 
 
-def near_duplicates(docs: DataFrame, key: str, text: str) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str, text: str, percent: int = PERCENT) -> DataFrame:
     """(key, n_shingles, component_id, kept) of every row: the least key that links reach, and whether it is the row's own.
 
-    Words are runs without ASCII white space after A-Z are lower-cased; sets whose intersection is 85 % of the union or
-    more are linked. A null or empty text has an empty set and is its own component. Rows with one key keep their own
+    Words are runs without ASCII white space after A-Z are lower-cased; sets whose intersection is ``percent`` of the
+    union or more are linked. A null or empty text has an empty set and is its own component. Rows with one key keep their own
     texts; a key is kept in each of its rows. Null keys sort last and are kept only where no other key is reached.
     """
-    rows, labels = link(docs, key, text)
+    rows, labels = link(docs, key, text, percent)
     labelled = rows.join(labels.withColumnRenamed("node", "cls"), "cls", "left")
     labelled = stored(labelled.select("key", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("label", "cls")).alias("label")), "labelled")
     least = labelled.where(F.col("label").isNotNull()).groupBy("label").agg(F.min("key").alias("component_id"), F.count("*").alias("members")).where("members > 1")
