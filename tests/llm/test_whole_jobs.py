@@ -1,8 +1,13 @@
 """What a review found left out: each case here was lost, merged or unbounded before."""
 
+import collections
 import random
 
-from tidemark.llm import minhash
+import pytest
+from pyspark.sql import functions as F
+
+from tests.llm import plain
+from tidemark.llm import minhash, suffixes
 
 
 def edited(words, places):
@@ -18,3 +23,23 @@ def test_similarity_is_a_parameter(table):
     at = {p: {r["doc_id"] for r in minhash.near_duplicates(table(rows), "doc_id", "text", p).where("kept").collect()} for p in (80, 85)}
     assert at == {80: set(range(0, 60, 2)), 85: set(range(60))}
     assert [(minhash.radius(p, 32, 16), minhash.radius(p, 256, 8)) for p in (85, 80)] == [(15, 64), (17, 80)]
+
+
+@pytest.mark.parametrize("bound", [4000, 1 << 20])
+def test_strings_around_a_common_phrase_are_dealt(table, monkeypatch, bound):
+    """A phrase in all documents with another text around each: one name, and hardly two equal strings."""
+    rng, shards = random.Random(8), []
+    phrase = "http://www.example.org/archive/"
+    prose = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    rows = [(i, prose(40) + phrase + prose(40)) for i in range(400)]
+    rows += [(1000 + i, prose(9) + rows[i % 400][1][rng.randrange(30) :] + prose(9)) for i in range(300)]
+
+    def owners(strings, of=suffixes._owners):
+        shards.append(max(r[1] or 0 for r in strings.where("bucket >= 0").groupBy("bucket").agg(F.sum(F.octet_length("data"))).collect()))
+        return of(strings)
+
+    monkeypatch.setattr(suffixes, "_owners", owners)
+    got = suffixes.remove_repeats(table(rows), "doc_id", "text", name_bytes=bound).collect()
+    want = collections.Counter((k, *u) for (k, _), u in zip(rows, plain.uncovered(rows)))
+    assert collections.Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == want
+    assert len(shards) == 1 and (shards[0] < 4 * bound if bound == 4000 else shards[0] > 30_000)

@@ -7,7 +7,10 @@ go on, as strings, each distinct one of a part once, to shards by name. A shard
 external induced sorting; neighbours whose common prefix has LENGTH bytes are one window, and the least document of
 their strings is its owner. Owners go back to the parts, where covered bytes are cut out.
 
-A name, a line or a passage that very many documents share is one entry for each part, not for each document.
+A name, a line or a passage that very many documents share is one entry for each part, not for each document. Different
+strings with one name, as around a common phrase of 24 bytes, go to one shard; a name whose strings have more than
+``NAME_BYTES`` is dealt by its single windows instead, each distinct one of a part once, to further shards by the
+window's hash, as many as keep these to that size.
 """
 
 from __future__ import annotations
@@ -27,6 +30,7 @@ from tidemark.llm.induced import equal_groups
 LENGTH = 50
 GRAM = 24
 PART_BYTES = 8 << 20
+NAME_BYTES = 8 << 20
 PIECE = 1 << 21
 _BYTE = constants(256, 31)
 _STEP = constants(8, 37)
@@ -77,10 +81,16 @@ def _part_names(packed: pd.DataFrame) -> np.ndarray:
     return np.where(often > 1, names, names ^ np.uint64(1))
 
 
+def _shard(name: int, raw: bytes, parts: int, heavy: frozenset[int], more: int) -> int:
+    if name in heavy:
+        return parts + int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest()) % more
+    return (name >> 1) % parts
+
+
 class _Strings:
-    """A part's distinct strings with repeated names, and where its texts have them."""
+    """A part's distinct strings with repeated names, and where its texts have them. Those of ``heavy`` names are windows."""
 
-    def __init__(self, packed: pd.DataFrame, repeated: np.ndarray):
+    def __init__(self, packed: pd.DataFrame, repeated: np.ndarray, heavy: frozenset[int] = frozenset()):
         self.place: dict[tuple[int, bytes], int] = {}
         self.low: list[int] = []
         self.high: list[int] = []
@@ -89,7 +99,10 @@ class _Strings:
             names, firsts, ends = runs(data)
             found = repeated[np.minimum(np.searchsorted(repeated, names), len(repeated) - 1)] == names if len(repeated) else np.zeros(len(names), bool)
             raw, own = data.tobytes(), []
-            for h, a, b in zip(names[found].tolist(), firsts[found].tolist(), ends[found].tolist()):
+            some = zip(names[found].tolist(), firsts[found].tolist(), ends[found].tolist())
+            if heavy:
+                some = ((h, c, d) for h, a, b in some for c, d in (((i, i + 1) for i in range(a, b)) if h in heavy else ((a, b),)))
+            for h, a, b in some:
                 number = self.place.setdefault((h, raw[a : b + LENGTH - 1]), len(self.place))
                 if number == len(self.low):
                     self.low.append(key)
@@ -139,19 +152,28 @@ def _both(packed: DataFrame, repeated: DataFrame, owners: DataFrame | None = Non
     return rows if owners is None else rows.union(others(owners, 2, F.col("bucket")))
 
 
-def _strings_of(rows: pd.DataFrame) -> _Strings:
-    return _Strings(rows[rows["kind"] == 0], _names_of(rows.loc[rows["kind"] == 1, "data"]))
+def _strings_of(rows: pd.DataFrame, heavy: frozenset[int]) -> _Strings:
+    return _Strings(rows[rows["kind"] == 0], _names_of(rows.loc[rows["kind"] == 1, "data"]), heavy)
+
 
+def _strings(packed: DataFrame, repeated: DataFrame, parts: int, name_bytes: int, heavy: frozenset[int] = frozenset(), more: int = 0) -> DataFrame:
+    """(part, bucket, numbers, sizes, low, high, data): the parts' strings, by shard.
 
-def _strings(packed: DataFrame, repeated: DataFrame, parts: int) -> DataFrame:
-    """(part, bucket, numbers, sizes, low, data): the parts' strings, by shard."""
+    Bucket -1 has the names, as ``numbers``, whose strings have more bytes in the part, as ``sizes``, than half its share
+    of ``name_bytes``: without what is less, a name beyond the bound still has half of it.
+    """
     def cut(rows: pd.DataFrame) -> pd.DataFrame:
-        found = _strings_of(rows)
+        found = _strings_of(rows, heavy)
         out: dict[int, list[tuple[int, bytes]]] = {}
         for (h, raw), number in found.place.items():
-            out.setdefault((h >> 1) % parts, []).append((number, raw))
+            out.setdefault(_shard(h, raw, parts, heavy, more), []).append((number, raw))
         array = lambda values: np.array(values, np.int64).tobytes()
-        return pd.DataFrame([{
+        names, which = np.unique(np.fromiter((h for h, _ in found.place), np.uint64, len(found.place)), return_inverse=True)
+        held = np.bincount(which, np.fromiter((len(raw) for _, raw in found.place), np.int64, len(found.place)), len(names)).astype(np.int64)
+        much = held > name_bytes // (2 * parts)
+        counts = [] if heavy or not much.any() else [{
+            "part": rows["part"].iloc[0], "bucket": -1, "numbers": names[much].tobytes(), "sizes": held[much].tobytes(), "low": b"", "high": b"", "data": b""}]
+        return pd.DataFrame(counts + [{
             "part": rows["part"].iloc[0], "bucket": bucket, "numbers": array([n for n, _ in strings]), "sizes": array([len(s) for _, s in strings]),
             "low": array([found.low[n] for n, _ in strings]), "high": array([found.high[n] for n, _ in strings]), "data": b"".join(s for _, s in strings),
         } for bucket, strings in out.items()], columns=["part", "bucket", "numbers", "sizes", "low", "high", "data"])
@@ -160,6 +182,22 @@ def _strings(packed: DataFrame, repeated: DataFrame, parts: int) -> DataFrame:
     return _both(packed, repeated).groupBy("part").applyInPandas(cut, shape)
 
 
+def _heavy(strings: DataFrame, name_bytes: int) -> tuple[frozenset[int], int]:
+    """Names whose strings have more than ``name_bytes`` in all parts, and some that have half of that, and how many
+    shards their windows take.
+    """
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, sizes = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.int64) for c in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(sizes)], names=["name", "size"])
+
+    counts = strings.where("bucket = -1").select("numbers", "sizes").mapInArrow(read, "name bigint, size bigint")
+    found = counts.groupBy("name").agg(F.sum("size").alias("size")).where(F.col("size") > name_bytes // 2).collect()
+    most = LENGTH - GRAM + 1  # windows of a run; their bytes are so many times those of its string
+    larger = LENGTH * most / (LENGTH + most - 1)
+    return frozenset(r["name"] % (1 << 64) for r in found), -(-int(2 * larger * sum(r["size"] for r in found)) // max(name_bytes, 1))
+
+
 def _owners(strings: DataFrame) -> DataFrame:
     """(part, bucket, data): for windows whose owner is before some text of the part, (number, from, to, owner) rows."""
     def order(rows: pd.DataFrame) -> pd.DataFrame:
@@ -202,13 +240,13 @@ def _owners(strings: DataFrame) -> DataFrame:
             "data": [np.ascontiguousarray(table[part == i]).tobytes() for i in range(len(rows))],
         })
 
-    return strings.groupBy("bucket").applyInPandas(order, f"{PART}, {BUCKET}, data binary").where("octet_length(data) > 0")
+    return strings.where("bucket >= 0").groupBy("bucket").applyInPandas(order, f"{PART}, {BUCKET}, data binary").where("octet_length(data) > 0")
 
 
-def _cut(packed: DataFrame, repeated: DataFrame, owners: DataFrame, keep_text: bool) -> DataFrame:
+def _cut(packed: DataFrame, repeated: DataFrame, owners: DataFrame, keep_text: bool, heavy: frozenset[int]) -> DataFrame:
     """(name, key, n_bytes, n_removed, n_spans, kept_sha256, kept) of every distinct text."""
     def cut(rows: pd.DataFrame) -> pd.DataFrame:
-        found = _strings_of(rows)
+        found = _strings_of(rows, heavy)
         tables = [np.frombuffer(bytes(b), np.int64).reshape(-1, 4) for b in rows.loc[rows["kind"] == 2, "data"]]
         table = np.concatenate(tables) if tables else np.zeros((0, 4), np.int64)
         table = table[np.argsort(table[:, 0], kind="stable")]
@@ -235,11 +273,12 @@ def _name(text: Column) -> Column:
     return F.unhex(F.sha2(F.encode(F.coalesce(text, F.lit("")), "UTF-8"), 256))
 
 
-def remove_repeats(docs: DataFrame, key: str, text: str, keep_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, key: str, text: str, keep_text: bool = False, name_bytes: int = NAME_BYTES) -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, kept_sha256[, kept]) of every row, as of the whole input.
 
     A null text is empty. Rows with one key do not make each other's bytes repeated; a null key is after all others and
-    null keys are one key. Repeated rows stay. Texts of fewer than LENGTH bytes lose nothing.
+    null keys are one key. Repeated rows stay. Texts of fewer than LENGTH bytes lose nothing. The strings of one name are
+    at most ``name_bytes`` in a shard.
     """
     rows = docs.select(F.coalesce(F.col(key).cast("bigint"), F.lit(LAST)).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -255,9 +294,12 @@ def remove_repeats(docs: DataFrame, key: str, text: str, keep_text: bool = False
     part = F.pmod(F.xxhash64("name"), F.lit(parts))
     packed = stored(one.select(part.alias("part"), "key", "name", "text").mapInArrow(pack, f"{PART}, key bigint, name binary, data binary"), "texts")
     repeated = stored(_exchange(packed, parts), "names")
-    strings = stored(_strings(packed, repeated, parts), "strings")
+    strings = stored(_strings(packed, repeated, parts, name_bytes), "strings")
+    heavy, more = _heavy(strings, name_bytes)
+    if heavy:
+        strings = stored(_strings(packed, repeated, parts, name_bytes, heavy, more), "strings")
     owners = stored(_owners(strings), "owners")
-    cuts = stored(_cut(packed, repeated, owners, keep_text), "cuts")
+    cuts = stored(_cut(packed, repeated, owners, keep_text, heavy), "cuts")
     named = docs.select(F.col(key).alias("own"), F.coalesce(F.col(key).cast("bigint"), F.lit(LAST)).alias("key"), _name(F.col(text)).alias("name"))
     joined = named.join(cuts, "name")
     copy = (F.col("least") < F.col("key")) & (F.col("n_bytes") >= LENGTH)  # all of it is in the first document with this text
