@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import decontaminate, minhash, mixing, quality, secret_scan
 from tidemark.llm.common import stored
@@ -25,10 +25,8 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that with the least id; of rows with one id the least text."""
-    marks = minhash.near_duplicates(docs, "doc_id", "text").where(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()
-    marks = stored(marks, "gone")
-    return docs.join(marks, docs["doc_id"].eqNullSafe(marks["gone"]), "left_anti")
+    """One document of each group of near duplicates, that with the least id; of rows with one id the least text digest."""
+    return minhash.one_of_each(docs, "doc_id", "text")
 
 
 def clean_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

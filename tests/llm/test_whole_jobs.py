@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tests.llm import plain
 from tidemark.llm import minhash, suffixes
 
@@ -43,3 +44,15 @@ def test_strings_around_a_common_phrase_are_dealt(table, monkeypatch, bound):
     want = collections.Counter((k, *u) for (k, _), u in zip(rows, plain.uncovered(rows)))
     assert collections.Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == want
     assert len(shards) == 1 and (shards[0] < 4 * bound if bound == 4000 else shards[0] > 30_000)
+
+
+def test_the_pipeline_removes_rows_not_ids(spark, table):
+    words = [f"w{j}" for j in range(200)]
+    base, near, other, third = " ".join(words), edited(words, {100}), "one text that nothing else is like", "and another text that is not like it"
+    rows = [(None, base), (None, near), (None, other), (4, base), (4, third), (4, base), (4, near), (9, base), (None, third + " at all"), (None, None), (None, ""), (7, None), (7, "")]
+    rows += [(12, "the same text twice under one id"), (12, "the same text twice under one id"), (None, "no id but the same text twice"), (None, "no id but the same text twice")]
+    out = corpus_pipeline.distinct_documents(spark, table(rows), "")
+    first = min(base, near, key=plain.sha)
+    assert collections.Counter((r["doc_id"], r["text"]) for r in out.collect()) == collections.Counter(
+        [(4, first), (4, third), (None, other), (None, third + " at all"), (None, None), (None, ""), (7, None), (7, ""), rows[13], rows[15]])
+    assert out.columns == table(rows).columns

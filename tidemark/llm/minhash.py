@@ -101,9 +101,11 @@ def _class_name(s: np.ndarray) -> bytes:
         return np.array([mixed(s).sum(), mixed(s ^ _SLOT[0]).sum()], np.uint64).tobytes() if len(s) else b""
 
 
-def signed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, cls, n_shingles, sig, wide) of every row. Equal sets have equal ``cls``; the empty set's is empty."""
-    rows = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))
+def signed(docs: DataFrame, key: str, text: str, name: Column | None = None) -> DataFrame:
+    """(key, cls, n_shingles, sig, wide[, name]) of every row. Equal sets have equal ``cls``; the empty set's is empty."""
+    more = [] if name is None else [name.alias("name")]
+    rows = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"), *more)
+    schema = SIGNED if name is None else SIGNED.append(pa.field("name", pa.binary()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,9 +115,10 @@ def signed(docs: DataFrame, key: str, text: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([
                     batch.column("key").slice(a, b - a), pa.array([_class_name(s) for s in sets], pa.binary()),
                     pa.array([len(s) for s in sets], pa.int64()), pa.array(list(short), _LONGS), pa.array(list(wide), _LONGS),
-                ], schema=SIGNED)
+                    *(batch.column(c).slice(a, b - a) for c in batch.schema.names[2:]),
+                ], schema=schema)
 
-    return rows.mapInArrow(run, "key bigint, cls binary, n_shingles bigint, sig array<bigint>, wide array<bigint>")
+    return rows.mapInArrow(run, "key bigint, cls binary, n_shingles bigint, sig array<bigint>, wide array<bigint>" + (", name binary" if more else ""))
 
 
 def _sets(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
@@ -323,12 +326,12 @@ def _side(df: DataFrame, side: str, *keep: str) -> DataFrame:
     return df.select(*keep, *[F.col(c).alias(f"{c}_{side}") for c in df.columns if c not in keep])
 
 
-def link(docs: DataFrame, key: str, text: str, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """((key, n_shingles, cls) of every row, (node, label) of the classes that are linked with another one).
+def link(docs: DataFrame, key: str, text: str, percent: int = PERCENT, name: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """((key, n_shingles, cls[, name]) of every row, (node, label) of the classes that are linked with another one).
 
     Linked are sets whose intersection is ``percent`` of the union or more.
     """
-    rows = stored(signed(docs, key, text), "signed")
+    rows = stored(signed(docs, key, text, name), "signed")
     # A set differs from a similar one by a shingle at least, so smaller sets than this are similar to equal ones alone.
     least = -(-percent // (100 - percent))
     classes = rows.where(F.col("n_shingles") >= least).groupBy("cls").agg(
@@ -358,7 +361,7 @@ def link(docs: DataFrame, key: str, text: str, percent: int = PERCENT) -> tuple[
     rest = stored(_linked_in_tasks(_block_pairs(open_, percent), classes, docs, key, text, percent), "rest")
     if rest.limit(1).count():
         labels = components(edges.union(rest))
-    return rows.select("key", "n_shingles", "cls"), labels
+    return rows.drop("sig", "wide"), labels
 
 
 def near_duplicates(docs: DataFrame, key: str, text: str, percent: int = PERCENT) -> DataFrame:
@@ -375,3 +378,26 @@ def near_duplicates(docs: DataFrame, key: str, text: str, percent: int = PERCENT
     joined = labelled.join(least.select("label", "component_id"), "label", "left")
     component = F.when(F.col("label").isNull(), F.col("key")).otherwise(F.coalesce("component_id", "key"))
     return joined.select(F.col("key").alias(key), "n_shingles", component.alias("component_id"), F.col("key").eqNullSafe(component).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, key: str, text: str, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each group of linked texts one row stays.
+
+    It is that with the least key, null keys being last, then with the least SHA-256 of the text, then one of those with
+    this key and text. A null or empty text is in no group and stays. Rows are told apart by key and text, so a key that
+    repeats or is null loses only the rows that are in a group.
+    """
+    name = F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
+    rows, labels = link(docs, key, text, percent, name)
+    rows = rows.where("n_shingles > 0").join(labels.withColumnRenamed("node", "cls"), "cls", "left")
+    rows = stored(rows.select("key", "name", F.coalesce("label", "cls").alias("label")), "labelled")
+    order = F.struct(F.col("key").isNull().alias("last"), "key", "name")
+    first = rows.groupBy("label").agg(F.min(order).alias("first"), F.count("*").alias("members")).where("members > 1")
+    stays = F.col("key").eqNullSafe(F.col("first.key")) & (F.col("name") == F.col("first.name"))
+    marks = rows.join(first, "label").groupBy(F.col("key").alias("gone"), F.col("name").alias("gone_name")).agg(F.first(stays).alias("stays"), F.count("*").alias("n"))
+    marks = stored(marks.where("NOT stays OR n > 1"), "marks")
+    here = docs[key].cast("bigint").eqNullSafe(marks["gone"]) & (F.unhex(F.sha2(F.coalesce(docs[text], F.lit("")), 256)) == marks["gone_name"])
+    kept = docs.join(marks, here, "left_anti")
+    if marks.where("stays").limit(1).count():
+        kept = kept.union(docs.join(marks, here & marks["stays"], "left_semi").dropDuplicates([key, text]))
+    return kept
