@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import decontaminate, minhash, mixing, quality, secret_scan, simhash, suffixes, tokens, toxicity, urls
+from tidemark.llm import decontaminate, minhash, mixing, negatives, quality, secret_scan, simhash, suffixes, tokens, toxicity, urls
 from tidemark.llm.sql import SQL  # noqa: F401  (beside the queries, for the entry file)
 
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -57,7 +57,15 @@ def op10_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFram
     return decontaminate.report(decontaminate.mark_hits(docs, "doc_id", "text", items, "item_id", "text"), "doc_id")
 
 
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Hard negatives of every hundredth vector, labels of every seventh being shifted by one."""
+    label = F.col("label").cast("bigint")
+    rows = _table(spark, folder, "embeddings").withColumn("label", F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label))
+    return negatives.mine(rows, F.col("vec_id") % 100 == 0, "vec_id", "label", "embedding")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_secret_scans, op2_document_fingerprints, op3_minhash_near_dedup, op4_token_counts, op5_source_mixing,
     op6_quality_classifier, op7_toxicity, op8_suffix_array_dedup, op9_url_filters, op10_benchmark_decontamination,
+    op11_hard_negatives,
 )}

@@ -68,6 +68,20 @@ SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hi
 FROM d LEFT JOIN p USING (rid) LEFT JOIN t USING (rid)
 """
 
+HARD_NEGATIVES = """
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE label END AS label,
+  list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS x
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS MATERIALIZED (SELECT a.rid AS arid, a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, CAST(list_inner_product(a.x, b.x) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND (a.label <> b.label OR a.vec_id IS DISTINCT FROM b.vec_id) AND len(a.x) = len(b.x)),
+p AS (SELECT *, row_number() OVER (PARTITION BY arid ORDER BY score DESC, other_id) AS place FROM s WHERE same QUALIFY place <= 5),
+n AS (SELECT p.anchor_id, p.other_id AS positive_id, p.score AS positive_score, s.other_id AS negative_id, s.score AS negative_score,
+  row_number() OVER (PARTITION BY p.arid, p.place ORDER BY s.score DESC, s.other_id) AS rank
+  FROM p JOIN s ON p.arid = s.arid AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+"""
+
 SQL = {
     "op1_secret_scans": SECRETS, "op3_minhash_near_dedup": NEAR_DUPLICATES, "op8_suffix_array_dedup": PASSAGES, "op10_benchmark_decontamination": LEAKS,
+    "op11_hard_negatives": HARD_NEGATIVES,
 }
