@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import decontaminate, minhash, mixing, negatives, quality, secret_scan, simhash, spellings, suffixes, tokens, toxicity, urls
+from tidemark.llm import decontaminate, minhash, mixing, negatives, prefixes, quality, secret_scan, simhash, spellings, suffixes, tokens, toxicity, urls
 from tidemark.llm.sql import SQL  # noqa: F401  (beside the queries, for the entry file)
 
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -64,6 +64,11 @@ def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
     return negatives.mine(rows, F.col("vec_id") % 100 == 0, "vec_id", "label", "embedding")
 
 
+def op12_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of documents whose sets of three-word shingles agree to 90 % or more."""
+    return prefixes.join_components(_table(spark, folder, "documents"), "doc_id", "text", 3, 90)
+
+
 def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
     """Spelling variants among the words of all documents, every 31st noted with a letter left out."""
     return spellings.variants(spellings.vocabulary(_table(spark, folder, "documents"), "doc_id", "text", every=31))
@@ -72,5 +77,5 @@ def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_secret_scans, op2_document_fingerprints, op3_minhash_near_dedup, op4_token_counts, op5_source_mixing,
     op6_quality_classifier, op7_toxicity, op8_suffix_array_dedup, op9_url_filters, op10_benchmark_decontamination,
-    op11_hard_negatives, op13_spelling_variants,
+    op11_hard_negatives, op12_ngram_join, op13_spelling_variants,
 )}

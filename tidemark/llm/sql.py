@@ -30,18 +30,24 @@ FROM d LEFT JOIN g USING (rid)
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
-NEAR_DUPLICATES = rf"""
+def _similar(words: int, percent: int, more: str) -> str:
+    """Components of documents whose sets of shingles of so many words agree to so many parts in a hundred."""
+    return rf"""
 WITH RECURSIVE w AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({_LOW}, '[^\x20\x09-\x0D]+') AS words FROM documents),
-s AS MATERIALIZED (SELECT rid, doc_id, list_distinct(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
-  ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) END) AS sh FROM w),
+s AS MATERIALIZED (SELECT rid, doc_id, list_distinct(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < {words} THEN [array_to_string(words, ' ')]
+  ELSE list_transform(range(1, len(words) - {words - 2}), lambda i: array_to_string(words[i:i + {words - 1}], ' ')) END) AS sh FROM w),
 x AS MATERIALIZED (SELECT rid, len(sh) AS n, unnest(sh) AS shingle FROM s),
 e AS MATERIALIZED (SELECT a.rid AS a, b.rid AS b FROM x a JOIN x b ON a.shingle = b.shingle AND a.rid <> b.rid GROUP BY a.rid, b.rid, a.n, b.n
-  HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+  HAVING 100 * count(*) >= {percent} * (a.n + b.n - count(*))),
 r(rid, node) AS (SELECT rid, rid FROM s UNION SELECT r.rid, e.b FROM r JOIN e ON r.node = e.a)
-SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, c.component_id, c.component_id = s.doc_id AS kept FROM s
+SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, c.component_id{more} FROM s
 JOIN (SELECT r.rid, min(o.doc_id) AS component_id FROM r JOIN s o ON o.rid = r.node GROUP BY r.rid) c USING (rid)
 """
 
+
+NEAR_DUPLICATES = _similar(5, 85, ", c.component_id = s.doc_id AS kept")
+NGRAM_JOIN = _similar(3, 90, "")
+
 PASSAGES = """
 WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
 w AS MATERIALIZED (SELECT rid, doc_id, i, substr(h, 2 * i + 1, 100) AS win FROM (SELECT rid, doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS i FROM d)),
@@ -103,5 +109,5 @@ SELECT word, n, n_near, form, form_n, root FROM f JOIN z USING (word)
 
 SQL = {
     "op1_secret_scans": SECRETS, "op3_minhash_near_dedup": NEAR_DUPLICATES, "op8_suffix_array_dedup": PASSAGES, "op10_benchmark_decontamination": LEAKS,
-    "op11_hard_negatives": HARD_NEGATIVES, "op13_spelling_variants": SPELLINGS,
+    "op11_hard_negatives": HARD_NEGATIVES, "op12_ngram_join": NGRAM_JOIN, "op13_spelling_variants": SPELLINGS,
 }
