@@ -7,7 +7,7 @@ follows it cannot suffice) or the counts between fixed pivots of the hash order
 out; what is left is confirmed on full sets, once.
 
 Equal sets are one class from the start, and links are only followed to find components: an element's classes are first
-compared with a few of them (hubs), round by round until no round links more; pairs in different components are then listed by task.
+compared with a few of them (hubs), round by round until few are linked; pairs in different components are then listed by task.
 
 Frequencies are counted exactly. Documents are packed into parts; a part sends its distinct elements, split by hash
 range into buckets, and gets back a rank of one byte for each, so a frequent element is one number per part, not one
@@ -28,9 +28,11 @@ from tidemark.llm.minhash import components
 
 PART = 1 << 20  # bytes of text a part; a longer text is a part of its own
 BUCKET = 1 << 22  # elements a bucket, about
-PIVOTS = 16
+PIVOTS = 64
 HUBS = 3  # a round
+FEW = 20  # a round that links fewer than one in FEW of the open classes is the last
 BROADCAST = "64m"
+LISTED = 64
 ROWS = 2048  # members of one element compared at once
 _SALT = constants(2, 31)
 
@@ -181,7 +183,7 @@ def _postings(parts: DataFrame, ranks: DataFrame, percent: int) -> DataFrame:
 
 
 def _sets(parts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(cls, n, pivots, elements) of the wanted classes, each read from one part. ``pivots``: elements in each sixteenth of the hashes."""
+    """(cls, n, pivots, elements) of the wanted classes, each read from one part. ``pivots``: elements in each of PIVOTS ranges of the hashes."""
     here = parts.select("part", F.explode(F.arrays_zip("cls", "sizes")).alias("d")).where("d.sizes > 0")
     one = here.select("part", F.col("d.cls").alias("cls")).join(wanted, "cls", "left_semi").groupBy("cls").agg(F.min("part").alias("part"))
     asked = stored(one.groupBy("part").agg(F.collect_list("cls").alias("asked")), "asked")
@@ -197,12 +199,12 @@ def _sets(parts: DataFrame, wanted: DataFrame) -> DataFrame:
                     if n > 0:
                         if name in asked:
                             own = values[at : at + n]
-                            found.append((name, n, np.bincount(own >> np.uint64(60), minlength=PIVOTS), own.view(np.int64)))
+                            found.append((name, n, np.bincount((own >> np.uint64(58)).astype(np.int64), minlength=PIVOTS).astype(np.int32), own.view(np.int64)))
                         at += n
                 yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], t) for i, t in enumerate(
-                    (pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())))], names=["cls", "n", "pivots", "elements"])
+                    (pa.binary(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64())))], names=["cls", "n", "pivots", "elements"])
 
-    rows = both.mapInArrow(run, "cls binary, n bigint, pivots array<bigint>, elements array<bigint>")
+    rows = both.mapInArrow(run, "cls binary, n bigint, pivots array<int>, elements array<bigint>")
     return stored(rows, "sets", {"spark.sql.autoBroadcastJoinThreshold": BROADCAST})
 
 
@@ -244,11 +246,23 @@ def _star(rows: DataFrame, seed: int, percent: int) -> DataFrame:
     return _ordered(out)
 
 
+def _meet(left: pa.Scalar, right: pa.Scalar, element: int) -> bool:
+    """Whether the element is the first that two classes share, or that is not known."""
+    if not left.is_valid or not right.is_valid:
+        return True
+    other = right.values.to_numpy()
+    here = left.values.to_numpy()
+    return here[np.isin(here, other)][0] == element
+
+
 def _listed(rows: DataFrame, percent: int) -> DataFrame:
     """(a, b) of all pairs of one element's classes in different components that can be similar.
 
-    An element's classes are in one task, in order of size; a class meets those of its size band only, ROWS at a time.
+    An element's classes are in one task, in order of size; a class meets those of its size band only, ROWS at a time. A
+    pair is listed under its first element alone, but for classes of more than LISTED elements, where it may come again.
     """
+    own = rows.groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("place", "element"))).alias("own"))
+    rows = rows.join(own.where(F.size("own") <= LISTED).select("cls", F.col("own.element").alias("own")), "cls", "left")
     dealt = rows.repartition("element").sortWithinPartitions("element", "n", "cls")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,7 +270,7 @@ def _listed(rows: DataFrame, percent: int) -> DataFrame:
             element, n, place = (table.column(c).to_numpy() for c in ("element", "n", "place"))
             label = table.column("label").combine_chunks().dictionary_encode().indices.to_numpy()
             pivots = table.column("pivots").combine_chunks().flatten().to_numpy().reshape(-1, PIVOTS)
-            names = table.column("cls").combine_chunks()
+            names, own = table.column("cls").combine_chunks(), table.column("own").combine_chunks()
             bounds = np.append(np.flatnonzero(np.append(True, element[1:] != element[:-1])), len(element))
             left, right = [np.zeros(0, int)], [np.zeros(0, int)]
             for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
@@ -278,8 +292,10 @@ def _listed(rows: DataFrame, percent: int) -> DataFrame:
                             i, j = x[s : s + (1 << 16)], y[s : s + (1 << 16)]
                             differ = np.abs(pivots[i] - pivots[j]).sum(axis=1)
                             fits = (100 + percent) * (both[s : s + (1 << 16)] - differ) >= 2 * percent * both[s : s + (1 << 16)]
-                            left.append(i[fits])
-                            right.append(j[fits])
+                            i, j = i[fits], j[fits]
+                            first = np.array([_meet(own[p], own[q], element[lo]) for p, q in zip(i.tolist(), j.tolist())], bool)
+                            left.append(i[first])
+                            right.append(j[first])
                         if sum(map(len, left)) > 1 << 18:
                             yield out(names, left, right)
                             left, right = [np.zeros(0, int)], [np.zeros(0, int)]
@@ -320,18 +336,18 @@ def similar(docs: DataFrame, key: str, text: str, width: int = 3, percent: int =
     shared = stored(shared.join(sets.select("cls", "pivots"), "cls"), "shared")
     edges = None
     open_ = shared.withColumn("label", F.col("cls"))
-    for seed in range(1 << 10):
+    seed, links, classes = 0, 1, 1
+    while links and links * FEW >= classes:
+        classes = open_.agg(F.count_distinct("cls")).first()[0]
         found = stored(_linked(_star(open_, seed, percent), sets, percent), "links")
-        if not found.limit(1).count():
-            break
+        links, seed = found.count(), seed + 1
         edges = found if edges is None else edges.union(found)
         labels = components(edges)
         marked = open_.drop("label").join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
         mixed_ = marked.groupBy("element").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("element")
         open_ = stored(marked.join(mixed_, "element"), "open")
     rest = stored(_linked(stored(_listed(open_, percent), "pairs"), sets, percent), "rest")
-    edges = rest if edges is None else edges.union(rest)
-    return rows, components(edges)
+    return rows, components(edges.union(rest))
 
 
 def join_components(docs: DataFrame, key: str, text: str, width: int = 3, percent: int = 90) -> DataFrame:
