@@ -134,3 +134,17 @@ def slices(column: pa.Array, most: int = 4 * SLICE) -> Iterator[tuple[int, int]]
         held += int(size)
     if start < len(sizes):
         yield start, len(sizes)
+
+
+def tiles(starts: np.ndarray, most: int) -> Iterator[tuple[slice, slice]]:
+    """Pairs of row ranges of up to ``most`` rows that hold all pairs of rows of one block, whose bounds are ``starts``; a range is whole
+    blocks, or a part of one.
+    """
+    i = 0
+    while i + 1 < len(starts):
+        j = max(int(np.searchsorted(starts, starts[i] + most, side="right")) - 1, i + 1)
+        cuts = np.append(np.arange(starts[i], starts[j], most), starts[j]).tolist() if j == i + 1 else [int(starts[i]), int(starts[j])]
+        for k in range(len(cuts) - 1):
+            for m in range(k, len(cuts) - 1):
+                yield slice(cuts[k], cuts[k + 1]), slice(cuts[m], cuts[m + 1])
+        i = j

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.llm.common import ASCII_SPACE, column_bytes, constants, mixed, slices, stored, word_hashes
+from tidemark.llm.common import ASCII_SPACE, column_bytes, constants, mixed, slices, stored, tiles, word_hashes
 from tidemark.llm.minhash import components
 
 PART = 1 << 20  # bytes of text a part; a longer text is a part of its own
@@ -33,7 +33,8 @@ HUBS = 3  # a round
 FEW = 20  # a round that links fewer than one in FEW of the open classes is the last
 BROADCAST = "64m"
 LISTED = 64
-ROWS = 2048  # members of one element compared at once
+ROWS = 512  # members of elements compared at once
+CHUNK = 1 << 15  # rows held at once, or one element
 _SALT = constants(2, 31)
 
 PARTS = pa.schema([("part", pa.int64()), ("keys", pa.list_(pa.int64())), ("cls", pa.list_(pa.binary())), ("sizes", pa.list_(pa.int64())), ("data", pa.binary())])
@@ -273,32 +274,26 @@ def _listed(rows: DataFrame, percent: int) -> DataFrame:
             names, own = table.column("cls").combine_chunks(), table.column("own").combine_chunks()
             bounds = np.append(np.flatnonzero(np.append(True, element[1:] != element[:-1])), len(element))
             left, right = [np.zeros(0, int)], [np.zeros(0, int)]
-            for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-                if label[lo:hi].min() == label[lo:hi].max():
-                    continue
-                for a in range(lo, hi, ROWS):
-                    b = min(a + ROWS, hi)
-                    end = int(np.searchsorted(n[a:hi] * percent, n[b - 1] * 100, side="right")) + a
-                    for c in range(a, end, ROWS):
-                        d = min(c + ROWS, end)
-                        x, y = np.nonzero((label[a:b][:, None] != label[c:d]) & (100 * n[a:b][:, None] >= percent * n[c:d]))
-                        x, y = x + a, y + c
-                        x, y = x[x < y], y[x < y]
-                        both = n[x] + n[y]
-                        reach = np.minimum(place[x], place[y]) + np.minimum(n[x] - place[x], n[y] - place[y])
-                        fits = (100 + percent) * reach >= percent * both
-                        x, y, both = x[fits], y[fits], both[fits]
-                        for s in range(0, len(x), 1 << 16):
-                            i, j = x[s : s + (1 << 16)], y[s : s + (1 << 16)]
-                            differ = np.abs(pivots[i] - pivots[j]).sum(axis=1)
-                            fits = (100 + percent) * (both[s : s + (1 << 16)] - differ) >= 2 * percent * both[s : s + (1 << 16)]
-                            i, j = i[fits], j[fits]
-                            first = np.array([_meet(own[p], own[q], element[lo]) for p, q in zip(i.tolist(), j.tolist())], bool)
-                            left.append(i[first])
-                            right.append(j[first])
-                        if sum(map(len, left)) > 1 << 18:
-                            yield out(names, left, right)
-                            left, right = [np.zeros(0, int)], [np.zeros(0, int)]
+            for rows, cols in tiles(bounds, ROWS):
+                if rows != cols and percent * n[cols.start] > 100 * n[rows.stop - 1]:
+                    continue  # sizes rise within an element
+                x, y = np.nonzero((element[rows][:, None] == element[cols]) & (label[rows][:, None] != label[cols]) & (100 * n[rows][:, None] >= percent * n[cols]))
+                x, y = x + rows.start, y + cols.start
+                x, y = x[x < y], y[x < y]
+                both = n[x] + n[y]
+                reach = np.minimum(place[x], place[y]) + np.minimum(n[x] - place[x], n[y] - place[y])
+                fits = (100 + percent) * reach >= percent * both
+                x, y, both = x[fits], y[fits], both[fits]
+                for s in range(0, len(x), 1 << 16):
+                    i, j, total = x[s : s + (1 << 16)], y[s : s + (1 << 16)], both[s : s + (1 << 16)]
+                    fits = (100 + percent) * (total - np.abs(pivots[i] - pivots[j]).sum(axis=1)) >= 2 * percent * total
+                    i, j = i[fits], j[fits]
+                    first = np.array([_meet(own[p], own[q], element[p]) for p, q in zip(i.tolist(), j.tolist())], bool)
+                    left.append(i[first])
+                    right.append(j[first])
+                if sum(map(len, left)) > 1 << 18:
+                    yield out(names, left, right)
+                    left, right = [np.zeros(0, int)], [np.zeros(0, int)]
             yield out(names, left, right)
 
         def out(names: pa.Array, left: list[np.ndarray], right: list[np.ndarray]) -> pa.RecordBatch:
@@ -309,6 +304,8 @@ def _listed(rows: DataFrame, percent: int) -> DataFrame:
             if not len(batch):
                 continue
             held.append(batch)
+            if sum(len(h) for h in held) < CHUNK:
+                continue
             table = pa.Table.from_batches(held)
             element = table.column("element").to_numpy()
             begin = int(np.searchsorted(element, element[-1]))  # the element that may go on

@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.llm.common import stored
+from tidemark.llm.common import stored, tiles
 
 TILE = 256  # words a matrix product
 CHUNK = 1 << 15  # rows held at once, or one block
@@ -106,25 +106,13 @@ def _counts(words: np.ndarray) -> np.ndarray:
     return np.bincount(at * len(LETTERS) + _COLUMN[codes], minlength=len(words) * len(LETTERS)).reshape(-1, len(LETTERS)).astype(np.float32)
 
 
-def _tiles(starts: np.ndarray) -> Iterator[tuple[slice, slice]]:
-    """Pairs of row ranges that hold all pairs of rows of one block; a range is whole blocks, or a part of one."""
-    i = 0
-    while i + 1 < len(starts):
-        j = max(int(np.searchsorted(starts, starts[i] + TILE, side="right")) - 1, i + 1)
-        cuts = np.append(np.arange(starts[i], starts[j], TILE), starts[j]).tolist() if j == i + 1 else [int(starts[i]), int(starts[j])]
-        for k in range(len(cuts) - 1):
-            for m in range(k, len(cuts) - 1):
-                yield slice(cuts[k], cuts[k + 1]), slice(cuts[m], cuts[m + 1])
-        i = j
-
-
 def _near(word: np.ndarray, block: np.ndarray, short: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places (x, y) of the pairs of one block whose letter counts are at most two apart; x is short, so not the longer."""
     counts = _counts(word)
     size = (counts * counts).sum(axis=1)
     starts = np.append(np.flatnonzero(np.append(True, block[1:] != block[:-1])), len(block))
     xs, ys = [np.zeros(0, int)], [np.zeros(0, int)]
-    for rows, cols in _tiles(starts):
+    for rows, cols in tiles(starts, TILE):
         apart = size[rows][:, None] + size[cols] - 2 * (counts[rows] @ counts[cols].T)
         x, y = np.nonzero((apart <= 2) & (block[rows][:, None] == block[cols]))
         x, y = x + rows.start, y + cols.start
