@@ -16,6 +16,7 @@ row per document.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +34,7 @@ HUBS = 3  # a round
 FEW = 20  # a round that links fewer than one in FEW of the open classes is the last
 BROADCAST = "64m"
 LISTED = 64
+WAVES = 4  # parts meet their ranks in so many jobs, which bounds the shuffle files that are there at once
 ROWS = 512  # members of elements compared at once
 CHUNK = 1 << 15  # rows held at once, or one element
 _SALT = constants(2, 31)
@@ -326,7 +328,10 @@ def similar(docs: DataFrame, key: str, text: str, width: int = 3, percent: int =
     elements = parts.agg(F.sum(F.octet_length("data") / 8).alias("n")).first()["n"] or 0
     buckets = 1 << min(24, max(0, int(elements // BUCKET)).bit_length())
     ranks = stored(_ranks(_split(parts, buckets)), "ranks")
-    postings = stored(_postings(parts, ranks, percent), "postings")
+    wave = F.pmod(F.xxhash64("part"), F.lit(WAVES))
+    found = [stored(_postings(parts.where(wave == w), ranks.where(wave == w), percent), "found") for w in range(WAVES)]
+    postings = functools.reduce(DataFrame.union, found).groupBy("element", "cls").agg(F.min("n").alias("n"), F.min("place").alias("place"))
+    postings = stored(postings, "postings")
     several = postings.groupBy("element").agg(F.count("*").alias("members")).where("members > 1").select("element")
     shared = stored(postings.join(several, "element"), "shared")
     sets = _sets(parts, shared.select("cls").distinct())
