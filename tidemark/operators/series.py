@@ -13,7 +13,7 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidemark.functions.slices import DEFAULT_SLICE, names, slice_of, swept_across, swept_in_halo, with_halo, with_neighbours
+from tidemark.functions.slices import DEFAULT_SLICE, names, slice_of, swept_in_halo, with_halo
 from tidemark.functions.units import instant, micros
 from tidemark.session import durable
 
@@ -29,22 +29,16 @@ def counter_window(
     A value below its predecessor is a counter reset and counts from zero. Both columns are sums over
     neighbouring sample pairs, so each pair enters the running sum with its later sample and leaves
     when its earlier sample leaves the look-back: the work is linear in the samples. With fewer than
-    two samples both are null. Sample times are unique within a series; a row without a time is no sample.
+    two samples both are null. Every sample gives one row, also where a time repeats; which of such samples is the
+    earlier one is not defined. A row without a time is no sample.
 
-    A look-back of at most one slice takes one shuffle. For a longer one the pairs (key, time and value alone) are
-    written to the shared folder and the sums carried across narrow slices; other columns are joined on by key and time.
+    One shuffle by (key, slice), whatever the look-back: slices are at least as wide, so a sample is copied to one
+    more slice at most. A hot series is spread over its slices; no task holds more of it than two look-backs.
     """
     by, back, df = names(by), micros(lookback), df.filter(F.col(time).isNotNull())
-    us, short = F.unix_micros(time), back <= micros(width)
-    if short:
-        inside = Window.partitionBy(*by, "_slice").orderBy(F.unix_micros(time))
-        rows = with_halo(df, time, back, width).withColumns(
-            {"_before": F.lag(F.col(value)).over(inside), "_before_us": F.lag(us).over(inside)}
-        )
-    else:
-        narrow = df.select(*by, time, value).withColumn("_us", us)  # no other column is written or carried
-        rows = with_neighbours(narrow, by, time, previous={"_before": value, "_before_us": "_us"}, width=width)
-        rows = durable(rows.drop("_us"), "pairs")
+    us = F.unix_micros(time)
+    inside = Window.partitionBy(*by, "_slice").orderBy(us)
+    rows = with_halo(df, time, back, width).withColumns({"_before": F.lag(F.col(value)).over(inside), "_before_us": F.lag(us).over(inside)})
     paired = F.col("_before_us").isNotNull() & (F.col("_before_us") + F.lit(back) > us)
     step = F.when(F.col(value) >= F.col("_before"), F.col(value) - F.col("_before")).otherwise(F.col(value))
     zero = F.lit(0).cast(df.schema[value].dataType)
@@ -53,15 +47,7 @@ def counter_window(
         "_gap": F.when(paired, us - F.col("_before_us")).otherwise(F.lit(0).cast("long")),
         "_leave": F.when(paired, F.col("_before_us") + F.lit(back)).otherwise(us + F.lit(1)),
     }).drop("_before", "_before_us")
-    sums = {"increase": "_step", "elapsed_us": "_gap"}
-    if short:
-        out = swept_in_halo(rows, by, us, F.col("_leave"), sums)
-    else:
-        out = swept_across(rows, by, us, F.col("_leave"), sums, width)
-        if set(df.columns) - {*by, time, value}:
-            found = out.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate([*by, time])], *sums)
-            same = [df[c].eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate([*by, time])]
-            out = df.join(found, reduce(and_, same)).select(*df.columns, *sums)
+    out = swept_in_halo(rows, by, us, F.col("_leave"), {"increase": "_step", "elapsed_us": "_gap"})
     enough = F.col("elapsed_us") > 0
     return out.withColumns({
         "increase": F.when(enough, F.col("increase")), "elapsed_us": F.when(enough, F.col("elapsed_us")),

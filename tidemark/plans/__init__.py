@@ -9,6 +9,7 @@ from tidemark.plans import (  # noqa: F401
     privacy_plans,
     reconcile_plans,
     routing_plans,
+    rule_plans,
     series_plans,
     sink_plans,
     source_plans,

@@ -3,6 +3,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from tidemark.operators import series as S
+from tidemark.operators.steps import at_steps
 from tidemark.plans.registry import plan
 
 _C = "CAST(round(value * 100) AS BIGINT)"
@@ -129,24 +130,43 @@ def _(t):
     return S.histogram_quantile(counted, 0.95, "event_type")
 
 
+def at_grid(source: str, by: str, step: int, seconds: int) -> str:
+    """SQL of counters at a grid of times: samples joined with the points that look back on them."""
+    return f"""
+counters AS ({source}),
+grown AS (SELECT *, CASE WHEN value >= lag(value) OVER s THEN value - lag(value) OVER s WHEN lag(value) OVER s IS NOT NULL THEN value ELSE 0 END AS step
+          FROM counters WINDOW s AS (PARTITION BY {by} ORDER BY ts)),
+totals AS (SELECT *, sum(step) OVER (PARTITION BY {by} ORDER BY ts) AS total FROM grown),
+points AS (SELECT make_timestamp(k * {step} * 1000000::BIGINT) AS at_ FROM (SELECT unnest(range(
+  epoch_us(min(ts)) // ({step} * 1000000::BIGINT), (epoch_us(max(ts)) + {seconds} * 1000000::BIGINT) // ({step} * 1000000::BIGINT) + 1)) AS k FROM counters)),
+stepped AS (SELECT {by}, at_ AS "at", count(*) AS samples, arg_max(value, ts) AS last, CAST(CASE WHEN max(ts) > min(ts) THEN arg_max(total, ts) - arg_min(total, ts) END AS BIGINT) AS increase,
+  CASE WHEN max(ts) > min(ts) THEN CAST(arg_max(total, ts) - arg_min(total, ts) AS DOUBLE) / (CAST(epoch_us(max(ts)) - epoch_us(min(ts)) AS DOUBLE) / 1e6) END AS rate
+  FROM points JOIN totals ON ts <= at_ AND ts > at_ - to_seconds({seconds}) GROUP BY {by}, at_)
+"""
+
+
+@plan("counters_at_steps", "TS-1 TS-2 TS-5", f"""
+WITH {at_grid(_SAMPLES, 'user_id, event_type', 21600, 172800)}
+SELECT user_id, event_type, "at", samples, last, increase, rate FROM stepped
+""")
+def _(t):
+    return at_steps(counters(t), ["user_id", "event_type"], "6 hours", "2 days").drop("elapsed_us")
+
+
 @plan("histogram_of_rates", "AGG-9 TS-1", f"""
-WITH steps AS (SELECT user_id, (user_id % 5 + 1) * 10.0::DOUBLE AS le, ts, {_C} AS value FROM events),
-per AS (SELECT user_id, le, sum(step) AS value FROM (
-    SELECT *, CASE WHEN value >= lag(value) OVER w THEN value - lag(value) OVER w WHEN lag(value) OVER w IS NOT NULL THEN value ELSE 0 END AS step
-    FROM steps WINDOW w AS (PARTITION BY user_id ORDER BY ts)) GROUP BY ALL),
-b AS (SELECT u.le, sum(value) AS c FROM per, (SELECT unnest([10.0::DOUBLE, 20, 30, 40, 50, 'Infinity'::DOUBLE]) AS le) u WHERE per.le <= u.le GROUP BY ALL),
-o AS (SELECT *, lag(le) OVER w AS low, coalesce(lag(c) OVER w, 0) AS below, max(c) OVER () * 0.5::DOUBLE AS rank FROM b WINDOW w AS (ORDER BY le))
-SELECT arg_min(CASE WHEN isinf(le) THEN low ELSE coalesce(low, 0) + (le - coalesce(low, 0)) * ((rank - below) / (c - below)) END, le) AS quantile
-FROM o WHERE c >= rank
+WITH {at_grid(_SAMPLES, 'user_id', 86400, 172800)},
+b AS (SELECT "at", u.le, sum(rate) AS c FROM stepped, (SELECT unnest([10.0::DOUBLE, 20, 30, 40, 50, 'Infinity'::DOUBLE]) AS le) u
+      WHERE (user_id % 5 + 1) * 10 <= u.le AND rate IS NOT NULL GROUP BY ALL),
+o AS (SELECT *, lag(le) OVER w AS low, coalesce(lag(c) OVER w, 0) AS below, max(c) OVER (PARTITION BY "at") * 0.5::DOUBLE AS rank FROM b WINDOW w AS (PARTITION BY "at" ORDER BY le))
+SELECT "at", round(arg_min(CASE WHEN isinf(le) THEN low ELSE coalesce(low, 0) + (le - coalesce(low, 0)) * ((rank - below) / (c - below)) END, le), 6) AS quantile
+FROM o WHERE c >= rank GROUP BY "at"
 """)
 def _(t):
-    steps = S.with_neighbours(counters(t), "user_id", "ts", previous={"before": "value"})
-    step = F.when(F.col("value") >= F.col("before"), F.col("value") - F.col("before")).when(
-        F.col("before").isNotNull(), F.col("value")).otherwise(0)
-    per = steps.select("user_id", ((F.col("user_id") % 5 + 1) * 10.0).alias("own"), step.alias("step"))
-    per = per.groupBy("user_id", "own").agg(F.sum("step").alias("value"))
+    rates = at_steps(counters(t), "user_id", "1 day", "2 days").filter("rate is not null")
     bounds = F.array(*[F.lit(float(b)) for b in (10, 20, 30, 40, 50, "inf")])
-    return S.histogram_quantile(per.withColumn("le", F.explode(bounds)).filter(F.col("own") <= F.col("le")), 0.5)
+    own = (F.col("user_id") % 5 + 1) * 10.0
+    buckets = rates.select("at", F.col("rate").alias("value"), F.explode(F.filter(bounds, lambda le: own <= le)).alias("le"))
+    return S.histogram_quantile(buckets, 0.5, "at").withColumn("quantile", F.round("quantile", 6))
 
 
 @plan("percentile_p95", "AGG-10", "SELECT l_returnflag, quantile_cont(l_extendedprice, 0.95) AS p95 FROM lineitem GROUP BY 1")
@@ -166,11 +186,11 @@ def _(t):
 
 @plan("or_zero", "AGG-12 ALR-7", """
 SELECT coalesce((SELECT count(*) FROM (SELECT user_id, arg_max(event_type, (ts, event_id)) AS state FROM events GROUP BY 1)
-  WHERE state = 'FAILED' HAVING count(*) > 0), 0) AS n
+  WHERE state = 'error' HAVING count(*) > 0), 0) AS n
 """)
 def _(t):
     state = S.latest(t.events, "user_id", "ts", ["event_type"], "event_id")
-    failed = state.filter("event_type = 'FAILED'").groupBy("event_type").agg(F.count("*").alias("n"))
+    failed = state.filter("event_type = 'error'").groupBy("event_type").agg(F.count("*").alias("n"))
     return S.or_zero(failed, "n")
 
 
