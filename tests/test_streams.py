@@ -11,8 +11,9 @@ from tidemark.operators.joins import asof_join
 from tidemark.operators.windows import amount_stats, tumbling, with_event_time
 from tidemark.sources.topics import kafka_options, read_topic
 from tidemark.streaming import sinks, tables
+from tidemark.streaming.late import LateSplit
 from tidemark.streaming.run import drained, run_stream, run_to_parquet, use_rocksdb
-from tidemark.streaming.stateful import asof_join_stream, release_resolved_stream, split_late
+from tidemark.streaming.stateful import asof_join_stream, release_resolved_stream
 
 START = datetime(2024, 1, 1)
 SCHEMA = "id long, k string, ts timestamp, value double"
@@ -58,8 +59,19 @@ def test_late_rows_are_dropped_and_shown(spark, tmp_path):
     for i, (ident, minute) in enumerate([(2, 30), (3, 31), (4, 1), (5, 40)], 1):
         spark.createDataFrame([(ident, "a", START + timedelta(minutes=minute), 1.0)], SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/in/part={i:03d}")
     use_rocksdb(spark)
-    drained(run_to_parquet(split_late(stream(spark, f"{tmp_path}/in"), "ts", 3), f"{tmp_path}/late", f"{tmp_path}/cp1"))
-    assert {r["id"]: r["late"] for r in spark.read.parquet(f"{tmp_path}/late").collect()} == {1: False, 2: False, 3: False, 4: True, 5: False}
+    split = LateSplit(f"{tmp_path}/split", "ts", "5 seconds")
+    drained(run_stream(stream(spark, f"{tmp_path}/in"), split, f"{tmp_path}/cp1"))
+    want = {1: False, 2: False, 3: False, 4: True, 5: False}
+    rows = lambda: split.read(spark, stream(spark, f"{tmp_path}/in").schema)
+    assert {r["id"]: r["late"] for r in rows().collect()} == want
+    again = spark.createDataFrame([(5, "a", START + timedelta(minutes=40), 1.0)], SCHEMA)
+    split(again, 4)  # delivered again: the same mark, the same folders
+    assert sorted((r["id"], r["late"]) for r in rows().collect()) == sorted(want.items())
+    more = [(6, "a", START + timedelta(minutes=39), 1.0), (7, "a", None, 1.0), (8, "b", START + timedelta(minutes=39, seconds=55), 1.0)]
+    spark.createDataFrame(more, SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/in/part=900")
+    drained(run_stream(stream(spark, f"{tmp_path}/in"), split, f"{tmp_path}/cp1"))  # a restart goes on from the mark
+    assert {r["id"]: r["late"] for r in rows().collect()} == want | {6: True, 7: False, 8: False}
+    assert "late=false" not in " ".join(rows().filter("late").inputFiles())
     counted = tumbling(stream(spark, f"{tmp_path}/in"), "ts", "1 minute", [F.count("*").alias("n")])
     drained(run_to_parquet(counted, f"{tmp_path}/out", f"{tmp_path}/cp2"))
     starts = {r["window_start"] for r in spark.read.parquet(f"{tmp_path}/out").collect()}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.plans.error_plans import PAYLOAD, _PAYLOADS, payloads
 from tidemark.plans.join_plans import order_tier
 from tidemark.plans.registry import plan
-from tidemark.plans.stream_plans import event_stream
+from tidemark.plans.stream_plans import event_stream, in_thirds
 from tidemark.functions import tier_value
 from tidemark.functions.units import instant
 from tidemark.session import fresh_path
@@ -27,14 +27,6 @@ def _(t):
     return records.select("topic", "key", body.alias("v")).select("topic", "key", "v.*")
 
 
-def in_thirds(rows, time):
-    """All rows in three batches that follow each other in time, cut at quantiles; rows without a time come first."""
-    us = F.unix_micros(F.col(time).cast("timestamp"))
-    low, high = rows.agg(F.percentile_approx(us, [1 / 3, 2 / 3]).alias("q")).first()["q"] or (0, 0)
-    part = F.when(us > high, 2).when(us > low, 1).otherwise(0)
-    return [rows.filter(part == i) for i in range(3)]
-
-
 @plan("upsert_table", "SNK-2 CDC-5", """
 SELECT * FROM (SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) AS o_orderstatus,
   max(o_orderdate) AS o_orderdate FROM orders GROUP BY 1) WHERE o_orderstatus <> 'F'

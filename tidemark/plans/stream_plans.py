@@ -4,11 +4,14 @@ from pyspark.sql import functions as F, types as T
 
 from tidemark.operators.changes import dedupe_versions
 from tidemark.operators.windows import amount_stats, tumbling, with_event_time
+from tidemark.operators.alerts import Rule
 from tidemark.plans.registry import plan
 from tidemark.plans.window_plans import _AMOUNTS, _STATS
 from tidemark.sources.topics import declare_stream, read_topic
-from tidemark.streaming.run import replayed, use_rocksdb
-from tidemark.streaming.stateful import asof_join_stream, release_resolved_stream, split_late
+from tidemark.streaming.alerts import alert_sustained_stream
+from tidemark.streaming.late import LateSplit
+from tidemark.streaming.run import fed_in_parts, replayed, replayed_in_parts, run_stream, use_rocksdb
+from tidemark.streaming.stateful import asof_join_stream, release_resolved_stream
 
 
 def event_stream(t, **options):
@@ -17,6 +20,14 @@ def event_stream(t, **options):
     return with_event_time(raw, "ts", "5 seconds")
 
 
+def in_thirds(rows, time):
+    """All rows in three batches that follow each other in time, cut at quantiles; rows without a time come first."""
+    us = F.unix_micros(F.col(time).cast("timestamp"))
+    low, high = rows.agg(F.percentile_approx(us, [1 / 3, 2 / 3]).alias("q")).first()["q"] or (0, 0)
+    part = F.when(us > high, 2).when(us > low, 1).otherwise(0)
+    return [rows.filter(part == i) for i in range(3)]
+
+
 # The watermark trails the newest event by five seconds, at millisecond precision.
 _MARK = "(SELECT date_trunc('millisecond', max(ts)) - INTERVAL 5 SECOND FROM events)"
 
@@ -86,7 +97,53 @@ def _(t):
     return replayed(release_resolved_stream(rows, marks, "ts", "resolved", "user_id", salts=4), "gate")
 
 
-@plan("stream_late_split", "WM-2", "SELECT event_id, ts, false AS late FROM events")
+# Every fiftieth event comes a third of the time too late.
+_ARRIVAL = """SELECT event_id, ts, least(2, (epoch_us(ts) - lo) * 3 // (hi - lo + 1) + CASE WHEN event_id % 50 = 0 THEN 1 ELSE 0 END) AS part
+  FROM events, (SELECT epoch_us(min(ts)) AS lo, epoch_us(max(ts)) AS hi FROM events)"""
+
+
+@plan("stream_late_split", "WM-2 WM-3", f"""
+WITH e AS ({_ARRIVAL}), m AS (SELECT part, max(max(ts)) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 5 SECOND AS mark FROM e GROUP BY part)
+SELECT event_id, ts, coalesce(ts < mark, false) AS late FROM e JOIN m USING (part)
+""")
+def _(t):
+    rows = t.events.select("event_id", "ts")
+    us = F.unix_micros("ts")
+    ends = rows.agg(F.min(us).alias("lo"), F.max(us).alias("hi")).first()
+    low, span = ends["lo"] or 0, (ends["hi"] or 0) - (ends["lo"] or 0) + 1
+    part = F.least(F.lit(2), F.expr(f"(unix_micros(ts) - {low}) * 3 div {span}") + (F.col("event_id") % 50 == 0).cast("int"))
+    root = fed_in_parts(
+        [rows.filter(part == i) for i in range(3)],
+        lambda raw, at: run_stream(raw, LateSplit(f"{at}/split", "ts", "5 seconds"), f"{at}/checkpoint"), "late")
+    return LateSplit(f"{root}/split", "ts", "5 seconds").read(t.spark, rows.schema)
+
+
+_RULES = (
+    Rule("value-warn", "value", "gt", 40.0, 3600, "warn"), Rule("value-alert", "value", "gt", 80.0, 3600, "alert"),
+    Rule("value-low", "value", "lt", 25.0, 7200, "warn"),
+)
+
+
+@plan("stream_alerts_sustained", "ALR-2 ALR-3 ALR-4 ALR-9 WM-3", f"""
+WITH rules(rule, op, lim, hold_s, severity) AS (VALUES ('value-warn', 'gt', 40.0, 3600, 'warn'), ('value-alert', 'gt', 80.0, 3600, 'alert'), ('value-low', 'lt', 25.0, 7200, 'warn')),
+r AS (SELECT e.event_id, e.user_id, e.ts, e.value, rules.*, CASE op WHEN 'gt' THEN value > lim ELSE value < lim END AS breached FROM events e, rules),
+m AS (SELECT *, lag(breached) OVER w AS was, lag(ts) OVER w AS prev_ts, lead(ts) OVER w AS next_ts FROM r WINDOW w AS (PARTITION BY rule, user_id ORDER BY ts, event_id)),
+f AS (SELECT *, CASE WHEN prev_ts IS NULL OR NOT was OR ts - prev_ts > INTERVAL 12 HOUR THEN 1 ELSE 0 END AS starts FROM m WHERE breached),
+i AS (SELECT *, sum(starts) OVER (PARTITION BY rule, user_id ORDER BY ts, event_id) AS island FROM f),
+n AS (SELECT *, min(ts) OVER p AS started, row_number() OVER o AS place, max(value) OVER o AS so_far, count(*) OVER p AS every,
+  last_value(next_ts) OVER (PARTITION BY rule, user_id, island ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS following
+  FROM i WINDOW p AS (PARTITION BY rule, user_id, island), o AS (PARTITION BY rule, user_id, island ORDER BY ts, event_id)),
+fired AS (SELECT * FROM n WHERE ts - started >= to_seconds(hold_s) QUALIFY row_number() OVER (PARTITION BY rule, user_id, island ORDER BY ts, event_id) = 1),
+ended AS (SELECT * FROM n WHERE place = every AND ts - started >= to_seconds(hold_s) AND (following IS NOT NULL OR ts + INTERVAL 12 HOUR < {_MARK}))
+SELECT rule, user_id, state, started, seen, place AS samples, so_far AS peak, severity, started + to_seconds(hold_s) AS fired_at
+FROM (SELECT *, 'firing' AS state, ts AS seen FROM fired UNION ALL SELECT *, 'resolved', ts FROM ended)
+""")
 def _(t):
     use_rocksdb(t.spark)
-    return replayed(split_late(event_stream(t).select("event_id", "ts"), "ts", 16), "late")
+
+    def alerts(raw):
+        samples = with_event_time(raw, "ts", "5 seconds").withColumn("metric", F.lit("value"))
+        return alert_sustained_stream(samples, _RULES, "user_id", max_gap="12 hours", order="event_id").drop("hold_s")
+
+    rows = t.events.select("event_id", "user_id", "ts", "value")
+    return replayed_in_parts(in_thirds(rows, "ts"), alerts, "alerts")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
@@ -62,3 +62,29 @@ def replayed(df: DataFrame, name: str) -> DataFrame:
     root = fresh_path(spark, name)
     drained(run_to_parquet(df, f"{root}/out", f"{root}/checkpoint"))
     return spark.read.schema(df.schema).parquet(f"{root}/out")
+
+
+def fed_in_parts(parts: Sequence[DataFrame], start: Callable[[DataFrame, str], StreamingQuery], name: str) -> str:
+    """Write each part as new files of one folder and start the stream again until it has read them.
+
+    ``start`` gets the folder read as a stream and a folder for results and checkpoint, which is returned.
+    """
+    spark = parts[0].sparkSession
+    root = fresh_path(spark, name)
+    for part in parts:
+        part.write.mode("append").parquet(f"{root}/in")
+        drained(start(spark.readStream.schema(part.schema).parquet(f"{root}/in"), root))
+    return root
+
+
+def replayed_in_parts(parts: Sequence[DataFrame], build: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """Feed a stream that ``build`` makes part by part; returns what it wrote as a table."""
+    schema = []
+
+    def start(raw: DataFrame, root: str) -> StreamingQuery:
+        result = build(raw)
+        schema.append(result.schema)
+        return run_to_parquet(result, f"{root}/out", f"{root}/checkpoint")
+
+    root = fed_in_parts(parts, start, name)
+    return parts[0].sparkSession.read.schema(schema[0]).parquet(f"{root}/out")

@@ -194,28 +194,3 @@ def release_resolved_stream(
         _Gate(), "payload string", "Append", "None"
     )
     return gated.select(_unpacked("payload", rows.schema).alias("_r")).select("_r.*")
-
-
-class _Lateness(StatefulProcessor):
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        pass
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        watermark_us = timerValues.getCurrentWatermarkInMs() * 1000
-        for batch in rows:
-            yield pd.DataFrame({"payload": batch["payload"], "late": batch["us"] < watermark_us})
-
-    def close(self) -> None:
-        pass
-
-
-def split_late(df: DataFrame, time: str, parts: int = 64) -> DataFrame:
-    """Every row with ``late``: whether the watermark had passed it when it arrived.
-
-    Rows are spread over ``parts`` by hash. Window aggregates drop late rows; this shows which.
-    """
-    packed = df.select(
-        _part(df.columns, parts).alias("part"), F.unix_micros(time).alias("us"), _packed(df.columns).alias("payload")
-    )
-    marked = packed.groupBy("part").transformWithStateInPandas(_Lateness(), "payload string, late boolean", "Append", "EventTime")
-    return marked.select(_unpacked("payload", df.schema).alias("_r"), "late").select("_r.*", "late")
