@@ -18,9 +18,8 @@ def held_out_scores(spark, out, label):
     labels = spark.read.parquet(f"{FOLDER}/labels.parquet")
     rows = out.join(labels, "doc_id").where("held_out").select("score", "predicted", label).collect()
     scores, truth = np.array([r["score"] for r in rows]), np.array([r[label] for r in rows])
-    order = scores.argsort().argsort()
-    ones = truth == 1
-    return (order[ones].mean() - (ones.sum() - 1) / 2) / (~ones).sum(), np.mean([r["predicted"] == r[label] for r in rows])
+    high, low = scores[truth == 1][:, None], scores[truth != 1]
+    return (high > low).mean() + (high == low).mean() / 2, np.mean([r["predicted"] == r[label] for r in rows])
 
 
 def test_quality_is_learnt(spark):
@@ -92,6 +91,23 @@ def test_quotation_is_told_from_abuse():
     assert x[0][1] > 0 and x[0][4] > 0 and x[1][1] == 0 and x[1][3] > 0 and x[2][1] == 0 and x[2][2] > 0 and not x[3:].any()
 
 
+def test_misspelled_terms_have_weight_and_context():
+    lexicon = Lexicon([Term("scoundrel", False, 5.0, 5.0), Term("blackguardly", False, 3.0, 3.0)])
+    texts = ["a scoundrol came", 'they wrote "scoundrol" once', "you scoundrol", "a blackguardli came", "a blackgardli came", "the scoundrel, a scoundrol", "a scoundrel came"]
+    x = toxicity.features(lexicon, texts)
+    assert len({tuple(r) for r in x.round(9)}) == len(texts)
+    assert x[0][2] > 0 and not x[0][6] and x[1][6] > 0 and not x[1][2] and x[2][4] > 0 and not x[0][4]
+    assert x[0][2] > x[3][2] > x[4][2] > 0  # by weight, and less with each edit
+    assert x[5][2] == 0 and (x[5][:2] == x[6][:2]).all()  # what is there exactly is not counted again
+
+
+def test_an_empty_lexicon_is_not_silent(spark, table):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id bigint, toxic int")
+    with pytest.warns(UserWarning, match="every score will be 0"):
+        out = toxicity.classify(table([(i, "the same words in all") for i in range(40)]), labels, "doc_id", "text")
+    assert {r["score"] for r in out.collect()} == {0.0}
+
+
 @pytest.mark.parametrize("block", [8, 64, 1 << 20])
 def test_suffixes_come_in_order(monkeypatch, block):
     monkeypatch.setattr(induced, "BLOCK", block)

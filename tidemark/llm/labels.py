@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.llm.common import stored
 from tidemark.llm.minhash import signed
@@ -33,5 +33,6 @@ def training_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, lab
     for chunk in range(3):  # near copies share the least of their shingles' hashes more often than not, three times over
         slot = F.when(F.col("sig")[chunk] != 0, F.col("sig")[chunk].bitwiseAND(F.lit(0xFFFF)) * 3 + chunk).otherwise(F.xxhash64("key"))
         place = F.xxhash64(slot, F.col("sig")[chunk + 3].bitwiseAND(F.lit(0xFFFF)))
-        found = found.withColumn("place", place).dropDuplicates(["place", "label"]).drop("place")
+        first = Window.partitionBy("place", "label").orderBy(F.xxhash64("key", F.lit(29)), "key", F.sha2("text", 256))
+        found = found.withColumn("place", place).withColumn("n", F.row_number().over(first)).where("n = 1").drop("place", "n")
     return stored(found.select("key", "text", "label"), "sample")

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import re
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -26,7 +27,7 @@ QUOTES = re.compile(r"[\"“”„«»‘’]")
 REPORTING = frozenset("said says saying quote quoted quotes called wrote sagte sagt schrieb zitat dit écrit citation dijo dice escribió cita".split())
 ADDRESS = frozenset("you your you're u ur du dich dir dein ihr euch tu te toi ton vous votre usted tú ti tus vosotros".split())
 WINDOW = 40
-FEATURES = 6
+FEATURES = 7
 
 
 def words_of(text: str) -> list[str]:
@@ -125,11 +126,12 @@ def _context(text: str, start: int, end: int) -> str:
 
 
 def features(lexicon: Lexicon, texts: list[str]) -> np.ndarray:
-    """For each text: the evidence of its terms (capped, logged), near hits, quoted terms, aimed hits, evidence for
-    the length.
+    """For each text: the evidence of its terms (capped, logged), misspelled terms, quoted terms, aimed hits, evidence for
+    the length, quoted misspelled terms.
 
-    A term's evidence is its weight, or ``several`` where two of its words occur; terms that occur in quotations only
-    are counted apart.
+    A term's evidence is its weight, or ``several`` where two of its words occur. A misspelled term has the same,
+    halved for each edit, and is counted beside the exact ones. Terms that occur in quotations only are counted apart; an aimed hit
+    counts one, halved for each edit.
     """
     low = [t.lower() for t in texts]
     found = [WORD.findall(t) for t in low]
@@ -140,31 +142,38 @@ def features(lexicon: Lexicon, texts: list[str]) -> np.ndarray:
         mine = hits.keys() & own
         if not mine:
             continue
-        open_, quoted, near, aimed = {}, {}, set(), 0
+        held: dict[tuple[bool, bool], dict[int, dict[str, int]]] = {}  # (misspelled, quoted): terms, their words and edits
+        aimed = 0.0
         for m in WORD.finditer(low[i]):
             if m[0] in mine:
                 number, apart = hits[m[0]]
                 kind = _context(low[i], m.start(), m.end())
-                if apart:
-                    near.add(m[0])
-                elif kind == "quoted":
-                    quoted.setdefault(number, set()).add(m[0])
-                else:
-                    open_.setdefault(number, set()).add(m[0])
-                    aimed += kind == "aimed"
-        weigh = lambda terms: sum(lexicon.terms[n].several if len(w) > 1 else lexicon.terms[n].weight for n, w in terms.items())
-        evidence = weigh(open_)
-        apart_only = weigh({n: w for n, w in quoted.items() if n not in open_})
-        out[i] = [min(evidence, 30) / 10, *np.log1p([evidence, len(near), apart_only, aimed, 20 * evidence / len(found[i])])]
+                held.setdefault((apart > 0, kind == "quoted"), {}).setdefault(number, {})[m[0]] = apart
+                aimed += 0.5**apart if kind == "aimed" else 0
+
+        def evidence(misspelled: bool, quoted: bool) -> float:
+            terms, known = held.get((misspelled, quoted), {}), [held.get((False, False), {})]
+            if quoted:
+                known.append(held.get((misspelled, False), {}))
+            total = 0.0
+            for number, words in terms.items():
+                if not (misspelled or quoted) or not any(number in k for k in known):  # what is open and exact has been counted
+                    term = lexicon.terms[number]
+                    total += (term.several if len(words) > 1 else term.weight) * 0.5 ** min(words.values())
+            return total
+
+        whole = evidence(False, False)
+        out[i] = [min(whole, 30) / 10, *np.log1p([whole, evidence(True, False), evidence(False, True), aimed, 20 * whole / len(found[i]), evidence(True, True)])]
     return out
 
 
-def learn_lexicon(sample: DataFrame, support: float = 0.02, most: int = 2000) -> list[Term]:
-    """Words and stems that many toxic documents of the sample have and next to no others; ``most`` bounds the list.
+def learn_lexicon(sample: DataFrame, support: int = 3, most: int = 2000) -> list[Term]:
+    """Words and stems that toxic documents of the sample have and next to no others; ``most`` bounds the list.
 
-    A term needs ``support`` of the toxic documents (3 at least), a rate 20 times that of the others, and counts that
-    chance would not give. For a stem the documents count that have two of its words; it needs five different ones,
-    none of which is more than half of what it finds. Of terms that start alike the most telling one is kept.
+    A term needs ``support`` toxic documents, a rate 20 times that of the others, and counts that chance would not give
+    once among all terms that have the support: its part of the likelihood ratio is at least 2 ln of their number. For a
+    stem the words of documents that have two or more of them count; it needs one such document fewer, and five different
+    words, none of which is more than half of what it finds. Of terms that start alike the most telling one is kept.
     """
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,22 +194,24 @@ def learn_lexicon(sample: DataFrame, support: float = 0.02, most: int = 2000) ->
     docs_with = lambda label, test: F.sum(((F.col("label") == label) & test).cast("int"))
     once, more = F.col("n") == 1, F.col("n") > 1
     counts = per_doc.groupBy("term", "stem").agg(
-        docs_with(1, once).alias("x1"), docs_with(0, once).alias("y1"), docs_with(1, more).alias("x2"), docs_with(0, more).alias("y2"))
+        docs_with(1, once).alias("x1"), docs_with(0, once).alias("y1"), docs_with(1, more).alias("x2"), docs_with(0, more).alias("y2"),
+        F.sum(F.when(more & (F.col("label") == 1), F.col("n")).otherwise(0)).alias("xw"), F.sum(F.when(more & (F.col("label") == 0), F.col("n")).otherwise(0)).alias("yw"))
     by_word = entries.where("stem AND label = 1").groupBy("term", "word").agg(F.count("*").alias("n"))
     spread = by_word.groupBy("term").agg(F.count("*").alias("variants"), F.max("n").alias("top")).withColumn("stem", F.lit(True))
 
     def odds(x: str, y: str) -> Column:
         return ((F.col(x) + 0.5) / (toxic + 1)) / ((F.col(y) + 1) / (clean + 2))
 
-    x = F.when(F.col("stem"), F.col("x2")).otherwise(F.col("x1"))
-    y = F.when(F.col("stem"), F.col("y2")).otherwise(F.col("y1"))
-    surprise = 2 * x * F.log(x * (toxic + clean) / ((x + y) * toxic))  # the term's part of the likelihood ratio
-    chosen = counts.withColumns({"x": x, "one": odds("x1", "y1"), "two": odds("x2", "y2"), "surprise": surprise})
-    best = F.when(F.col("stem"), F.col("two")).otherwise(F.col("one"))
-    chosen = chosen.where((F.col("x") >= max(3, support * toxic)) & (best >= 20) & (F.col("surprise") >= 40))
+    x = F.when(F.col("stem"), F.col("xw")).otherwise(F.col("x1"))
+    y = F.when(F.col("stem"), F.col("yw")).otherwise(F.col("y1"))
+    surprise = 2 * F.col("x") * F.log(F.col("x") * (toxic + clean) / ((F.col("x") + F.col("y")) * toxic))  # its part of the likelihood ratio
+    chosen = counts.where((F.col("stem") & (F.col("x2") >= support - 1)) | (~F.col("stem") & (F.col("x1") >= support)))
+    chosen = chosen.withColumns({"x": x, "y": y}).withColumns({"one": odds("x1", "y1"), "two": odds("x2", "y2"), "best": odds("x", "y"), "surprise": surprise})
+    tried = chosen.count()
+    chosen = chosen.where((F.col("best") >= 20) & (F.col("surprise") >= 2 * math.log(max(tried, 2))))
     chosen = chosen.join(spread, ["term", "stem"], "left")
     chosen = chosen.where(~F.col("stem") | ((F.col("variants") >= 5) & (F.col("top") <= (F.col("x1") + F.col("x2")) / 2)))
-    chosen = chosen.withColumn("value", F.col("surprise") * F.log(best)).orderBy(F.desc("value"), F.desc(F.length("term")), "term", "stem").limit(most)
+    chosen = chosen.withColumn("value", F.col("surprise") * F.log("best")).orderBy(F.desc("value"), F.desc(F.length("term")), "term", "stem").limit(most)
     terms: list[Term] = []
     for r in chosen.collect():
         related = any(t.text.startswith(r["term"]) or (t.stem and r["term"].startswith(t.text)) for t in terms if t.stem or r["stem"])
@@ -231,10 +242,11 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 30
     return w
 
 
-def train(sample: DataFrame, support: float = 0.02) -> Model | None:
+def train(sample: DataFrame, support: int = 3) -> Model | None:
     """Lexicon and weights from (text, label)."""
     terms = learn_lexicon(sample, support)
     if not terms:
+        warnings.warn("no term of the labelled sample tells toxic documents from others: every score will be 0", stacklevel=2)
         return None
     lexicon_terms = terms
 
@@ -254,7 +266,7 @@ def classify(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str
     """(key, held_out, score, predicted, evidence) of every row; ``evidence`` is the logged sum of its terms' weights.
 
     Lexicon and weights come from at most ``per_class`` labelled rows of each label outside the fold; where nothing can
-    be learnt every score is 0. Null texts are empty; a text without hits has the model's lowest score. Repeated rows stay.
+    be learnt every score is 0 and a warning says so. Null texts are empty; a text without hits has the model's lowest score. Repeated rows stay.
     """
     model = train(training_sample(docs, labels, key, text, label, parts, part, per_class))
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
