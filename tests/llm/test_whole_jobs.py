@@ -56,3 +56,34 @@ def test_the_pipeline_removes_rows_not_ids(spark, table):
     assert collections.Counter((r["doc_id"], r["text"]) for r in out.collect()) == collections.Counter(
         [(4, first), (4, third), (None, other), (None, third + " at all"), (None, None), (None, ""), (7, None), (7, ""), rows[13], rows[15]])
     assert out.columns == table(rows).columns
+
+
+@pytest.mark.parametrize("block", [4, 4096])
+def test_open_keys_cost_rows_in_proportion(table, monkeypatch, block):
+    """Near copies at about the similarity, so that hubs leave some apart: one result for all sizes of blocks and tasks."""
+    rng, dealt = random.Random(9), []
+    base = [f"w{j}" for j in range(120)]
+    rows = [(i, edited([f"{w}" for w in base], {rng.randrange(120) for _ in range(rng.randrange(1, 4))}).replace("new", f"n{i % 40}x")) for i in range(160)]
+
+    def counted(open_, of=minhash._dealt):
+        out = of(open_)
+        dealt.append((open_.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(minhash, "_dealt", counted)
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "STRIPE", 3)
+    monkeypatch.setattr(minhash, "TASK_SHINGLES", 300 if block == 4 else 1 << 21)
+    monkeypatch.setattr(minhash, "FEW", 0)  # no further hubs
+    out = minhash.near_duplicates(table(rows), "doc_id", "text")
+    assert {r["doc_id"]: r["component_id"] for r in out.collect()} == dict(zip((k for k, _ in rows), plain.components(rows)))
+    (before, after), = dealt
+    assert 0 < before and (after == before if block == 4096 else after > before)
+
+
+def test_main_component_meets_the_others_only(spark, monkeypatch):
+    """One class apart from n connected ones costs n rows and one for each block."""
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    rows = [(1, 0, bytes([i]), b"main" if i else b"other", 9, [0], [0]) for i in range(200)]
+    dealt = minhash._dealt(spark.createDataFrame(rows, "place bigint, k int, cls binary, label binary, n bigint, sig array<bigint>, wide array<bigint>")).collect()
+    assert len(dealt) == 199 + 1 + 25 and {r["i"] for r in dealt} == {0}

@@ -6,8 +6,11 @@ slots, and every such pair meets under some key. Of sets with similarity 0.80, o
 
 Texts with the same set are one class from the start. Inside a key no pairs are listed among classes that are known to
 be connected. Each key compares its classes with one of them, the one that shares its keys with most others; each part of
-a key with one, two or three more chunks in common does so with the first by a hash. Confirmed links give components. What is left, classes of one key in
-different components, is compared in blocks of bounded size, each pair under its first key alone, and confirmed where
+a key with one, two or three more chunks in common does so with the first by a hash. Confirmed links give components. Keys
+with several components take further hubs by hash, round by round, each against the classes of other components, until a round
+links few. What is left, classes of one key in different components, is compared in blocks of bounded size: the classes of the key's largest
+component meet the others only. A key costs rows in proportion to its classes unless more than ``BLOCK`` of them are outside that
+component. Each pair is compared under its first key alone, and confirmed where
 sizes, the signature and a longer one of ``WIDE`` slots of 8 bits allow a link. How many slots of each may differ follows
 from the similarity: of sets that just reach it, no more than ``MISSED`` differ in more.
 """
@@ -27,7 +30,11 @@ WIDTH = 5
 SLOTS, CHUNKS = 32, 8
 PERCENT = 85
 MISSED = 1e-5
-BLOCK = 256
+BLOCK = 4096  # classes that a task compares with as many, some eight million comparisons
+STRIPE = 256
+HUBS = 3  # a round
+FEW = 20  # a round that links fewer than one in FEW of the open classes is the last
+TASK_SHINGLES = 1 << 21  # of the classes that one task confirms; a pair of larger sets is a task of its own
 BROADCAST = "64m"
 WIDE = 256
 _PLACE = constants(WIDTH + 1, 11)
@@ -212,35 +219,68 @@ def _compared(group: dict[str, np.ndarray], percent: int, near_slots: int, near_
     two = one if len(sides) == 1 else np.flatnonzero(group["block"] == sides[1])
     if len(sides) == 1 and group["i"][0] != group["j"][0]:
         return  # the other block is empty
-    n, label = group["n"], group["label"]
-    fits = (label[one][:, None] != label[two]) & (np.minimum(n[one][:, None], n[two]) * 100 >= np.maximum(n[one][:, None], n[two]) * percent)
-    if one is two:
-        fits &= np.triu(np.ones(fits.shape, bool), 1)
-    x, y = (side[i] for side, i in zip((one, two), np.nonzero(fits)))
-    sig, wide = group["sig"], group["wide"]
-    for a in range(0, len(x), 1 << 14):
-        left, right = x[a : a + (1 << 14)], y[a : a + (1 << 14)]
-        same = sig[left] == sig[right]
-        near = same.sum(axis=1) >= SLOTS - near_slots
-        left, right, same = left[near], right[near], same[near].reshape(-1, CHUNKS, 4)
-        shared = (same.sum(axis=2, keepdims=True) - same == 3).reshape(-1, SLOTS)  # a key leaves one slot of a chunk out
-        here = shared.argmax(axis=1) == group["k"][0]
-        left, right = left[here], right[here]
-        near = (wide[left] != wide[right]).sum(axis=1) <= near_wide
-        yield from zip(left[near].tolist(), right[near].tolist())
+    n, label, sig, wide = (group[c] for c in ("n", "label", "sig", "wide"))
+    for start in range(0, len(one), STRIPE):
+        some = one[start : start + STRIPE]
+        fits = (label[some][:, None] != label[two]) & (np.minimum(n[some][:, None], n[two]) * 100 >= np.maximum(n[some][:, None], n[two]) * percent)
+        if one is two:
+            fits &= some[:, None] < two
+        x, y = (side[i] for side, i in zip((some, two), np.nonzero(fits)))
+        for a in range(0, len(x), 1 << 14):
+            left, right = x[a : a + (1 << 14)], y[a : a + (1 << 14)]
+            same = sig[left] == sig[right]
+            near = same.sum(axis=1) >= SLOTS - near_slots
+            left, right, same = left[near], right[near], same[near].reshape(-1, CHUNKS, 4)
+            shared = (same.sum(axis=2, keepdims=True) - same == 3).reshape(-1, SLOTS)  # a key leaves one slot of a chunk out
+            here = shared.argmax(axis=1) == group["k"][0]
+            left, right = left[here], right[here]
+            near = (wide[left] != wide[right]).sum(axis=1) <= near_wide
+            yield from zip(left[near].tolist(), right[near].tolist())
+
+
+def _batches(pairs: np.ndarray, n: np.ndarray) -> Iterator[np.ndarray]:
+    """The pairs in groups whose classes have at most TASK_SHINGLES elements, or one pair."""
+    used: set[int] = set()
+    start = held = 0
+    for i, (x, y) in enumerate(pairs.tolist()):
+        more = sum(int(n[c]) for c in (x, y) if c not in used)
+        if used and held + more > TASK_SHINGLES:
+            yield pairs[start:i]
+            used, start, held, more = set(), i, 0, int(n[x] + n[y])
+        used |= {x, y}
+        held += more
+    if len(pairs):
+        yield pairs[start:]
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """The rows of each key (place, k, cls, label, n, sig, wide) dealt to pairs (i, j) of blocks of about BLOCK classes.
+
+    A key of BLOCK classes is one block. Otherwise classes outside the key's largest component are in the first blocks and
+    meet all; those of the largest one are in the blocks after these, and meet the first blocks alone.
+    """
+    sizes = rows.groupBy("place", "label").agg(F.count("*").alias("members"))
+    keys = sizes.groupBy("place").agg(F.max(F.struct("members", "label")).alias("main"), F.sum("members").alias("members"))
+    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("bigint")
+    small = F.col("members") <= BLOCK  # all of it is one block
+    few = F.when(small, 1).otherwise(blocks(F.col("members") - F.col("main.members")))
+    many = F.when(small, 0).otherwise(blocks(F.col("main.members")))
+    keys = stored(keys.select("place", F.col("main.label").alias("main"), few.alias("few"), many.alias("many")), "open_keys")
+    rows, here = rows.join(keys, "place"), F.xxhash64("cls", F.lit(5))
+    inside = (F.col("label") == F.col("main")) & (F.col("many") > 0)
+    rows = rows.withColumn("block", F.when(inside, F.col("few") + F.pmod(here, "many")).otherwise(F.pmod(here, "few")))
+    last = F.when(inside, F.col("few")).otherwise(F.col("few") + F.col("many")) - 1
+    others = F.transform(F.sequence(F.lit(0).cast("bigint"), last), lambda o: F.struct(F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j")))
+    return rows.withColumn("pair", F.explode(others)).select("place", "k", "pair.i", "pair.j", "block", "cls", "label", "n", "sig", "wide")
 
 
 def _block_pairs(rows: DataFrame, percent: int) -> DataFrame:
     """(task, cls, pairs) for classes of one key in different components that can be similar, each pair in one task.
 
-    A key's classes are dealt into blocks of about BLOCK by hash, and a task holds two of them. ``pairs`` numbers the
-    task's classes ``cls``; ``label`` has their components, numbered.
+    ``pairs`` numbers the task's classes ``cls``; ``label`` has their components, numbered.
     """
     limits = (percent, radius(percent, SLOTS, 16), radius(percent, WIDE, 8))
-    blocks = F.ceil(F.col("members") / BLOCK)
-    block = F.pmod(F.xxhash64("cls", F.lit(5)), blocks)
-    others = F.transform(F.sequence(F.lit(0).cast("bigint"), blocks - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j")))
-    dealt = rows.withColumn("block", block).withColumn("pair", F.explode(others)).select("place", "k", "pair.i", "pair.j", "block", "cls", "label", "n", "sig", "wide")
+    dealt = _dealt(rows)
     dealt = dealt.repartition("place", "i", "j").sortWithinPartitions("place", "i", "j")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,9 +298,9 @@ def _block_pairs(rows: DataFrame, percent: int) -> DataFrame:
             cls, out = table.column("cls").to_pylist(), []
             for start, end in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                 found = np.array(list(_compared({c: v[start:end] for c, v in numbers.items()}, *limits)), np.int32).reshape(-1, 2)
-                if len(found):
-                    used, place = np.unique(found, return_inverse=True)
-                    task = ":".join(str(numbers[c][start]) for c in ("place", "i", "j"))
+                for number, some in enumerate(_batches(found, numbers["n"][start:end])):
+                    used, place = np.unique(some, return_inverse=True)
+                    task = ":".join([*(str(numbers[c][start]) for c in ("place", "i", "j")), str(number)])
                     labels = np.unique(numbers["label"][start + used], return_inverse=True)[1]
                     out.append((task, [cls[start + u] for u in used], labels.astype(np.int32).tobytes(), place.astype(np.int32).tobytes()))
             return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(TASK.types)], schema=TASK)
@@ -287,7 +327,7 @@ def _block_pairs(rows: DataFrame, percent: int) -> DataFrame:
 def _linked_in_tasks(tasks: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
     """(a, b): links that connect what the pairs of each task connect. A pair already connected in its task is passed over.
 
-    A task gets the sets of its own classes, two blocks of them at most.
+    A task gets the sets of its own classes, TASK_SHINGLES of elements at most or one pair.
     """
     tasks = stored(tasks, "tasks")
     needed = tasks.select("task", F.posexplode("cls").alias("place", "cls"))
@@ -326,6 +366,26 @@ def _side(df: DataFrame, side: str, *keep: str) -> DataFrame:
     return df.select(*keep, *[F.col(c).alias(f"{c}_{side}") for c in df.columns if c not in keep])
 
 
+def _open(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of the keys that have several components, with their ``label``."""
+    marked = rows.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    several = marked.groupBy("place").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("place")
+    return stored(marked.join(several, "place"), "open")
+
+
+def _hub_pairs(rows: DataFrame, seed: int, percent: int) -> DataFrame:
+    """(a, b) of each key's classes and its hubs of other components, HUBS by hash, that can be similar."""
+    out = None
+    for i in range(HUBS):
+        rank = F.xxhash64("cls", F.lit(seed * HUBS + i + 11))
+        hubs = rows.groupBy("place").agg(F.max(F.struct(rank.alias("rank"), "cls", "label", "n", "sig")).alias("hub"))
+        some = _side(rows.select("place", "cls", "label", "n", "sig"), "a", "place").join(
+            hubs.select("place", *[F.col(f"hub.{c}").alias(f"{c}_b") for c in ("cls", "label", "n", "sig")]), "place")
+        some = some.where((F.col("label_a") != F.col("label_b")) & _possible(percent)).select("cls_a", "cls_b")
+        out = some if out is None else out.union(some)
+    return out.select(F.least("cls_a", "cls_b").alias("a"), F.greatest("cls_a", "cls_b").alias("b")).distinct()
+
+
 def link(docs: DataFrame, key: str, text: str, percent: int = PERCENT, name: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """((key, n_shingles, cls[, name]) of every row, (node, label) of the classes that are linked with another one).
 
@@ -355,10 +415,18 @@ def link(docs: DataFrame, key: str, text: str, percent: int = PERCENT, name: Col
     edges = stored(_linked(star.select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")), classes, docs, key, text, percent), "edges")
     labels = components(edges)
     # A key of two classes has been settled by its hub.
-    marked = keyed.where("members > 2").join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    open_ = marked.groupBy("place").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("place")
-    open_ = stored(marked.join(open_, "place").join(classes.select("cls", "n", "sig", "wide"), "cls"), "open")
-    rest = stored(_linked_in_tasks(_block_pairs(open_, percent), classes, docs, key, text, percent), "rest")
+    open_ = _open(keyed.where("members > 2").select("place", "k", "cls").join(sized, "cls"), labels)
+    seed, links, open_classes = 0, 1, 1
+    while links and links * FEW >= open_classes:
+        open_classes = open_.agg(F.count_distinct("cls")).first()[0]
+        found = stored(_linked(_hub_pairs(open_, seed, percent), classes, docs, key, text, percent), "links")
+        links, seed = found.count(), seed + 1
+        if links:
+            edges = edges.union(found)
+            labels = components(edges)
+            open_ = _open(open_.drop("label"), labels)
+    rest = _block_pairs(open_.join(classes.select("cls", "wide"), "cls"), percent)
+    rest = stored(_linked_in_tasks(rest, classes, docs, key, text, percent), "rest")
     if rest.limit(1).count():
         labels = components(edges.union(rest))
     return rows.drop("sig", "wide"), labels
