@@ -4,7 +4,7 @@ Equal texts are one from the start. Texts are dealt into parts of a bounded size
 the least hash of the 24-byte strings in it, so equal windows have equal names; consecutive windows with one name are a
 run, some 14 windows long. Names that occur twice are found by exchanging each part's names. Only runs with such names
 go on, as strings, each distinct one of a part once, to shards by name. A shard orders all suffixes of its strings by
-external induced sorting; neighbours whose common prefix has LENGTH bytes are one window, and the least document of
+external induced sorting, equal strings of several parts once; neighbours whose common prefix has LENGTH bytes are one window, and the least document of
 their strings is its owner. Owners go back to the parts, where covered bytes are cut out.
 
 A name, a line or a passage that very many documents share is one entry for each part, not for each document. Different
@@ -88,17 +88,19 @@ def _shard(name: int, raw: bytes, parts: int, heavy: frozenset[int], more: int)
 
 
 class _Strings:
-    """A part's distinct strings with repeated names, and where its texts have them. Those of ``heavy`` names are windows."""
+    """A part's distinct strings with repeated names, and where its texts have them, as (numbers, starts) of each text in
+    order. Those of ``heavy`` names are windows.
+    """
 
     def __init__(self, packed: pd.DataFrame, repeated: np.ndarray, heavy: frozenset[int] = frozenset()):
         self.place: dict[tuple[int, bytes], int] = {}
         self.low: list[int] = []
         self.high: list[int] = []
-        self.uses: list[tuple[int, bytes, np.ndarray, list[tuple[int, int]]]] = []
-        for key, name, data in _texts(packed):
+        self.uses: list[tuple[list[int], list[int]]] = []
+        for key, _, data in _texts(packed):
             names, firsts, ends = runs(data)
             found = repeated[np.minimum(np.searchsorted(repeated, names), len(repeated) - 1)] == names if len(repeated) else np.zeros(len(names), bool)
-            raw, own = data.tobytes(), []
+            raw, own, starts = data.tobytes(), [], []
             some = zip(names[found].tolist(), firsts[found].tolist(), ends[found].tolist())
             if heavy:
                 some = ((h, c, d) for h, a, b in some for c, d in (((i, i + 1) for i in range(a, b)) if h in heavy else ((a, b),)))
@@ -109,8 +111,9 @@ class _Strings:
                     self.high.append(key)
                 else:
                     self.high[number] = key  # keys rise
-                own.append((number, a))
-            self.uses.append((key, name, data, own))
+                own.append(number)
+                starts.append(a)
+            self.uses.append((own, starts))
 
 
 def _names_of(blobs) -> np.ndarray:
@@ -143,27 +146,23 @@ def _exchange(packed: DataFrame, parts: int) -> DataFrame:
     return sent.groupBy("bucket").applyInPandas(common, f"{PART}, data binary").where("octet_length(data) > 0")
 
 
-def _both(packed: DataFrame, repeated: DataFrame, owners: DataFrame | None = None) -> DataFrame:
-    """The rows of each part: texts (kind 0), repeated names (1), owners (2)."""
-    def others(df: DataFrame, kind: int, key: Column) -> DataFrame:  # without nulls, which would make floats of the keys
-        return df.select("part", F.lit(kind).alias("kind"), key.cast("bigint").alias("key"), F.lit(b"").alias("name"), "data")
-
-    rows = packed.select("part", F.lit(0).alias("kind"), "key", "name", "data").union(others(repeated, 1, F.lit(0)))
-    return rows if owners is None else rows.union(others(owners, 2, F.col("bucket")))
-
-
-def _strings_of(rows: pd.DataFrame, heavy: frozenset[int]) -> _Strings:
-    return _Strings(rows[rows["kind"] == 0], _names_of(rows.loc[rows["kind"] == 1, "data"]), heavy)
+def _both(packed: DataFrame, *others: DataFrame) -> DataFrame:
+    """The rows of each part: texts (kind 0), then the ``data`` of each other table (1, 2)."""
+    rows = packed.select("part", F.lit(0).alias("kind"), "key", "name", "data")
+    for kind, df in enumerate(others, 1):  # without nulls, which would make floats of the keys
+        rows = rows.union(df.select("part", F.lit(kind).alias("kind"), F.lit(0).cast("bigint").alias("key"), F.lit(b"").alias("name"), "data"))
+    return rows
 
 
 def _strings(packed: DataFrame, repeated: DataFrame, parts: int, name_bytes: int, heavy: frozenset[int] = frozenset(), more: int = 0) -> DataFrame:
     """(part, bucket, numbers, sizes, low, high, data): the parts' strings, by shard.
 
     Bucket -1 has the names, as ``numbers``, whose strings have more bytes in the part, as ``sizes``, than half its share
-    of ``name_bytes``: without what is less, a name beyond the bound still has half of it.
+    of ``name_bytes``: without what is less, a name beyond the bound still has half of it. Bucket -2 has, as ``data``, where the
+    part's texts have its strings: how many texts, how many uses in each, their strings' numbers and their starts.
     """
     def cut(rows: pd.DataFrame) -> pd.DataFrame:
-        found = _strings_of(rows, heavy)
+        found = _Strings(rows[rows["kind"] == 0], _names_of(rows.loc[rows["kind"] == 1, "data"]), heavy)
         out: dict[int, list[tuple[int, bytes]]] = {}
         for (h, raw), number in found.place.items():
             out.setdefault(_shard(h, raw, parts, heavy, more), []).append((number, raw))
@@ -173,6 +172,8 @@ def _strings(packed: DataFrame, repeated: DataFrame, parts: int, name_bytes: int
         much = held > name_bytes // (2 * parts)
         counts = [] if heavy or not much.any() else [{
             "part": rows["part"].iloc[0], "bucket": -1, "numbers": names[much].tobytes(), "sizes": held[much].tobytes(), "low": b"", "high": b"", "data": b""}]
+        uses = array([len(found.uses), *(len(own) for own, _ in found.uses)]) + b"".join(array(own) for own, _ in found.uses) + b"".join(array(starts) for _, starts in found.uses)
+        counts.append({"part": rows["part"].iloc[0], "bucket": -2, "numbers": b"", "sizes": b"", "low": b"", "high": b"", "data": uses})
         return pd.DataFrame(counts + [{
             "part": rows["part"].iloc[0], "bucket": bucket, "numbers": array([n for n, _ in strings]), "sizes": array([len(s) for _, s in strings]),
             "low": array([found.low[n] for n, _ in strings]), "high": array([found.high[n] for n, _ in strings]), "data": b"".join(s for _, s in strings),
@@ -198,14 +199,37 @@ def _heavy(strings: DataFrame, name_bytes: int) -> tuple[frozenset[int], int]:
     return frozenset(r["name"] % (1 << 64) for r in found), -(-int(2 * larger * sum(r["size"] for r in found)) // max(name_bytes, 1))
 
 
+def _equal_strings(texts: list[bytes], sizes: list[np.ndarray]) -> tuple[np.ndarray, list[bytes]]:
+    """(place of each string among the distinct ones, these)."""
+    places: dict[bytes, int] = {}
+    own: list[int] = []
+    for text, some in zip(texts, sizes):
+        ends = np.cumsum(some).tolist()
+        own += [places.setdefault(text[a:b], len(places)) for a, b in zip([0, *ends], ends)]
+    return np.array(own, np.int64), list(places)
+
+
+def _expanded(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j) for every j from starts[i] to before ends[i]."""
+    n = ends - starts
+    i = np.repeat(np.arange(len(n)), n)
+    return i, np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + starts[i]
+
+
 def _owners(strings: DataFrame) -> DataFrame:
     """(part, bucket, data): for windows whose owner is before some text of the part, (number, from, to, owner) rows."""
     def order(rows: pd.DataFrame) -> pd.DataFrame:
         read = lambda name: [np.frombuffer(bytes(b), np.int64) for b in rows[name]]
         numbers, sizes, low, high = (read(c) for c in ("numbers", "sizes", "low", "high"))
         which = np.repeat(np.arange(len(rows)), [len(n) for n in numbers])
-        numbers, sizes, low, high = (np.concatenate(x) for x in (numbers, sizes, low, high))
-        text = np.frombuffer(b"".join(bytes(b) for b in rows["data"]), np.uint8)
+        numbers, lows, highs = (np.concatenate(x) for x in (numbers, low, high))
+        own, distinct = _equal_strings([bytes(b) for b in rows["data"]], sizes)
+        sizes = np.fromiter(map(len, distinct), np.int64, len(distinct))
+        text = np.frombuffer(b"".join(distinct), np.uint8)
+        del distinct
+        low, high = np.full(len(sizes), LAST), np.full(len(sizes), -LAST - 1)
+        np.minimum.at(low, own, lows)
+        np.maximum.at(high, own, highs)
         bounds = np.append(0, np.cumsum(sizes))
         string = np.repeat(np.arange(len(sizes)), sizes)
         owner = np.full(len(text), LAST)
@@ -233,8 +257,13 @@ def _owners(strings: DataFrame) -> DataFrame:
         at = np.flatnonzero(window)
         starts = np.flatnonzero(np.append(True, (np.diff(at) > 1) | (string[at][1:] != string[at][:-1]) | (owner[at][1:] != owner[at][:-1]))) if len(at) else np.zeros(0, int)
         ends = np.append(starts[1:], len(at)) - 1 if len(at) else starts
-        table = np.stack([numbers[string[at[starts]]], place[at[starts]], place[at[ends]] + 1, owner[at[starts]]], axis=1)
-        part = which[string[at[starts]]]
+        spans = np.stack([place[at[starts]], place[at[ends]] + 1, owner[at[starts]]], axis=1)
+        cuts = np.searchsorted(string[at[starts]], np.arange(len(sizes) + 1))
+        use, span = _expanded(cuts[own], cuts[own + 1])  # each part's string has the spans of the distinct one
+        some = spans[span, 2] < highs[use]
+        use, span = use[some], span[some]
+        table = np.concatenate([numbers[use][:, None], spans[span]], axis=1)
+        part = which[use]
         return pd.DataFrame({
             "part": rows["part"].to_numpy(), "bucket": rows["bucket"].to_numpy(),
             "data": [np.ascontiguousarray(table[part == i]).tobytes() for i in range(len(rows))],
@@ -243,22 +272,25 @@ def _owners(strings: DataFrame) -> DataFrame:
     return strings.where("bucket >= 0").groupBy("bucket").applyInPandas(order, f"{PART}, {BUCKET}, data binary").where("octet_length(data) > 0")
 
 
-def _cut(packed: DataFrame, repeated: DataFrame, owners: DataFrame, keep_text: bool, heavy: frozenset[int]) -> DataFrame:
+def _cut(packed: DataFrame, uses: DataFrame, owners: DataFrame, keep_text: bool) -> DataFrame:
     """(name, key, n_bytes, n_removed, n_spans, kept_sha256, kept) of every distinct text."""
     def cut(rows: pd.DataFrame) -> pd.DataFrame:
-        found = _strings_of(rows, heavy)
-        tables = [np.frombuffer(bytes(b), np.int64).reshape(-1, 4) for b in rows.loc[rows["kind"] == 2, "data"]]
-        table = np.concatenate(tables) if tables else np.zeros((0, 4), np.int64)
+        read = lambda kind: [np.frombuffer(bytes(b), np.int64) for b in rows.loc[rows["kind"] == kind, "data"]]
+        use = read(1)[0]
+        counts = use[1 : 1 + use[0]]
+        numbers, places = use[1 + use[0] :].reshape(2, -1)
+        bounds = np.append(0, np.cumsum(counts))
+        table = np.concatenate([np.zeros(0, np.int64), *read(2)]).reshape(-1, 4)
         table = table[np.argsort(table[:, 0], kind="stable")]
-        edges = np.searchsorted(table[:, 0], np.arange(len(found.place) + 1))
         out = []
-        for key, name, data, own in found.uses:
+        for t, (key, name, data) in enumerate(_texts(rows[rows["kind"] == 0])):
             change = np.zeros(len(data) + 1, np.int32)
-            for number, a in own:
-                for _, start, end, owner in table[edges[number] : edges[number + 1]].tolist():
-                    if owner < key:
-                        change[a + start] += 1
-                        change[a + end + LENGTH - 1] -= 1
+            own, at = numbers[bounds[t] : bounds[t + 1]], places[bounds[t] : bounds[t + 1]]
+            i, j = _expanded(np.searchsorted(table[:, 0], own), np.searchsorted(table[:, 0], own, "right"))
+            some = table[j, 3] < key
+            i, j = i[some], j[some]
+            np.add.at(change, at[i] + table[j, 1], 1)
+            np.add.at(change, at[i] + table[j, 2] + LENGTH - 1, -1)
             covered = np.cumsum(change[:-1]) > 0
             kept = data[~covered].tobytes()
             spans = int(np.count_nonzero(np.diff(covered.astype(np.int8), prepend=0) == 1))
@@ -266,7 +298,7 @@ def _cut(packed: DataFrame, repeated: DataFrame, owners: DataFrame, keep_text: b
         return pd.DataFrame(out, columns=["name", "least", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     shape = "name binary, least bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
-    return _both(packed, repeated, owners).groupBy("part").applyInPandas(cut, shape)
+    return _both(packed, uses, owners).groupBy("part").applyInPandas(cut, shape)
 
 
 def _name(text: Column) -> Column:
@@ -299,7 +331,7 @@ def remove_repeats(docs: DataFrame, key: str, text: str, keep_text: bool = False
     if heavy:
         strings = stored(_strings(packed, repeated, parts, name_bytes, heavy, more), "strings")
     owners = stored(_owners(strings), "owners")
-    cuts = stored(_cut(packed, repeated, owners, keep_text, heavy), "cuts")
+    cuts = stored(_cut(packed, strings.where("bucket = -2"), owners, keep_text), "cuts")
     named = docs.select(F.col(key).alias("own"), F.coalesce(F.col(key).cast("bigint"), F.lit(LAST)).alias("key"), _name(F.col(text)).alias("name"))
     joined = named.join(cuts, "name")
     copy = (F.col("least") < F.col("key")) & (F.col("n_bytes") >= LENGTH)  # all of it is in the first document with this text
