@@ -69,12 +69,16 @@ def test_auth_bursts(spark):
     assert got == [("p", 11), ("p", 12), ("p", 12)]
 
 
-def test_outside_windows(spark):
+@pytest.mark.parametrize("width", ["1 minute", "1 hour"])
+def test_outside_windows(spark, width):
     rng = random.Random(9)
-    ev = [(i, START + timedelta(seconds=rng.randrange(3600))) for i in range(200)]
+    ev = [(i, START + timedelta(seconds=rng.randrange(3600))) for i in range(200)] + [(200, None)]
     win = [(s, s + timedelta(seconds=rng.choice([0, 30, 300]))) for s in (START + timedelta(seconds=rng.randrange(3600)) for _ in range(15))]
-    out = A.outside_windows(spark.createDataFrame(ev, "id long, ts timestamp"), spark.createDataFrame(win, "start timestamp, end timestamp"), width="1 minute")
-    assert sorted(r["id"] for r in out.collect()) == [i for i, t in ev if not any(s <= t < e for s, e in win)]
+    win += [(None, START), (START, None), (START + timedelta(hours=2), START), *win[:3]]
+    out = A.outside_windows(spark.createDataFrame(ev, "id long, ts timestamp"), spark.createDataFrame(win, "start timestamp, end timestamp"), width=width)
+    held = [w for w in win if None not in w]
+    assert out.columns == ["id", "ts"]
+    assert sorted(r["id"] for r in out.collect()) == [i for i, t in ev if t is None or not any(s <= t < e for s, e in held)]
 
 
 def test_audit_rules(spark):

@@ -161,3 +161,23 @@ def test_metadata_and_report(spark):
     assert (tags["pii"], tags["pii-fields"], tags["sla-tier"]) == ("true", "x,y", "standard")
     results = spark.createDataFrame([("n", True), ("n", False), ("m", True)], "check string, passed boolean")
     assert {tuple(r) for r in G.governance_report(results).collect()} == {("n", 1, 1), ("m", 1, 0), ("TOTAL", 2, 1)}
+
+
+def test_a_mode_for_each_subject(spark):
+    """The same counts as one check for each mode; subjects without a mode pass."""
+    rng, rows = random.Random(12), []
+    modes = {"s0": "BACKWARD_TRANSITIVE", "s1": "FORWARD", "s2": "FULL", "s3": None}
+    for s in modes:
+        for v in range(1, 7):
+            for f in rng.sample("abcd", rng.randrange(1, 5)):
+                symbols = rng.sample("XYZ", 2) if f == "d" else None
+                rows.append((s, v, f, "E" if symbols else rng.choice(["int", "long", "string"]), rng.random() < 0.5, symbols))
+    df = spark.createDataFrame(rows, "subject string, version int, field string, type string, has_default boolean, symbols array<string>")
+    chosen = spark.createDataFrame([(s, m) for s, m in modes.items() if m], "subject string, compatibility string")
+    got = {(r["subject"], r["version"]): r.asDict() for r in G.check_compatibility_by_subject(df, chosen, width=3).collect()}
+    assert {r["mode"] for r in got.values()} == {"BACKWARD_TRANSITIVE", "FORWARD", "FULL", "NONE"}
+    want = [r.asDict() | {"mode": m or "NONE"} for s, m in modes.items() for r in G.check_compatibility(df.filter(df.subject == s), m or "NONE", width=3).collect()]
+    assert len(want) == len(got) and all(got[r["subject"], r["version"]] == r for r in want)
+    assert {r["compatible"] for r in got.values()} == {True, False}
+    with pytest.raises(Exception, match="unsupported mode"):
+        G.check_compatibility_by_subject(df, spark.createDataFrame([("s0", "SIDEWAYS")], "subject string, compatibility string")).collect()

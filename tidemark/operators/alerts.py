@@ -8,11 +8,10 @@ from dataclasses import asdict, dataclass, fields
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from tidemark.functions.slices import DEFAULT_SLICE, names, scan, slice_of, trailing_sums
+from tidemark.functions.slices import DEFAULT_SLICE, names, slice_of, trailing_sums
 from tidemark.functions.tiers import TIERS, tier_or_default, with_thresholds
 from tidemark.functions.units import micros
-from tidemark.operators.joins import asof_join
-from tidemark.session import durable, listed
+from tidemark.session import listed
 
 
 @dataclass(frozen=True)
@@ -223,25 +222,28 @@ def unauthorised_deletes(
 
 
 def outside_windows(
-    events: DataFrame, windows: DataFrame, time: str = "ts", start: str = "start", end: str = "end",
-    width: str | int = DEFAULT_SLICE, salts: int = 8,
+    events: DataFrame, windows: DataFrame, time: str = "ts", start: str = "start", end: str = "end", width: str | int = "1 hour",
 ) -> DataFrame:
     """Events inside no maintenance window (``start <= t < end``); windows may overlap.
 
-    An event is covered when the latest end of all windows that started by then lies after it. That
-    end is a running maximum over the windows, so an as-of lookup replaces the comparison of every
-    event with every window.
+    Windows are cut into slices of ``width`` and merged inside each to disjoint intervals; an event meets those of its
+    own slice, and a slice with many events is a skewed join that Spark splits. A window is a row for each slice it touches. An event
+    without a time is outside; a window without a start or an end covers nothing.
     """
-    spans = windows.filter(F.col(start) < F.col(end)).select(
-        F.lit(0).alias("_all"), F.col(start).alias("_start"), F.col(end).alias("_end")
-    )
-    spans = spans.groupBy("_all", "_start").agg(F.max("_end").alias("_end"))
-    cover = scan(spans, "_all", "_start", running={"_covered": ("max", "_end")}, width=width).select("_all", "_start", "_covered")
-    cover = durable(cover, "windows")
-    looked = asof_join(
-        events.withColumn("_all", F.lit(0)), cover, "_all", time, "_start", how="left", width=width, salts=salts
-    )
-    return looked.filter(F.col("_covered").isNull() | (F.col("_covered") <= F.col(time))).drop("_all", "_covered")
+    step = micros(width)
+    head = lambda us: us - F.pmod(us, F.lit(step))
+    spans = windows.select(F.unix_micros(start).alias("_start"), F.unix_micros(end).alias("_end")).filter("_start < _end")
+    spans = spans.withColumn("_at", F.explode(F.sequence(head(F.col("_start")), head(F.col("_end") - 1), F.lit(step))))
+    spans = spans.select("_at", F.greatest("_start", "_at").alias("_start"), F.least(F.col("_end"), F.col("_at") + step).alias("_end"))
+    spans = spans.groupBy("_at", "_start").agg(F.max("_end").alias("_end"))
+    order = Window.partitionBy("_at").orderBy("_start")
+    reached = F.max("_end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    spans = spans.withColumn("_new", F.coalesce(reached < F.col("_start"), F.lit(True)).cast("int"))
+    spans = spans.withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = spans.groupBy("_at", "_run").agg(F.min("_start").alias("_start"), F.max("_end").alias("_end"))
+    placed = events.withColumn("_us", F.unix_micros(time)).withColumn("_slice", head(F.col("_us")))
+    inside = (F.col("_slice") == F.col("_at")) & (F.col("_us") >= F.col("_start")) & (F.col("_us") < F.col("_end"))
+    return placed.join(spans, inside, "left_anti").drop("_us", "_slice")
 
 
 def confidential_access(

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -177,11 +176,61 @@ MODES = ("NONE", *(m + t for m in ("BACKWARD", "FORWARD", "FULL") for t in ("",
 
 
 def check_compatibility_by_subject(fields: DataFrame, modes: DataFrame, subject: str = "subject", width: int = 1000) -> DataFrame:
-    """The same with a mode for each subject, from ``modes`` (subject, ``compatibility``); subjects without one pass as NONE."""
-    chosen = fields.join(modes.select(subject, F.col("compatibility").alias("_mode")), subject, "left")
-    chosen = chosen.withColumn("_mode", F.coalesce("_mode", F.lit("NONE")))
-    parts = [check_compatibility(chosen.filter(F.col("_mode") == m).drop("_mode"), m, subject, width).withColumn("mode", F.lit(m)) for m in MODES]
-    return reduce(DataFrame.unionByName, parts)
+    """The same with a ``mode`` for each subject, from ``modes`` (subject, ``compatibility``), one row a subject; those without one pass as NONE.
+
+    Counts against the previous and against all earlier versions come from one scan, whatever the modes. An unknown mode fails the job.
+    """
+    rows = _numbered(_markable(_typed(fields), ~F.col("has_default")), [subject], width)
+    carried = {"_written": ("bit_or", "_bit"), "_readers": ("bit_and", "_accepts"), "_low": ("min", "_other"), "_high": ("max", "_other")}
+    scanned = scan(
+        rows, [subject, "field"], "version", width=width,
+        previous=_SEEN["previous"] | {f"{n}_previous": column for n, (_, column) in carried.items()},
+        before=_SEEN["before"] | {f"{n}_all": how for n, how in carried.items()},
+    )
+    others = []
+    for against, comparable in (("previous", F.col("_seen_at").eqNullSafe(F.col("previous"))), ("all", F.lit(True))):
+        renamed, unread, unreadable = _type_faults(f"_{against}")
+        for side, broken in (("back", renamed | unread), ("fwd", renamed | unreadable), ("both", renamed | unread | unreadable)):
+            others.append(F.count_if(comparable & F.coalesce(broken, F.lit(False))).alias(f"types_{side}_{against}"))
+    out = _presence(scanned, [subject], width, others)
+    mode = F.col("mode")
+    against = lambda name: F.when(mode.endswith("_TRANSITIVE"), F.col(f"{name}_all")).otherwise(F.col(f"{name}_previous"))
+    backward, forward = mode.startswith("BACKWARD") | mode.startswith("FULL"), mode.startswith("FORWARD") | mode.startswith("FULL")
+    counts = {
+        "missing_default": F.when(backward, against("new_vs")),
+        "removed_required": F.when(forward, against("gone_vs")),
+        "type_changes": F.when(backward & forward, against("types_both")).when(backward, against("types_back")).when(forward, against("types_fwd")),
+        "symbol_changes": F.lit(0),
+    }
+    if "symbols" in fields.columns:
+        group = [subject, "field"]
+        symbols = fields.select(*group, "version", F.explode("symbols").alias("symbol")).distinct()
+        symbols = _numbered(_markable(symbols, F.lit(True)), group, width)
+        seen = _presence(scan(symbols, [*group, "symbol"], "version", width=width, **_SEEN), group, width, [])
+        sums = [F.sum(f"{n}_vs_{a}").alias(f"symbols_{n}_{a}") for n in ("gone", "new") for a in ("previous", "all")]
+        out = out.join(seen.groupBy(subject, "version").agg(*sums), [subject, "version"], "left")
+        counts["symbol_changes"] = F.coalesce(F.when(backward, against("symbols_gone")), F.lit(0)) + F.coalesce(F.when(forward, against("symbols_new")), F.lit(0))
+    chosen = F.coalesce(F.col("compatibility"), F.lit("NONE"))
+    known = F.when(chosen.isin(*MODES), chosen).otherwise(F.raise_error(F.concat(F.lit("unsupported mode "), chosen)).cast("string"))
+    out = out.join(modes.select(subject, "compatibility"), subject, "left").withColumn("mode", known)
+    out = out.select(subject, "version", *[F.coalesce(c, F.lit(0)).cast("long").alias(n) for n, c in counts.items()], "mode")
+    total = sum((F.col(n) for n in counts), F.lit(0))
+    return out.select(subject, "version", *counts, (total == 0).alias("compatible"), "mode")
+
+
+def _typed(fields: DataFrame) -> DataFrame:
+    """Fields with their type as a bit, the types its reader accepts as bits, and the text of a type without a bit of its own."""
+    text = F.when(F.col("symbols").isNotNull(), F.lit("enum")).otherwise(F.col("type")) if "symbols" in fields.columns else F.col("type")
+    base = fields.withColumn("_type", text)
+    base = base.withColumns({"_bit": _type_bit(F.col("_type")), "_accepts": _accepted_bits(F.col("_type"))})
+    return base.withColumn("_other", F.when(F.col("_bit") == _OTHER, F.col("_type")))
+
+
+def _type_faults(suffix: str = "") -> tuple[Column, Column, Column]:
+    """Whether a type without a bit changed, an earlier type is not read here, and this type is not read there."""
+    written, readers, low, high = (F.col(f"{n}{suffix}") for n in ("_written", "_readers", "_low", "_high"))
+    renamed = (F.col("_bit") == _OTHER) & ((low != F.col("_type")) | (high != F.col("_type")))
+    return renamed, written.bitwiseAND(F.bitwise_not("_accepts")) != 0, readers.bitwiseAND(F.col("_bit")) == 0
 
 
 def check_compatibility(fields: DataFrame, mode: str, subject: str = "subject", width: int = 1000) -> DataFrame:
@@ -205,11 +254,7 @@ def check_compatibility(fields: DataFrame, mode: str, subject: str = "subject",
     against = "all" if mode.endswith("_TRANSITIVE") else "previous"
     backward, forward = not mode.startswith("FORWARD"), not mode.startswith("BACKWARD")
     enums = "symbols" in fields.columns
-    text = F.when(F.col("symbols").isNotNull(), F.lit("enum")).otherwise(F.col("type")) if enums else F.col("type")
-    base = fields.withColumn("_type", text)
-    base = base.withColumns({"_bit": _type_bit(F.col("_type")), "_accepts": _accepted_bits(F.col("_type"))})
-    base = base.withColumn("_other", F.when(F.col("_bit") == _OTHER, F.col("_type")))
-    rows = _numbered(_markable(base, ~F.col("has_default")), [subject], width)
+    rows = _numbered(_markable(_typed(fields), ~F.col("has_default")), [subject], width)
     if against == "all":
         typed = {"before": {"_written": ("bit_or", "_bit"), "_readers": ("bit_and", "_accepts"),
                             "_low": ("min", "_other"), "_high": ("max", "_other")}}
@@ -221,9 +266,7 @@ def check_compatibility(fields: DataFrame, mode: str, subject: str = "subject",
         rows, [subject, "field"], "version", width=width, previous={**_SEEN["previous"], **typed.get("previous", {})},
         before={**_SEEN["before"], **typed.get("before", {})},
     )
-    unread = F.col("_written").bitwiseAND(F.bitwise_not("_accepts")) != 0
-    unreadable = F.col("_readers").bitwiseAND(F.col("_bit")) == 0
-    renamed = (F.col("_bit") == _OTHER) & ((F.col("_low") != F.col("_type")) | (F.col("_high") != F.col("_type")))
+    renamed, unread, unreadable = _type_faults()
     broken = renamed
     if backward:
         broken = broken | unread

@@ -158,6 +158,23 @@ _checked("compat_full", "FULL", _compat(_PREVIOUS, True, True))
 _checked("compat_full_transitive", "FULL_TRANSITIVE", _compat(_ALL, True, True))
 
 
+def _by_subject() -> str:
+    """SQL of the check with the mode of each subject, by its number."""
+    parts = [f"SELECT subject, version, 0 AS missing_default, 0 AS removed_required, 0 AS type_changes, true AS compatible, 'NONE' AS mode FROM (WITH {_FIELDS} SELECT * FROM v) WHERE subject % 7 = 0"]
+    for i, mode in enumerate(G.MODES[1:], 1):
+        pairs = _ALL if mode.endswith("_TRANSITIVE") else _PREVIOUS
+        parts.append(f"SELECT *, '{mode}' AS mode FROM ({_compat(pairs, not mode.startswith('FORWARD'), not mode.startswith('BACKWARD'))}) WHERE subject % 7 = {i}")
+    return " UNION ALL ".join(parts)
+
+
+@plan("compat_by_subject", "GOV-5", _by_subject())
+def _(t):
+    number = F.col("c_custkey") % 7
+    modes = t.customer.filter(number > 0).select(
+        F.col("c_custkey").alias("subject"), F.element_at(F.array(*[F.lit(m) for m in G.MODES]), (number + 1).cast("int")).alias("compatibility"))
+    return G.check_compatibility_by_subject(field_versions(t), modes, width=100000).drop("symbol_changes")
+
+
 @plan("effective_settings", "GOV-6", f"""
 SELECT o_orderkey, coalesce(CASE WHEN o_orderstatus = 'F' THEN 24 END, CASE tier WHEN 'critical' THEN 12 WHEN 'compliance' THEN 12 WHEN 'best-effort' THEN 3 ELSE 6 END) AS partitions,
   CASE tier WHEN 'critical' THEN 604800000 WHEN 'best-effort' THEN 86400000 WHEN 'compliance' THEN 7 * 31557600000 ELSE 259200000 END::BIGINT AS retention_ms,

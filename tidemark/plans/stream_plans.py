@@ -10,6 +10,7 @@ from tidemark.plans.window_plans import _AMOUNTS, _STATS
 from tidemark.sources.topics import declare_stream, read_topic
 from tidemark.streaming.alerts import alert_sustained_stream
 from tidemark.streaming.late import LateSplit
+from tidemark.streaming.sealed import SealedTable
 from tidemark.streaming.run import fed_in_parts, replayed, replayed_in_parts, run_stream, use_rocksdb
 from tidemark.streaming.stateful import asof_join_stream, release_resolved_stream
 
@@ -147,3 +148,23 @@ def _(t):
 
     rows = t.events.select("event_id", "user_id", "ts", "value")
     return replayed_in_parts(in_thirds(rows, "ts"), alerts, "alerts")
+
+
+# Example master keys; a user passes keys fetched at run time.
+_OLD_MASTERS, _NEW_MASTERS = ({f"team-{i}": bytes([i + first]) * 32 for i in range(3)} for first in (1, 101))
+
+
+@plan("stream_sealed", "PII-3 PII-1 SNK-5", """
+SELECT event_id, event_type, event_type AS before_rotation, octet_length(encode(event_type)) + 28 AS sealed_bytes FROM events
+""")
+def _(t):
+    """Ciphertext through a stream's sink; keys are wrapped anew, then rows are opened with the old and the new master keys."""
+    rows = t.events.select("event_id", "ts", "event_type", F.concat(F.lit("team-"), F.col("user_id") % 3).alias("key_id"))
+    root = fed_in_parts(
+        in_thirds(rows, "ts"), lambda raw, at: run_stream(raw, SealedTable(f"{at}/sealed", ["event_type"], _OLD_MASTERS), f"{at}/checkpoint"), "sealed")
+    table = SealedTable(f"{root}/sealed", ["event_type"], _OLD_MASTERS)
+    table.rewrap(t.spark, _NEW_MASTERS)
+    new = table.opened(t.spark, rows.schema, _NEW_MASTERS).select("event_id", "event_type")
+    old = table.opened(t.spark, rows.schema, _OLD_MASTERS, generation=0).select("event_id", F.col("event_type").alias("before_rotation"))
+    sizes = table.sealed(t.spark, rows.schema).select("event_id", F.octet_length("event_type").cast("long").alias("sealed_bytes"))
+    return new.join(old, "event_id").join(sizes, "event_id")
