@@ -1,12 +1,13 @@
 """Streams against their batch form, with disorder, late rows, duplicates and restarts."""
 
 import random
-from datetime import datetime, timedelta, timezone
+from datetime import date, datetime, timedelta, timezone
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators.changes import compact, dedupe_versions
+from tidemark.operators.changes import compact, dedupe_versions, release_resolved
 from tidemark.operators.joins import asof_join
 from tidemark.operators.windows import amount_stats, tumbling, with_event_time
 from tidemark.sources.topics import kafka_options, read_topic
@@ -101,6 +102,76 @@ def test_asof_stream_equals_batch_over_a_restart(spark, tmp_path, salts):
     assert 0 < first < got.count() and same(got, want)
 
 
+def state(spark, path, name):
+    return spark.read.format("statestore").option("path", path).option("stateVarName", name).load()
+
+
+def test_asof_state_is_sliced_and_typed(spark, tmp_path):
+    """Quiet keys keep one passed version, slices that are not due are not written again, all types come back."""
+    use_rocksdb(spark)
+    schema = "k string, ts timestamp, big long, money decimal(20,2), flag boolean, day date, raw binary, tags array<string>, at timestamp, nest struct<x:int,y:timestamp>"
+
+    def row(k, s, i):
+        t = START + timedelta(seconds=s)
+        if i % 5 == 4:
+            return (k, t) + (None,) * 8
+        return (k, t, 2**60 + i, Decimal(i) / 4, i % 2 == 0, date(2024, 1, 1 + i % 20), bytes([i]), ["a", None], t + timedelta(microseconds=i), (i, t))
+
+    versions = [row(k, s, s // 10) for s in range(0, 600, 10) for k in ("quiet", "x")]
+    lefts = [("x", START + timedelta(seconds=s), s) for s in (5, 30, 310, 595)]
+    spark.createDataFrame(versions, schema).withColumn("part", F.lit(0)).coalesce(1).write.parquet(f"{tmp_path}/r")
+    spark.createDataFrame(lefts, "k string, ts timestamp, n int").coalesce(1).write.parquet(f"{tmp_path}/l")
+
+    def run():
+        l = with_event_time(spark.readStream.schema("k string, ts timestamp, n int").parquet(f"{tmp_path}/l"), "ts", "5 seconds")
+        r = with_event_time(spark.readStream.schema(schema).parquet(f"{tmp_path}/r"), "ts", "5 seconds").withColumnRenamed("ts", "since")
+        drained(run_to_parquet(asof_join_stream(l, r, "k", "ts", "since", order="big", salts=1, width="1 minute"), f"{tmp_path}/out", f"{tmp_path}/cp"))
+
+    def chunks():
+        held = state(spark, f"{tmp_path}/cp", "chunks").select("key.k", "user_map_key.slice", F.explode("user_map_value.right").alias("v"))
+        return held.filter(F.col("k") == '["quiet"]').select("slice", "v.us").collect()
+
+    run()
+    mark = START + timedelta(seconds=585)
+    passed = lambda us: datetime.fromtimestamp(us / 1e6) < mark
+    assert {r["slice"] for r in chunks()} == {r["us"] // 60_000_000 for r in chunks()}
+    assert len({r["slice"] for r in chunks()}) == 1  # nine slices are over, the tenth is still open
+    assert state(spark, f"{tmp_path}/cp", "newest").filter(F.col("key.k") == '["quiet"]').count() == 1
+    for part in ("l", "r"):
+        kind = "k string, ts timestamp, n int" if part == "l" else schema
+        end = [("z", START + timedelta(hours=1), 0)] if part == "l" else [row("z", 3600, 0)]
+        spark.createDataFrame(end, kind).coalesce(1).write.mode("append").parquet(f"{tmp_path}/{part}")
+    run()
+    assert not [r for r in chunks() if passed(r["us"])] and not chunks()
+    assert [datetime.fromtimestamp(r["us"] / 1e6) for r in state(spark, f"{tmp_path}/cp", "newest").filter(F.col("key.k") == '["quiet"]').select("value.us").collect()] == [START + timedelta(seconds=590)]
+    right = spark.createDataFrame(versions, schema).withColumnRenamed("ts", "since")
+    want = asof_join(spark.createDataFrame(lefts, "k string, ts timestamp, n int"), right, "k", "ts", "since", order="big")
+    assert same(spark.read.schema(want.schema).parquet(f"{tmp_path}/out"), want) and want.count() == 4
+
+
+def test_slowest_feed_on_a_stream_equals_batch(spark, tmp_path):
+    use_rocksdb(spark)
+    data = rows(11)
+    marks = [(i, k, START + timedelta(seconds=s), 0.0) for i, (k, s) in enumerate(
+        [("hot", 100), ("a", 50), ("hot", 300), ("other", 10), ("hot", 200), ("b", 150), ("a", 400), ("b", 290)])]
+    put(spark, f"{tmp_path}/in", data)
+    rename = lambda df: df.select("k", F.col("ts").alias("resolved"))
+    done = []
+    for part, given in enumerate((marks[:5], marks[5:6], marks[6:])):
+        spark.createDataFrame(given, SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/marks/part={part:03d}")
+        out = release_resolved_stream(
+            stream(spark, f"{tmp_path}/in"), rename(stream(spark, f"{tmp_path}/marks")), "ts", "resolved", "k", 3, "slowest", ["hot", "a", "b"], "1 minute")
+        drained(run_to_parquet(out, f"{tmp_path}/out", f"{tmp_path}/cp"))
+        seen = spark.read.schema(SCHEMA).parquet(f"{tmp_path}/out")
+        named = [m for m in marks if m[1] != "other"][: (4, 5, 8)[part]]
+        want = release_resolved(spark.createDataFrame(data, SCHEMA), rename(spark.createDataFrame(named, SCHEMA)), "ts", "resolved", "k")
+        assert same(seen, want)
+        done.append(seen.count())
+    assert done[0] == 0 < done[1] < done[2]  # nothing before all three feeds have spoken
+    with pytest.raises(ValueError):
+        release_resolved_stream(out, out, "ts", "resolved", "k", rule="slowest")
+
+
 def test_resolved_gate_stream(spark, tmp_path):
     use_rocksdb(spark)
     data = rows(4)

@@ -83,7 +83,7 @@ def _(t):
 
     left = side("purchase").select("event_id", "user_id", "ts", "value")
     right = side("view").select("user_id", F.col("ts").alias("since"), F.col("event_id").alias("profile_id"), F.col("value").alias("rating"))
-    return replayed(asof_join_stream(left, right, "user_id", "ts", "since", order="profile_id", salts=4), "asof")
+    return replayed(asof_join_stream(left, right, "user_id", "ts", "since", order="profile_id", salts=4, width="10 days"), "asof")
 
 
 @plan("stream_resolved_gate", "CDC-3", """
@@ -95,7 +95,24 @@ def _(t):
     events = event_stream(t)
     rows = events.filter("event_type <> 'signup'").select("event_id", "user_id", "ts")
     marks = events.filter("event_type = 'signup'").select("user_id", F.col("ts").alias("resolved"))
-    return replayed(release_resolved_stream(rows, marks, "ts", "resolved", "user_id", salts=4), "gate")
+    return replayed(release_resolved_stream(rows, marks, "ts", "resolved", "user_id", salts=4, width="10 days"), "gate")
+
+
+@plan("stream_resolved_gate_slowest", "CDC-3 WM-3", """
+SELECT event_id, user_id % 4 AS shard, ts FROM events WHERE event_type <> 'signup'
+  AND ts <= (SELECT min(m) FROM (SELECT max(ts) AS m FROM events WHERE event_type = 'signup' GROUP BY user_id % 4))
+""")
+def _(t):
+    """The slowest of four feeds decides, over three runs of the stream."""
+    use_rocksdb(t.spark)
+
+    def gated(raw):
+        rows = raw.filter("event_type <> 'signup'").select("event_id", "shard", "ts")
+        marks = raw.filter("event_type = 'signup'").select("shard", F.col("ts").alias("resolved"))
+        return release_resolved_stream(rows, marks, "ts", "resolved", "shard", salts=4, rule="slowest", feeds=list("0123"), width="1 day")
+
+    events = t.events.select("event_id", "event_type", (F.col("user_id") % 4).alias("shard"), "ts")
+    return replayed_in_parts(in_thirds(events, "ts"), gated, "slowest")
 
 
 # Every fiftieth event comes a third of the time too late.

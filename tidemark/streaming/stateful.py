@@ -1,6 +1,7 @@
 """Stateful stream operators.
 
-State lives per key in the state store. A hot key is spread with ``salts``: its left (or pending) rows
+State lives per key in the state store, in time slices of typed rows: what arrives is added as a chunk of its slice, and
+a timer or mark reads only the slices that are due. A hot key is spread with ``salts``: its left (or pending) rows
 are divided by hash, and the rows that every part needs (versions, resolved marks) go to each part.
 """
 
@@ -8,14 +9,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Row, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark.functions.slices import names
+from tidemark.functions.units import micros
 
 _TIME_FORMAT = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
-_STORED = "us bigint, ord bigint, payload string"
+_PLAIN = (T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType, T.StringType,
+          T.BinaryType, T.DateType)
 
 
 def _packed(columns: Sequence[str]) -> Column:
@@ -39,67 +41,173 @@ def _every_part(salts: int) -> Column:
     return F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
 
 
+class _Wire:
+    """Columns of a table as state holds them: plain types as they are, times as microseconds, all others as JSON."""
+
+    def __init__(self, df: DataFrame, columns: Sequence[str]) -> None:
+        self.fields = [df.schema[c] for c in columns]
+        self.type = T.StructType([T.StructField(f"c{i}", self._held(f.dataType)) for i, f in enumerate(self.fields)])
+
+    @staticmethod
+    def _held(kind: T.DataType) -> T.DataType:
+        if isinstance(kind, _PLAIN):
+            return kind
+        return T.LongType() if isinstance(kind, T.TimestampType) else T.StringType()
+
+    def pack(self) -> Column:
+        def one(f: T.StructField) -> Column:
+            if isinstance(f.dataType, _PLAIN):
+                return F.col(f.name)
+            return F.unix_micros(f.name) if isinstance(f.dataType, T.TimestampType) else _packed([f.name])
+
+        return F.struct(*[one(f).alias(f"c{i}") for i, f in enumerate(self.fields)])
+
+    def none(self) -> Column:
+        return F.lit(None).cast(self.type)
+
+    def out(self, prefix: str) -> list[T.StructField]:
+        return _prefixed(prefix, self.type)
+
+    def unpack(self, prefix: str) -> list[Column]:
+        def one(i: int, f: T.StructField) -> Column:
+            held = F.col(f"{prefix}{i}")
+            if isinstance(f.dataType, _PLAIN):
+                return held.alias(f.name)
+            if isinstance(f.dataType, T.TimestampType):
+                return F.timestamp_micros(held).alias(f.name)
+            return F.from_json(held, T.StructType([f]), _TIME_FORMAT)[f.name].alias(f.name)
+
+        return [one(i, f) for i, f in enumerate(self.fields)]
+
+
+def _prefixed(prefix: str, kind: T.StructType) -> list[T.StructField]:
+    return [T.StructField(f"{prefix}{i}", f.dataType) for i, f in enumerate(kind.fields)]
+
+
+def _entry(row: Row, side: str) -> tuple:
+    """Structs arrive as mappings; state takes plain tuples only."""
+    held = row[side]
+    return int(row["us"]), int(row["ord"]), tuple(held.values() if isinstance(held, dict) else held)
+
+
+class _Slices:
+    """Rows of one or more sides held by time slice, each slice in chunks that are written once."""
+
+    def __init__(self, handle: StatefulProcessorHandle, width: int, sides: dict[str, T.StructType]) -> None:
+        self.width, self.sides = width, list(sides)
+        held = T.StructType([
+            T.StructField(name, T.ArrayType(T.StructType([
+                T.StructField("us", T.LongType()), T.StructField("ord", T.LongType()), T.StructField("row", kind)])))
+            for name, kind in sides.items()])
+        self.index = handle.getValueState("slices", "open array<struct<slice: bigint, chunks: int, first: bigint>>")
+        self.chunks = handle.getMapState("chunks", "slice bigint, chunk int", held)
+
+    def open(self) -> dict[int, tuple[int, int | None]]:
+        """Per slice that holds rows its chunks and the time of the first row of the first side."""
+        held = self.index.get()
+        return {s: (n, first) for s, n, first in held[0]} if held else {}
+
+    def keep(self, open_: dict[int, tuple[int, int | None]]) -> None:
+        if open_:
+            self.index.update(([(s, n, first) for s, (n, first) in sorted(open_.items())],))
+        else:
+            self.index.clear()
+
+    def add(self, open_: dict[int, tuple[int, int | None]], *rows: list[tuple]) -> None:
+        by_slice: dict[int, list[list[tuple]]] = {}
+        for side, entries in enumerate(rows):
+            for entry in entries:
+                by_slice.setdefault(entry[0] // self.width, [[] for _ in rows])[side].append(entry)
+        for at, chunk in by_slice.items():
+            n, first = open_.get(at, (0, None))
+            self.chunks.updateValue((at, n), tuple(chunk))
+            low = min((e[0] for e in chunk[0]), default=None)
+            open_[at] = (n + 1, low if first is None else first if low is None else min(first, low))
+
+    def take(self, open_: dict[int, tuple[int, int | None]], below: int) -> list[list[tuple]]:
+        """Remove and return each side's rows before ``below``; only slices that begin before it are read."""
+        due: list[list[tuple]] = [[] for _ in self.sides]
+        for at in [s for s in open_ if s * self.width < below]:
+            n, _ = open_.pop(at)
+            rest: list[list[tuple]] = [[] for _ in self.sides]
+            for chunk in range(n):
+                for side, entries in enumerate(self.chunks.getValue((at, chunk))):
+                    for us, order, row in entries:
+                        (due if us < below else rest)[side].append((us, order, tuple(row)))
+                self.chunks.removeKey((at, chunk))
+            if any(rest):
+                self.add(open_, *rest)
+        return due
+
+
 class _AsOf(StatefulProcessor):
-    """Holds left rows until the watermark passes them, then joins them with the version valid then."""
+    """Holds left rows until the watermark passes them, then joins them with the version valid then.
+
+    One timer per key: for the first left row that waits, or for the end of the first slice that holds versions.
+    """
+
+    def __init__(self, width: int, left: T.StructType, right: T.StructType) -> None:
+        self.width, self.left, self.right = width, left, right
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.pending = handle.getListState("pending", _STORED)
-        self.versions = handle.getListState("versions", _STORED)
+        self.shape = Row(*[f.name for f in _prefixed("l", self.left) + _prefixed("r", self.right)])
+        self.slices = _Slices(handle, self.width, {"left": self.left, "right": self.right})
+        self.newest = handle.getValueState("newest", T.StructType([
+            T.StructField("us", T.LongType()), T.StructField("ord", T.LongType()), T.StructField("row", self.right)]))
         self.alarm = handle.getValueState("alarm", "ms bigint")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        watermark_us = timerValues.getCurrentWatermarkInMs() * 1000
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        watermark = timerValues.getCurrentWatermarkInMs() * 1000
         left, right = [], []
-        for batch in rows:
-            for side, us, order, payload in zip(batch["side"], batch["us"], batch["ord"], batch["payload"]):
-                if us >= watermark_us:
-                    (left if side == 1 else right).append((int(us), int(order), payload))
-        if right:
-            self.versions.appendList(right)
-        if left:
-            self.pending.appendList(left)
-            self._wake_at(min(left)[0])
+        for row in rows:
+            if row["us"] >= watermark:
+                if row["side"] == 1:
+                    left.append(_entry(row, "l"))
+                else:
+                    right.append(_entry(row, "r"))
+        if left or right:
+            open_ = self.slices.open()
+            self.slices.add(open_, left, right)
+            self.slices.keep(open_)
+            held = self.alarm.get()
+            self._wake(open_, held[0] if held else None)
         return iter([])
 
-    def _wake_at(self, us: int) -> None:
-        """Keep one timer: for the earliest waiting row."""
-        at = us // 1000 + 1
-        held = self.alarm.get()
-        current = held[0] if held else None
-        if current is None or at < current:
-            if current is not None:
-                self.handle.deleteTimer(current)
+    def _wake(self, open_: dict[int, tuple[int, int | None]], current: int | None) -> None:
+        due = min((first if first is not None else (s + 1) * self.width for s, (_, first) in open_.items()), default=None)
+        at = due // 1000 + 1 if due is not None else None
+        if at == current:
+            return
+        if current is not None:
+            self.handle.deleteTimer(current)
+        if at is None:
+            self.alarm.clear()
+        else:
             self.handle.registerTimer(at)
             self.alarm.update((at,))
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         self.alarm.clear()
-        watermark_us = timerValues.getCurrentWatermarkInMs() * 1000
-        waiting = sorted(tuple(r) for r in self.pending.get())
-        ready = [r for r in waiting if r[0] < watermark_us]
-        versions = sorted(tuple(v) for v in self.versions.get())
+        open_ = self.slices.open()
+        left, right = self.slices.take(open_, timerValues.getCurrentWatermarkInMs() * 1000)
+        self.slices.keep(open_)
+        self._wake(open_, None)
+        held = self.newest.get()
+        version = (held[0], held[1], tuple(held[2])) if held else None
+        # Equal (time, order) are told apart by their text, so that no run depends on arrival.
+        right.sort(key=lambda v: (v[0], v[1], repr(v[2])))
         out, i = [], 0
-        for us, _, payload in ready:
-            while i < len(versions) and versions[i][0] <= us:
-                i += 1
-            if i:
-                out.append((payload, versions[i - 1][2]))
-        self._keep(self.pending, waiting[len(ready):])
-        passed = sum(1 for v in versions if v[0] < watermark_us)
-        if passed > 1:
-            self.versions.put(versions[passed - 1:])
-        if len(waiting) > len(ready):
-            self._wake_at(waiting[len(ready)][0])
-        if out:
-            yield pd.DataFrame(out, columns=["left", "right"])
-
-    @staticmethod
-    def _keep(state, rows: list) -> None:
-        if rows:
-            state.put(rows)
-        else:
-            state.clear()
+        for us, _, row in sorted(left, key=lambda r: r[0]):
+            while i < len(right) and right[i][0] <= us:
+                version, i = right[i], i + 1
+            if version is not None:
+                out.append(self.shape(*row, *version[2]))
+        if right:
+            # A late timer may meet a version that is older than the one kept.
+            kept = [(held[0], held[1], tuple(held[2]))] if held else []
+            self.newest.update(max(right[-1:] + kept, key=lambda v: (v[0], v[1], repr(v[2]))))
+        return iter(out)
 
     def close(self) -> None:
         pass
@@ -107,15 +215,17 @@ class _AsOf(StatefulProcessor):
 
 def asof_join_stream(
     left: DataFrame, right: DataFrame, on: str | Sequence[str], left_time: str, right_time: str,
-    take: Sequence[str] | None = None, order: str | None = None, salts: int = 8,
+    take: Sequence[str] | None = None, order: str | None = None, salts: int = 8, width: str | int = "1 hour",
 ) -> DataFrame:
     """Streaming form of ``asof_join`` (inner): a left row comes out once the watermark has passed it.
 
-    Both streams need a watermark. Rows older than the watermark are late and ignored. Versions older
-    than the watermark are forgotten, except the newest of them.
+    Both streams need a watermark. Rows older than the watermark are late and ignored. Rows wait in slices of
+    ``width``; once the watermark has passed a slice, of all versions up to there the newest is kept, whether or not the key
+    has left rows. Rows without a key or time are left out; a null ``order`` comes first.
     """
     on = names(on)
     take = list(take) if take is not None else [c for c in right.columns if c not in (*on, right_time)]
+    rows, versions = _Wire(left, left.columns), _Wire(right, take)
 
     def known(df: DataFrame, time: str) -> DataFrame:
         present = F.col(time).isNotNull()
@@ -123,74 +233,120 @@ def asof_join_stream(
             present &= F.col(k).isNotNull()
         return df.filter(present)
 
-    rows = known(left, left_time).select(
+    ranked = F.coalesce(F.col(order).cast("long"), F.lit(-(2**63))) if order else F.lit(0).cast("long")
+    waiting = known(left, left_time).select(
         _key_text(on).alias("k"), _part(left.columns, salts).alias("part"), F.lit(1).alias("side"),
-        F.unix_micros(left_time).alias("us"), F.lit(0).cast("long").alias("ord"), _packed(left.columns).alias("payload"),
+        F.unix_micros(left_time).alias("us"), F.lit(0).cast("long").alias("ord"), rows.pack().alias("l"), versions.none().alias("r"),
     )
-    versions = known(right, right_time).select(
+    valid = known(right, right_time).select(
         _key_text(on).alias("k"), _every_part(salts).alias("part"), F.lit(0).alias("side"),
-        F.unix_micros(right_time).alias("us"), (F.col(order) if order else F.lit(0)).cast("long").alias("ord"),
-        _packed(take).alias("payload"),
+        F.unix_micros(right_time).alias("us"), ranked.alias("ord"), rows.none().alias("l"), versions.pack().alias("r"),
     )
-    joined = rows.unionByName(versions).groupBy("k", "part").transformWithStateInPandas(
-        _AsOf(), "left string, right string", "Append", "EventTime"
+    joined = waiting.unionByName(valid).groupBy("k", "part").transformWithState(
+        _AsOf(micros(width), rows.type, versions.type), T.StructType(rows.out("l") + versions.out("r")), "Append", "EventTime"
     )
-    right_type = right.select(*take).schema
-    return joined.select(_unpacked("left", left.schema).alias("_l"), "right").select(
-        "_l.*", _unpacked("right", right_type).alias("_r")
-    ).select(*left.columns, "_r.*")
+    return joined.select(*rows.unpack("l"), *versions.unpack("r"))
 
 
 class _Gate(StatefulProcessor):
     """Holds rows until a resolved mark at or above them arrives."""
 
+    def __init__(self, width: int, kind: T.StructType) -> None:
+        self.width, self.kind = width, kind
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.pending = handle.getListState("pending", _STORED)
+        self.shape = Row(*[f.name for f in _prefixed("l", self.kind)])
+        self.slices = _Slices(handle, self.width, {"rows": self.kind})
         self.mark = handle.getValueState("mark", "us bigint")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        mark = self.mark.get()[0] if self.mark.exists() else None
-        fresh, moved = [], False
-        for batch in rows:
-            marks = batch.loc[batch["side"] == 0, "us"]
-            if len(marks) and (mark is None or marks.max() > mark):
-                mark, moved = int(marks.max()), True
-            data = batch[batch["side"] == 1]
-            fresh += [(int(u), 0, p) for u, p in zip(data["us"], data["payload"])]
-        if moved:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        held = self.mark.get()
+        before = held[0] if held else None
+        mark, fresh = before, []
+        for row in rows:
+            if row["side"] == 1:
+                fresh.append(_entry(row, "l"))
+            elif mark is None or row["us"] > mark:
+                mark = int(row["us"])
+        out = [e for e in fresh if mark is not None and e[0] <= mark]
+        rest = [e for e in fresh if mark is None or e[0] > mark]
+        open_ = self.slices.open() if rest or mark != before else {}
+        if mark != before:
             self.mark.update((mark,))
-            held = [tuple(r) for r in self.pending.get()] if self.pending.exists() else []
-        else:
-            held = []
-        out = [r for r in held + fresh if mark is not None and r[0] <= mark]
-        rest = [r for r in held + fresh if mark is None or r[0] > mark]
-        if moved:
-            if rest:
-                self.pending.put(rest)
-            else:
-                self.pending.clear()
-        elif rest:
-            self.pending.appendList(rest)
-        if out:
-            yield pd.DataFrame({"payload": [r[2] for r in out]})
+            out += self.slices.take(open_, mark + 1)[0]
+        if rest:
+            self.slices.add(open_, rest)
+        if rest or mark != before:
+            self.slices.keep(open_)
+        return (self.shape(*e[2]) for e in out)
+
+    def close(self) -> None:
+        pass
+
+
+class _LowWater(StatefulProcessor):
+    """The least of the newest marks of all feeds, each time it rises."""
+
+    def __init__(self, feeds: Sequence[str]) -> None:
+        self.feeds = frozenset(feeds)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.marks = handle.getMapState("marks", "feed string", "us bigint")
+        self.low = handle.getValueState("low", "us bigint")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        held = {k[0]: v[0] for k, v in self.marks.iterator()}
+        newest = dict(held)
+        for row in rows:
+            feed = row["feed"]
+            if feed in self.feeds and (feed not in newest or row["us"] > newest[feed]):
+                newest[feed] = int(row["us"])
+        for feed, us in newest.items():
+            if held.get(feed) != us:
+                self.marks.updateValue((feed,), (us,))
+        low = self.low.get()[0] if self.low.exists() else None
+        if len(newest) == len(self.feeds) and newest and (low is None or min(newest.values()) > low):
+            low = min(newest.values())
+            self.low.update((low,))
+            yield Row(us=low)
 
     def close(self) -> None:
         pass
 
 
 def release_resolved_stream(
-    rows: DataFrame, resolved: DataFrame, updated: str, mark: str, stream: str, salts: int = 8
+    rows: DataFrame, resolved: DataFrame, updated: str, mark: str, stream: str | None = None, salts: int = 8,
+    rule: str = "feed", feeds: Sequence[str] = (), width: str | int = "1 hour",
 ) -> DataFrame:
-    """Streaming form of ``release_resolved``: rows of a feed come out once it has resolved them."""
-    data = rows.select(
-        F.col(stream).cast("string").alias("k"), _part(rows.columns, salts).alias("part"), F.lit(1).alias("side"),
-        F.unix_micros(updated).alias("us"), _packed(rows.columns).alias("payload"),
+    """Streaming form of ``release_resolved``: rows come out once they are resolved, and wait in slices of ``width``.
+
+    Under ``feed`` the marks of a row's own feed count. Under ``slowest`` the slowest of ``feeds`` decides for all rows: they
+    are named beforehand, as a stream cannot know of a feed that has not spoken; one without a mark holds everything, and marks of
+    others are ignored. Its marks are reduced to one low-water mark by a single small state, so only
+    that is sent to every part. Rows without a time stay out, under ``feed`` also those without a feed.
+    """
+    if rule not in ("slowest", "feed"):
+        raise ValueError(f"unknown rule {rule!r}")
+    if (rule == "slowest") != bool(feeds) or not stream:
+        raise ValueError("`slowest` needs the feeds' names, `feed` takes none, and both need the feeds' column")
+    wire = _Wire(rows, rows.columns)
+    marks = resolved.select(F.col(stream).cast("string").alias("feed"), F.unix_micros(mark).alias("us")).filter("us IS NOT NULL AND feed IS NOT NULL")
+    data = rows.filter(F.col(updated).isNotNull())
+    if rule == "slowest":
+        key = F.lit("")
+        marks = marks.withColumn("every", F.lit(0)).groupBy("every").transformWithState(_LowWater(list(map(str, feeds))), "us bigint", "Append", "None")
+    else:
+        key = F.col(stream).cast("string")
+        data = data.filter(F.col(stream).isNotNull())
+    waiting = data.select(
+        key.alias("k"), _part(rows.columns, salts).alias("part"), F.lit(1).alias("side"),
+        F.unix_micros(updated).alias("us"), F.lit(0).cast("long").alias("ord"), wire.pack().alias("l"),
     )
-    marks = resolved.select(
-        F.col(stream).cast("string").alias("k"), _every_part(salts).alias("part"), F.lit(0).alias("side"),
-        F.unix_micros(mark).alias("us"), F.lit(None).cast("string").alias("payload"),
+    gates = marks.select(
+        (F.lit("") if rule == "slowest" else F.col("feed")).alias("k"), _every_part(salts).alias("part"), F.lit(0).alias("side"), "us",
+        F.lit(0).cast("long").alias("ord"), wire.none().alias("l"),
     )
-    gated = data.unionByName(marks).groupBy("k", "part").transformWithStateInPandas(
-        _Gate(), "payload string", "Append", "None"
+    gated = waiting.unionByName(gates).groupBy("k", "part").transformWithState(
+        _Gate(micros(width), wire.type), T.StructType(wire.out("l")), "Append", "None"
     )
-    return gated.select(_unpacked("payload", rows.schema).alias("_r")).select("_r.*")
+    return gated.select(*wire.unpack("l"))
