@@ -1,5 +1,7 @@
 """Queries that run as streams over the given tables and return what the stream wrote."""
 
+from datetime import datetime
+
 from pyspark.sql import functions as F, types as T
 
 from tidemark.operators.changes import dedupe_versions
@@ -9,6 +11,7 @@ from tidemark.plans.registry import plan
 from tidemark.plans.window_plans import _AMOUNTS, _STATS
 from tidemark.sources.topics import declare_stream, read_topic
 from tidemark.streaming.alerts import alert_sustained_stream
+from tidemark.streaming.days import DayTable
 from tidemark.streaming.late import LateSplit
 from tidemark.streaming.sealed import SealedTable
 from tidemark.streaming.run import fed_in_parts, replayed, replayed_in_parts, run_stream, use_rocksdb
@@ -185,3 +188,18 @@ def _(t):
     old = table.opened(t.spark, rows.schema, _OLD_MASTERS, generation=0).select("event_id", F.col("event_type").alias("before_rotation"))
     sizes = table.sealed(t.spark, rows.schema).select("event_id", F.octet_length("event_type").cast("long").alias("sealed_bytes"))
     return new.join(old, "event_id").join(sizes, "event_id")
+
+
+@plan("stream_retention", "RET-1 SNK-7", """
+SELECT event_id, ts, tier FROM (SELECT *, CASE user_id % 4 WHEN 0 THEN 'critical' WHEN 1 THEN 'standard' WHEN 2 THEN 'best-effort' ELSE 'compliance' END AS tier FROM events)
+WHERE epoch_ms(TIMESTAMP '2024-01-29 18:30:00') - epoch_ms(ts) <=
+  CASE tier WHEN 'critical' THEN 604800000 WHEN 'standard' THEN 259200000 WHEN 'best-effort' THEN 86400000 ELSE 7 * 31557600000 END
+""")
+def _(t):
+    """Days of a stream's table that are over for their tier are dropped as folders; the day on the edge is written again."""
+    tier = F.element_at(F.array(*map(F.lit, ("critical", "standard", "best-effort", "compliance"))), (F.col("user_id") % 4 + 1).cast("int"))
+    rows = t.events.select("event_id", "ts", tier.alias("tier"))
+    root = fed_in_parts(in_thirds(rows, "ts"), lambda raw, at: run_stream(raw, DayTable(f"{at}/days", "ts", "tier"), f"{at}/checkpoint"), "retention")
+    table = DayTable(f"{root}/days", "ts", "tier")
+    table.expire(t.spark, rows.schema, datetime(2024, 1, 29, 18, 30), 7)
+    return table.read(t.spark, rows.schema)
