@@ -181,3 +181,28 @@ def test_a_mode_for_each_subject(spark):
     assert {r["compatible"] for r in got.values()} == {True, False}
     with pytest.raises(Exception, match="unsupported mode"):
         G.check_compatibility_by_subject(df, spark.createDataFrame([("s0", "SIDEWAYS")], "subject string, compatibility string")).collect()
+
+
+def test_bindings_are_dealt_out_before_they_unfold(spark):
+    """Bindings without repeats, also for a topic without a name, and no aggregation in the tasks that read the topics."""
+    topics = spark.createDataFrame(
+        [("t", ["User:p", "User:p"], ["User:c", "svc"]), ("t", ["User:p"], None), (None, ["User:p"], ["User:c"]), ("u", None, ["User:c"])],
+        "topic string, producers array<string>, consumers array<string>")
+    got = [tuple(r) for r in G.desired_bindings(topics).collect()]
+    want = {("User:c", "DeveloperRead", "Group", "c-", "PREFIXED")}
+    for t, p, c in (("t", ["User:p"], ["User:c", "svc"]), (None, ["User:p"], ["User:c"]), ("u", [], ["User:c"])):
+        for who, role in [(x, "DeveloperWrite") for x in p] + [(x, "DeveloperRead") for x in c]:
+            want |= {(who, role, kind, t and t + end, "LITERAL") for kind, end in (("Topic", ""), ("Subject", "-value"), ("Subject", "-key"))}
+    assert len(got) == len(set(got)) and set(got) == want
+    text = G.desired_bindings(topics)._jdf.queryExecution().executedPlan().toString()
+    grants = text[:text.index("Exchange hashpartitioning(_t")]
+    assert "HashAggregate" in grants and "Generate inline(_g" in grants  # above the exchange, so after it
+
+
+def test_binding_plan_counts_after_the_exchange(spark):
+    topics = spark.createDataFrame([("t", ["User:p"], ["User:c"])], "topic string, producers array<string>, consumers array<string>")
+    current = spark.createDataFrame([("User:p", "DeveloperWrite", "Topic", "t", "LITERAL")] * 3, "principal string, role string, resource_type string, name string, pattern_type string")
+    out = G.plan_bindings(topics, current)
+    assert out.count() == 6 and {r["action"] for r in out.collect()} == {"add"}
+    text = out._jdf.queryExecution().executedPlan().toString()
+    assert text[:text.index("Exchange hashpartitioning(principal")].count("HashAggregate") == 2

@@ -331,27 +331,28 @@ _BINDING = ("principal", "role", "resource_type", "name", "pattern_type")
 
 
 def desired_bindings(df: DataFrame, topic="topic", producers="producers", consumers="consumers") -> DataFrame:
-    """Bindings each topic needs: topic, subjects (value and key), and group prefixes of its consumers."""
-    def binding(p: Column, role: str, kind: str, name: Column, pattern: str = "LITERAL") -> Column:
-        parts = (p, F.lit(role), F.lit(kind), name, F.lit(pattern))
-        return F.struct(*[c.alias(n) for c, n in zip(parts, _BINDING)])
+    """Bindings each topic needs: topic, subjects (value and key), and group prefixes of its consumers.
 
-    t = F.col(topic)
-
-    def on(column: str, role: str, kind: str, suffix: str = "") -> Column:
-        return F.transform(column, lambda p: binding(p, role, kind, F.concat(t, F.lit(suffix))))
+    Topics are dealt out by name before their lists are unfolded, and a grant is made single before it becomes three
+    bindings, so no task holds more than its share of them whatever the files of the input are.
+    """
+    def grants(column: str, role: str) -> Column:
+        none = F.array().cast("array<struct<principal:string,role:string>>")
+        return F.coalesce(F.transform(column, lambda p: F.struct(p.alias("principal"), F.lit(role).alias("role"))), none)
 
-    def for_topic(column: str, role: str) -> list[Column]:
-        return [on(column, role, "Topic"), on(column, role, "Subject", "-value"), on(column, role, "Subject", "-key")]
+    def binding(*parts: Column | str) -> Column:
+        return F.struct(*[(F.lit(c) if isinstance(c, str) else c).alias(n) for c, n in zip(parts, _BINDING)])
 
-    users = F.filter(consumers, lambda p: p.startswith("User:"))
-    groups = F.transform(
-        users, lambda p: binding(p, "DeveloperRead", "Group", F.concat(F.substring(p, 6, 1 << 30), F.lit("-")), "PREFIXED")
-    )
-    parts = [*for_topic(producers, "DeveloperWrite"), *for_topic(consumers, "DeveloperRead"), groups]
-    none = F.array().cast("array<struct<" + ",".join(f"{n}:string" for n in _BINDING) + ">>")
-    listed = F.concat(*[F.coalesce(p, none) for p in parts])
-    return df.select(F.explode(listed).alias("_b")).select("_b.*").distinct()
+    dealt = df.select(F.col(topic).alias("_t"), F.concat(grants(producers, "DeveloperWrite"), grants(consumers, "DeveloperRead")).alias("_g"))
+    granted = dealt.repartition("_t").select("_t", F.inline("_g")).distinct()
+    t, p, role = F.col("_t"), F.col("principal"), F.col("role")
+    # Without a topic both subjects have the same name, null.
+    key = F.when(t.isNotNull(), binding(p, role, "Subject", F.concat(t, F.lit("-key")), "LITERAL"))
+    three = F.array(binding(p, role, "Topic", t, "LITERAL"), binding(p, role, "Subject", F.concat(t, F.lit("-value")), "LITERAL"), key)
+    on_topics = granted.select(F.inline(F.array_compact(three)))
+    users = df.select(F.explode(F.array_distinct(F.filter(consumers, lambda c: c.startswith("User:")))).alias("_u")).distinct()
+    prefix = F.concat(F.substring("_u", 6, 1 << 30), F.lit("-"))
+    return on_topics.unionByName(users.select(F.inline(F.array(binding(F.col("_u"), "DeveloperRead", "Group", prefix, "PREFIXED")))))
 
 
 def plan_bindings(topics: DataFrame, current: DataFrame, **columns) -> DataFrame:
@@ -361,14 +362,15 @@ def plan_bindings(topics: DataFrame, current: DataFrame, **columns) -> DataFrame
     considered; others are left alone.
     """
     wanted = desired_bindings(topics, **columns)
-    principals = wanted.select("principal").distinct()
+    principals = unique_principals(topics, **{k: v for k, v in columns.items() if k != "topic"})
     mine = current.filter(
         F.col("resource_type").isin("Topic", "Group", "Subject") & F.col("role").isin("DeveloperRead", "DeveloperWrite")
     ).join(principals, "principal", "left_semi")
     both = wanted.select(*_BINDING, F.lit(1).alias("_w"), F.lit(0).alias("_c")).unionByName(
         mine.select(*_BINDING, F.lit(0).alias("_w"), F.lit(1).alias("_c"))
     )
-    merged = both.groupBy(*_BINDING).agg(F.max("_w").alias("_w"), F.max("_c").alias("_c"))
+    # Nearly all are single, so they are dealt out as they are and not counted in the tasks that read them.
+    merged = both.repartition(*_BINDING).groupBy(*_BINDING).agg(F.max("_w").alias("_w"), F.max("_c").alias("_c"))
     action = F.when(F.col("_w") > F.col("_c"), "add").otherwise("remove")
     return merged.filter(F.col("_w") != F.col("_c")).select(action.alias("action"), *_BINDING)
 
