@@ -32,6 +32,9 @@ def in_thirds(rows, time):
     return [rows.filter(part == i) for i in range(3)]
 
 
+# Groups that users' state is kept in; each is small next to a task, and there are far fewer of them than users.
+_GROUPS = 128
+
 # The watermark trails the newest event by five seconds, at millisecond precision.
 _MARK = "(SELECT date_trunc('millisecond', max(ts)) - INTERVAL 5 SECOND FROM events)"
 
@@ -86,7 +89,7 @@ def _(t):
 
     left = side("purchase").select("event_id", "user_id", "ts", "value")
     right = side("view").select("user_id", F.col("ts").alias("since"), F.col("event_id").alias("profile_id"), F.col("value").alias("rating"))
-    return replayed(asof_join_stream(left, right, "user_id", "ts", "since", order="profile_id", salts=4, width="10 days"), "asof")
+    return replayed(asof_join_stream(left, right, "user_id", "ts", "since", order="profile_id", salts=4, width="10 days", groups=_GROUPS), "asof")
 
 
 @plan("stream_resolved_gate", "CDC-3", """
@@ -98,7 +101,7 @@ def _(t):
     events = event_stream(t)
     rows = events.filter("event_type <> 'signup'").select("event_id", "user_id", "ts")
     marks = events.filter("event_type = 'signup'").select("user_id", F.col("ts").alias("resolved"))
-    return replayed(release_resolved_stream(rows, marks, "ts", "resolved", "user_id", salts=4, width="10 days"), "gate")
+    return replayed(release_resolved_stream(rows, marks, "ts", "resolved", "user_id", salts=4, width="10 days", groups=_GROUPS), "gate")
 
 
 @plan("stream_resolved_gate_slowest", "CDC-3 WM-3", """
@@ -112,7 +115,7 @@ def _(t):
     def gated(raw):
         rows = raw.filter("event_type <> 'signup'").select("event_id", "shard", "ts")
         marks = raw.filter("event_type = 'signup'").select("shard", F.col("ts").alias("resolved"))
-        return release_resolved_stream(rows, marks, "ts", "resolved", "shard", salts=4, rule="slowest", feeds=list("0123"), width="1 day")
+        return release_resolved_stream(rows, marks, "ts", "resolved", "shard", salts=4, rule="slowest", feeds=list("0123"), width="1 day", groups=64)
 
     events = t.events.select("event_id", "event_type", (F.col("user_id") % 4).alias("shard"), "ts")
     return replayed_in_parts(in_thirds(events, "ts"), gated, "slowest")

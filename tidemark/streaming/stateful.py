@@ -3,6 +3,9 @@
 State lives per key in the state store, in time slices of typed rows: what arrives is added as a chunk of its slice, and
 a timer or mark reads only the slices that are due. A hot key is spread with ``salts``: its left (or pending) rows
 are divided by hash, and the rows that every part needs (versions, resolved marks) go to each part.
+
+With ``groups`` keys are gathered by hash into that many groups, whose state is kept together: calls to the state store and timers
+are then per group and not per key, which is what many small keys need. Rows carry their key in front of their columns.
 """
 
 from __future__ import annotations
@@ -41,12 +44,18 @@ def _every_part(salts: int) -> Column:
     return F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
 
 
+def _gathered(key: Column, groups: int | None) -> Column:
+    """The text that rows are grouped by: their key, or the number of its group."""
+    return key if groups is None else F.pmod(F.xxhash64(key), F.lit(groups)).cast("string")
+
+
 class _Wire:
     """Columns of a table as state holds them: plain types as they are, times as microseconds, all others as JSON."""
 
     def __init__(self, df: DataFrame, columns: Sequence[str]) -> None:
         self.fields = [df.schema[c] for c in columns]
         self.type = T.StructType([T.StructField(f"c{i}", self._held(f.dataType)) for i, f in enumerate(self.fields)])
+        self.keyed = T.StructType([T.StructField("k", T.StringType()), *self.type.fields])
 
     @staticmethod
     def _held(kind: T.DataType) -> T.DataType:
@@ -54,16 +63,18 @@ class _Wire:
             return kind
         return T.LongType() if isinstance(kind, T.TimestampType) else T.StringType()
 
-    def pack(self) -> Column:
+    def pack(self, key: Column | None = None) -> Column:
+        """The columns as one struct, behind the ``key`` if one is given."""
         def one(f: T.StructField) -> Column:
             if isinstance(f.dataType, _PLAIN):
                 return F.col(f.name)
             return F.unix_micros(f.name) if isinstance(f.dataType, T.TimestampType) else _packed([f.name])
 
-        return F.struct(*[one(f).alias(f"c{i}") for i, f in enumerate(self.fields)])
+        front = [] if key is None else [key.alias("k")]
+        return F.struct(*front, *[one(f).alias(f"c{i}") for i, f in enumerate(self.fields)])
 
-    def none(self) -> Column:
-        return F.lit(None).cast(self.type)
+    def none(self, keyed: bool = False) -> Column:
+        return F.lit(None).cast(self.keyed if keyed else self.type)
 
     def out(self, prefix: str) -> list[T.StructField]:
         return _prefixed(prefix, self.type)
@@ -213,15 +224,63 @@ class _AsOf(StatefulProcessor):
         pass
 
 
+def _by_key(entries: list[tuple]) -> dict[str, list[tuple]]:
+    out: dict[str, list[tuple]] = {}
+    for entry in entries:
+        out.setdefault(entry[2][0], []).append(entry)
+    return out
+
+
+class _AsOfTogether(_AsOf):
+    """The same for a group of keys: one timer, one index of slices and one list of newest versions for all of them."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.shape = Row(*[f.name for f in _prefixed("l", T.StructType(self.left.fields[1:])) + _prefixed("r", T.StructType(self.right.fields[1:]))])
+        self.slices = _Slices(handle, self.width, {"left": self.left, "right": self.right})
+        self.newest = handle.getValueState("newest", T.StructType([T.StructField("versions", T.ArrayType(T.StructType([
+            T.StructField("us", T.LongType()), T.StructField("ord", T.LongType()), T.StructField("row", self.right)])))]))
+        self.alarm = handle.getValueState("alarm", "ms bigint")
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        self.alarm.clear()
+        open_ = self.slices.open()
+        left, right = self.slices.take(open_, timerValues.getCurrentWatermarkInMs() * 1000)
+        self.slices.keep(open_)
+        self._wake(open_, None)
+        held = self.newest.get()
+        newest = {row[0]: (us, order, tuple(row)) for us, order, row in held[0]} if held else {}
+        waiting, versions, out = _by_key(left), _by_key(right), []
+        for k, rows in waiting.items():
+            passed = sorted(versions.get(k, ()), key=_place)
+            version, i = newest.get(k), 0
+            for us, _, row in sorted(rows, key=lambda r: r[0]):
+                while i < len(passed) and passed[i][0] <= us:
+                    version, i = passed[i], i + 1
+                if version is not None:
+                    out.append(self.shape(*row[1:], *version[2][1:]))
+        for k, passed in versions.items():
+            newest[k] = max([*passed, newest[k]] if k in newest else passed, key=_place)
+        if versions:
+            self.newest.update((list(newest.values()),))
+        return iter(out)
+
+
+def _place(version: tuple) -> tuple:
+    """Equal (time, order) are told apart by their text, so that no run depends on arrival."""
+    return version[0], version[1], repr(version[2])
+
+
 def asof_join_stream(
     left: DataFrame, right: DataFrame, on: str | Sequence[str], left_time: str, right_time: str,
-    take: Sequence[str] | None = None, order: str | None = None, salts: int = 8, width: str | int = "1 hour",
+    take: Sequence[str] | None = None, order: str | None = None, salts: int = 8, width: str | int = "1 hour", groups: int | None = None,
 ) -> DataFrame:
     """Streaming form of ``asof_join`` (inner): a left row comes out once the watermark has passed it.
 
     Both streams need a watermark. Rows older than the watermark are late and ignored. Rows wait in slices of
     ``width``; once the watermark has passed a slice, of all versions up to there the newest is kept, whether or not the key
-    has left rows. Rows without a key or time are left out; a null ``order`` comes first.
+    has left rows. Rows without a key or time are left out; a null ``order`` comes first. ``groups`` keeps many small keys'
+    state together; a slice that is due in part is then written again for the whole group.
     """
     on = names(on)
     take = list(take) if take is not None else [c for c in right.columns if c not in (*on, right_time)]
@@ -234,16 +293,20 @@ def asof_join_stream(
         return df.filter(present)
 
     ranked = F.coalesce(F.col(order).cast("long"), F.lit(-(2**63))) if order else F.lit(0).cast("long")
+    together = groups is not None
+    key = _key_text(on)
+    front = key if together else None
     waiting = known(left, left_time).select(
-        _key_text(on).alias("k"), _part(left.columns, salts).alias("part"), F.lit(1).alias("side"),
-        F.unix_micros(left_time).alias("us"), F.lit(0).cast("long").alias("ord"), rows.pack().alias("l"), versions.none().alias("r"),
+        _gathered(key, groups).alias("k"), _part(left.columns, salts).alias("part"), F.lit(1).alias("side"),
+        F.unix_micros(left_time).alias("us"), F.lit(0).cast("long").alias("ord"), rows.pack(front).alias("l"), versions.none(together).alias("r"),
     )
     valid = known(right, right_time).select(
-        _key_text(on).alias("k"), _every_part(salts).alias("part"), F.lit(0).alias("side"),
-        F.unix_micros(right_time).alias("us"), ranked.alias("ord"), rows.none().alias("l"), versions.pack().alias("r"),
+        _gathered(key, groups).alias("k"), _every_part(salts).alias("part"), F.lit(0).alias("side"),
+        F.unix_micros(right_time).alias("us"), ranked.alias("ord"), rows.none(together).alias("l"), versions.pack(front).alias("r"),
     )
+    processor = _AsOfTogether(micros(width), rows.keyed, versions.keyed) if together else _AsOf(micros(width), rows.type, versions.type)
     joined = waiting.unionByName(valid).groupBy("k", "part").transformWithState(
-        _AsOf(micros(width), rows.type, versions.type), T.StructType(rows.out("l") + versions.out("r")), "Append", "EventTime"
+        processor, T.StructType(rows.out("l") + versions.out("r")), "Append", "EventTime"
     )
     return joined.select(*rows.unpack("l"), *versions.unpack("r"))
 
@@ -284,6 +347,43 @@ class _Gate(StatefulProcessor):
         pass
 
 
+class _GateTogether(_Gate):
+    """The same for a group of feeds, each row under the mark of its own feed."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.shape = Row(*[f.name for f in _prefixed("l", T.StructType(self.kind.fields[1:]))])
+        self.slices = _Slices(handle, self.width, {"rows": self.kind})
+        self.marks = handle.getValueState("marks", "marks array<struct<k: string, us: bigint>>")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        held = self.marks.get()
+        marks = dict(map(tuple, held[0])) if held else {}
+        risen, fresh = {}, []
+        for row in rows:
+            entry = _entry(row, "l")
+            if row["side"] == 1:
+                fresh.append(entry)
+            else:
+                feed = entry[2][0]
+                if entry[0] > risen.get(feed, marks.get(feed, entry[0] - 1)):
+                    risen[feed] = entry[0]
+        marks |= risen
+        open_ = self.slices.open() if fresh or risen else {}
+        # Rows that wait are read where some feed's mark has risen to their slice.
+        again = self.slices.take(open_, max(risen.values()) + 1)[0] if risen else []
+        out, rest = [], []
+        for entry in again + fresh:
+            feed = entry[2][0]
+            (out if feed in marks and entry[0] <= marks[feed] else rest).append(entry)
+        if rest:
+            self.slices.add(open_, rest)
+        if rest or again:
+            self.slices.keep(open_)
+        if risen:
+            self.marks.update((list(marks.items()),))
+        return (self.shape(*e[2][1:]) for e in out)
+
+
 class _LowWater(StatefulProcessor):
     """The least of the newest marks of all feeds, each time it rises."""
 
@@ -316,7 +416,7 @@ class _LowWater(StatefulProcessor):
 
 def release_resolved_stream(
     rows: DataFrame, resolved: DataFrame, updated: str, mark: str, stream: str | None = None, salts: int = 8,
-    rule: str = "feed", feeds: Sequence[str] = (), width: str | int = "1 hour",
+    rule: str = "feed", feeds: Sequence[str] = (), width: str | int = "1 hour", groups: int | None = None,
 ) -> DataFrame:
     """Streaming form of ``release_resolved``: rows come out once they are resolved, and wait in slices of ``width``.
 
@@ -324,12 +424,18 @@ def release_resolved_stream(
     are named beforehand, as a stream cannot know of a feed that has not spoken; one without a mark holds everything, and marks of
     others are ignored. Its marks are reduced to one low-water mark by a single small state, so only
     that is sent to every part. Rows without a time stay out, under ``feed`` also those without a feed.
+
+    ``groups`` keeps many small feeds' state together; rows that wait in slices up to a risen mark are then read for the whole group. Under
+    ``slowest``, where all rows have one key, it divides them into that many times ``salts`` parts.
     """
     if rule not in ("slowest", "feed"):
         raise ValueError(f"unknown rule {rule!r}")
     if (rule == "slowest") != bool(feeds) or not stream:
         raise ValueError("`slowest` needs the feeds' names, `feed` takes none, and both need the feeds' column")
     wire = _Wire(rows, rows.columns)
+    together = groups is not None and rule == "feed"
+    if rule == "slowest":
+        salts *= groups or 1
     marks = resolved.select(F.col(stream).cast("string").alias("feed"), F.unix_micros(mark).alias("us")).filter("us IS NOT NULL AND feed IS NOT NULL")
     data = rows.filter(F.col(updated).isNotNull())
     if rule == "slowest":
@@ -338,15 +444,18 @@ def release_resolved_stream(
     else:
         key = F.col(stream).cast("string")
         data = data.filter(F.col(stream).isNotNull())
+    spread = groups if together else None
+    feed = F.lit("") if rule == "slowest" else F.col("feed")
+    # Under groups a mark is a row of its feed without columns.
+    blank = F.struct(feed.alias("k"), *[F.lit(None).cast(f.dataType).alias(f.name) for f in wire.type.fields]) if together else wire.none()
     waiting = data.select(
-        key.alias("k"), _part(rows.columns, salts).alias("part"), F.lit(1).alias("side"),
-        F.unix_micros(updated).alias("us"), F.lit(0).cast("long").alias("ord"), wire.pack().alias("l"),
+        _gathered(key, spread).alias("k"), _part(rows.columns, salts).alias("part"), F.lit(1).alias("side"),
+        F.unix_micros(updated).alias("us"), F.lit(0).cast("long").alias("ord"), wire.pack(key if together else None).alias("l"),
     )
     gates = marks.select(
-        (F.lit("") if rule == "slowest" else F.col("feed")).alias("k"), _every_part(salts).alias("part"), F.lit(0).alias("side"), "us",
-        F.lit(0).cast("long").alias("ord"), wire.none().alias("l"),
-    )
-    gated = waiting.unionByName(gates).groupBy("k", "part").transformWithState(
-        _Gate(micros(width), wire.type), T.StructType(wire.out("l")), "Append", "None"
+        _gathered(feed, spread).alias("k"), _every_part(salts).alias("part"), F.lit(0).alias("side"), "us",
+        F.lit(0).cast("long").alias("ord"), blank.alias("l"),
     )
+    processor = _GateTogether(micros(width), wire.keyed) if together else _Gate(micros(width), wire.type)
+    gated = waiting.unionByName(gates).groupBy("k", "part").transformWithState(processor, T.StructType(wire.out("l")), "Append", "None")
     return gated.select(*wire.unpack("l"))
