@@ -167,7 +167,7 @@ def _(t):
 
     def alerts(raw):
         samples = with_event_time(raw, "ts", "5 seconds").withColumn("metric", F.lit("value"))
-        return alert_sustained_stream(samples, _RULES, "user_id", max_gap="12 hours", order="event_id").drop("hold_s")
+        return alert_sustained_stream(samples, _RULES, "user_id", max_gap="12 hours", order="event_id", groups=_GROUPS).drop("hold_s")
 
     rows = t.events.select("event_id", "user_id", "ts", "value")
     return replayed_in_parts(in_thirds(rows, "ts"), alerts, "alerts")

@@ -3,6 +3,9 @@
 A series is idle, pending (it breaches) or firing (it has breached for the rule's hold time). Its state is one row of
 numbers, whatever it has seen: when the run began, its newest sample, how many samples, the peak, whether it has fired.
 An event-time timer ends a run that has fallen silent and then forgets the series.
+
+With ``groups`` series are gathered by hash into that many groups: the same rows of state are one table per group, read and written
+once a batch, and all series of a group are worked on at once. That is what many small series need.
 """
 
 from __future__ import annotations
@@ -11,13 +14,14 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark.functions.slices import names
 from tidemark.functions.units import micros
 from tidemark.operators.alerts import Rule, with_rules
-from tidemark.streaming.stateful import _packed, _unpacked
+from tidemark.streaming.stateful import _gathered, _packed, _unpacked
 
 _OUT = ["state", "started", "seen", "samples", "peak", "hold_s", "severity"]
 _RUN = "breached boolean, begun bigint, last bigint, samples bigint, peak double, fired boolean, hold_s bigint, severity string, alarm bigint"
@@ -111,9 +115,114 @@ class _Sustained(StatefulProcessor):
         pass
 
 
+_HELD = ["k", "breached", "begun", "last", "samples", "peak", "fired", "hold_s", "severity"]
+_HELD_TYPES = {"breached": bool, "begun": np.int64, "last": np.int64, "samples": np.int64, "peak": np.float64, "fired": bool, "hold_s": np.int64}
+
+
+class _SustainedTogether(_Sustained):
+    """The same for a group of series, whose runs are one table in the Arrow format and share one timer."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("runs", "runs binary, alarm bigint")
+
+    def _held(self) -> tuple[pd.DataFrame, int | None]:
+        held = self.state.get() if self.state.exists() else None
+        if held is None:
+            return pd.DataFrame(columns=_HELD).astype(_HELD_TYPES), None
+        return pa.ipc.open_stream(bytes(held[0])).read_all().to_pandas(), held[1]
+
+    def _keep(self, runs: pd.DataFrame, alarm: int | None) -> None:
+        if alarm is not None:
+            self.handle.deleteTimer(alarm)
+        if not len(runs):
+            self.state.clear()
+            return
+        at = (int(runs["last"].min()) + self.gap) // 1000 + 1
+        self.handle.registerTimer(at)
+        table, sink = pa.Table.from_pandas(runs[_HELD], preserve_index=False), pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema) as writer:
+            writer.write_table(table)
+        self.state.update((sink.getvalue().to_pybytes(), at))
+
+    @staticmethod
+    def _out(rows: pd.DataFrame, state: str) -> pd.DataFrame:
+        return rows.assign(state=state).rename(columns={"begun": "started"})[["k", *_OUT]]
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        held, alarm = self._held()
+        seen = pd.concat(list(rows), ignore_index=True)
+        code, series = pd.factorize(pd.concat([held["k"], seen["series"]], ignore_index=True))
+        known = len(held)  # the first codes are those of the held rows, in their order
+        seen["code"] = code[known:]
+        last = np.full(len(series), np.iinfo(np.int64).min)
+        last[:known] = held["last"]
+        seen = seen[seen["us"].to_numpy() >= last[seen["code"].to_numpy()]]
+        if not len(seen):
+            return
+        seen = seen.sort_values(["code", "us", "ord"], kind="stable", ignore_index=True)
+        code, us, breached = seen["code"].to_numpy(), seen["us"].to_numpy(np.int64), seen["breached"].to_numpy(bool)
+        value = seen["value"].to_numpy(np.float64)
+        head = np.r_[True, code[1:] != code[:-1]]
+        tail = np.r_[head[1:], True]
+        before = held.reindex(code)  # a held run in front of the samples of its series
+        has = code < known
+        goes_on = head & has & breached
+        goes_on[goes_on] = before["breached"].to_numpy()[goes_on].astype(bool) & (us - np.where(has, last[code], us) <= self.gap)[goes_on]
+        follows = ~head & np.r_[False, breached[:-1]] & (np.diff(us, prepend=us[0]) <= self.gap)
+        start = breached & ~goes_on & ~follows
+
+        # One row per run of the batch, with what the held run brings to it.
+        run = np.cumsum(start | goes_on)[breached] - 1
+        at = np.flatnonzero(start | goes_on)
+        carried = goes_on[at]
+        take = lambda name, new, kind: np.where(carried, before[name].to_numpy()[at], new).astype(kind)
+        begun, counted = take("begun", us[at], np.int64), take("samples", 0, np.int64)
+        peak, fired = take("peak", -np.inf, np.float64), take("fired", False, bool)
+        rule = pd.DataFrame({"hold_s": seen["hold_s"], "severity": seen["severity"]})[head].set_index(code[head])
+        rule.loc[rule.index < known, ["hold_s", "severity"]] = held.loc[rule.index[rule.index < known], ["hold_s", "severity"]]
+        hits = pd.DataFrame({"run": run, "us": us[breached], "value": value[breached], "code": code[breached], "end": tail[breached]})
+        hits["samples"] = hits.groupby("run").cumcount().to_numpy() + 1 + counted[run]
+        hits["peak"] = np.maximum(hits.groupby("run")["value"].cummax().to_numpy(), peak[run])
+        hits["begun"], hits["k"] = begun[run], series[hits["code"]]
+        hits["hold_s"], hits["severity"] = rule["hold_s"].reindex(hits["code"]).to_numpy(np.int64), rule["severity"].reindex(hits["code"]).to_numpy()
+        hits["seen"] = hits["us"]
+        reached = hits[(hits["us"] - hits["begun"] >= hits["hold_s"] * 1_000_000) & ~fired[run]].drop_duplicates("run")
+        fired[reached["run"]] = True
+        ends = hits.drop_duplicates("run", keep="last")
+        over = ends[~ends["end"].to_numpy() & fired[ends["run"]]]
+
+        # A held run that the first sample of its series does not go on with is over.
+        first = code[head & has & ~goes_on]
+        stopped = held.loc[first][held.loc[first, "breached"].to_numpy(bool) & held.loc[first, "fired"].to_numpy(bool)]
+        for out, state in ((reached, "firing"), (over, "resolved"), (stopped.assign(seen=stopped["last"]), "resolved")):
+            if len(out):
+                yield self._out(out, state)
+
+        now = pd.DataFrame({"k": series[code[tail]], "breached": breached[tail], "last": us[tail]}, index=code[tail])
+        open_ = ends[ends["end"]].set_index("code")
+        for name, none in (("begun", 0), ("samples", 0), ("peak", 0.0)):
+            now[name] = open_[name].reindex(now.index).fillna(none) if name == "peak" else open_[name].reindex(now.index, fill_value=none)
+        now["fired"] = pd.Series(fired[open_["run"]], index=open_.index).reindex(now.index, fill_value=False)
+        now["hold_s"], now["severity"] = rule["hold_s"], rule["severity"]
+        now = now.astype(_HELD_TYPES)
+        silent = held.drop(index=now.index[now.index < known])
+        self._keep(pd.concat([silent, now], ignore_index=True) if len(silent) else now, alarm)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        held, alarm = self._held()
+        if alarm is None:
+            return
+        over = held["last"].to_numpy() + self.gap < timerValues.getCurrentWatermarkInMs() * 1000
+        ended = held[over & held["breached"].to_numpy(bool) & held["fired"].to_numpy(bool)]
+        self._keep(held[~over], None if over.any() else alarm)
+        if len(ended):
+            yield self._out(ended.assign(seen=ended["last"]), "resolved")
+
+
 def alert_sustained_stream(
     samples: DataFrame, rules: Sequence[Rule], by: str | Sequence[str], time: str = "ts", value: str = "value",
-    max_gap: str | int = "5 minutes", order: str | None = None,
+    max_gap: str | int = "5 minutes", order: str | None = None, groups: int | None = None,
 ) -> DataFrame:
     """Streaming form of ``alert_sustained``: (rule, by, state, started, seen, samples, peak, hold_s, severity, fired_at).
 
@@ -124,7 +233,7 @@ def alert_sustained_stream(
 
     ``samples`` needs a watermark. Samples of a series come in order from batch to batch, in any order inside one (``order`` breaks
     ties); one that is older than the series' newest is left out, as is one without a time. State is
-    one row per rule and series, and none once a series has been silent for ``max_gap``.
+    one row per rule and series, and none once a series has been silent for ``max_gap``; ``groups`` keeps those of a group together.
     """
     by = names(by)
     keys = ["rule", *by]
@@ -134,7 +243,11 @@ def alert_sustained_stream(
         _packed(keys).alias("k"), F.unix_micros(time).alias("us"), (F.col(order) if order else F.lit(0)).cast("long").alias("ord"),
         F.col(value).cast("double").alias("value"), "breached", "hold_s", "severity")
     schema = "k string, state string, started bigint, seen bigint, samples bigint, peak double, hold_s bigint, severity string"
-    out = rows.groupBy("k").transformWithStateInPandas(_Sustained(micros(max_gap)), schema, "Append", "EventTime")
+    processor = _Sustained(micros(max_gap))
+    if groups is not None:
+        rows = rows.withColumnRenamed("k", "series").withColumn("k", _gathered(F.col("series"), groups))
+        processor = _SustainedTogether(micros(max_gap))
+    out = rows.groupBy("k").transformWithStateInPandas(processor, schema, "Append", "EventTime")
     out = out.select(_unpacked("k", ruled.select(*keys).schema).alias("_k"), *_OUT).select("_k.*", *_OUT)
     return out.withColumns({
         "fired_at": F.timestamp_micros(F.col("started") + F.col("hold_s") * F.lit(1000000)),
