@@ -48,7 +48,7 @@ def scan(
     following: Mapping[str, str] | None = None,
     running: Mapping[str, tuple[str, str]] | None = None,
     before: Mapping[str, tuple[str, str]] | None = None,
-    width: str | int = DEFAULT_SLICE,
+    width: str | int | None = DEFAULT_SLICE,
     peers: bool = False,
 ) -> DataFrame:
     """Add columns computed along each key in (time, order) order.
@@ -60,11 +60,19 @@ def scan(
     that are equal in (time, order).
 
     The input is read twice: once for the summaries, with only the columns they need, and once for
-    the rows. Make an expensive input ``durable`` first.
+    the rows. Make an expensive input ``durable`` first. A ``width`` of None keeps each key whole, for keys known to be
+    small: one read, and one shuffle at most.
     """
     key, order = names(key), names(order)
     previous, following = dict(previous or {}), dict(following or {})
     folds = {**(running or {}), **(before or {})}
+    if width is None:
+        along = Window.partitionBy(*key).orderBy(time, *order)
+        upto = along.rangeBetween(_FRAME_START, 0) if peers else along.rowsBetween(_FRAME_START, 0)
+        return df.withColumns({
+            **{n: F.lag(c).over(along) for n, c in previous.items()}, **{n: F.lead(c).over(along) for n, c in following.items()},
+            **{n: _folded(fn, c).over(upto if n in (running or {}) else along.rowsBetween(_FRAME_START, -1)) for n, (fn, c) in folds.items()},
+        })
     keys = [f"_k{i}" for i in range(len(key))]
     held = {n: f"_r{i}" for i, n in enumerate(folds)}
     ticks = _ticks(df, time)

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions.slices import scan
 from tidemark.functions.tiers import known_tier, tier_value
 from tidemark.operators.changes import id_diff
-from tidemark.session import durable
+from tidemark.session import dealt, durable
 
 # The naming patterns of the four name parts, in order.
 NAME_PATTERNS = {
@@ -127,8 +127,29 @@ def _accepted_bits(kind: Column) -> Column:
     return out
 
 
-def _numbered(rows: DataFrame, group: list[str], width: int) -> DataFrame:
+# Rows (version, field) and symbols of a subject that one task takes; a larger subject is cut into ranges of versions.
+WHOLE = 100_000
+
+
+def _by_size(fields: DataFrame, subject: str, whole: int, width: int, check: Callable[[DataFrame, int | None], DataFrame]) -> DataFrame:
+    """A check given the subjects of at most ``whole`` rows with no width, and the larger ones, if any, with theirs."""
+    weight = F.greatest(F.coalesce(F.size("symbols"), F.lit(0)), F.lit(0)) + 1 if "symbols" in fields.columns else F.lit(1)
+    sizes = durable(fields.groupBy(subject).agg(F.sum(weight).alias("_rows")), "sizes")
+    rows, of_large = sizes.agg(F.sum("_rows"), F.sum(F.when(F.col("_rows") > whole, F.col("_rows")))).first()
+    if not of_large:
+        return check(dealt(fields, rows or 0, subject), None)
+    large = sizes.filter(F.col("_rows") > whole).select(subject)
+    light = check(dealt(fields.join(large, subject, "left_anti"), rows - of_large, subject), None)
+    return light.unionByName(check(fields.join(large, subject, "left_semi"), width))
+
+
+def _numbered(rows: DataFrame, group: list[str], width: int | None) -> DataFrame:
     """Rows with the version before theirs and the rank of their version within the group."""
+    if width is None:
+        along = Window.partitionBy(*group).orderBy("version")
+        return rows.dropna(subset=[*group, "version"]).withColumns({
+            "previous": F.max("version").over(along.rangeBetween(Window.unboundedPreceding, -1)), "rank": F.dense_rank().over(along).cast("long"),
+        })
     distinct = rows.select(*group, "version").distinct().withColumn("_one", F.lit(1).cast("long"))
     versions = scan(
         durable(distinct, "versions"), group, "version", width=width,
@@ -147,7 +168,7 @@ def _markable(rows: DataFrame, required: Column) -> DataFrame:
     )
 
 
-def _presence(scanned: DataFrame, group: list[str], width: int, others: list[Column]) -> DataFrame:
+def _presence(scanned: DataFrame, group: list[str], width: int | None, others: list[Column]) -> DataFrame:
     """Per (group, version): required items new to it and required items gone from it, against the
     previous and against all earlier versions, and the given other aggregates.
 
@@ -164,7 +185,7 @@ def _presence(scanned: DataFrame, group: list[str], width: int, others: list[Col
         F.count_if(F.col("_req") & F.col("_first_req").isNull()).alias("_first_seen"),
         *others,
     )
-    here = durable(here, "presence")
+    here = here if width is None else durable(here, "presence")
     out = scan(here, group, "version", width=width, previous={"_had": "_required"}, before={"_ever": ("sum", "_first_seen")})
     return out.withColumns({
         "gone_vs_previous": F.coalesce("_had", F.lit(0)) - F.col("_kept"),
@@ -175,12 +196,18 @@ def _presence(scanned: DataFrame, group: list[str], width: int, others: list[Col
 MODES = ("NONE", *(m + t for m in ("BACKWARD", "FORWARD", "FULL") for t in ("", "_TRANSITIVE")))
 
 
-def check_compatibility_by_subject(fields: DataFrame, modes: DataFrame, subject: str = "subject", width: int = 1000) -> DataFrame:
+def check_compatibility_by_subject(
+    fields: DataFrame, modes: DataFrame, subject: str = "subject", width: int = 1000, whole: int = WHOLE,
+) -> DataFrame:
     """The same with a ``mode`` for each subject, from ``modes`` (subject, ``compatibility``), one row a subject; those without one pass as NONE.
 
     Counts against the previous and against all earlier versions come from one scan, whatever the modes. An unknown mode fails the job.
     """
-    rows = _numbered(_markable(_typed(fields), ~F.col("has_default")), [subject], width)
+    return _by_size(fields, subject, whole, width, lambda part, cut: _checked_by_subject(part, modes, subject, cut))
+
+
+def _checked_by_subject(fields: DataFrame, modes: DataFrame, subject: str, width: int | None) -> DataFrame:
+    rows = _markable(_typed(_numbered(fields, [subject], width)), ~F.col("has_default"))
     carried = {"_written": ("bit_or", "_bit"), "_readers": ("bit_and", "_accepts"), "_low": ("min", "_other"), "_high": ("max", "_other")}
     scanned = scan(
         rows, [subject, "field"], "version", width=width,
@@ -205,7 +232,7 @@ def check_compatibility_by_subject(fields: DataFrame, modes: DataFrame, subject:
     if "symbols" in fields.columns:
         group = [subject, "field"]
         symbols = fields.select(*group, "version", F.explode("symbols").alias("symbol")).distinct()
-        symbols = _numbered(_markable(symbols, F.lit(True)), group, width)
+        symbols = _markable(_numbered(symbols, group, width), F.lit(True))
         seen = _presence(scan(symbols, [*group, "symbol"], "version", width=width, **_SEEN), group, width, [])
         sums = [F.sum(f"{n}_vs_{a}").alias(f"symbols_{n}_{a}") for n in ("gone", "new") for a in ("previous", "all")]
         out = out.join(seen.groupBy(subject, "version").agg(*sums), [subject, "version"], "left")
@@ -233,7 +260,7 @@ def _type_faults(suffix: str = "") -> tuple[Column, Column, Column]:
     return renamed, written.bitwiseAND(F.bitwise_not("_accepts")) != 0, readers.bitwiseAND(F.col("_bit")) == 0
 
 
-def check_compatibility(fields: DataFrame, mode: str, subject: str = "subject", width: int = 1000) -> DataFrame:
+def check_compatibility(fields: DataFrame, mode: str, subject: str = "subject", width: int = 1000, whole: int = WHOLE) -> DataFrame:
     """Compatibility of every schema version with the one before it, or with all before it.
 
     ``fields`` has one row per (subject, version, field) with ``type``, ``has_default`` and optionally
@@ -243,18 +270,22 @@ def check_compatibility(fields: DataFrame, mode: str, subject: str = "subject",
     enumeration holds every written symbol. ``type_changes`` counts fields, each once. The first version of a subject always passes. Other Avro
     rules (aliases, unions, nested records) are not checked: such types must be equal.
 
-    Versions are ordered integers; ``width`` is the range of them that one task takes of a subject.
-    Intermediate tables go to the shared folder.
+    Versions are ordered integers. A subject of at most ``whole`` rows goes to one task, all its steps in one shuffle. Of a
+    larger one, ``width`` is the range of versions that one task takes; its intermediate tables go to the shared folder.
     """
     if mode not in MODES:
         raise ValueError(f"unsupported mode {mode!r}")
     if mode == "NONE":
         none = [F.lit(0).cast("long").alias(n) for n in ("missing_default", "removed_required", "type_changes", "symbol_changes")]
         return fields.select(subject, "version").distinct().select("*", *none, F.lit(True).alias("compatible"))
+    return _by_size(fields, subject, whole, width, lambda part, cut: _checked(part, mode, subject, cut))
+
+
+def _checked(fields: DataFrame, mode: str, subject: str, width: int | None) -> DataFrame:
     against = "all" if mode.endswith("_TRANSITIVE") else "previous"
     backward, forward = not mode.startswith("FORWARD"), not mode.startswith("BACKWARD")
     enums = "symbols" in fields.columns
-    rows = _numbered(_markable(_typed(fields), ~F.col("has_default")), [subject], width)
+    rows = _markable(_typed(_numbered(fields, [subject], width)), ~F.col("has_default"))
     if against == "all":
         typed = {"before": {"_written": ("bit_or", "_bit"), "_readers": ("bit_and", "_accepts"),
                             "_low": ("min", "_other"), "_high": ("max", "_other")}}
@@ -277,7 +308,7 @@ def check_compatibility(fields: DataFrame, mode: str, subject: str = "subject",
     if enums:
         group = [subject, "field"]
         symbols = fields.select(*group, "version", F.explode("symbols").alias("symbol")).distinct()
-        symbols = _numbered(_markable(symbols, F.lit(True)), group, width)
+        symbols = _markable(_numbered(symbols, group, width), F.lit(True))
         seen = _presence(scan(symbols, [*group, "symbol"], "version", width=width, **_SEEN), group, width, [])
         seen = seen.groupBy(subject, "version").agg(
             F.sum(f"gone_vs_{against}").alias("symbols_gone"), F.sum(f"new_vs_{against}").alias("symbols_new")

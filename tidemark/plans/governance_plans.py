@@ -4,7 +4,7 @@ from tidemark.functions import effective_settings
 from tidemark.operators import governance as G
 from tidemark.plans.join_plans import _TIER, binding_topics, order_tier
 from tidemark.plans.registry import plan
-from tidemark.session import durable
+from tidemark.session import dealt, durable
 
 _PARTS = """
 parts AS (SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN upper(c_mktsegment) ELSE lower(c_mktsegment) END AS domain,
@@ -103,12 +103,14 @@ def _(t):
 def field_versions(t):
     """Each customer is a subject, each order one of its schema versions, each line item a field of it."""
     versions = t.orders.select("o_orderkey", F.col("o_custkey").alias("subject"))
-    fields = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey"), F.concat(F.lit("f"), "l_linenumber").alias("field")).agg(
-        F.chr(F.max(F.ascii("l_returnflag"))).alias("flag"), F.chr(F.max(F.ascii("l_linestatus"))).alias("status"))
+    items = t.lineitem.select(
+        F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", F.ascii("l_returnflag").alias("flag"), F.ascii("l_linestatus").alias("status"))
+    fields = dealt(items, t.lineitem.count(), "o_orderkey").join(versions, "o_orderkey").groupBy("subject", "o_orderkey", "l_linenumber").agg(
+        F.chr(F.max("flag")).alias("flag"), F.chr(F.max("status")).alias("status"))
     kind = F.when(F.col("flag") == "A", "int").when(F.col("flag") == "N", "long").otherwise("string")
-    rows = fields.join(versions, "o_orderkey").select(
-        "subject", F.col("o_orderkey").alias("version"), "field", kind.alias("type"), (F.col("status") == "O").alias("has_default")
-    )
+    rows = fields.select(
+        "subject", F.col("o_orderkey").alias("version"), F.concat(F.lit("f"), "l_linenumber").alias("field"), kind.alias("type"),
+        (F.col("status") == "O").alias("has_default"))
     return durable(rows, "field-versions")
 
 

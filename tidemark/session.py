@@ -54,6 +54,20 @@ def listed(spark: SparkSession, columns: dict[str, list], schema: str) -> DataFr
     return spark.createDataFrame(pa.table(columns), schema=schema)
 
 
+# Rows that one task takes of a shuffle whose number of rows is known.
+TASK_ROWS = 500_000
+
+
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """The same rows dealt by keys over as many tasks as their number asks for; as they are, if that is one.
+
+    Adaptive execution joins partitions by their bytes on disk, of which a small row has few, so that a task which sorts or
+    counts them in memory grows with the input.
+    """
+    tasks = -(-rows // TASK_ROWS)
+    return df.repartition(max(tasks, df.sparkSession.sparkContext.defaultParallelism), *keys) if tasks > 1 else df
+
+
 def durable(df: DataFrame, name: str) -> DataFrame:
     """The same rows from a table written to the shared folder.
 
