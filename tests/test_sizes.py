@@ -6,6 +6,7 @@ import pytest
 
 from tidemark import session
 from tidemark.operators import governance as G
+from tidemark.operators.steps import at_steps
 
 SCHEMA = "subject string, version int, field string, type string, has_default boolean, symbols array<string>"
 
@@ -56,3 +57,14 @@ def test_tasks_follow_the_number_of_rows(spark):
     assert session.dealt(df, session.TASK_ROWS, "k") is df
     text = session.dealt(df, 40 * session.TASK_ROWS, "k")._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(k" in text and ", 40)" in text
+
+
+def test_points_unfold_after_the_sorts(spark):
+    """A task holds marks, two a sample, not the points between them: one sample a day at steps of a second."""
+    df = spark.range(3).selectExpr("'a' AS k", "timestamp_seconds(id * 86400 + 1) AS ts", "id * 5 AS value")
+    out = at_steps(df, "k", "1 second", "2 days")
+    text = out._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in text and text.index("Generate explode(sequence(_k") < text.index("Sort [")
+    got = out.groupBy("samples", "last", "increase").count().collect()
+    assert sorted(tuple(r[c] or 0 for c in r.asDict()) for r in got) == [
+        (1, 0, 0, 86400), (1, 10, 0, 86400), (2, 5, 5, 86400), (2, 10, 5, 86400)]

@@ -1,9 +1,9 @@
 """Series at evaluation steps: what a look-back holds at each point of a grid of times.
 
 A sample is the newest of a look-back at the grid points from its own time to the next sample's, and the oldest from
-when the sample before it leaves to when it leaves itself. Each sample thus names the grid points at which it stands at
-either end, and the increase at a point is the difference of two running totals. The work is linear in the samples and the
-points; no look-back is rescanned and no pairs of samples and points are formed.
+when the sample before it leaves to when it leaves itself. Each sample thus marks two ranges of grid points, and between
+two marks of a series the same two samples stand at the ends; the increase is the difference of their running totals.
+The work is linear in the samples and the points; no look-back is rescanned, and points unfold last, in order.
 """
 
 from __future__ import annotations
@@ -21,12 +21,6 @@ def _up(us: Column, step: int) -> Column:
     return -whole_div(-us, step)
 
 
-def _points(low: Column, high: Column, step: int) -> Column:
-    """Numbers of the grid points in [low, high)."""
-    first, last = _up(low, step), _up(high, step) - 1
-    return F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
-
-
 def at_steps(
     df: DataFrame, by: str | Sequence[str], step: str | int, lookback: str | int | Mapping[str, str | int], time: str = "ts",
     value: str = "value", stale: str | int | None = None, width: str | int = DEFAULT_SLICE,
@@ -45,11 +39,10 @@ def at_steps(
     longest = max(backs.values())
     wide = max(micros(width), longest)
     samples = df.filter(F.col(time).isNotNull() & F.col(value).isNotNull()).select(*by, F.col(time).alias("_at"), F.col(value).alias("_v"))
-    us = F.unix_micros("_at")
-    inside = Window.partitionBy(*by, "_slice").orderBy(us)
-    rows = with_halo(samples, "_at", longest, width).withColumns({
-        "_us": us, "_place": F.row_number().over(inside), "_was": F.lag("_v").over(inside),
-        "_before": F.lag(us).over(inside), "_after": F.lead(us).over(inside),
+    inside = Window.partitionBy(*by, "_slice").orderBy("_us")
+    rows = with_halo(samples, "_at", longest, width).withColumn("_us", F.unix_micros("_at")).drop("_at").withColumns({
+        "_place": F.row_number().over(inside), "_was": F.lag("_v").over(inside),
+        "_before": F.lag("_us").over(inside), "_after": F.lead("_us").over(inside),
     })
     grown = F.when(F.col("_v") >= F.col("_was"), F.col("_v") - F.col("_was")).when(F.col("_was").isNotNull(), F.col("_v"))
     zero = F.lit(0).cast(df.schema[value].dataType)
@@ -58,26 +51,27 @@ def at_steps(
 
     t, begin, end = F.col("_us"), F.col("_slice") * F.lit(wide), (F.col("_slice") + 1) * F.lit(wide)
 
-    def marks(window: str, back: int) -> list[Column]:
+    def marks(window: int, back: int) -> list[Column]:
         gone = t + F.lit(back)
-        newest = _points(F.greatest(t, begin), F.least(F.coalesce(F.col("_after"), end), gone, end), step)
-        oldest = _points(F.greatest(t, F.coalesce(F.col("_before") + F.lit(back), begin), begin), F.least(gone, end), step)
-        def named(points: Column, is_newest: bool) -> Column:
-            return F.transform(points, lambda k: F.struct(F.lit(window).alias("_w"), k.alias("_k"), F.lit(is_newest).alias("_new")))
-
-        return [named(newest, True), named(oldest, False)]
-
-    every = F.concat(*[m for window, back in backs.items() for m in marks(window, back)])
-    ends = rows.withColumn("_m", F.explode(every)).select(*by, "_slice", "_m.*", "_us", "_place", "_total", "_v")
-    held = F.struct("_us", "_place", "_total", "_v")
-    found = ends.groupBy(*by, "_slice", "_w", "_k").agg(
-        F.max(F.when(F.col("_new"), held)).alias("_b"), F.max(F.when(~F.col("_new"), held)).alias("_a"))
+        newest = F.greatest(t, begin), F.least(F.coalesce(F.col("_after"), end), gone, end)
+        oldest = F.greatest(t, F.coalesce(F.col("_before") + F.lit(back), begin), begin), F.least(gone, end)
+        return [F.struct(F.lit(window).alias("_w"), _up(low, step).alias("_k"), _up(high, step).alias("_until"), F.lit(new).alias("_new"))
+                for (low, high), new in ((newest, True), (oldest, False))]
+
+    every = F.filter(F.array(*[m for i, back in enumerate(backs.values()) for m in marks(i, back)]), lambda m: m["_k"] < m["_until"])
+    ends = rows.withColumn("_m", F.explode(every)).select(*by, "_slice", "_m.*", F.struct("_us", "_place", "_total", "_v", "_m._until").alias("_held"))
+    along = Window.partitionBy(*by, "_slice", "_w").orderBy("_k")
+    so_far = along.rowsBetween(Window.unboundedPreceding, 0)
+    found = ends.select(*by, "_w", "_k", F.lead("_k").over(along).alias("_next"), *[
+        F.last(F.when(F.col("_new") == new, F.col("_held")), ignorenulls=True).over(so_far).alias(n) for n, new in (("_b", True), ("_a", False))])
+    upto = F.least("_next", "_b._until", "_a._until")
+    found = found.filter((F.col("_k") < upto) & F.col("_a").isNotNull() & F.col("_b").isNotNull()).withColumn("_k", F.explode(F.sequence("_k", upto - 1)))
     at = F.col("_k") * F.lit(step)
     elapsed = F.col("_b._us") - F.col("_a._us")
     increase = F.col("_b._total") - F.col("_a._total")
     fresh = at - F.col("_b._us") < F.lit(micros(stale) if stale is not None else longest)
     return found.select(
-        *by, *([F.col("_w").alias("window")] if isinstance(lookback, Mapping) else []), F.timestamp_micros(at).alias("at"),
+        *by, *([F.element_at(F.array(*map(F.lit, backs)), F.col("_w") + 1).alias("window")] if isinstance(lookback, Mapping) else []), F.timestamp_micros(at).alias("at"),
         (F.col("_b._place") - F.col("_a._place") + 1).cast("long").alias("samples"), F.when(fresh, F.col("_b._v")).alias("last"),
         F.when(elapsed > 0, increase).alias("increase"), F.when(elapsed > 0, elapsed).alias("elapsed_us"),
         F.when(elapsed > 0, increase.cast("double") / (elapsed.cast("double") / F.lit(1e6))).alias("rate"))
