@@ -1,12 +1,18 @@
 """Compatibility of subjects of every size: small ones whole in one shuffle, large ones cut into ranges of versions."""
 
 import random
+from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark import session
+from tidemark.operators import alerts as A
 from tidemark.operators import governance as G
 from tidemark.operators.steps import at_steps
+from tidemark.plans import PLANS
+
+START = datetime(2024, 1, 1)
 
 SCHEMA = "subject string, version int, field string, type string, has_default boolean, symbols array<string>"
 
@@ -68,3 +74,20 @@ def test_points_unfold_after_the_sorts(spark):
     got = out.groupBy("samples", "last", "increase").count().collect()
     assert sorted(tuple(r[c] or 0 for c in r.asDict()) for r in got) == [
         (1, 0, 0, 86400), (1, 10, 0, 86400), (2, 5, 5, 86400), (2, 10, 5, 86400)]
+
+
+def test_runs_of_one_time_stay_apart(spark):
+    """Breach, quiet, breach at one time are two runs; the first goes on from the slice before."""
+    at = lambda s: START + timedelta(seconds=s)
+    rows = [("a", at(t), v, i) for i, (t, v) in enumerate([(8, 9.0), (11, 7.0), (11, 1.0), (11, 8.0), (11, 2.0), (11, 6.0), (12, 0.0), (25, 9.0)])]
+    df = spark.createDataFrame(rows, "k string, ts timestamp, value double, seq long").withColumn("metric", F.lit("m"))
+    for width in ("10 seconds", "1 hour"):
+        out = A.alert_sustained(df, [A.Rule("hot", "m", "gt", 5.0, 0, "warn")], "k", max_gap="5 seconds", order="seq", width=width)
+        got = sorted((r["started"], r["last_seen"], r["samples"], r["peak"]) for r in out.collect())
+        assert got == [(at(8), at(11), 2, 9.0), (at(11), at(11), 1, 6.0), (at(11), at(11), 1, 8.0), (at(25), at(25), 1, 9.0)]
+
+
+def test_runs_are_found_in_sorted_order(spark):
+    """Samples are sorted once and not grouped: the only groups are those of runs in several slices."""
+    text = PLANS["alerts_sustained"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Aggregate(") == 2 and text.count("Sort [") == 2

@@ -123,7 +123,8 @@ def alert_sustained(
 
     A sample that does not breach, or a gap longer than ``max_gap``, ends a run.
 
-    Samples collapse to runs inside each time slice. A run may continue across slices only where it
+    Samples collapse to runs inside each time slice, in the order they are sorted in: a run is the row of its last sample,
+    and the quiet samples are the row of their first. A run may continue across slices only where it
     touches the first or last sample of one, so those runs and one row for the quiet samples (at most
     three rows per slice) are put in order per series; every other run is already complete and stays
     in a lane of its own.
@@ -131,35 +132,50 @@ def alert_sustained(
     by, order = names(by), names(order)
     key, gap = ["rule", *by], micros(max_gap)
     ruled = with_rules(samples, rules, value).select(
-        *key, *order, F.col(time).alias("_time"), F.unix_micros(time).alias("_us"), F.col(value).alias("_value"),
+        *key, *order, F.unix_micros(time).alias("_us"), F.col(value).alias("_value"),
         "breached", "hold_s", "severity", slice_of(time, width).alias("_slice"),
     )
     inside = Window.partitionBy(*key, "_slice").orderBy("_us", *order)
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
     seen = ruled.withColumns({
-        "_was": F.lag("breached").over(inside), "_at": F.lag("_us").over(inside), "_then": F.lead("_us").over(inside),
+        "_was": F.lag("breached").over(inside), "_at": F.lag("_us").over(inside), "_nth": F.row_number().over(inside),
+        "_then": F.lead("_us").over(inside), "_will": F.lead("breached").over(inside),
     })
     starts = F.col("_at").isNull() | ~F.col("_was") | (F.col("_us") - F.col("_at") > gap)
-    seen = seen.withColumn("_start", F.when(F.col("breached") & starts, F.col("_us")))
-    begun = F.last("_start", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0))
-    seen = seen.withColumn("_begun", begun).withColumn("_begun", F.when(F.col("breached"), F.col("_begun")))
+    seen = seen.withColumn("_start", F.when(F.col("breached") & starts, F.struct("_us", "_nth", F.col("_at").isNull().alias("opens"))))
+    # The number of a run grows along the slice, so the largest pair so far has the peak of the newest run.
+    seen = seen.withColumns({"_run": F.last("_start", ignorenulls=True).over(upto), "_quiet": F.count_if(~F.col("breached")).over(upto)})
+    seen = seen.withColumn("_top", F.max(F.when(F.col("breached"), F.struct("_run._nth", "_value"))).over(upto))
+    ends = F.col("_then").isNull() | ~F.col("_will") | (F.col("_then") - F.col("_us") > gap)
     of_rule = ["hold_s", "severity"]
-    runs = seen.groupBy(*key, *of_rule, "_slice", "_begun").agg(
-        F.max("_us").alias("_end"), F.count("*").alias("_n"), F.max("_value").alias("_peak"),
-        F.bool_or(F.col("_at").isNull()).alias("_opens"), F.bool_or(F.col("_then").isNull()).alias("_closes"),
-    )
-
-    firing = F.col("_begun").isNotNull()
-    lane = F.when(firing & ~F.col("_opens") & ~F.col("_closes"), F.xxhash64("_slice", "_begun"))
+    run = F.struct(
+        *of_rule, F.col("_run._us").alias("begun"), F.col("_run._nth").alias("nth"), F.col("_us").alias("end"),
+        (F.col("_nth") - F.col("_run._nth") + 1).cast("long").alias("n"), F.col("_top._value").alias("peak"),
+        F.col("_run.opens").alias("opens"), F.col("_then").isNull().alias("closes"))
+    runs = seen.filter((F.col("breached") & ends) | (~F.col("breached") & (F.col("_quiet") == 1))).select(
+        *key, "_slice", F.when(F.col("breached") & F.col("_us").isNotNull(), run).alias("_of"))
+
+    of = lambda c: F.col(f"_of.{c}")
+    firing = F.col("_of").isNotNull()
+    lane = F.when(firing & ~of("opens") & ~of("closes"), F.xxhash64("_slice", of("nth")))
     # Within a slice: the run with its first sample, the quiet samples, the run with its last sample.
-    place = F.when(firing & F.col("_opens"), 0).when(~firing, 1).otherwise(2)
-    edge = Window.partitionBy(*key, "_lane").orderBy("_slice", "_place", "_begun")
-    laned = runs.withColumns({"_lane": lane, "_place": place}).withColumns({
-        "_before_closes": F.lag(firing & F.col("_closes")).over(edge), "_before_end": F.lag("_end").over(edge),
+    place = F.when(firing & of("opens"), 0).when(~firing, 1).otherwise(2)
+    edge = Window.partitionBy(*key, "_lane").orderBy("_slice", "_place")
+    laned = runs.withColumns({"_lane": lane, "_place": place}).withColumn("_before", F.lag("_of").over(edge))
+    goes_on = of("opens") & F.col("_before.closes") & (of("begun") - F.col("_before.end") <= gap)
+    laned = laned.withColumn("_on", F.coalesce(goes_on, F.lit(False)))
+    laned = laned.withColumn("_head", F.when(firing & ~F.col("_on"), F.struct(of("begun"), of("nth"))))
+    laned = laned.withColumns({
+        "_head": F.last("_head", ignorenulls=True).over(edge.rowsBetween(Window.unboundedPreceding, 0)),
+        "_more": F.coalesce(F.lead("_on").over(edge), F.lit(False)),
     })
-    goes_on = F.col("_opens") & F.col("_before_closes") & (F.col("_begun") - F.col("_before_end") <= gap)
-    laned = laned.withColumn("_head", F.when(firing & ~F.coalesce(goes_on, F.lit(False)), F.col("_begun")))
-    island = F.last("_head", ignorenulls=True).over(edge.rowsBetween(Window.unboundedPreceding, 0))
-    whole = laned.withColumn("_island", island).filter(firing).groupBy(*key, *of_rule, "_island").agg(
+    # A run that neither goes on nor is gone on with is whole, and needs no aggregation to be found too short.
+    short = of("end") - of("begun") < of("hold_s") * F.lit(1000000)
+    held = laned.filter(firing & (F.col("_on") | F.col("_more") | ~short)).select(
+        *key, *[of(c).alias(c) for c in of_rule], F.col("_head.begun").alias("_island"), F.col("_head.nth").alias("_nth"),
+        of("end").alias("_end"), of("n").alias("_n"), of("peak").alias("_peak"))
+    # Several runs of a slice may begin at one time.
+    whole = held.groupBy(*key, *of_rule, "_island", "_nth").agg(
         F.max("_end").alias("_end"), F.sum("_n").alias("samples"), F.max("_peak").alias("peak"),
     )
     hold = F.col("hold_s") * F.lit(1000000)
